@@ -1,6 +1,13 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from locusframe.llm import sharding
+from locusframe.llm import line_dedup, sharding, simhash
 
-QUERIES = {"op1_sharding": sharding.query}
-SQL = {"op1_sharding": sharding.SQL}
+QUERIES = {
+    "op1_sharding": sharding.query,
+    "op6_simhash_bk": simhash.query,
+    "op8_line_dedup": line_dedup.query,
+}
+SQL = {
+    "op1_sharding": sharding.SQL,
+    "op8_line_dedup": line_dedup.SQL,
+}
