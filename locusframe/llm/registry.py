@@ -1,13 +1,17 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from locusframe.llm import line_dedup, sharding, simhash
+from locusframe.llm import decontamination, line_dedup, packing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op2_packing": packing.query,
+    "op4_toxicity": toxicity.query,
+    "op5_decontamination": decontamination.query,
     "op6_simhash_bk": simhash.query,
     "op8_line_dedup": line_dedup.query,
 }
 SQL = {
     "op1_sharding": sharding.SQL,
+    "op5_decontamination": decontamination.SQL,
     "op8_line_dedup": line_dedup.SQL,
 }
