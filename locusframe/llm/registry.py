@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from locusframe.llm import decontamination, line_dedup, packing, sharding, simhash, toxicity
+from locusframe.llm import decontamination, embedding_dedup, line_dedup, packing, pii, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -9,9 +9,12 @@ QUERIES = {
     "op5_decontamination": decontamination.query,
     "op6_simhash_bk": simhash.query,
     "op8_line_dedup": line_dedup.query,
+    "op9_pii": pii.query,
+    "op10_embedding_dedup": embedding_dedup.query,
 }
 SQL = {
     "op1_sharding": sharding.SQL,
     "op5_decontamination": decontamination.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op10_embedding_dedup": embedding_dedup.SQL,
 }
