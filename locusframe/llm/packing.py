@@ -13,6 +13,7 @@ written once; the queues' totals and each chunk's place in its queue (a few rows
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,52 +26,92 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from locusframe.llm.common import table, written
+from locusframe.llm.decontamination import shards_of
 
 #: Fixed values of the contract.
 CAPACITY = 2048
 END_OF_DOCUMENT = 1
 #: More sources than this share queues (by hash), so what is broadcast stays small.
 MAX_QUEUES = 512
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
+#: Bytes of text in one slice; a slice is also a chunk of each queue.
+SLICE_BYTES = 1 << 20
 
 
 class WordTokens:
-    """Ids of texts, through a cache of words. White space ends every token of this tokenizer, so words stand alone."""
+    """Ids of texts, through a cache of words. White space ends every token of this tokenizer, so words stand alone.
+
+    A word of small Latin letters is one piece for the tokenizer's model; a run of marks after a letter is a piece of
+    its own; all other words go through the whole tokenizer.
+    """
+
+    #: Marks that may follow a word; those that special tokens and contractions are made of are not among them.
+    MARKS = ".,!?;:*#$%&)-"
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.end = self._packed([END_OF_DOCUMENT])
         self.cache: dict[str, bytes] = {}
+        self.letters = {b: c for b, c in enumerate(_byte_letters())}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if word.isalpha() and word.islower() and max(word) < "\u0180":
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            return self._packed([t.id for t in self.model.tokenize(shown)])
+        return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, then the end of the document."""
-        split = [[w for w in (t or "").replace("\n", " ").split(" ") if w] for t in texts]
+        """Little-endian unsigned ids (``kind``) of each text, then the end of the document."""
+        split = []
+        for t in texts:
+            t = t or ""
+            if "<|" not in t:  # not a special token: case does not matter to the tokenizer
+                t = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            split.append([w for w in t.replace("\n", " ").split(" ") if w])
         if len(self.cache) > CACHED_WORDS:
             self.cache = {}
-        missing = list({w for words in split for w in words if w not in self.cache})
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.cache[word] = np.array(found.ids, "<u4").tobytes()
-        end = np.array([END_OF_DOCUMENT], "<u4").tobytes()
-        return [b"".join([*map(self.cache.__getitem__, words), end]) for words in split]
+        cache = self.cache
+        for word in set().union(*split).difference(cache):
+            core = word.rstrip(self.MARKS)
+            if core != word and core[-1:].isalpha():
+                tail = word[len(core) :]
+                for part in (core, tail):
+                    if part not in cache:
+                        cache[part] = self._word(part)
+                cache[word] = cache[core] + cache[tail]
+            elif word not in cache:
+                cache[word] = self._word(word)
+        return [b"".join([*map(cache.__getitem__, words), self.end]) for words in split]
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level models show for each byte: its own if it prints, else the next from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)]
 
 
 def _tokenizer(path: str):
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, task, number = WordTokens(path), TaskContext.get().partitionId(), 0
+        width = np.dtype(made.kind).itemsize
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            for part in shards_of(batch, "text", SLICE_BYTES):
                 ids = made.ids(part["text"].to_pylist())
                 served: dict[str, int] = {}
                 before = []
                 for queue, x in zip(part["queue"].to_pylist(), ids):
                     before.append(served.get(queue, 0))
-                    served[queue] = before[-1] + len(x) // 4
-                small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if made.tokenizer.get_vocab_size() <= 1 << 16 else x for x in ids]
+                    served[queue] = before[-1] + len(x) // width
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f"{task:08d}-{number:08d}"] * part.num_rows), part["queue"], part["doc_id"], pa.array(before, pa.int64()),
-                     pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(small, pa.binary())],
+                     pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["chunk", "queue", "doc_id", "before", "n", "ids"])
                 number += 1
 
@@ -132,8 +173,8 @@ class Schedule:
 def _placer(schedule: Schedule, number: dict[str, int], capacity: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                yield _pieces(batch.slice(k, 2000), schedule, number, capacity)
+            for k in range(0, batch.num_rows, 500):
+                yield _pieces(batch.slice(k, 500), schedule, number, capacity)
 
     return place
 
