@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import table
+from locusframe.llm.common import table, union_all
 
 SIZES = (3, 4, 5)
 BUCKET_BITS = 18
@@ -104,15 +104,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, trai
 
     Rows with a null id, text or label are passed over. With no row of one class every score is the share of the other.
     """
-    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = (
-        docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= train_chars))
-        .where(_fold() != 0).select("doc_id", "text").join(known, "doc_id")
-    )
-    sample = []
-    for label in (0, 1):
-        order = F.xxhash64("doc_id", "text")
-        sample += rows.where(F.col("toxic") == label).orderBy(order).limit(per_class).select("text", "toxic").collect()
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(_fold() != 0)
+    picked = union_all([known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)])
+    texts = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= train_chars)).select("doc_id", "text")
+    # At most 2 * per_class ids are broadcast; texts are not shuffled.
+    sample = sorted(texts.join(F.broadcast(picked), "doc_id").select("text", "toxic").collect())
     return Model.fit([r[0] for r in sample], [r[1] for r in sample])
 
 
