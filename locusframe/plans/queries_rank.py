@@ -92,11 +92,11 @@ def r9(v):
 
 
 @register("r10_convergence_score", """with m as (select gene, substr(gene, 2)::int % 6 as master_rank, substr(gene, 2)::int % 9 as motif_targets from fx_genes)
-    select gene, round(round(0.28e0 * det + 0.20e0 * greatest(0, least(1, log2fc / 4)) + 0.16e0 * master_rank / 5 + 0.12e0 * motif_targets / 8 + 0.12e0 * greatest(0, least(1, amp / 0.3e0)) + 0.06e0 * driver::int + 0.06e0 * (subtype <> '')::int - case when beta > 0.5e0 then 0.15e0 * greatest(0, least(1, (beta - 0.5e0) / 0.5e0)) else 0 end, 4), 3) as convergence_score from fx_genes join m using (gene)""")
+    select gene, round(0.28e0 * (det * 0.9973e0 + 0.000137e0) + 0.20e0 * greatest(0, least(1, log2fc / 4)) + 0.16e0 * master_rank / 5 + 0.12e0 * motif_targets / 8 + 0.12e0 * greatest(0, least(1, amp / 0.3e0)) + 0.06e0 * driver::int + 0.06e0 * (subtype <> '')::int - case when beta > 0.5e0 then 0.15e0 * greatest(0, least(1, (beta - 0.5e0) / 0.5e0)) else 0 end, 4) as convergence_score from fx_genes join m using (gene)""")
 def r10(v):
     n = F.substring("gene", 2, 9).cast("int")
-    out = rk.convergence_score(v("fx_genes").withColumn("master_rank", n % 6).withColumn("motif_targets", n % 9), "det", 5)
-    return out.select("gene", F.round("convergence_score", 3).alias("convergence_score"))
+    out = rk.convergence_score(v("fx_genes").withColumn("master_rank", n % 6).withColumn("motif_targets", n % 9).withColumn("percentile", F.col("det") * 0.9973 + 0.000137), "percentile", 5)
+    return out.select("gene", "convergence_score")
 
 
 ROLES = [("G1", "driver", ["repress"], "allow"), ("G2", "suppressor", ["activate"], "block"), ("G3", "state", ["repress"], "quarantine"), ("G4", "lineage", ["activate"], "allow")]
