@@ -37,6 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, n: int, *cols: str) -> DataFrame:
+    """At most ``n`` rows by hash of ``cols``, the same ones each time; a threshold first, so tasks send few rows each."""
+    total = df.count()
+    order = F.xxhash64(*cols)
+    few = df if total <= 2 * n else df.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * 2 * n / total))
+    return few.orderBy(order, *cols).limit(n)
+
+
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, dfs)
 

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import connected_components, table, written
+from locusframe.llm.common import connected_components, hash_sample, table, written
 from locusframe.llm.simhash import unite
 
 COSINE = 0.9
@@ -143,7 +143,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     dims = classes.agg(F.max(F.size("vec"))).first()[0]
     if dims is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = _units([r[0] for r in classes.select("vec").orderBy(F.xxhash64("vec")).limit(PCA_SAMPLE).collect()], dims)
+    sample = _units([r[0] for r in hash_sample(classes.select("vec"), PCA_SAMPLE, "vec").collect()], dims)
     basis = spark.sparkContext.broadcast(np.linalg.eigh(np.cov(sample, rowvar=False).reshape(dims, dims))[1][:, ::-1] if len(sample) > 1 else np.eye(dims))
     kind = classes.schema["vec"].dataType.simpleString()
     led = classes.mapInArrow(_leader(basis, eps), f"vec {kind}, first long, copies long, lead array<double>, cells array<int>")

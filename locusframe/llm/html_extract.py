@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import table
+from locusframe.llm.common import hash_sample, table
 from locusframe.llm.decontamination import shards_of
 
 #: Fixed values of HTML: elements whose text is not text, that end a line but no block, that have no end tag.
@@ -322,8 +322,8 @@ def _extractor(labeller: Broadcast, html_col: str):
 
 def fit_pages(pages: DataFrame, html_col: str = "html", train_pages: int = 500, train_chars: int = 100_000) -> Labeller:
     """Fit on at most ``train_pages`` pages of at most ``train_chars`` characters, drawn by hash."""
-    some = pages.where(F.col(html_col).isNotNull() & (F.char_length(html_col) <= train_chars)).orderBy(F.xxhash64(html_col)).limit(train_pages)
-    return fit_labeller([r[0] for r in some.select(html_col).collect()])
+    some = pages.where(F.col(html_col).isNotNull() & (F.char_length(html_col) <= train_chars)).select(html_col)
+    return fit_labeller([r[0] for r in hash_sample(some, train_pages, html_col).collect()])
 
 
 def extract_text(pages: DataFrame, labeller: Labeller, html_col: str = "html") -> DataFrame:
