@@ -116,7 +116,7 @@ def nearest_distance(a: DataFrame, points: DataFrame, pos: str = "pos", stretch:
     both = rows.select("chrom", "__p", "__s", "__id").unionByName(marks.withColumn("__id", F.lit(None).cast("long")))
     mark = F.when(F.col("__id").isNull(), F.col("__p"))
     back = Window.partitionBy("chrom", "__s").orderBy("__p").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("chrom", "__s").orderBy("__p").rangeBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy("chrom", "__s").orderBy(F.desc("__p")).rangeBetween(Window.unboundedPreceding, 0)  # a frame that grows is linear
     near = both.select("*", F.max(mark).over(back).alias("before"), F.min(mark).over(ahead).alias("after")).where("__id is not null")
     needed = near.select("chrom", "__s").distinct()
     over = Window.partitionBy("chrom").orderBy("__s")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.operators.seq import revcomp
+from locusframe.operators.seq import revcomp, windows_of
 from locusframe.operators.stats import avg_rank
 
 #: The published position penalties of a mismatch, and the factor of the last two PAM bases.
@@ -36,27 +36,37 @@ def offtargets(chunks: DataFrame, guides: DataFrame, k: int = 4) -> DataFrame:
         code[b] = code[b + 32] = n
     plus = np.array([[code[c] for c in g.encode()] for g in wanted], np.uint8).reshape(len(wanted), SPACER)
     shared = chunks.sparkSession.sparkContext.broadcast((wanted, plus, (3 - plus)[:, ::-1], code))
+    limit = k
+
+    def one_hot(letters: np.ndarray) -> np.ndarray:
+        return (letters[:, :, None] == np.arange(4, dtype=np.uint8)).reshape(len(letters), -1).astype(np.float32)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, forward, backward, table = shared.value
+        wanted_hot = {"+": one_hot(forward).T, "-": one_hot(backward).T}
         back = str.maketrans("ACGTN", "TGCAN")
         for batch in batches:
-            rows: list[tuple] = []
-            for chrom, start, seq in zip(*(batch[c].to_pylist() for c in ("chrom", "chunk_start", "seq"))):
-                seq = seq.upper()
+            chroms, starts = batch["chrom"].to_pylist(), batch["chunk_start"].to_pylist()
+            seqs = [(s or "").upper() for s in batch["seq"].to_pylist()]
+            found: dict[str, list[tuple]] = {"+": [], "-": []}
+            for n, seq in enumerate(seqs):
                 s = table[np.frombuffer(seq.encode(), np.uint8)]
                 last = len(s) - SITE + 1
-                if last <= 0:
+                if last > 0:
+                    for strand, at, first in (("+", np.flatnonzero((s[21 : 21 + last] == 2) & (s[22 : 22 + last] == 2)), 0), ("-", np.flatnonzero((s[:last] == 1) & (s[1 : 1 + last] == 1)), 3)):
+                        found[strand].append((np.full(len(at), n), at, s[at[:, None] + np.arange(first, first + SPACER)]))
+            rows: list[tuple] = []
+            for strand, parts in found.items():
+                if not parts or not names:
                     continue
-                for strand, at, first, targets in (("+", np.flatnonzero((s[21 : 21 + last] == 2) & (s[22 : 22 + last] == 2)), 0, forward), ("-", np.flatnonzero((s[:last] == 1) & (s[1 : 1 + last] == 1)), 3, backward)):
-                    for g in range(len(names)):
-                        bad = np.zeros(len(at), np.uint8)
-                        for j in range(SPACER):
-                            bad += s[at + first + j] != targets[g, j]
-                        for p in np.flatnonzero(bad <= k):
-                            site = seq[at[p] : at[p] + SITE]
-                            site = site if strand == "+" else site.translate(back)[::-1]
-                            rows.append((names[g], chrom, int(start + at[p]), strand, site[:SPACER], site[SPACER:], int(bad[p])))
+                owner, at, letters = (np.concatenate(x) for x in zip(*parts))
+                for k in range(0, len(at), 20_000):  # sites x guides as one matrix product
+                    bad = SPACER - one_hot(letters[k : k + 20_000]) @ wanted_hot[strand]
+                    for p, g in zip(*np.nonzero(bad <= limit)):
+                        n, pos = int(owner[k + p]), int(at[k + p])
+                        site = seqs[n][pos : pos + SITE]
+                        site = site if strand == "+" else site.translate(back)[::-1]
+                        rows.append((names[g], chroms[n], starts[n] + pos, strand, site[:SPACER], site[SPACER:], int(bad[p, g])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()))], ["guide", "chrom", "pos", "strand", "site", "pam", "mismatches"])
 
     return chunks.select("chrom", F.col("chunk_start").cast("long").alias("chunk_start"), "seq").mapInArrow(scan, HIT).distinct()
@@ -68,9 +78,9 @@ def hamming(a: Column, b: Column, n: int = SPACER) -> Column:
 
 def sites(df: DataFrame, seq: str, key: str, minus: bool = True, last: bool = True) -> DataFrame:
     """(key, pos, strand, site, pam): places of a sequence whose PAM is NGG. ``last`` takes the last legal place too."""
-    n = F.char_length(seq)
-    rows = df.where(n >= SITE + (0 if last else 1)).select(key, F.upper(seq).alias("s"), F.explode(F.sequence(F.lit(0), n - SITE - (0 if last else 1))).alias("pos"))
-    rows = rows.withColumn("w", F.expr(f"substring(s, pos + 1, {SITE})")).drop("s")
+    rows = windows_of(df, seq, [key], SITE).withColumnRenamed("at", "pos")
+    if not last:
+        rows = rows.where(F.col("pos") < F.col("n") - SITE)
     out = rows.where(F.expr("substring(w, 22, 2) = 'GG'")).select(key, "pos", F.lit("+").alias("strand"), "w")
     if minus:
         out = out.unionByName(rows.where(F.expr("substring(w, 1, 2) = 'CC'")).select(key, "pos", F.lit("-").alias("strand"), revcomp("w").alias("w")))

@@ -45,11 +45,26 @@ def windowed_gc(df: DataFrame, seq: str, key: str, win: int, step: int) -> DataF
     return rows.select(key, "at", gc("__w", "raw").alias("gc"))
 
 
+PIECE = 64
+
+
+def windows_of(df: DataFrame, seq: str, keys: Sequence[str], k: int) -> DataFrame:
+    """(keys, n, at, w): every window of k letters, upper case; n is the sequence's length.
+
+    Sequences are first cut into short overlapping pieces: a substring costs its distance from the start, and a row of
+    an explode copies what it came from.
+    """
+    n = F.char_length(seq)
+    rows = df.where(n >= k).select(*keys, F.upper(seq).alias("__s"), n.alias("n"))
+    cut = F.transform(F.sequence(F.lit(0), F.col("n") - k, F.lit(PIECE)), lambda i: F.struct(i.alias("b"), F.substr(F.col("__s"), i + 1, F.lit(PIECE + k - 1)).alias("p")))
+    pieces = rows.select(*keys, "n", F.explode(cut).alias("x")).select(*keys, "n", "x.b", "x.p")
+    small = F.transform(F.sequence(F.lit(0), F.char_length("p") - k), lambda j: F.struct((F.col("b") + j).alias("at"), F.substr(F.col("p"), j + 1, F.lit(k)).alias("w")))
+    return pieces.select(*keys, "n", F.explode(small).alias("y")).select(*keys, "n", "y.at", "y.w")
+
+
 def kmers(df: DataFrame, seq: str, key: str, k: int) -> DataFrame:
     """(key, at, kmer) of every k-mer of ACGT."""
-    n = F.char_length(seq)
-    rows = df.where(n >= k).select(key, F.upper(seq).alias("__s"), F.explode(F.sequence(F.lit(0), n - k)).alias("at"))
-    return rows.select(key, "at", F.expr(f"substring(__s, at + 1, {k})").alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
+    return windows_of(df, seq, [key], k).where(F.translate("w", "ACGT", "") == "").select(key, "at", F.col("w").alias("kmer"))
 
 
 def kmer_features(df: DataFrame, seq: str, key: str, k: int) -> DataFrame:
@@ -124,11 +139,12 @@ def enumerate_sites(df: DataFrame, seq: str, key: str, offset: str | None = None
     The last legal place of each strand is not taken, as the published scan does not take it.
     """
     strands = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.upper(seq).alias("s")), F.struct(F.lit("-").alias("strand"), revcomp(F.upper(seq)).alias("s")))).alias("x")
-    rows = df.select(key, *([offset] if offset else []), strands).select(key, *([offset] if offset else []), "x.strand", "x.s").where(F.char_length("s") > 30)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(4), F.char_length("s") - 27)).alias("i")).where(F.expr("substring(s, i + 22, 2) = 'GG'"))
-    rows = rows.selectExpr("*", "substring(s, i + 1, 20) as protospacer", "substring(s, i + 21, 3) as pam", "substring(s, i - 3, 30) as context").where("instr(protospacer, 'N') = 0")
+    keys = [key, "strand", *([offset] if offset else [])]
+    rows = df.select(key, *([offset] if offset else []), strands).select(*keys[:1], "x.strand", *keys[2:], "x.s")
+    found = windows_of(rows, "s", keys, 30).where((F.substring("w", 26, 2) == "GG") & (F.col("at") < F.col("n") - 30))
+    found = found.select("*", F.substring("w", 5, 20).alias("protospacer"), F.substring("w", 25, 3).alias("pam"), (F.col("at") + 4).alias("i")).where(F.instr("protospacer", "N") == 0)
     base = F.col(offset) if offset else F.lit(0)
-    return rows.select(key, "strand", (base + F.when(F.col("strand") == "+", F.col("i")).otherwise(F.char_length("s") - F.col("i") - 20)).alias("start"), "protospacer", "pam", "context")
+    return found.select(key, "strand", (base + F.when(F.col("strand") == "+", F.col("i")).otherwise(F.col("n") - F.col("i") - 20)).alias("start"), "protospacer", "pam", F.col("w").alias("context"))
 
 
 def pwm_best(pwms: dict[str, np.ndarray], df: DataFrame, seq: str, key: str) -> DataFrame:
@@ -188,9 +204,7 @@ def splice_sites(df: DataFrame, seq: str, key: str, weights: DataFrame, kind: st
 
     ``weights`` (pos, base, logodds) from 0; a base that it lacks adds 0.
     """
-    n = F.char_length(seq)
-    rows = df.where(n >= length).select(key, F.upper(seq).alias("__s"), F.explode(F.sequence(F.lit(0), n - length)).alias("at"))
-    rows = rows.where(F.expr(f"substring(__s, at + {offset + 1}, {len(anchor)}) = '{anchor}'")).withColumn("__w", F.expr(f"substring(__s, at + 1, {length})"))
+    rows = windows_of(df, seq, [key], length).where(F.substring("w", offset + 1, len(anchor)) == anchor).select(key, "at", F.col("w").alias("__w"))
     letters = rows.select(key, "at", F.posexplode(F.slice(F.split("__w", ""), 1, length)).alias("pos", "base"))
     score = letters.join(F.broadcast(weights), ["pos", "base"], "left").groupBy(key, "at").agg(F.sum(F.coalesce("logodds", F.lit(0.0))).alias("score"))
     return score.where(F.col("score") >= threshold).select(key, F.lit(kind).alias("kind"), "at", "score")

@@ -151,7 +151,7 @@ def bh_fdr(df: DataFrame, p: str, part: Sequence[str] = (), alpha: float = 0.05)
     low = raw.groupBy(*part, "__bucket").agg(F.min("__raw").alias("__low"))
     later = Window.partitionBy(*part, F.lit(0)).orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)
     low = low.select(*part, "__bucket", F.min("__low").over(later).alias("__later"))
-    inside = Window.partitionBy(*part, "__bucket").orderBy(p).rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy(*part, "__bucket").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     q = raw.join(low, [*part, "__bucket"]).select(*part, p, F.least(F.least(F.min("__raw").over(inside), F.col("__later")), F.lit(1.0)).alias("q"))
     return df.join(q, [*part, p], "left").withColumn("rejected", F.col("q") <= alpha)
 

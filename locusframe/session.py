@@ -8,6 +8,6 @@ from pyspark.sql import SparkSession
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
     settings = {
         "spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": str(partitions),
-        "spark.ui.enabled": "false", "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | conf
     return SparkSession.builder.master(master).config(map=settings).getOrCreate()
