@@ -149,17 +149,41 @@ def grid_search_weights(df: DataFrame, names: Sequence[str], control: str, k: in
 
     Only the ``k`` best rows of a grid point matter, so each task keeps k rows a point before the points meet.
     """
+    top, points = _grid_top(df, names, control, k, tie, step)
+    best = top.groupBy("point", "spread").agg(F.sum("__c").alias("recovery")).orderBy(F.desc("recovery"), F.round("spread", 12), "point").limit(1)
+    return best.join(points.drop("spread"), "point").select("recovery", *[f"w_{c}" for c in names])
+
+
+def _grid_top(df: DataFrame, names: Sequence[str], control: str, k: int, tie: str, step: float) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` best rows of each grid point (point, spread, __c, __t), and the points."""
     grid = weight_grid(names, step)
-    spark = df.sparkSession
-    points = spark.createDataFrame([(n, *w, float(sum((x - 1 / len(w)) ** 2 for x in w) / len(w))) for n, w in enumerate(grid)], ["point", *[f"w_{c}" for c in names], "spread"])
+    points = df.sparkSession.createDataFrame([(n, *w, float(sum((x - 1 / len(w)) ** 2 for x in w) / len(w))) for n, w in enumerate(grid)], ["point", *[f"w_{c}" for c in names], "spread"])
     rows = df.select(F.col(control).cast("int").alias("__c"), F.col(tie).alias("__t"), *names).crossJoin(F.broadcast(points))
     score = reduce(Column.__add__, [F.col(c) * F.col(f"w_{c}") for c in names])
     rows = rows.select("point", "spread", "__c", "__t", F.round(score, 12).alias("__s"), F.pmod(F.xxhash64("__t"), F.lit(64)).alias("__salt"))
     order = [F.desc("__s"), F.asc("__t")]
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("point", "__salt").orderBy(*order))).where(F.col("n") <= k)
-    top = first.withColumn("n", F.row_number().over(Window.partitionBy("point").orderBy(*order))).where(F.col("n") <= k)
-    best = top.groupBy("point", "spread").agg(F.sum("__c").alias("recovery")).orderBy(F.desc("recovery"), F.round("spread", 12), "point").limit(1)
-    return best.join(points.drop("spread"), "point").select("recovery", *[f"w_{c}" for c in names])
+    return first.withColumn("n", F.row_number().over(Window.partitionBy("point").orderBy(*order))).where(F.col("n") <= k), points
+
+
+def selection_aware_p(df: DataFrame, names: Sequence[str], control: str, key: str, k: int, draws: int, seed: int = 0, step: float = 0.25) -> DataFrame:
+    """(observed, ge, p, naive_ge, naive_p): the best recovery over the grid against control sets dealt by hash.
+
+    In every replicate the whole grid is searched again and its best counts; the naive test keeps the weights that the
+    data chose. Ranks do not depend on labels, so they are taken once a grid point and meet each replicate's labels.
+    """
+    top, _ = _grid_top(df, names, control, k, key, step)
+    per = top.groupBy("point", "spread").agg(F.sum("__c").alias("r"))
+    chosen = per.orderBy(F.desc("r"), F.round("spread", 12), "point").limit(1).select(F.col("point").alias("best"), F.col("r").alias("observed"))
+    size = df.agg(F.sum(F.col(control).cast("int")).alias("m"))
+    turns = F.broadcast(df.sparkSession.range(draws).withColumnRenamed("id", "turn"))
+    order = Window.partitionBy("turn").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col("turn").cast("string"), F.col("__t").cast("string")), 256))
+    dealt = df.select(F.col(key).alias("__t")).crossJoin(turns).withColumn("n", F.row_number().over(order)).crossJoin(F.broadcast(size)).where("n <= m").select("turn", "__t")
+    hits = top.select("point", "__t").join(dealt, "__t").groupBy("turn", "point").agg(F.count("*").alias("r")).crossJoin(F.broadcast(chosen))
+    each = hits.groupBy("turn").agg(F.max("r").alias("r"), F.max(F.when(F.col("point") == F.col("best"), F.col("r")).otherwise(0)).alias("naive"))
+    full = df.sparkSession.range(draws).withColumnRenamed("id", "turn").join(each, "turn", "left").na.fill(0, ["r", "naive"]).crossJoin(F.broadcast(chosen))
+    out = full.groupBy("observed").agg(F.sum((F.col("r") >= F.col("observed")).cast("int")).alias("ge"), F.sum((F.col("naive") >= F.col("observed")).cast("int")).alias("naive_ge"))
+    return out.select("observed", "ge", ((F.col("ge") + 1) / (draws + 1)).alias("p"), "naive_ge", ((F.col("naive_ge") + 1) / (draws + 1)).alias("naive_p"))
 
 
 def pseudobulk(cells: DataFrame, meta: DataFrame, keep: str, min_cells: int = 30) -> DataFrame:

@@ -135,6 +135,20 @@ def m15(v):
     return mx.grid_search_weights(criteria(v), ["c_expr", "c_spec", "c_onc"], "control", 50, "gene")
 
 
+GRID = f"""{CRITERIA_SQL}, l as (select unnest(range(5)) as x), w as (select a.x as a, b.x as b, d.x as d from l a, l b, l d where a.x + b.x + d.x = 4), g as (select row_number() over (order by a, b, d) - 1 as point, a / 4.0 as wa, b / 4.0 as wb, d / 4.0 as wd from w),
+    s as (select point, wa, wb, wd, control, gene, round(c_expr * wa + c_spec * wb + c_onc * wd, 12) as s from c, g), k as (select point, wa, wb, wd, control, gene from s qualify row_number() over (partition by point order by s desc, gene) <= 50)"""
+
+
+@register("t21_selection_aware_p", f"""with {GRID}, r as (select point, wa, wb, wd, sum(control::int) as r from k group by all),
+    b as (select point as best, r as observed from r order by r desc, round((wa - 1.0 / 3) * (wa - 1.0 / 3) + (wb - 1.0 / 3) * (wb - 1.0 / 3) + (wd - 1.0 / 3) * (wd - 1.0 / 3), 9), point limit 1),
+    d as (select turn, gene from fx_genes, (select unnest(range(40)) as turn) qualify row_number() over (partition by turn order by sha256('6' || chr(58) || turn || chr(58) || gene)) <= (select count(*) from fx_genes where control)),
+    h as (select turn, point, count(*) as r from k join d using (gene) group by turn, point), e as (select turn, max(r) as r, max(case when point = best then r else 0 end) as naive from h, b group by turn),
+    f as (select turn, coalesce(r, 0) as r, coalesce(naive, 0) as naive from (select unnest(range(40)) as turn) left join e using (turn))
+    select observed::bigint as observed, count(*) filter (r >= observed) as ge, round((count(*) filter (r >= observed) + 1) / 41.0, 6) as p, count(*) filter (naive >= observed) as naive_ge, round((count(*) filter (naive >= observed) + 1) / 41.0, 6) as naive_p from f, b group by observed""")
+def t21(v):
+    return mx.selection_aware_p(criteria(v), ["c_expr", "c_spec", "c_onc"], "control", "gene", 50, 40, 6).select("observed", "ge", *R("p"), "naive_ge", *R("naive_p"))
+
+
 BULK = "m as (select distinct cell, patient from fx_cells where class = 'malignant'), k as (select patient, count(*) as cells from m group by patient having count(*) >= 30)"
 
 
