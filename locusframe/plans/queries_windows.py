@@ -205,7 +205,7 @@ def n2(v):
 
 
 @register("n3_pagerank", """with recursive sh as (select src, dst, weight / sum(weight) over (partition by src) as s from fx_edges), nd as (select distinct node from (select src as node from fx_edges union all select dst from fx_edges)), cn as (select count(*) as n from nd),
-    pr as (select 0 as t, node, 1.0::double / (select n from cn) as r from nd union all select t + 1, node, 0.15::double / (select n from cn) + 0.85::double * coalesce((select sum(s * r) from sh join pr q on q.node = sh.src where sh.dst = nd.node), 0) from nd, (select max(t) as t from pr) where t < 40)
+    pr as (select 0 as t, node, 1.0::double / (select n from cn) as r from nd union all select t + 1, node, 0.15::double / (select n from cn) + 0.85::double * coalesce((select sum(s * r) from sh join pr q on q.node = sh.src where sh.dst = nd.node), 0) + 0.85::double * coalesce((select sum(q.r) from pr q where q.node not in (select src from fx_edges)), 0) / (select n from cn) from nd, (select max(t) as t from pr) where t < 40)
     select node, round(r, 6) as rank from pr where t = 40""")
 def n3(v):
     return gr.pagerank(v("fx_edges")).select("node", *R("rank"))
@@ -226,7 +226,7 @@ def n5(v):
     return gr.eigencentrality(v("fx_edges"), rounds=10).select("node", *R("centrality"))
 
 
-@register("n6_centrality_composite", """with d as (select node, o.d as a, i.d as b from (select src as node, sum(weight) as d from fx_edges group by src) o join (select dst as node, count(*) as d from fx_edges group by dst) i using (node))
+@register("n6_centrality_composite", """with d as (select node, coalesce(o.d, 0) as a, coalesce(i.d, 0) as b from (select src as node, sum(weight) as d from fx_edges group by src) o full join (select dst as node, count(*) as d from fx_edges group by dst) i using (node))
     select node, round(((a - avg(a) over ()) / stddev_pop(a) over () + case when stddev_pop(b) over () > 0 then (b - avg(b) over ()) / stddev_pop(b) over () else 0 end) / 2, 6) as centrality from d""")
 def n6(v):
     return gr.centrality_composite(gr.degrees(v("fx_edges")), ["out_strength", "in_degree"]).select("node", *R("centrality"))
