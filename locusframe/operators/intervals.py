@@ -172,7 +172,7 @@ def spaced_topk(df: DataFrame, key: str, distance: int, k: int) -> DataFrame:
     rivals can be chosen among the first, but the greedy order is sequential, so each key's deduplicated rows go to one
     Arrow group, cut to what could fill ``k`` places.
     """
-    best = df.groupBy(key, "chrom", "start_pos", "end_pos").agg(F.max("signal").alias("signal"))
+    best = df.groupBy(*dict.fromkeys([key, "chrom", "start_pos", "end_pos"])).agg(F.max("signal").alias("signal"))
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["signal", "chrom", "start_pos", "end_pos"], ascending=[False, True, True, True])
