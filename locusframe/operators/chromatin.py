@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.tails import fisher_greater
 from locusframe.operators.intervals import nearest_distance, window_mean
-from locusframe.operators.stats import mann_whitney
+from locusframe.operators.iterate import written
+from locusframe.operators.stats import BUCKETS, _bucketed, mann_whitney
 
 #: Marks of active and of repressed chromatin, all marks that states use, and the levels called high and low.
 ACTIVE = ("H3K27ac", "H3K4me1", "H3K4me3", "H3K9ac")
@@ -106,25 +108,53 @@ def set_contrast(df: DataFrame, target: str, value: str, part: Sequence[str] = (
     return out.join(test, list(part), "left") if part else out.crossJoin(test)
 
 
-def caliper_match(df: DataFrame, target: str, score: str, key: str, caliper: float, m: int = 3, rounds: int = 12) -> DataFrame:
-    """(target, match, gap): up to m unused background rows of each target within caliper x spread, by rounds.
-
-    In a round every target asks for its nearest free row and a row takes its nearest asker; order-free, so a contested
-    row may go to another target than a greedy walk would give it.
+def _nearest(state: DataFrame, of: str) -> DataFrame:
+    """``state`` with ``near_<of>``: the nearest score where ``of`` is over 0 (the lower of two); in the row's own bucket, else at the end of another."""
+    own = Window.partitionBy("part").orderBy("s")
+    some = F.when(F.col(of) > 0, F.col("s"))
+    ends = {r[0]: (r[1], r[2]) for r in state.where(F.col(of) > 0).groupBy("part").agg(F.min("s"), F.max("s")).collect()}  # at most BUCKETS rows
+    low = [max((ends[j][1] for j in ends if j < k), default=None) for k in range(BUCKETS + 1)]
+    high = [min((ends[j][0] for j in ends if j > k), default=None) for k in range(BUCKETS + 1)]
+    end = lambda xs: F.element_at(F.array(*[F.lit(x).cast("double") for x in xs]), F.col("part") + 1)
+    lo = F.coalesce(F.last(some, True).over(own.rowsBetween(Window.unboundedPreceding, 0)), end(low))
+    hi = F.coalesce(F.first(some, True).over(own.rowsBetween(0, Window.unboundedFollowing)), end(high))
+    out = state.withColumns({"__lo": lo, "__hi": hi})
+    near = F.when(F.col("__hi").isNull() | (F.col("s") - F.col("__lo") <= F.col("__hi") - F.col("s")), F.col("__lo")).otherwise(F.col("__hi"))
+    return out.withColumn(f"near_{of}", near).drop("__lo", "__hi")
+
+
+def caliper_match(df: DataFrame, target: str, score: str, key: str, caliper: float, m: int = 3) -> DataFrame:
+    """(target, match, gap): up to m unused background rows of each target within caliper x spread, closest pairs first.
+
+    As if all pairs were walked by (gap, target score, match score, target, match) and each taken whose row is free and
+    whose target is short of m, until no pair is left. Order-free, so a contested row may go to another target than a walk
+    over targets would give it. Rounds run over distinct scores: two scores nearest to each other are matched in one
+    round, the k-th open place of one with the k-th free row of the other. Rows without a score are passed over.
     """
-    spread = df.agg(F.stddev_pop(score)).first()[0] or 0.0
-    width = max(caliper * spread, 1e-12)
-    cell = F.floor(F.col(score) / width)
-    t = df.where(F.col(target)).select(F.col(key).alias("target"), F.col(score).alias("ts"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    b = df.where(~F.col(target)).select(F.col(key).alias("match"), F.col(score).alias("bs"), cell.alias("cell"))
-    pairs = t.join(b, "cell").select("target", "match", F.abs(F.col("ts") - F.col("bs")).alias("gap")).where(F.col("gap") <= width)
-    done = pairs.limit(0)
-    for _ in range(rounds):
-        free = pairs.join(done.select("match"), "match", "left_anti").join(done.groupBy("target").count().where(F.col("count") >= m).select("target"), "target", "left_anti")
-        asked = free.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy("gap", "match"))).where("r = 1")
-        taken = asked.withColumn("r", F.row_number().over(Window.partitionBy("match").orderBy("gap", "target"))).where("r = 1").drop("r")
-        done = done.unionByName(taken.select("target", "match", "gap")).checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else done.unionByName(taken.select("target", "match", "gap"))
-    return done
+    rows = df.where(F.col(target).isNotNull()).select(F.col(key).alias("key"), F.col(target).alias("t"), F.col(score).cast("double").alias("s")).where("s is not null and not isnan(s)")
+    width = max(caliper * (rows.agg(F.stddev_pop("s")).first()[0] or 0.0), 1e-12)
+    counts = rows.groupBy("s").agg((m * F.count_if("t")).alias("need"), F.count_if(~F.col("t")).alias("free"))
+    nil = F.lit(0).cast("long")
+    state = written(counts.withColumn("part", _bucketed(counts, "s")).withColumns({"asked": nil, "given": nil}), "caliper")
+    rounds = []
+    while True:
+        seen = _nearest(_nearest(state, "free"), "need")
+        asks = seen.where((F.col("need") > 0) & (F.abs(F.col("s") - F.col("near_free")) <= width)).select(F.col("s").alias("ts"), F.col("near_free").alias("bs"), "need", "asked")
+        gives = seen.where("free > 0").select(F.col("near_need").alias("ts"), F.col("s").alias("bs"), "free", "given")
+        block = written(asks.join(gives, ["ts", "bs"]).select("ts", "bs", "asked", "given", F.least("need", "free").alias("n")), "caliper")
+        rounds.append(block)
+        if block.isEmpty():
+            break
+        state = state.join(block.select(F.col("ts").alias("s"), F.col("n").alias("a")), "s", "left").join(block.select(F.col("bs").alias("s"), F.col("n").alias("b")), "s", "left")
+        a, b = F.coalesce("a", nil), F.coalesce("b", nil)
+        state = written(state.select("s", (F.col("need") - a).alias("need"), (F.col("free") - b).alias("free"), "part", (F.col("asked") + a).alias("asked"), (F.col("given") + b).alias("given")), "caliper")
+    units = reduce(DataFrame.unionByName, rounds).withColumn("k", F.explode(F.expr("sequence(0L, n - 1)")))
+    units = units.select("ts", "bs", (F.col("asked") + F.col("k")).alias("place"), (F.col("given") + F.col("k")).alias("row"))
+    number = F.row_number().over(Window.partitionBy("s").orderBy("key")) - 1
+    t = rows.where("t").select("key", "s", number.alias("i"))
+    t = t.select(F.col("key").alias("target"), F.col("s").alias("ts"), F.explode(F.array(*[(F.col("i") * m + k).cast("long") for k in range(m)])).alias("place"))
+    b = rows.where("not t").select(F.col("key").alias("match"), F.col("s").alias("bs"), number.cast("long").alias("row"))
+    return units.join(t, ["ts", "place"]).join(b, ["bs", "row"]).select("target", "match", F.abs(F.col("ts") - F.col("bs")).alias("gap"))
 
 
 def sweep(df: DataFrame, name: str, values: Sequence[float]) -> DataFrame:

@@ -180,7 +180,7 @@ def h7(v):
 @register("h8_caliper_match")
 def h8(v):
     rows = v("fx_genes").withColumn("t", F.expr("cast(substring(gene, 2) as int) % 50 = 0"))
-    return ch.caliper_match(rows, "t", "log2fc", "gene", 0.2, 3, rounds=6)
+    return ch.caliper_match(rows, "t", "log2fc", "gene", 0.2, 3)
 
 
 @register("h9_window_sweep", f"""{RESIDUAL}, s as (select unnest([0.5, 1.0, 2.0]) as cut) select cut, count(*) filter (residual > cut) as n_up, round(avg(residual) filter (abs(residual) > cut), 6) as mean from r, s where residual is not null group by cut""")
