@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.iterate import written
 from locusframe.operators.stats import hash_bits
 
 OBJECTIVES = ("efficacy", "specificity", "robustness", "safety")
@@ -76,20 +77,82 @@ def front(df: DataFrame, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
     return few.join(other, beat, "left_anti")
 
 
-def pareto_fronts(df: DataFrame, key: str, objectives: Sequence[str] = OBJECTIVES, floor: Column | None = None, max_rank: int = 3) -> DataFrame:
-    """``df`` with ``rank`` 0.. of the first ``max_rank`` fronts by peeling (null below); infeasible rows rank after feasible."""
-    left = df.withColumn("__ok", floor if floor is not None else F.lit(True))
-    out, rank = None, 0
-    for ok in (True, False):
-        rest = left.where(F.col("__ok") == ok)
-        for _ in range(max_rank):
-            top = front(rest.select(key, *objectives), objectives).select(key).withColumn("rank", F.lit(rank))
-            out = top if out is None else out.unionByName(top)
-            rest = rest.join(top.select(key), key, "left_anti")
-            rank += 1
-        if floor is None:
-            break
-    return df.join(out, key, "left")
+def _depths(points: np.ndarray, known: int | None = None) -> np.ndarray:
+    """Front number of each row within ``points``; ``known`` and more count as ``known``.
+
+    Equal rows share a front. Rows come in falling lexicographic order, so dominators come first; whoever is dominated in
+    a front is dominated in all before it, so the front is found by halving.
+    """
+    points, back = np.unique(-points, axis=0, return_inverse=True)
+    points = -points
+    fronts: list[np.ndarray] = []
+    sizes: list[int] = []
+    out = np.zeros(len(points), np.int64)
+    for k, p in enumerate(points):
+        lo, hi = 0, len(fronts)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if (fronts[mid][: sizes[mid]] >= p).all(axis=1).any():
+                lo = mid + 1
+            else:
+                hi = mid
+        out[k] = lo
+        if known is not None and lo >= known:
+            continue
+        if lo == len(fronts):
+            fronts.append(np.empty((8, points.shape[1])))
+            sizes.append(0)
+        if sizes[lo] == len(fronts[lo]):
+            fronts[lo] = np.concatenate([fronts[lo], np.empty_like(fronts[lo])])
+        fronts[lo][sizes[lo]] = p
+        sizes[lo] += 1
+    return out[back.ravel()]
+
+
+def _with_depth(df: DataFrame, names: list[str], known: int | None = None) -> DataFrame:
+    """``df`` with ``__depth`` within its partition, a lower bound of that in the table."""
+
+    def depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = [x for x in batches if x.num_rows]
+        if part:
+            t = pa.Table.from_batches(part).combine_chunks()
+            d = _depths(np.column_stack([t[c].to_numpy() for c in names]), known)
+            yield from t.append_column("__depth", pa.array(d, pa.int64())).to_batches()
+
+    return df.mapInArrow(depth, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", __depth bigint")
+
+
+def pareto_fronts(df: DataFrame, key: str, objectives: Sequence[str] = OBJECTIVES, floor: Column | None = None, max_rank: int | None = None, at_once: int = 200_000) -> DataFrame:
+    """``df`` with ``rank`` 0.. by peeling until no row is left; infeasible rows rank after the last feasible front.
+
+    With ``max_rank`` only so many fronts get a rank, feasible ones first (null below). A round peels as many fronts as
+    ``at_once`` rows can hold: a row's front within its partition is never behind its front in the table, so the rows of
+    the first n fronts are among those in the first n of their partitions, and only these meet. Where even one front of
+    all partitions is more, ``front`` peels it by a join.
+    """
+    names = list(objectives)
+    left = df.select(key, *[F.col(o).cast("double").alias(o) for o in names], F.coalesce(floor, F.lit(False)).alias("__ok") if floor is not None else F.lit(True).alias("__ok"))
+    found, rank = [], 0
+    for ok in (True, False) if floor is not None else (True,):
+        rest = written(left.where(F.col("__ok") == ok).drop("__ok"), "fronts")
+        while (max_rank is None or rank < max_rank) and not rest.isEmpty():
+            local = written(_with_depth(rest, names), "fronts")
+            sizes = sorted(tuple(r) for r in local.groupBy("__depth").count().orderBy("__depth").limit(at_once).collect())
+            n, held = 0, 0
+            while n < len(sizes) and held + sizes[n][1] <= at_once and (max_rank is None or rank + n < max_rank):
+                held += sizes[n][1]
+                n += 1
+            if n:
+                few = local.where(F.col("__depth") < n).drop("__depth").coalesce(1)
+                top = _with_depth(few, names, n).where(F.col("__depth") < n).select(key, (F.col("__depth") + rank).cast("int").alias("rank"))
+            else:
+                n, top = 1, front(rest, names).select(key, F.lit(rank).alias("rank"))
+            top = written(top, "fronts")
+            found.append(top)
+            rest = written(rest.join(top, key, "left_anti"), "fronts")
+            rank = top.agg(F.max("rank")).first()[0] + 1
+    ranks = reduce(DataFrame.unionByName, found) if found else left.select(key, F.lit(None).cast("int").alias("rank")).limit(0)
+    return df.join(ranks, key, "left")
 
 
 def crowding(df: DataFrame, key: str, part: str = "rank", objectives: Sequence[str] = OBJECTIVES) -> DataFrame:

@@ -33,9 +33,9 @@ def r2(v):
     return rk.dominance(v("fx_scores"), "id")
 
 
-@register("r3_pareto_fronts", f"with {fronts_sql(3)} select id, 0 as rank from f0 union all select id, 1 from f1 union all select id, 2 from f2 union all select id, null from l3")
+@register("r3_pareto_fronts")  # as many fronts as there are: more than SQL can name; tests hold it against brute force
 def r3(v):
-    return rk.pareto_fronts(v("fx_scores"), "id", max_rank=3).select("id", "rank")
+    return rk.pareto_fronts(v("fx_scores"), "id").select("id", "rank")
 
 
 CROWD = f"""{fronts_sql(2)}, r as (select *, 0 as rank from f0 union all select *, 1 from f1), u as (select id, rank, o, case o when 'efficacy' then efficacy when 'specificity' then specificity when 'robustness' then robustness else safety end as x from r, (select unnest(['efficacy', 'specificity', 'robustness', 'safety']) as o)),
@@ -43,18 +43,18 @@ CROWD = f"""{fronts_sql(2)}, r as (select *, 0 as rank from f0 union all select
     c as (select id, rank, sum(case when a is null or b is null then 'infinity'::double when wd > 0 then (a - b) / wd else 0 end) as crowding from n group by id, rank)"""
 
 
-def ranked(v):
-    return rk.crowding(rk.pareto_fronts(v("fx_scores"), "id", max_rank=2).where("rank is not null"), "id")
+def ranked(v, fronts=None):
+    return rk.crowding(rk.pareto_fronts(v("fx_scores"), "id", max_rank=fronts).where("rank is not null"), "id")
 
 
-@register("r4_crowding", f"with {CROWD} select id, rank, case when isinf(crowding) then -1 else round(crowding, 6) end as crowding from c")
+@register("r4_crowding")  # over all fronts, as r3
 def r4(v):
     return ranked(v).select("id", "rank", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 6)).alias("crowding"))
 
 
 @register("r5_select_top", f"with {CROWD} select id from c where rank = 0 order by crowding desc, id limit 10")
 def r5(v):
-    return rk.select_top(ranked(v), 10, "id").select("id")
+    return rk.select_top(ranked(v, 2), 10, "id").select("id")
 
 
 @register("r5_select_preferred", f"with {fronts_sql(1)} select id, round(0.25 * efficacy + 0.25 * specificity + 0.25 * robustness + 0.25 * safety, 6) as composite from f0 order by round(0.25 * efficacy + 0.25 * specificity + 0.25 * robustness + 0.25 * safety, 12) desc, id limit 10")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.operators import chromatin
+from locusframe.operators import chromatin, rank
 
 
 def plain_match(rows, width, m):
@@ -30,3 +30,29 @@ def test_caliper_match_runs_until_no_pair_is_left(spark, kind):
     width = 0.3 * df.agg(F.stddev_pop("s")).first()[0]
     got = sorted((r[0], r[1], round(r[2], 9)) for r in chromatin.caliper_match(df, "t", "s", "gene", 0.3).collect())
     assert got == plain_match(rows, width, 3)
+
+
+def plain_fronts(rows):
+    out, left, k = {}, dict(rows), 0
+    while left:
+        top = [i for i, p in left.items() if not any(all(x >= y for x, y in zip(q, p)) and q != p for q in left.values())]
+        out |= dict.fromkeys(top, k)
+        left = {i: p for i, p in left.items() if i not in top}
+        k += 1
+    return out
+
+
+@pytest.mark.parametrize("at_once", [200_000, 60, 1])
+def test_every_row_gets_a_front(spark, at_once):
+    draw = random.Random(3)
+    rows = [(k, *(draw.randrange(8) / 8 for _ in rank.OBJECTIVES)) for k in range(150)]
+    df = spark.createDataFrame(rows, ["id", *rank.OBJECTIVES])
+    want = plain_fronts([(r[0], r[1:]) for r in rows])
+    assert max(want.values()) > 4
+    got = {r["id"]: r["rank"] for r in rank.pareto_fronts(df, "id", at_once=at_once).collect()}
+    assert got == want
+    if at_once > 60:
+        good = plain_fronts([(r[0], r[1:]) for r in rows if r[4] >= 0.5])
+        bad = plain_fronts([(r[0], r[1:]) for r in rows if r[4] < 0.5])
+        got = {r["id"]: r["rank"] for r in rank.pareto_fronts(df, "id", floor=F.col("safety") >= 0.5).collect()}
+        assert got == good | {k: x + max(good.values()) + 1 for k, x in bad.items()}
