@@ -55,10 +55,13 @@ class Model:
         self.cache: dict[str, float] = {}
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], rounds: int = 120, smooth: float = 1.0, ridge: float = 3e-4) -> Model:
+    def fit(cls, texts: list[str], labels: list[int], weights: list[float] | None = None, rounds: int = 120, smooth: float = 1.0, ridge: float = 3e-4) -> Model:
+        """``weights``: how many rows each row of a sample stands for; the loss and the bias are those of all rows."""
         y = np.array(labels, np.float64)
+        each = np.ones(len(y)) if weights is None else np.array(weights, np.float64)
+        mean_of = lambda x: (each * x).sum() / each.sum()
         if not 0 < y.sum() < len(y):
-            share = min(max(y.mean() if len(y) else 0.0, 1e-4), 1 - 1e-4)
+            share = min(max(mean_of(y) if len(y) else 0.0, 1e-4), 1 - 1e-4)
             return cls(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
         number: dict[str, int] = {}
         doc_words = [[number.setdefault(w, len(number)) for w in sorted(words_of(t))] for t in texts]
@@ -77,11 +80,11 @@ class Model:
 
         positive, negative = back(y) + smooth, back(1 - y) + smooth
         ratio = np.log(positive / positive.sum()) - np.log(negative / negative.sum())
-        weight, bias = np.zeros(BUCKETS), float(np.log(y.mean() / (1 - y.mean())))
+        weight, bias = np.zeros(BUCKETS), float(np.log(mean_of(y) / (1 - mean_of(y))))
         mean, square = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
         for t in range(1, rounds + 1):  # Adam on the ridge-penalised logistic loss
             error = 1 / (1 + np.exp(-np.clip(scores(weight * ratio) + bias, -30, 30))) - y
-            slope = np.r_[back(error) * ratio / len(y) + ridge * weight, error.mean()]
+            slope = np.r_[back(each * error) * ratio / each.sum() + ridge * weight, mean_of(error)]
             mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
             step = 0.02 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
             weight, bias = weight - step[:-1], bias - step[-1]
@@ -102,6 +105,8 @@ class Model:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, train_chars: int = 50_000) -> Model:
     """Fit on at most ``per_class`` rows of each class, drawn by hash, with crc32(doc_id) mod 5 other than 0.
 
+    A row of a sampled class counts as many times as there are labels for each drawn, so scores and the 0.5 cut follow the
+    class shares of all training labels at any table size.
     Rows with a null id, text or label are passed over. With no row of one class every score is the share of the other.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(_fold() != 0)
@@ -109,7 +114,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, trai
     texts = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= train_chars)).select("doc_id", "text")
     # At most 2 * per_class ids are broadcast; texts are not shuffled.
     sample = sorted(texts.join(F.broadcast(picked), "doc_id").select("text", "toxic").collect())
-    return Model.fit([r[0] for r in sample], [r[1] for r in sample])
+    counts = dict(known.groupBy("toxic").count().collect())
+    return Model.fit([r[0] for r in sample], [r[1] for r in sample], [max(1.0, counts[r[1]] / per_class) for r in sample])
 
 
 def _fold():
