@@ -31,7 +31,7 @@ from locusframe.llm.decontamination import shards_of
 #: Fixed values of the contract.
 CAPACITY = 2048
 END_OF_DOCUMENT = 1
-#: More sources than this share queues (by hash), so what is broadcast stays small.
+#: Beyond so many sources those without a target share so many queues, each source at its own share of its queue, so what is broadcast stays small.
 MAX_QUEUES = 512
 CACHED_WORDS = 250_000
 #: Bytes of text in one slice; a slice is also a chunk of each queue.
@@ -210,31 +210,53 @@ def _pieces(batch: pa.RecordBatch, schedule: Schedule, number: dict[str, int], c
         ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"])
 
 
+def _grouped(placed: DataFrame, chunks: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """``placed`` with sources without a target in queues by hash, ordered there by how far a document is in its source.
+
+    Prefix sums run within 1,024 steps of a queue, plus the totals of the steps before.
+    """
+    own = F.col("queue").isin([x for t in targets for x in (f"={t}", *(["null"] if t == "null" else []))])
+    group = F.when(own, F.col("queue")).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES))))
+    sizes = chunks.groupBy("queue").agg(F.sum("n").alias("size"))
+    far = (F.col("start") + F.col("n") / 2) / F.col("size")
+    rows = placed.join(sizes, "queue").withColumns({"far": far, "step": F.floor(far * 1024), "group": group})
+    ahead = Window.partitionBy("group").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = rows.groupBy("group", "step").agg(F.sum("n").alias("m")).select("group", "step", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("begin"))
+    inside = Window.partitionBy("group", "step").orderBy("far", "queue", "start").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(steps, ["group", "step"])
+    return written(rows.select("doc_id", F.col("group").alias("queue"), (F.col("begin") + F.col("inside")).alias("start"), "n", "ids"), "token-groups")
+
+
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer: str | None = None, capacity: int = CAPACITY,
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
     ``targets``: weight of each source in a window; by default its share of all tokens, which keeps the mixture to the
     last window. Sources without a target follow when the others are served. Only the last sequence is not full.
+    Beyond MAX_QUEUES sources each with a target keeps its own queue; the others share queues by hash (``#n``), and in
+    such a queue documents come in the order of how far each is in its source, so all its sources run out together.
     Null text is empty (one token, the end of the document); null sources are one queue; rows may repeat and are packed
     each by itself; an empty table gives no rows; other columns are ignored.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    few = docs.agg(F.count_distinct(source)).first()[0] <= MAX_QUEUES
-    queue = source if few else F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)))
+    many = docs.agg(F.count_distinct(source)).first()[0] > MAX_QUEUES
     rows = written(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), queue.alias("queue"))
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), source.alias("queue"))
         .mapInArrow(_tokenizer(path), "chunk string, queue string, doc_id long, before long, n long, ids binary"), "tokens")
     chunks = rows.groupBy("queue", "chunk").agg(F.sum("n").alias("n"))
     chunks = written(chunks, "token-chunks")
-    totals = {r[0]: r[1] for r in chunks.groupBy("queue").agg(F.sum("n")).orderBy("queue").collect()}  # MAX_QUEUES rows at most
-    number = {q: k for k, q in enumerate(totals)}
-    wanted = [(targets or {}).get(q[1:] if q[0] == "=" else q, 0.0) if targets else float(t) for q, t in totals.items()]
-    schedule = Schedule.of(list(totals.values()), wanted)
     before = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     begins = chunks.select("queue", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
     placed = rows.join(begins, ["queue", "chunk"]).select("doc_id", "queue", (F.col("begin") + F.col("before")).alias("start"), "n", "ids")
+    if many:
+        placed = _grouped(placed, chunks, targets or {})
+        chunks = placed
+    totals = {r[0]: r[1] for r in chunks.groupBy("queue").agg(F.sum("n")).orderBy("queue").collect()}  # MAX_QUEUES rows and one a target at most
+    number = {q: k for k, q in enumerate(totals)}
+    asked = {q: (targets or {}).get(q[1:] if q[0] == "=" else q, 0.0) if q[0] != "#" else 0.0 for q in totals}
+    wanted = [asked[q] if targets else float(t) for q, t in totals.items()]
+    schedule = Schedule.of(list(totals.values()), wanted)
     return placed.mapInArrow(_placer(schedule, number, capacity),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")
 
