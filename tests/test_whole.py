@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.operators import chromatin, rank
+from locusframe.plans import catalog
 
 
 def plain_match(rows, width, m):
@@ -56,3 +57,11 @@ def test_every_row_gets_a_front(spark, at_once):
         bad = plain_fronts([(r[0], r[1:]) for r in rows if r[4] < 0.5])
         got = {r["id"]: r["rank"] for r in rank.pareto_fronts(df, "id", floor=F.col("safety") >= 0.5).collect()}
         assert got == good | {k: x + max(good.values()) + 1 for k, x in bad.items()}
+
+
+def test_pile_up_covers_every_locus(spark):
+    sf = "/root/testdata/sf0.001"
+    depth = {r["locus_id"]: r["depth"] for r in catalog.QUERIES["j10_coverage"](spark, sf).collect()}
+    bases = {r["locus_id"]: r["d"] for r in catalog.QUERIES["j10_coverage_per_base"](spark, sf).groupBy("locus_id").agg(F.sum("depth").alias("d")).collect()}
+    assert {k for k in bases if k % 20}
+    assert {k: round(x / 2000, 6) for k, x in bases.items()} == {k: x for k, x in depth.items() if x}
