@@ -7,11 +7,13 @@ The service a queue has had by any window is a function of the token totals alon
 deficits that it takes over at its first window instead of waiting for the tasks before it.
 
 A queue that runs dry leaves the round and the others share by their targets. Two passes: tokens of each document are
-written once; the queues' totals and each chunk's place in its queue (a few rows a chunk) then place every piece.
+written once; the queues' totals and the place of each task's rows in each queue (one row a task and queue) then place
+every piece.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,61 +35,97 @@ CAPACITY = 2048
 END_OF_DOCUMENT = 1
 #: Beyond so many sources those without a target share so many queues, each source at its own share of its queue, so what is broadcast stays small.
 MAX_QUEUES = 512
-CACHED_WORDS = 250_000
-#: Bytes of text in one slice; a slice is also a chunk of each queue.
+CACHED_WORDS = 300_000
+#: Bytes of text in one slice.
 SLICE_BYTES = 1 << 20
 
 
-class WordTokens:
-    """Ids of texts, through a cache of words. White space ends every token of this tokenizer, so words stand alone.
+#: What the shortcuts below hold for: each blank ends a token, letters of any case are one piece, marks another.
+_KNOWN = {
+    "type": "BPE", "end_of_word_suffix": "</w>", "normalizers": ["NFC", "Replace", "Lowercase"],
+    "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+}
+_made: dict[str, WordTokens] = {}
 
-    A word of small Latin letters is one piece for the tokenizer's model; a run of marks after a letter is a piece of
-    its own; all other words go through the whole tokenizer.
+
+class WordTokens(dict):
+    """Packed ids of words, found when first asked for. White space ends every token of this tokenizer, so words stand alone.
+
+    A word of small Latin letters is one piece for the tokenizer's model; a run of marks after a plain letter is a piece
+    of its own; all other words go through the whole tokenizer. A tokenizer with other rules reads whole texts instead.
+    Words are kept for the whole life of the Python worker, at most two generations of CACHED_WORDS.
     """
 
     #: Marks that may follow a word; those that special tokens and contractions are made of are not among them.
     MARKS = ".,!?;:*#$%&)-"
 
     def __init__(self, path: str):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
         self.end = self._packed([END_OF_DOCUMENT])
-        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
+        self.by_word = _rules(self.tokenizer) == _KNOWN
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        """The one of this Python worker."""
+        if path not in _made:
+            _made[path] = cls(path)
+        return _made[path]
 
     def _packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if word.isalpha() and word.islower() and max(word) < "\u0180":
+        if word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0180"):
             shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             return self._packed([t.id for t in self.model.tokenize(shown)])
         return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            core = word.rstrip(self.MARKS)
+            # Small letters below U+0180 keep their last letter in lower case; others (capital dotted I) may end in a mark.
+            if core and core != word and core[-1] < "\u0180" and core[-1].islower():
+                found = self[core] + self[word[len(core) :]]
+            else:
+                found = self._word(word)
+        self[word] = found
+        return found
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned ids (``kind``) of each text, then the end of the document."""
-        split = []
+        if not self.by_word:
+            return [self._packed(x.ids) + self.end for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        out = []
         for t in texts:
             t = t or ""
-            if "<|" not in t:  # not a special token: case does not matter to the tokenizer
+            # Without a special token case does not matter to the tokenizer, but for I and a dot above, which it composes first.
+            if "<|" not in t and "\u0307" not in t:
                 t = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-            split.append([w for w in t.replace("\n", " ").split(" ") if w])
-        if len(self.cache) > CACHED_WORDS:
-            self.cache = {}
-        cache = self.cache
-        for word in set().union(*split).difference(cache):
-            core = word.rstrip(self.MARKS)
-            if core != word and core[-1:].isalpha():
-                tail = word[len(core) :]
-                for part in (core, tail):
-                    if part not in cache:
-                        cache[part] = self._word(part)
-                cache[word] = cache[core] + cache[tail]
-            elif word not in cache:
-                cache[word] = self._word(word)
-        return [b"".join([*map(cache.__getitem__, words), self.end]) for words in split]
+            out.append(b"".join([*map(self.__getitem__, filter(None, t.replace("\n", " ").split(" "))), self.end]))
+            if len(self) > CACHED_WORDS:
+                self.older = dict(self)
+                self.clear()
+        return out
+
+
+def _rules(tokenizer: Tokenizer) -> dict:
+    """The rules of a tokenizer that WordTokens relies on."""
+    made = json.loads(tokenizer.to_str())
+    steps = (made.get("normalizer") or {}).get("normalizers") or []
+    pieces = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    level = pieces[-1]
+    plain = level.get("type") == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"] and len(pieces) == 2
+    return {
+        "type": made["model"]["type"], "end_of_word_suffix": made["model"].get("end_of_word_suffix"), "normalizers": [x["type"] for x in steps],
+        "split": pieces[0].get("pattern", {}).get("Regex") if plain else None,
+    }
 
 
 def _byte_letters() -> list[str]:
@@ -99,21 +137,20 @@ def _byte_letters() -> list[str]:
 
 def _tokenizer(path: str):
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, task, number = WordTokens(path), TaskContext.get().partitionId(), 0
+        made, task = WordTokens.of(path), TaskContext.get().partitionId()
         width = np.dtype(made.kind).itemsize
+        served: dict[str, int] = {}
         for batch in batches:
             for part in shards_of(batch, "text", SLICE_BYTES):
                 ids = made.ids(part["text"].to_pylist())
-                served: dict[str, int] = {}
                 before = []
                 for queue, x in zip(part["queue"].to_pylist(), ids):
                     before.append(served.get(queue, 0))
                     served[queue] = before[-1] + len(x) // width
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{task:08d}-{number:08d}"] * part.num_rows), part["queue"], part["doc_id"], pa.array(before, pa.int64()),
+                    [pa.array([task] * part.num_rows, pa.int32()), part["queue"], part["doc_id"], pa.array(before, pa.int64()),
                      pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["chunk", "queue", "doc_id", "before", "n", "ids"])
-                number += 1
 
     return tokenize
 
@@ -243,7 +280,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer: st
     many = docs.agg(F.count_distinct(source)).first()[0] > MAX_QUEUES
     rows = written(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), source.alias("queue"))
-        .mapInArrow(_tokenizer(path), "chunk string, queue string, doc_id long, before long, n long, ids binary"), "tokens")
+        .mapInArrow(_tokenizer(path), "chunk int, queue string, doc_id long, before long, n long, ids binary"), "tokens")
     chunks = rows.groupBy("queue", "chunk").agg(F.sum("n").alias("n"))
     chunks = written(chunks, "token-chunks")
     before = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

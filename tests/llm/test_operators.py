@@ -48,16 +48,23 @@ def test_packing(nasty, empty):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     pieces = packing.pack(nasty, capacity=256).collect()
     assert packing.pack(empty).count() == 0
-    want = Counter((i, zlib.crc32(np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes())) for i, t in nasty.select("doc_id", "text").collect())
-    tokens = Counter()
-    for r in pieces:
-        tokens[r["doc_id"]] += r["length"]
-    full = Counter()
+    ids = {}  # rows that share an id are told apart by their length
     for i, t in nasty.select("doc_id", "text").collect():
-        full[i] += len(tok.encode(t or "", add_special_tokens=False).ids) + 1
-    assert tokens == full
-    whole = [r for r in pieces if r["start"] == 0 and r["length"] == r["doc_tokens"]]
-    assert all((r["doc_id"], r["ids_crc32"]) in want for r in whole)
+        x = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        ids.setdefault((i, len(x)), []).append(x)
+    runs = defaultdict(list)
+    for r in pieces:
+        runs[r["doc_id"], r["doc_tokens"]].append(r)
+    assert set(runs) == set(ids)
+    for key, rows in runs.items():
+        length = key[1]
+        taken = np.zeros(length, np.int64)
+        for r in rows:
+            a, m = r["start"], r["length"]
+            assert 0 < m and a + m <= length
+            taken[a : a + m] += 1
+            assert r["ids_crc32"] in {zlib.crc32(np.array(x[a : a + m], "<u4").tobytes()) for x in ids[key]}
+        assert (taken == len(ids[key])).all()  # each id in exactly one piece
     by = defaultdict(list)
     for r in pieces:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -89,8 +96,17 @@ def test_packing_words():
     import public_tokenizers
 
     made = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["", None, "a<|endoftext|>b C.", "It's I'LL don't. Σας ὈΔΥΣΣΕΎΣ.", "é. ́x", "x\x1cy\x0bz w", "你好。 12.5 3,4 ...,, A.B. É. ß!", "<|ENDOFTEXT|> <a>.", "ﬁne K", "abc*** (def)- g#h"]
-    assert [np.frombuffer(b, made.kind).tolist() for b in made.ids(texts)] == [made.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert made.by_word
+    texts = ["", None, "a<|endoftext|>b C.", "It's I'LL don't. Σας ὈΔΥΣΣΕΎΣ.", "é. ́x", "x\x1cy\x0bz w", "你好。 12.5 3,4 ...,, A.B. É. ß!", "<|ENDOFTEXT|> <a>.", "ﬁne K", "abc*** (def)- g#h",
+             "BİZİMKİ.", "DENİZLİ, X", "Lİ! I\u0327\u0307A i\u0307.", "ŉ. ǅ, K. ª! x'S."]
+    rng = np.random.default_rng(11)
+    letters = list("aAzZİIıiſŉßéÉ\u0307\u0301ǅΣσςKÅ中가\u0327'.,!?;:*#$%&)-(12½²<|> \n\t\xa0\u3000\u200bẞªº_/\x00\x1c\x85") + ["<|endoftext|>", "'LL", "it's", "<|", "İ."]
+    texts += ["".join(letters[k] for k in rng.integers(0, len(letters), n)) for n in rng.integers(0, 14, 6000)]
+    want = [made.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    for _ in range(2):  # asked for the first time, and from the cache
+        assert [np.frombuffer(b, made.kind).tolist() for b in made.ids(texts)] == want
+    made.by_word = False
+    assert [np.frombuffer(b, made.kind).tolist() for b in made.ids(texts[:500])] == want[:500]
 
 
 def page(body):
@@ -210,9 +226,8 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(61)}, 200: 200, 201: 200, **{k: 300 for k in range(300, 340)}}
 
 
-@pytest.mark.parametrize("window", [50, 10])
-def test_substring_dedup(nasty, empty, window):
-    docs = [(i, re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t in nasty.select("doc_id", "text").collect()]
+def plain_substrings(rows, window):
+    docs = [(i, re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t in rows]
     first = {}
     for i, w in docs:
         if i is not None:
@@ -223,11 +238,43 @@ def test_substring_dedup(nasty, empty, window):
     for i, w in docs:
         gone = {j for k in range(len(w) - window + 1) if i is not None and first[tuple(w[k : k + window])] < i for j in range(k, k + window)}
         want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return want
+
+
+@pytest.mark.parametrize("window, fan", [(50, 8192), (10, 8192), (50, 16), (10, 5)])
+def test_substring_dedup(nasty, empty, window, fan, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "MAX_FAN", fan)  # below the 64 buckets: by coarse buckets first
+    want = plain_substrings(nasty.select("doc_id", "text").collect(), window)
     got = substring_dedup.dedup_substrings(nasty, window)
     assert table(got, "doc_id", "__words", "__removed", "text") == sorted(want, key=repr)
     assert got.columns[: len(nasty.columns)] == nasty.columns and substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substring_volume_does_not_depend_on_buckets():
+    rng = np.random.default_rng(4)
+    docs = [(10 * k, 0, rng.integers(0, 1 << 63, 300, dtype=np.uint64), np.zeros(300, np.uint32), np.arange(300)) for k in range(2000)]
+    e = substring_dedup.Entries.of(docs)
+    size = {}
+    for buckets in (64, 2560, 25_600):
+        rows = substring_dedup._packed(e, lambda x: substring_dedup._shared(x, 25), buckets, 5)
+        size[buckets] = sum(len(zlib.compress(b)) for c in ("hashes", "steps", "ids", "sizes") for b in rows[c].to_pylist() if b)
+        back = substring_dedup._unpack(rows.to_pylist(), 5).ordered()
+        assert (back.ids == e.ids).all() and (back.places == e.places).all() and (back.hashes == e.hashes & np.uint64((1 << 40) - 1)).all()
+    assert size[25_600] < 3 * size[64], size  # the id of a document with each entry, and no more
+
+
+def test_substring_passage_of_every_document(spark):
+    shared = prose(60, 1)
+    docs = spark.createDataFrame([(k, f"{prose(5 + k % 7, k)} {shared} {prose(4, 9000 + k)}") for k in range(4000)], "doc_id long, text string").repartition(4)
+    parts = docs.select("doc_id", "text").where("doc_id < 3000").collect()
+    e = substring_dedup.Entries.of([(r[0], 0, h := substring_dedup.rolling(substring_dedup.word_hashes(r[1].encode()), 25), np.zeros(len(h), np.uint32), np.arange(len(h))) for r in parts])
+    known, sent = substring_dedup._shared(e, 25)
+    assert len(known) >= 36 * 3000 and len(sent) < len(e.ids) - 35 * 2900
+    want = plain_substrings(docs.collect(), 50)
+    assert sum(n >= 60 for _, _, n, _ in want) == 3999
+    assert table(substring_dedup.dedup_substrings(docs), "doc_id", "__words", "__removed", "text") == sorted(want, key=repr)
+
+
 def test_line_dedup(nasty, empty):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(AZ)
     docs = [(i, (t or "").split("\n")) for i, t in nasty.select("doc_id", "text").collect()]
