@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.operators.stats import conformal_radius, grouped_scores, poisson_weight
+from locusframe.operators.stats import conformal_radius, grouped_scores, pearson, poisson_weight
 
 #: Data classes from best to worst.
 DATA_CLASSES = ("REAL", "DERIVED", "POINTER", "SYNTHETIC", "PLACEHOLDER")
@@ -94,8 +94,8 @@ def compare_models(df: DataFrame, metric: str, target: str, a: str, b: str, grou
     rows = scores.select(F.col(group).cast("string").alias("g"), (F.col("sa") - F.col("sb")).alias("d"))
     turns = F.broadcast(df.sparkSession.range(draws).withColumnRenamed("id", "__r"))
     w = poisson_weight(seed, F.col("__r").cast("string"), F.col("g"))
-    each = rows.crossJoin(turns).groupBy("__r").agg((F.sum(w * F.col("d")) / F.sum(w)).alias("s"))
-    tails = each.agg(F.percentile("s", 0.025).alias("lo"), F.percentile("s", 0.975).alias("hi"), ((F.sum((F.col("s") <= 0).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
+    each = rows.crossJoin(turns).groupBy("__r").agg(F.try_divide(F.sum(w * F.col("d")), F.sum(w)).alias("s"))
+    tails = each.agg(F.percentile("s", 0.025).alias("lo"), F.percentile("s", 0.975).alias("hi"), ((F.coalesce(F.sum((F.col("s") <= 0).cast("int")), F.lit(0)) + 1) / (F.count("s") + 1)).alias("p"))
     out = rows.agg(F.avg("d").alias("delta"), F.count("*").alias("groups")).crossJoin(tails)
     reason = F.when(F.col("groups") < min_groups, "too few groups").when(F.col("lo") <= 0, "interval reaches 0").otherwise("passes")
     return out.withColumn("reason", reason)
@@ -184,7 +184,7 @@ def profile_metrics(df: DataFrame, key: str, target: str, pred: str, mask: str,
 
     out = df.withColumns({f"mse_{f}": error(f) for f in factors})
     rows = elements(df, [key], {"t": target, "p": pred, "m": mask}).where("m")
-    r = rows.groupBy(key).agg(F.corr("t", "p").alias("r"))
+    r = rows.groupBy(key).agg(pearson("t", "p").alias("r"))
     return out.join(r, key, "left").select(key, *[f"mse_{f}" for f in factors], "r")
 
 

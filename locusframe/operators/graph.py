@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.operators.stats import pearson
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration, to the shared folder that the session names."""
@@ -23,11 +25,12 @@ def coexpression_edges(df: DataFrame, tau: float) -> DataFrame:
     """(src, dst, weight, sign), both directions: Pearson r of genes over their common samples, |r| > tau.
 
     Pairs meet by sample, genes in order, and are summed before they are shuffled: genes are a catalogue, samples many.
+    A constant gene has no edge.
     """
     a = df.select("sample", F.col("gene").alias("src"), F.col("value").alias("x"))
     b = df.select("sample", F.col("gene").alias("dst"), F.col("value").alias("y"))
-    sums = a.join(b, "sample").where(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
-    kept = sums.where((F.col("n") > 1) & (F.col("vx") > 0) & (F.col("vy") > 0) & (F.abs("r") > tau)).select("src", "dst", F.abs("r").alias("weight"), F.signum("r").cast("int").alias("sign"))
+    sums = a.join(b, "sample").where(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(pearson("x", "y").alias("r"))
+    kept = sums.where(F.abs("r") > tau).select("src", "dst", F.abs("r").alias("weight"), F.signum("r").cast("int").alias("sign"))
     return kept.unionByName(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "sign"))
 
 

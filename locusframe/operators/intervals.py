@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,8 +30,9 @@ def _prefixed(b: DataFrame, prefix: str = "b_") -> DataFrame:
 def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", size: int = BIN) -> DataFrame:
     """Pairs with a.start < b.end and a.end > b.start on one chromosome; columns of ``b`` get the prefix ``b_``.
 
-    A pair meets once: in the first bin that both reach. ``how`` may be inner, left, left_semi or left_anti.
-    Long intervals take a row a bin; ``choose_bin`` keeps that small.
+    A pair meets once: in the first bin that both reach. ``how`` may be inner, left, left_semi or left_anti; for the last
+    three rows of ``a`` are told apart by all their columns, nulls included. Long intervals take a row a bin;
+    ``choose_bin`` keeps that small. Rows with a null chromosome or end overlap nothing; repeated rows each count.
     """
     right = _binned(_prefixed(b), "b_start_pos", "b_end_pos", size, "__b").withColumnRenamed("bin", "__bbin")
     left = _binned(a, "start_pos", "end_pos", size, "__a")
@@ -42,11 +44,11 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", size: int = BIN
     pairs = left.join(right, meet).drop("bin", "__bbin", "__a_first", "__b_first")
     if how == "inner":
         return pairs
-    keys = list(a.columns)
+    met = pairs.select(*[F.col(c).alias(f"__met_{c}") for c in a.columns]).distinct()
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__met_{c}")) for c in a.columns])
     if how in ("left_semi", "left_anti"):
-        return a.join(pairs.select(*keys).distinct(), keys, how)
-    rest = a.join(pairs.select(*keys).distinct(), keys, "left_anti")
-    return pairs.unionByName(rest, allowMissingColumns=True)
+        return a.join(met, same, how)
+    return pairs.unionByName(a.join(met, same, "left_anti"), allowMissingColumns=True)
 
 
 def overlap_flag(a: DataFrame, b: DataFrame, name: str, key: str, size: int = BIN) -> DataFrame:
@@ -112,19 +114,21 @@ def nearest_distance(a: DataFrame, points: DataFrame, pos: str = "pos", stretch:
     """
     marks = points.select("chrom", F.col(pos).alias("__p"), F.expr(f"`{pos}` div {stretch}").alias("__s")).distinct()
     ends = marks.groupBy("chrom", "__s").agg(F.min("__p").alias("lo"), F.max("__p").alias("hi"))
-    rows = a.withColumn("__p", F.col(pos)).withColumn("__s", F.expr(f"`{pos}` div {stretch}")).withColumn("__id", F.monotonically_increasing_id())
-    both = rows.select("chrom", "__p", "__s", "__id").unionByName(marks.withColumn("__id", F.lit(None).cast("long")))
-    mark = F.when(F.col("__id").isNull(), F.col("__p"))
+    # The distance depends on the place alone, so places are compared, not rows.
+    rows = a.where(F.col("chrom").isNotNull() & F.col(pos).isNotNull()).select("chrom", F.col(pos).alias("__p"), F.expr(f"`{pos}` div {stretch}").alias("__s")).distinct()
+    both = rows.withColumn("__asks", F.lit(True)).unionByName(marks.withColumn("__asks", F.lit(False)))
+    mark = F.when(~F.col("__asks"), F.col("__p"))
     back = Window.partitionBy("chrom", "__s").orderBy("__p").rangeBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy("chrom", "__s").orderBy(F.desc("__p")).rangeBetween(Window.unboundedPreceding, 0)  # a frame that grows is linear
-    near = both.select("*", F.max(mark).over(back).alias("before"), F.min(mark).over(ahead).alias("after")).where("__id is not null")
+    near = both.select("*", F.max(mark).over(back).alias("before"), F.min(mark).over(ahead).alias("after")).where("__asks")
     needed = near.select("chrom", "__s").distinct()
     over = Window.partitionBy("chrom").orderBy("__s")
     steps = needed.withColumn("want", F.lit(1)).join(ends, ["chrom", "__s"], "full")
     steps = steps.select("chrom", "__s", F.max("hi").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("last"), F.min("lo").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("next"))
     found = near.join(steps, ["chrom", "__s"], "left")
     gap = F.least(F.col("__p") - F.greatest("before", "last"), F.least("after", "next") - F.col("__p"))
-    return a.withColumn("__id", F.monotonically_increasing_id()).join(found.select("__id", gap.alias("distance")), "__id", "left").drop("__id")
+    found = found.select(F.col("chrom").alias("__chrom"), F.col("__p").alias("__place"), gap.alias("distance"))
+    return a.join(found, (F.col("chrom") == F.col("__chrom")) & (F.col(pos) == F.col("__place")), "left").drop("__chrom", "__place")
 
 
 def window_mean(loci: DataFrame, track: DataFrame, key: str, value: str = "value", size: int = BIN) -> DataFrame:

@@ -24,7 +24,8 @@ HIT = "guide string, chrom string, pos long, strand string, site string, pam str
 
 
 def offtargets(chunks: DataFrame, guides: DataFrame, k: int = 4) -> DataFrame:
-    """Hits of all guides in one pass over chunk rows (chrom, chunk_start, seq) that overlap by 22 bases.
+    """Hits of all guides in one pass over chunk rows (chrom, chunk_start, seq) that overlap by 22 bases, so that a site
+    lies whole in one chunk only and each hit comes once.
 
     Plus-strand sites end in GG, minus-strand sites begin with CC; up to ``k`` substitutions in the 20 bases. A task
     tests the anchor first and compares what is left with every guide, on arrays; only hits leave it. The guides are a
@@ -44,9 +45,10 @@ def offtargets(chunks: DataFrame, guides: DataFrame, k: int = 4) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, forward, backward, table = shared.value
         wanted_hot = {"+": one_hot(forward).T, "-": one_hot(backward).T}
-        back = str.maketrans("ACGTN", "TGCAN")
+        turned = np.arange(256, dtype=np.uint8)
+        turned[list(b"ACGT")] = list(b"TGCA")
         for batch in batches:
-            chroms, starts = batch["chrom"].to_pylist(), batch["chunk_start"].to_pylist()
+            starts = batch["chunk_start"].to_numpy(zero_copy_only=False)
             seqs = [(s or "").upper() for s in batch["seq"].to_pylist()]
             found: dict[str, list[tuple]] = {"+": [], "-": []}
             for n, seq in enumerate(seqs):
@@ -55,21 +57,26 @@ def offtargets(chunks: DataFrame, guides: DataFrame, k: int = 4) -> DataFrame:
                 if last > 0:
                     for strand, at, first in (("+", np.flatnonzero((s[21 : 21 + last] == 2) & (s[22 : 22 + last] == 2)), 0), ("-", np.flatnonzero((s[:last] == 1) & (s[1 : 1 + last] == 1)), 3)):
                         found[strand].append((np.full(len(at), n), at, s[at[:, None] + np.arange(first, first + SPACER)]))
-            rows: list[tuple] = []
+            letters_of = np.concatenate([[0], np.cumsum([len(x) for x in seqs])])
+            raw = np.frombuffer("".join(seqs).encode("latin-1", "replace"), np.uint8)
+            hits: list[tuple] = []
             for strand, parts in found.items():
                 if not parts or not names:
                     continue
                 owner, at, letters = (np.concatenate(x) for x in zip(*parts))
                 for k in range(0, len(at), 20_000):  # sites x guides as one matrix product
                     bad = SPACER - one_hot(letters[k : k + 20_000]) @ wanted_hot[strand]
-                    for p, g in zip(*np.nonzero(bad <= limit)):
-                        n, pos = int(owner[k + p]), int(at[k + p])
-                        site = seqs[n][pos : pos + SITE]
-                        site = site if strand == "+" else site.translate(back)[::-1]
-                        rows.append((names[g], chroms[n], starts[n] + pos, strand, site[:SPACER], site[SPACER:], int(bad[p, g])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()))], ["guide", "chrom", "pos", "strand", "site", "pam", "mismatches"])
-
-    return chunks.select("chrom", F.col("chunk_start").cast("long").alias("chunk_start"), "seq").mapInArrow(scan, HIT).distinct()
+                    p, g = np.nonzero(bad <= limit)
+                    if not len(p):
+                        continue
+                    n, pos = owner[k + p], at[k + p]
+                    sites = raw[(letters_of[n] + pos)[:, None] + np.arange(SITE)]
+                    sites = sites if strand == "+" else turned[sites][:, ::-1]
+                    text = [pa.array(np.ascontiguousarray(x).view(f"S{x.shape[1]}").reshape(-1).tolist(), pa.binary()).cast(pa.string()) for x in (sites[:, :SPACER], sites[:, SPACER:])]
+                    hits.append((pa.array(names).take(pa.array(g)), batch["chrom"].take(pa.array(n)), pa.array(starts[n] + pos), pa.array([strand] * len(p)), *text, pa.array(bad[p, g].astype(np.int32))))
+            yield from (pa.RecordBatch.from_arrays(list(h), ["guide", "chrom", "pos", "strand", "site", "pam", "mismatches"]) for h in hits)
+
+    return chunks.select("chrom", F.col("chunk_start").cast("long").alias("chunk_start"), "seq").mapInArrow(scan, HIT)
 
 
 def hamming(a: Column, b: Column, n: int = SPACER) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.iterate import written
+
 #: The bases in their order; motifs that alert innate immunity; anchor weights at places 2 and 9 of a
 #: nine-residue window; the score from which a window binds.
 BASES = ("A", "C", "G", "T")
@@ -73,8 +76,37 @@ def kmer_features(df: DataFrame, seq: str, key: str, k: int) -> DataFrame:
     return counts.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy(key))).drop("n")
 
 
+def _counter(k: int):
+    """Counts all k-mers of a task's sequences as numbers in base four; what leaves the task is a row a k-mer."""
+    code = np.full(256, 4, np.uint8)
+    for n, b in enumerate(b"ACGT"):
+        code[b] = code[b + 32] = n
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4**k, np.int64)
+        for batch in batches:
+            for s in batch[0]:
+                letters = code[np.frombuffer(s.as_buffer(), np.uint8)] if s.is_valid else code[:0]
+                if len(letters) < k:
+                    continue
+                bad = np.cumsum(np.r_[0, letters == 4])
+                number = np.zeros(len(letters) - k + 1, np.int64)
+                for j in range(k):
+                    number = number * 4 + letters[j : j + len(number)]
+                total += np.bincount(number[bad[k:] == bad[:-k]], minlength=4**k)
+        some = np.flatnonzero(total)
+        words = ["".join("ACGT"[n >> 2 * (k - 1 - j) & 3] for j in range(k)) for n in some.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(total[some])], ["kmer", "n"])
+
+    return count
+
+
 def kmer_spectrum(df: DataFrame, seq: str, key: str, k: int) -> DataFrame:
-    counts = kmers(df, seq, key, k).groupBy("kmer").agg(F.count("*").alias("n"))
+    """(kmer, n, freq) over all sequences; null sequences have none. Up to k = 8 tasks count on arrays, beyond by rows."""
+    if k <= 8:
+        counts = df.select(F.col(seq).cast("string")).mapInArrow(_counter(k), "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+    else:
+        counts = kmers(df, seq, key, k).groupBy("kmer").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("__t"))
     return counts.crossJoin(F.broadcast(total)).select("kmer", "n", (F.col("n") / F.col("__t")).alias("freq"))
 
@@ -277,34 +309,54 @@ def fetch_windows(loci: DataFrame, chunks: DataFrame, length: int, chunk: int, k
     return out.select(key, F.when(F.col("strand") == "-", revcomp("s")).otherwise(F.col("s")).alias("seq"))
 
 
+QUERY_BYTES = 64 << 20
+
+
 def nn_identity(query: DataFrame, reference: DataFrame, seq: str, key: str, loo: bool = False) -> DataFrame:
     """(key, nearest, identity, near_copy): the reference with the most equal aligned bases, over the shorter length.
 
-    Reference blocks are arrays that each task compares with the stated query set; block results meet as one row a query.
+    Ties go to the smallest key. Null or empty sequences ask for nothing and answer nothing; rows may repeat. The stated
+    query set goes in blocks of at most QUERY_BYTES of letters; each block is compared with all references, whose task
+    results meet as one row a query, and is written before the next is fetched, so the driver holds one block.
     """
-    wanted = query.select(F.col(key).alias("k"), F.upper(seq).alias("s")).collect()  # the stated query set
-    width = max([len(r[1]) for r in wanted], default=1)
-    flat = np.zeros((len(wanted), width), np.uint8)
+    letters = lambda df: df.select(F.col(key), F.upper(seq).alias("__s")).where(F.col(key).isNotNull() & (F.length("__s") > 0))
+    asked, answers = letters(query).distinct(), letters(reference)
+    # A block is a rectangle of its longest sequence, so sequences of like length go together.
+    sizes = asked.groupBy(F.ceil(F.log2(F.length("__s"))).alias("size")).agg(F.count("*").alias("n"), F.max(F.length("__s")).alias("width")).orderBy("size").collect()
+    done = []
+    for size, n, width in sizes:  # a row for each power of two of a length
+        blocks = -(-n * width // QUERY_BYTES)
+        for b in range(blocks):
+            mine = asked.where((F.ceil(F.log2(F.length("__s"))) == size) & (F.pmod(F.xxhash64(key, "__s"), F.lit(blocks)) == b))
+            done.append(written(_nearest(mine.collect(), answers, query.schema[key].dataType.simpleString(), key, loo), "nearest"))
+    if not done:
+        done = [_nearest([], answers, query.schema[key].dataType.simpleString(), key, loo)]
+    top = reduce(DataFrame.unionByName, done).groupBy(key).agg(F.min(F.struct((-F.col("identity")).alias("i"), "nearest")).alias("b"))
+    return top.select(key, "b.nearest", (-F.col("b.i")).alias("identity"), (-F.col("b.i") >= 0.999).alias("near_copy"))
+
+
+def _nearest(wanted: list, reference: DataFrame, kind: str, key: str, loo: bool) -> DataFrame:
+    flat = np.zeros((len(wanted), max([len(r[1]) for r in wanted], default=1)), np.uint8)
     for n, r in enumerate(wanted):
-        flat[n, : len(r[1])] = np.frombuffer(r[1].encode(), np.uint8)
-    shared = query.sparkSession.sparkContext.broadcast((flat, np.array([len(r[1]) for r in wanted]), [r[0] for r in wanted]))
-    kind, other = query.schema[key].dataType.simpleString(), reference.schema[key].dataType.simpleString()
+        flat[n, : len(r[1])] = np.frombuffer(r[1].encode(), np.uint8)[: flat.shape[1]]
+    shared = reference.sparkSession.sparkContext.broadcast((flat, np.array([len(r[1]) for r in wanted], np.int64), [r[0] for r in wanted]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, sizes, keys = shared.value
         best, who = np.full(len(keys), -1.0), [None] * len(keys)
         for batch in batches:
             for rk, rs in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-                letters = np.frombuffer((rs or "").encode(), np.uint8)[: rows.shape[1]]
-                n = np.minimum(sizes, len(letters))
-                same = np.cumsum(rows[:, : len(letters)] == letters, axis=1)
-                share = np.where(n > 0, same[np.arange(len(n)), np.maximum(n - 1, 0)] / np.maximum(n, 1), 0.0) if len(letters) else np.zeros(len(n))
-                for q in np.flatnonzero((share > best) | ((share == best) & np.array([w is not None and rk < w for w in who]))):
-                    if not (loo and keys[q] == rk):
+                s = np.frombuffer(rs.encode(), np.uint8)[: rows.shape[1]]
+                share = (rows[:, : len(s)] == s).sum(axis=1) / np.minimum(sizes, len(rs))  # past a query's end letters meet zeros
+                for q in np.flatnonzero(share >= best).tolist():
+                    if not (loo and keys[q] == rk) and (share[q] > best[q] or rk < who[q]):
                         best[q], who[q] = share[q], rk
         some = [q for q in range(len(keys)) if who[q] is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([keys[q] for q in some]), pa.array([who[q] for q in some]), pa.array(best[some], pa.float64())], [key, "nearest", "identity"])
-
-    found = reference.select(key, F.upper(seq)).mapInArrow(compare, f"`{key}` {kind}, nearest {other}, identity double")
-    top = found.groupBy(key).agg(F.max_by(F.struct("nearest", "identity"), F.struct("identity", (-F.hash("nearest")).alias("h"))).alias("b"))
-    return top.select(key, "b.nearest", "b.identity", (F.col("b.identity") >= 0.999).alias("near_copy"))
+        yield pa.RecordBatch.from_arrays([pa.array([keys[q] for q in some], batch_kind), pa.array([who[q] for q in some], other_kind), pa.array(best[some], pa.float64())], [key, "nearest", "identity"])
+
+    other = reference.schema[key].dataType.simpleString()
+    arrow = lambda t: pa.string() if t == "string" else pa.int64()
+    batch_kind, other_kind = arrow(kind), arrow(other)
+    cast = lambda t: "string" if t == "string" else "bigint"
+    found = reference.select(F.col(key).cast(cast(other)), "__s").mapInArrow(compare, f"`{key}` {cast(kind)}, nearest {cast(other)}, identity double")
+    return found.groupBy(key).agg(F.min(F.struct((-F.col("identity")).alias("i"), "nearest")).alias("b")).select(key, "b.nearest", (-F.col("b.i")).alias("identity"))

@@ -54,8 +54,9 @@ def pearson(x, y) -> Column:
     """Pearson r of two columns as an aggregate; null under two pairs or if one is constant."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
     both = x.isNotNull() & y.isNotNull()
-    ok = (F.count(F.when(both, 1)) > 1) & (F.var_pop(F.when(both, x)) > 0) & (F.var_pop(F.when(both, y)) > 0)
-    return F.when(ok, F.corr(x, y))
+    x, y = F.when(both, x).cast("double"), F.when(both, y).cast("double")
+    # ``corr`` divides by zero under ANSI if a column is constant, whatever guards it.
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
 
 
 def spearman(df: DataFrame, x: str, y: str, part: Sequence[str] = ()) -> DataFrame:
@@ -235,12 +236,14 @@ def poisson_weight(*parts) -> Column:
 
 
 def bootstrap_ci(df: DataFrame, value: str, key: str, draws: int, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """(estimate, lo, hi) of a mean: Poisson bootstrap, one pass; each replicate is a weighted sum in the same aggregate."""
+    """(estimate, lo, hi, used) of a mean: Poisson bootstrap, one pass; each replicate is a weighted sum in the same aggregate.
+
+    A replicate that draws no row has no mean and is passed over; ``used`` counts the others. Null values are passed over."""
     turns = F.broadcast(df.sparkSession.range(draws).withColumnRenamed("id", "__r"))
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("__k"), F.col(value).alias("__v")).crossJoin(turns)
     w = poisson_weight(seed, F.col("__r").cast("string"), F.col("__k"))
-    each = rows.groupBy("__r").agg((F.sum(w * F.col("__v")) / F.sum(w)).alias("s"))
-    tails = each.agg(F.percentile("s", (1 - level) / 2).alias("lo"), F.percentile("s", (1 + level) / 2).alias("hi"))
+    each = rows.groupBy("__r").agg(F.try_divide(F.sum(w * F.col("__v")), F.sum(w)).alias("s"))
+    tails = each.agg(F.percentile("s", (1 - level) / 2).alias("lo"), F.percentile("s", (1 + level) / 2).alias("hi"), F.count("s").alias("used"))
     return df.agg(F.avg(value).alias("estimate")).crossJoin(tails)
 
 
@@ -250,7 +253,9 @@ def paired_bootstrap(df: DataFrame, a: str, b: str, key: str, draws: int, seed:
 
 
 def bootstrap_auc(df: DataFrame, label: str, a: str, b: str, key: str, draws: int, seed: int = 0) -> DataFrame:
-    """(auc_a, auc_b, delta, lo, hi, p): paired AUC difference by Poisson bootstrap; weighted rank sums per replicate."""
+    """(auc_a, auc_b, delta, lo, hi, p, used): paired AUC difference by Poisson bootstrap; weighted rank sums per replicate.
+
+    Replicates without both classes have no AUC and are passed over; ``used`` counts the others."""
     turns = F.broadcast(df.sparkSession.range(-1, draws).withColumnRenamed("id", "__r"))  # -1: the data as they are
     rows = df.select(F.col(key).cast("string").alias("__k"), F.col(label).cast("int").alias("__y"), a, b).crossJoin(turns)
     w = F.when(F.col("__r") < 0, 1).otherwise(poisson_weight(seed, F.col("__r").cast("string"), F.col("__k")))
@@ -260,12 +265,12 @@ def bootstrap_auc(df: DataFrame, label: str, a: str, b: str, key: str, draws: in
         cells = rows.groupBy("__r", score).agg(F.sum(F.col("__w") * F.col("__y")).alias("p"), F.sum(F.col("__w") * (1 - F.col("__y"))).alias("q"))
         below = F.coalesce(F.sum("q").over(Window.partitionBy("__r").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         won = cells.withColumn("won", F.col("p") * (below + F.col("q") / 2)).groupBy("__r").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-        return won.select("__r", (F.col("won") / (F.col("p") * F.col("q"))).alias(name))
+        return won.select("__r", F.try_divide(F.col("won"), F.col("p") * F.col("q")).alias(name))
 
     each = auc(a, "auc_a").join(auc(b, "auc_b"), "__r").withColumn("d", F.col("auc_a") - F.col("auc_b"))
     drawn = each.where("__r >= 0").agg(
         F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"),
-        F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))).alias("p"))
+        F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))).alias("p"), F.count("d").alias("used"))
     return each.where("__r < 0").select("auc_a", "auc_b", F.col("d").alias("delta")).crossJoin(drawn)
 
 
@@ -341,7 +346,7 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
     for c, name in ((x, "__rx"), (y, "__ry"), (z, "__rz")):
         rows = avg_rank(rows, c, name=name)
-    r = rows.agg(*[F.corr(a, b).alias(n) for n, a, b in (("xy", "__rx", "__ry"), ("xz", "__rx", "__rz"), ("yz", "__ry", "__rz"))])
+    r = rows.agg(*[pearson(a, b).alias(n) for n, a, b in (("xy", "__rx", "__ry"), ("xz", "__rx", "__rz"), ("yz", "__ry", "__rz"))])
     below = F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz")))
     return r.select(F.when(below > 0, (F.col("xy") - F.col("xz") * F.col("yz")) / below).alias("partial_spearman"))
 

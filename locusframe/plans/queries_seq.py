@@ -72,16 +72,6 @@ def q10(v):
     return v("fx_seq").select("id", F.round(sq.melting_temp(F.substring("seq", 1, 20)), 6).alias("long"), sq.melting_temp(F.substring("seq", 1, 10)).alias("short"))
 
 
-@register("q11_guide_features")
-def q11(v):
-    return v("fx_seq").where("length(seq) >= 30").select("id", sq.guide_features(F.substring("seq", 1, 30)).alias("x"))
-
-
-@register("q12_guide_features_ext")
-def q12(v):
-    return v("fx_seq").where("length(seq) >= 30").select("id", sq.guide_features_ext(F.substring("seq", 1, 30)).alias("x"))
-
-
 SITES = f"""s as (select id, '+' as strand, seq as s from fx_seq union all select id, '-', {RC.format(s='seq')} from fx_seq), i as (select *, unnest(generate_series(4, length(s) - 27)) as i from s where length(s) > 30)"""
 
 
@@ -90,18 +80,50 @@ def q13(v):
     return sq.enumerate_sites(v("fx_seq"), "seq", "id").withColumn("start", F.col("start").cast("long"))
 
 
+def digest(x):
+    """(ones, place, last): entries of a feature vector that are 1, the sum of place times value, and its last entry."""
+    return [
+        F.size(F.filter(x, lambda e: e == 1)).cast("long").alias("ones"),
+        F.round(F.aggregate(F.transform(x, lambda e, i: e * (i + 1)), F.lit(0.0), lambda s, e: s + e), 6).alias("place"), F.round(F.element_at(x, -1), 6).alias("last"),
+    ]
+
+
+#: Every site's 30-base context as numbers of its letters (0 to 3) and of its neighbouring pairs (0 to 15).
+CONTEXTS = f"""{SITES}, c as (select id, strand, case when strand = '+' then i else length(s) - i - 20 end as start, substr(s, i - 3, 30) as c from i where substr(s, i + 22, 2) = 'GG'), l as (select *, list_transform(generate_series(1, 30), lambda j: instr('ACGT', c[j]) - 1) as b from c),
+    p as (select *, list_transform(generate_series(1, 29), lambda j: 4 * b[j] + b[j + 1]) as d, substr(c, 5, 20) as g from l)"""
+TM = lambda s, n: f"(case when {n} < 14 then 2.0 * ({COUNT('A', s)} + {COUNT('T', s)}) + 4 * ({COUNT('G', s)} + {COUNT('C', s)}) else 64.9::double + 41 * ({COUNT('G', s)} + {COUNT('C', s)} - 16.4::double) / {n} end / 100.0::double)"
+
+
+@register("q11_guide_features", f"""with {CONTEXTS}, f as (select *, {COUNT('G', 'g')} + {COUNT('C', 'g')} as low, {TM('g', 20)} as tm, list_transform(generate_series(0, 15), lambda k: len(list_filter(d, lambda e: e = k))) as n from p)
+    select id, strand, start, 30 + len(list_filter(n, lambda e: e = 1)) + (low = 20)::int + (low <> 10)::int + (tm = 1)::int as ones,
+    round(list_sum(list_transform(generate_series(1, 30), lambda j: 4 * (j - 1) + b[j] + 1)) + list_sum(list_transform(d, lambda e: 121 + e)) + 137 * low / 20.0::double + case when low < 10 then 138 when low > 10 then 139 else 0 end + 140 * tm, 6) as place, round(tm, 6) as last from f""")
+def q11(v):
+    found = sq.enumerate_sites(v("fx_seq"), "seq", "id").withColumn("x", sq.guide_features("context"))
+    return found.select("id", "strand", F.col("start").cast("long").alias("start"), *digest("x"))
+
+
+@register("q12_guide_features_ext", f"""with {CONTEXTS}, f as (select *, {TM('substr(c, 5, 20)', 20)} as t1, {TM('substr(c, 20, 5)', 5)} as t2, {TM('substr(c, 12, 8)', 8)} as t3, {TM('substr(c, 7, 5)', 5)} as t4 from p)
+    select id, strand, start, 29 + (t1 = 1)::int as ones, round(list_sum(list_transform(generate_series(1, 29), lambda j: 16 * (j - 1) + d[j] + 1)) + 465 * t1 + 466 * t2 + 467 * t3 + 468 * t4, 6) as place, round(t4, 6) as last from f""")
+def q12(v):
+    found = sq.enumerate_sites(v("fx_seq"), "seq", "id").withColumn("x", sq.guide_features_ext("context"))
+    return found.select("id", "strand", F.col("start").cast("long").alias("start"), *digest("x"))
+
+
 #: Two small matrices of log-odds, from consensus words: the base of the word 1.5, any other -1.
 WORDS = {"TFA": "CACGTG", "TFB": "GATAAC"}
 PWMS = {t: np.array([[1.5 if b == c else -1.0 for b in "ACGT"] for c in w]) for t, w in WORDS.items()}
 
 
-@register("q14_pwm_best", f"""with m as (select unnest(['TFA', 'TFB']) as tf, unnest(['CACGTG', 'GATAAC']) as w), s as (select id, seq as s from fx_seq union all select id, {RC.format(s='seq')} from fx_seq), k as (select id, substr(s, i, 6) as k from (select id, s, unnest(generate_series(1, length(s) - 5)) as i from s where length(s) >= 6)),
-    d as (select id, tf, max(6 - hamming(k, w)) as same from (select distinct id, k from k), m group by id, tf) select a.id, m.tf, round(greatest(0, coalesce((same * 1.5 - (6 - same)) / 9, 0)), 6) as score from fx_seq a cross join m left join d on d.id = a.id and d.tf = m.tf""")
+MOTIFS = f"""m as (select unnest(['TFA', 'TFB']) as tf, unnest(['CACGTG', 'GATAAC']) as w), s as (select id, seq as s from fx_seq union all select id, {RC.format(s='seq')} from fx_seq), k as (select id, substr(s, i, 6) as k from (select id, s, unnest(generate_series(1, length(s) - 5)) as i from s where length(s) >= 6)),
+    d as (select id, tf, max(6 - hamming(k, w)) as same from (select distinct id, k from k), m group by id, tf), p as (select a.id, m.tf, greatest(0, coalesce((same * 1.5 - (6 - same)) / 9, 0)) as score from fx_seq a cross join m left join d on d.id = a.id and d.tf = m.tf)"""
+
+
+@register("q14_pwm_best", f"with {MOTIFS} select id, tf, round(score, 6) as score from p")
 def q14(v):
     return sq.pwm_best(PWMS, v("fx_seq"), "seq", "id").select("id", "tf", *R("score"))
 
 
-@register("q15_motif_network")
+@register("q15_motif_network", f"with {MOTIFS} select cut::double as threshold, count(*) filter (score >= cut) as edges, count(*) filter (score >= cut) / count(*) as density from p, (select unnest([0.3, 0.6, 0.9]) as cut) group by cut")
 def q15(v):
     return sq.motif_network(sq.pwm_best(PWMS, v("fx_seq"), "seq", "id"), [0.3, 0.6, 0.9])
 
@@ -178,12 +200,12 @@ def q22(v):
     return labelled_windows(v("fx_windows2k"), v("fx_peaks"), sizes, "locus_id", 500, 2000)
 
 
-@register("q23_nn_identity", """with q as (select id, substr(seq, 1, 60) as s from fx_seq where id % 20 = 0 and length(seq) > 0), r as (select id, substr(seq, 1, 60) as s from fx_seq where length(seq) > 0),
-    p as (select q.id, r.id as nearest, len(list_filter(range(1, least(length(q.s), length(r.s)) + 1), lambda i: q.s[i] = r.s[i])) / least(length(q.s), length(r.s)) as identity from q, r where q.id <> r.id)
-    select id, round(max(identity), 6) as identity, max(identity) >= 0.999 as near_copy from p group by id""")
+@register("q23_nn_identity", """with s as (select id, seq, length(seq) as n from fx_seq where length(seq) > 0),
+    p as (select q.id, r.id as nearest, 1 - hamming(substr(q.seq, 1, least(q.n, r.n)), substr(r.seq, 1, least(q.n, r.n))) / least(q.n, r.n) as identity from s q, s r where q.id % 20 = 0 and q.id <> r.id)
+    select id, arg_min(nearest, (-round(identity, 9), nearest)) as nearest, round(max(identity), 6) as identity, max(identity) >= 0.999 as near_copy from p group by id""")
 def q23(v):
-    s = v("fx_seq").where("length(seq) > 0").select("id", F.substring("seq", 1, 60).alias("seq"))
-    return sq.nn_identity(s.where("id % 20 = 0"), s, "seq", "id", loo=True).select("id", *R("identity"), "near_copy")
+    s = v("fx_seq")
+    return sq.nn_identity(s.where("id % 20 = 0"), s, "seq", "id", loo=True).select("id", "nearest", *R("identity"), "near_copy")
 
 
 GUIDES = "g as (select distinct upper(guide) as guide from fx_guides where length(guide) >= 20)"
