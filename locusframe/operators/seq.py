@@ -242,13 +242,16 @@ def splice_sites(df: DataFrame, seq: str, key: str, weights: DataFrame, kind: st
     return score.where(F.col("score") >= threshold).select(key, F.lit(kind).alias("kind"), "at", "score")
 
 
+def _codons(s: Column) -> Column:
+    """Whole codons in order, by one scan: a substring costs its distance from the start."""
+    return F.regexp_extract_all(s, F.lit("(?s)(...)"), F.lit(1))
+
+
 def translate_cds(c, frame: int = 0) -> Column:
     """Protein of a coding sequence; unknown codons are X, stops are *."""
     s = F.substring(F.upper(_c(c)), frame + 1, 1 << 30)
     table = F.create_map(*[F.lit(x) for kv in CODONS.items() for x in kv])
-    n = F.expr("0") + F.floor(F.char_length(s) / 3).cast("int")
-    codons = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.try_element_at(table, F.substr(s, i * 3 + 1, F.lit(3))), F.lit("X")))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(codons, "")
+    return F.array_join(F.transform(_codons(s), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
 
 
 def cai(df: DataFrame, seq: str, key: str, usage: dict[str, float], frame: int = 0) -> DataFrame:
@@ -260,8 +263,7 @@ def cai(df: DataFrame, seq: str, key: str, usage: dict[str, float], frame: int =
     rows = [(c, max((usage.get(c, 0.0) or 1e-6) / (best[a] or 1.0), 1e-6)) for c, a in CODONS.items() if a in many]
     table = F.broadcast(df.sparkSession.createDataFrame(rows, "codon string, w double"))
     s = F.substring(F.upper(seq), frame + 1, 1 << 30)
-    n = F.floor(F.char_length(s) / 3).cast("int")
-    codons = df.select(key, F.explode_outer(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(s, i * 3 + 1, F.lit(3))))).alias("codon"))
+    codons = df.select(key, F.explode_outer(_codons(s)).alias("codon"))
     return codons.join(table, "codon", "left").groupBy(key).agg(F.coalesce(F.exp(F.avg(F.log("w"))), F.lit(1.0)).alias("cai"))
 
 
@@ -282,8 +284,9 @@ def anchor_fraction(c) -> Column:
     s = F.upper(F.coalesce(_c(c), F.lit("")))
     weight = lambda table, x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), x), F.lit(0.0))
     n = F.char_length(s) - 8
-    hits = F.filter(F.sequence(F.lit(1), n), lambda i: F.round(weight(ANCHOR_2, F.substr(s, i + 1, F.lit(1))) + weight(ANCHOR_9, F.substr(s, i + 8, F.lit(1))), 9) >= BINDER)
-    return F.when(n > 0, F.size(hits) / n).otherwise(0.0)
+    letters = F.split(s, "")
+    pairs = F.zip_with(F.slice(letters, 2, F.greatest(n, F.lit(0))), F.slice(letters, 9, F.greatest(n, F.lit(0))), lambda a, b: F.round(weight(ANCHOR_2, a) + weight(ANCHOR_9, b), 9) >= BINDER)
+    return F.when(n > 0, F.size(F.filter(pairs, lambda hit: hit)) / n).otherwise(0.0)
 
 
 def immuno_risk(dna, protein) -> Column:
