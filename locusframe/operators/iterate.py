@@ -5,17 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder (``spark.checkpoint.dir``; a temporary one where unset, as in tests) and read back."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", "")
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder (``spark.checkpoint.dir``). A temporary folder serves only a local session that
+    names none: on a cluster executors would not see each other's files."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir", "")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-locusframe-")
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

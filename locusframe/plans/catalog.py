@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-from locusframe.plans import queries_audit, queries_intervals, queries_matrix, queries_rank, queries_seq, queries_stats, queries_windows  # noqa: E402, F401
+from locusframe.plans import queries_audit, queries_intervals, queries_io, queries_matrix, queries_rank, queries_seq, queries_stats, queries_windows  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

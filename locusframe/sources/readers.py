@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def _fields(spark: SparkSession, path: str, least: int) -> DataFrame:
@@ -168,57 +167,35 @@ def classify_filenames(df: DataFrame, c: str) -> DataFrame:
                      blank(F.regexp_extract(F.lower(name), r"\.(bigwig|bw|narrowpeak|bed|bam|bedgraph)(?:\.gz)?$", 1)).alias("kind"))
 
 
-class _Contigs(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        self.path, self.start, self.stop = path, start, stop
-
-
-class _FastaReader(DataSourceReader):
-    """One partition per contig, found by a scan of byte offsets; chunks of ``chunk`` bases with ``overlap`` more."""
-
-    def __init__(self, options: dict):
-        self.path, self.chunk, self.overlap = options["path"].removeprefix("file://"), int(options.get("chunk", 1 << 20)), int(options.get("overlap", 22))
-
-    def partitions(self) -> Sequence[InputPartition]:
-        starts, at = [], 0
-        with open(self.path, "rb") as f:
-            for line in f:
-                if line[:1] == b">":
-                    starts.append(at)
-                at += len(line)
-        return [_Contigs(self.path, a, b) for a, b in zip(starts, [*starts[1:], at])]
-
-    def read(self, partition: _Contigs) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            f.seek(partition.start)
-            chrom = f.readline()[1:].split()[0].decode()
-            held, start = "", 0
-            while (left := partition.stop - f.tell()) > 0:
-                held += f.read(min(left, self.chunk)).decode().replace("\n", "").replace("\r", "")
-                while len(held) >= self.chunk + self.overlap:
-                    yield chrom, start, held[: self.chunk + self.overlap]
-                    held, start = held[self.chunk :], start + self.chunk
-            while held:
-                yield chrom, start, held[: self.chunk + self.overlap]
-                held, start = held[self.chunk :], start + self.chunk
-
-
-class FastaSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "fasta"
-
-    def schema(self) -> str:
-        return "chrom string, chunk_start long, seq string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _FastaReader(self.options)
-
-
 def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 20, overlap: int = 22) -> DataFrame:
-    """(chrom, chunk_start, seq): fixed chunks that overlap, read by contig. The file must be at the same path on all nodes."""
-    spark.dataSource.register(FastaSource)
-    return spark.read.format("fasta").option("chunk", chunk).option("overlap", overlap).load(path)
+    """(chrom, chunk_start, seq): fixed chunks that overlap, from plain or compressed FASTA on any file system that Spark reads.
+
+    Lines are read by Spark's splits, within a contig too. A line's contig and offset are those within its split plus
+    what the splits before it in the file end with, one row a split. Blank lines are passed over; lines before the first
+    name have no contig and go; a contig name in two files gives the chunks of both.
+    """
+    at = ["__file", "__block"]
+    lines = spark.read.text(path).select(
+        F.rtrim("value").alias("value"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__n")).where("value <> ''")
+    named = lines.withColumn("__name", F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>\s*(\S+)", 1)))
+    lasts = named.groupBy(*at).agg(F.max_by("__name", F.when(F.col("__name").isNotNull(), F.col("__n"))).alias("__last"))
+    earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*at, F.last("__last", True).over(earlier).alias("__before"))
+    here = Window.partitionBy(*at).orderBy("__n")
+    rows = named.withColumn("chrom", F.last("__name", True).over(here.rowsBetween(Window.unboundedPreceding, 0))).join(carried, at)
+    rows = rows.withColumn("chrom", F.coalesce("chrom", "__before")).where("__name is null and chrom is not null").withColumn("__len", F.char_length("value"))
+    sums = rows.groupBy(*at, "chrom").agg(F.sum("__len").alias("__sum"))
+    ahead = Window.partitionBy("__file", "chrom").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*at, "chrom", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy(*at, "chrom").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("__in", F.coalesce(F.sum("__len").over(inside), F.lit(0))).join(sums, [*at, "chrom"]).withColumn("pos", F.col("__offset") + F.col("__in"))
+    first, last = F.greatest(F.floor((F.col("pos") - overlap) / chunk), F.lit(0)), F.floor((F.col("pos") + F.col("__len") - 1) / chunk)
+    parts = placed.select("__file", "chrom", "pos", "value", F.explode(F.sequence(first, last)).alias("c")).withColumn("chunk_start", F.col("c") * chunk)
+    skip = F.greatest(F.col("chunk_start") - F.col("pos"), F.lit(0))
+    piece = F.substr("value", (skip + 1).cast("int"), (F.col("chunk_start") + chunk + overlap - F.col("pos") - skip).cast("int"))
+    whole = parts.groupBy("__file", "chrom", "chunk_start").agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("p")))).alias("x"))
+    return whole.select("chrom", "chunk_start", F.array_join(F.transform("x", lambda x: x["p"]), "").alias("seq"))
 
 
 def chunk_text(df: DataFrame, chrom: str, seq: str, chunk: int, overlap: int) -> DataFrame:
