@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.operators.iterate import written
 from locusframe.operators.stats import pearson
 
 
@@ -65,14 +66,24 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tol: float = 1e-9, rounds:
     return ranks.select("node", "rank")
 
 
-def _power(edges: DataFrame, start: DataFrame, names: Sequence[str], rounds: int, every: int, step) -> DataFrame:
+def _power(start: DataFrame, names: Sequence[str], rounds: int, tol: float, step) -> DataFrame:
+    """Power iteration, each of ``names`` kept at length 1, until no entry changes by ``tol`` or after ``rounds``.
+
+    Each round is written, so plans do not grow; its lengths, one number a name, are all that the driver sees. An
+    iteration that would lose all length (a graph without a way on) ends with what it had.
+    """
     state = start
-    for turn in range(1, rounds + 1):
-        state = step(state)
-        size = state.agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"__{c}") for c in names])
-        state = state.crossJoin(F.broadcast(size)).select("node", *[F.when(F.col(f"__{c}") > 0, F.col(c) / F.col(f"__{c}")).otherwise(0.0).alias(c) for c in names])
-        if turn % every == 0:
-            state = _cut(state)
+    for _ in range(rounds):
+        old = state.select("node", *[F.col(c).alias(f"__{c}") for c in names])
+        new = written(step(state).join(old, "node"), "power")
+        sizes = [r or 0.0 for r in new.agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))) for c in names]).first()]
+        if not any(sizes):
+            break
+        new = new.withColumns({c: F.col(c) / n if n else F.lit(0.0) for c, n in zip(names, sizes)})
+        change = new.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"__{c}")) for c in names], F.lit(0.0)))).first()[0] or 0.0
+        state = new.select("node", *names)
+        if change < tol:
+            break
     return state
 
 
@@ -81,8 +92,9 @@ def _sent(edges: DataFrame, state: DataFrame, value: str, back: bool = False, na
     return edges.join(state.select(F.col("node").alias(a), F.col(value).alias("__v")), a).groupBy(F.col(b).alias("node")).agg(F.sum(F.col("weight") * F.col("__v")).alias(name))
 
 
-def hits(edges: DataFrame, rounds: int = 20, every: int = 5) -> DataFrame:
-    """(node, hub, authority), each of length 1."""
+def hits(edges: DataFrame, rounds: int = 200, tol: float = 1e-9) -> DataFrame:
+    """(node, hub, authority), each of length 1; authorities from hubs, then hubs from the new authorities."""
+    edges = written(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "edges")
     nodes = _nodes(edges)
 
     def step(state: DataFrame) -> DataFrame:
@@ -90,7 +102,7 @@ def hits(edges: DataFrame, rounds: int = 20, every: int = 5) -> DataFrame:
         hub = _sent(edges, authority, "authority", back=True, name="hub")
         return nodes.join(hub, "node", "left").join(authority, "node", "left").na.fill(0.0)
 
-    return _power(edges, nodes.withColumn("hub", F.lit(1.0)).withColumn("authority", F.lit(1.0)), ("hub", "authority"), rounds, every, step)
+    return _power(nodes.withColumn("hub", F.lit(1.0)).withColumn("authority", F.lit(1.0)), ("hub", "authority"), rounds, tol, step)
 
 
 def hub_proxy(edges: DataFrame) -> DataFrame:
@@ -99,9 +111,12 @@ def hub_proxy(edges: DataFrame) -> DataFrame:
     return _sent(edges, strength, "s", back=True, name="hub")
 
 
-def eigencentrality(edges: DataFrame, rounds: int = 30, every: int = 5) -> DataFrame:
-    nodes = _nodes(edges)
-    return _power(edges, nodes.withColumn("centrality", F.lit(1.0)), ("centrality",), rounds, every, lambda s: nodes.join(_sent(edges, s, "centrality", back=True, name="centrality"), "node", "left").na.fill(0.0))
+def eigencentrality(edges: DataFrame, rounds: int = 200, tol: float = 1e-12) -> DataFrame:
+    """(node, centrality) of length 1: power iteration on the 0/1 adjacency of edges with a weight over 0."""
+    nodes = written(_nodes(edges), "nodes")
+    plain = written(edges.where("weight > 0").select("src", "dst").distinct().withColumn("weight", F.lit(1.0)), "edges")
+    step = lambda s: nodes.join(_sent(plain, s, "centrality", back=True, name="centrality"), "node", "left").na.fill(0.0)
+    return _power(nodes.withColumn("centrality", F.lit(1.0)), ("centrality",), rounds, tol, step)
 
 
 def centrality_composite(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -172,11 +172,15 @@ def mark_calls(loci: DataFrame, case: DataFrame, control: DataFrame, marks: Iter
 def spaced_topk(df: DataFrame, key: str, distance: int, k: int) -> DataFrame:
     """Per ``key`` the strongest intervals at least ``distance`` apart (by start), at most ``k``; a bounded pick by intent.
 
-    Duplicates by coordinates keep their strongest row. Only the strongest row of each cell of ``distance`` bases and its
-    rivals can be chosen among the first, but the greedy order is sequential, so each key's deduplicated rows go to one
-    Arrow group, cut to what could fill ``k`` places.
+    Duplicates by coordinates keep their strongest row; ties go to the first coordinates. A pick rules out rows of three
+    cells of ``distance`` bases at most, so while fewer than k are picked one of the key's 3k strongest cells is open:
+    every pick is at least as strong as the weakest of these. Only rows that strong meet in a key's Arrow group.
     """
-    best = df.groupBy(*dict.fromkeys([key, "chrom", "start_pos", "end_pos"])).agg(F.max("signal").alias("signal"))
+    best = df.where("chrom is not null and start_pos is not null and signal is not null").groupBy(*dict.fromkeys([key, "chrom", "start_pos", "end_pos"])).agg(F.max("signal").alias("signal"))
+    cells = best.groupBy(*dict.fromkeys([key, "chrom"]), F.expr(f"start_pos div {distance}").alias("__cell")).agg(F.max("signal").alias("__top"))
+    strong = cells.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__top")))).where(F.col("__r") <= 3 * k)
+    least = strong.groupBy(key).agg(F.min("__top").alias("__least"))
+    best = best.join(least, key).where(F.col("signal") >= F.col("__least")).drop("__least").select(*best.columns)
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["signal", "chrom", "start_pos", "end_pos"], ascending=[False, True, True, True])

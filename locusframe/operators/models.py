@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -45,6 +46,33 @@ def cv_auc(df: DataFrame, features: Sequence[str], label: str, key: str, model:
     return out
 
 
+def cv_ablation(df: DataFrame, features: Sequence[str], label: str, key: str, **options) -> DataFrame:
+    """(without, auroc): out-of-fold AUC with each feature left out; null for all of them."""
+    rows = [cv_auc(df, features, label, key, **options).withColumn("without", F.lit(None).cast("string"))]
+    rows += [cv_auc(df, [f for f in features if f != gone], label, key, **options).withColumn("without", F.lit(gone)) for gone in features]
+    return reduce(DataFrame.unionByName, rows).groupBy("without").agg(F.avg("auroc").alias("auroc"))
+
+
+def cv_univariate(df: DataFrame, features: Sequence[str], label: str, key: str, **options) -> DataFrame:
+    """(feature, auroc): out-of-fold AUC of each feature by itself."""
+    rows = [cv_auc(df, [f], label, key, **options).withColumn("feature", F.lit(f)) for f in features]
+    return reduce(DataFrame.unionByName, rows).groupBy("feature").agg(F.avg("auroc").alias("auroc"))
+
+
+def cv_null(df: DataFrame, features: Sequence[str], label: str, key: str, draws: int, seed: int = 0, **options) -> DataFrame:
+    """(observed, ge, p): out-of-fold AUC against that of labels dealt anew within hash cells; (1 + ge) / (draws + 1)."""
+    seen = cv_auc(df, features, label, key, **options).agg(F.avg("auroc").alias("observed"))
+    cells = df.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(16)))
+    place = cells.withColumn("__n", F.row_number().over(Window.partitionBy("__salt").orderBy(key))).drop(label)
+    each = []
+    for r in range(draws):
+        mixed = cells.select("__salt", label, F.row_number().over(Window.partitionBy("__salt").orderBy(hash_order(seed + 1 + r, key))).alias("__n"))
+        each.append(cv_auc(place.join(mixed, ["__salt", "__n"]), features, label, key, **options).agg(F.avg("auroc").alias("a")))
+    null = reduce(DataFrame.unionByName, each).crossJoin(F.broadcast(seen))
+    out = null.groupBy("observed").agg(F.count_if(F.col("a") >= F.col("observed") - 1e-12).alias("ge"))
+    return out.withColumn("p", (F.col("ge") + 1) / (draws + 1))
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, key: str, seed: int = 0) -> DataFrame:
     """(feature, drop): loss of AUC when one column is dealt anew by hash rank."""
     base = auroc(_score(model, df), label, "score").first()[0]

@@ -174,14 +174,23 @@ def select_top(df: DataFrame, k: int, key: str, preference: Sequence[float] | No
 
 
 def front_membership(df: DataFrame, key: str, draws: int, seed: int = 0, sigma: float = 0.02, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
-    """(key, p): how often a candidate is on the first front under noise; normal draws from hash bits. A shortlist by intent."""
+    """(key, p): how often a candidate is on the first front under noise; normal draws from hash bits. Each draw keeps the
+    skylines of its parts, then these are held against each other. Rows with a null objective are passed over (p is 0)."""
     turns = F.broadcast(df.sparkSession.range(draws).withColumnRenamed("id", "__r"))
     at = lambda o, n: hash_bits(seed, F.col("__r").cast("string"), F.col(key).cast("string"), o, n)
     noise = lambda o: F.sqrt(-2 * F.log(F.greatest(at(o, 1), F.lit(1e-12)))) * F.cos(2 * np.pi * at(o, 2))
-    rows = df.select(key, *objectives).crossJoin(turns).select(key, "__r", *[clip(F.col(o) + sigma * noise(o)).alias(o) for o in objectives])
-    other = rows.select("__r", *[F.col(o).alias(f"a_{o}") for o in objectives])
-    beat = reduce(Column.__and__, [F.col(f"a_{o}") >= F.col(o) for o in objectives]) & reduce(Column.__or__, [F.col(f"a_{o}") > F.col(o) for o in objectives])
-    on = rows.alias("x").join(other.alias("y"), (F.col("x.__r") == F.col("y.__r")) & beat, "left_anti")
+    rows = df.select(key, *objectives).dropna().crossJoin(turns).select(key, "__r", *[clip(F.col(o) + sigma * noise(o)).alias(o) for o in objectives])
+    names = list(objectives)
+
+    def local(part: pa.Table) -> pa.Table:
+        return part.filter(pa.array(_skyline(np.column_stack([part[o].to_numpy() for o in names]))))
+
+    # A draw's rows are thinned in several groups before what is left of it meets.
+    salt = F.pmod(F.xxhash64(key), F.lit(16)).alias("__salt")
+    few = rows.select("*", salt).groupBy("__r", "__salt").applyInArrow(local, rows.select("*", salt).schema).drop("__salt")
+    other = few.select("__r", *[F.col(o).alias(f"a_{o}") for o in names]).distinct()
+    beat = reduce(Column.__and__, [F.col(f"a_{o}") >= F.col(o) for o in names]) & reduce(Column.__or__, [F.col(f"a_{o}") > F.col(o) for o in names])
+    on = few.alias("x").join(other.alias("y"), (F.col("x.__r") == F.col("y.__r")) & beat, "left_anti")
     got = on.groupBy(key).agg((F.count("*") / draws).alias("p"))
     return df.select(key).join(got, key, "left").na.fill(0.0, ["p"])
 

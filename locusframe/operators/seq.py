@@ -219,6 +219,12 @@ def motif_network(scores: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     return out.select("threshold", "edges", (F.col("edges") / F.col("__n")).alias("density"))
 
 
+def motif_score_summary(scores: DataFrame) -> DataFrame:
+    """One row over the scores above 0 of a score table: how many, their mean, and percentiles."""
+    some = scores.where("score > 0")
+    return some.agg(F.count("*").alias("nonzero"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean"), *[F.percentile("score", p / 100).alias(f"p{p}") for p in (50, 75, 90, 95, 99)])
+
+
 def motif_spans(df: DataFrame, seq: str, key: str, motifs: Sequence[str]) -> DataFrame:
     """(key, motif, start, end): every occurrence, overlapping too, of each motif and its reverse complement."""
     turned = lambda m: m[::-1].translate(str.maketrans("ACGT", "TGCA"))

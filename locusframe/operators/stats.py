@@ -7,7 +7,9 @@ totals of the buckets before. No step orders a whole table in one task.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,8 +134,9 @@ def _registry(target: Column, pred: Column) -> dict[str, Column]:
     }
 
 
-def grouped_scores(df: DataFrame, metric: str, target: str, pred: str, by: Sequence[str]) -> DataFrame:
-    """(by, score) per group; groups whose score is not finite are dropped."""
+def grouped_scores(df: DataFrame, metric: str, target: str, pred: str, by: Sequence[str], mask: str | None = None) -> DataFrame:
+    """(by, score) per group, of rows whose ``mask`` is true if one is named; groups whose score is not finite are dropped."""
+    df = df.where(F.col(mask)) if mask else df
     if metric == "spearman":
         out = spearman(df, target, pred, by).withColumnRenamed("spearman", "score").drop("n")
     elif metric == "average_precision":
@@ -235,16 +238,29 @@ def poisson_weight(*parts) -> Column:
     return steps
 
 
-def bootstrap_ci(df: DataFrame, value: str, key: str, draws: int, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """(estimate, lo, hi, used) of a mean: Poisson bootstrap, one pass; each replicate is a weighted sum in the same aggregate.
+def weighted_mean(value: Column, weight: Column) -> Column:
+    return F.try_divide(F.sum(weight * value), F.sum(weight))
 
-    A replicate that draws no row has no mean and is passed over; ``used`` counts the others. Null values are passed over."""
+
+def weighted_median(value: Column, weight: Column) -> Column:
+    return F.percentile(value, 0.5, weight)
+
+
+def weighted_spread(value: Column, weight: Column) -> Column:
+    """Standard deviation with n - 1 below."""
+    n, s = F.sum(weight), F.sum(weight * value)
+    return F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.sum(weight * value * value) - F.try_divide(s * s, n), n - 1)))
+
+
+def bootstrap_ci(df: DataFrame, value: str, key: str, draws: int, seed: int = 0, level: float = 0.95, statistic: Callable[[Column, Column], Column] = weighted_mean) -> DataFrame:
+    """(estimate, lo, hi, used) of a statistic of a column and whole-number weights, by default the mean: Poisson bootstrap, one pass; each replicate is a weighted
+    statistic in the same aggregate. A replicate that draws no row has no value and is passed over; ``used`` counts the others. Null values are passed over."""
     turns = F.broadcast(df.sparkSession.range(draws).withColumnRenamed("id", "__r"))
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("__k"), F.col(value).alias("__v")).crossJoin(turns)
     w = poisson_weight(seed, F.col("__r").cast("string"), F.col("__k"))
-    each = rows.groupBy("__r").agg(F.try_divide(F.sum(w * F.col("__v")), F.sum(w)).alias("s"))
+    each = rows.withColumn("__w", w).where("__w > 0").groupBy("__r").agg(statistic(F.col("__v"), F.col("__w")).alias("s"))
     tails = each.agg(F.percentile("s", (1 - level) / 2).alias("lo"), F.percentile("s", (1 + level) / 2).alias("hi"), F.count("s").alias("used"))
-    return df.agg(F.avg(value).alias("estimate")).crossJoin(tails)
+    return df.where(F.col(value).isNotNull()).agg(statistic(F.col(value), F.lit(1)).alias("estimate")).crossJoin(tails)
 
 
 def paired_bootstrap(df: DataFrame, a: str, b: str, key: str, draws: int, seed: int = 0, level: float = 0.95) -> DataFrame:
@@ -286,11 +302,23 @@ def tost(df: DataFrame, group: str, value: str, margin: float, part: Sequence[st
     one = F.col(group).cast("boolean")
     stats = df.groupBy(*part).agg(*[f(F.when(w, F.col(value))).alias(n + s) for s, w in (("1", one), ("0", ~one)) for f, n in ((F.avg, "m"), (F.var_samp, "v"), (F.count, "n"))])
     a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
-    freedom = (a + b) * (a + b) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))
-    out = stats.select(*part, (F.col("m1") - F.col("m0")).alias("diff"), F.sqrt(a + b).alias("se"), freedom.alias("df"))
-    out = out.withColumn("t_lower", (F.col("diff") + margin) / F.col("se")).withColumn("t_upper", (margin - F.col("diff")) / F.col("se"))
+    freedom = F.try_divide((a + b) * (a + b), F.try_divide(a * a, F.col("n1") - 1) + F.try_divide(b * b, F.col("n0") - 1))
+    return _equivalence(stats.select(*part, (F.col("m1") - F.col("m0")).alias("diff"), F.sqrt(a + b).alias("se"), freedom.alias("df")), margin)
+
+
+def _equivalence(out: DataFrame, margin: float) -> DataFrame:
+    """The two one-sided tests; without spread p is 0 for a difference within the margin and 1 beyond."""
+    out = out.withColumn("t_lower", F.try_divide(F.col("diff") + margin, F.col("se"))).withColumn("t_upper", F.try_divide(margin - F.col("diff"), F.col("se")))
     out = out.withColumn("p_lower", student_tail("t_lower", "df")).withColumn("p_upper", student_tail("t_upper", "df"))
-    return out.withColumn("p", F.greatest("p_lower", "p_upper"))
+    flat = F.when(F.abs("diff") < margin, 0.0).otherwise(1.0)
+    return out.withColumn("p", F.when(F.col("se") == 0, flat).otherwise(F.greatest("p_lower", "p_upper")))
+
+
+def tost_paired(df: DataFrame, a: str, b: str, margin: float, part: Sequence[str] = ()) -> DataFrame:
+    """Paired equivalence test of a - b over rows with both: (part, diff, se, df, t_lower, t_upper, p_lower, p_upper, p)."""
+    rows = df.withColumn("__d", F.col(a) - F.col(b)).where("__d is not null")
+    stats = rows.groupBy(*part).agg(F.avg("__d").alias("diff"), F.var_samp("__d").alias("v"), F.count("*").alias("n")).where("n > 1")
+    return _equivalence(stats.select(*part, "diff", F.sqrt(F.col("v") / F.col("n")).alias("se"), (F.col("n") - 1).cast("double").alias("df")), margin)
 
 
 def conformal_radius(df: DataFrame, score: str, level: float, part: Sequence[str] = ()) -> DataFrame:
@@ -306,11 +334,22 @@ def coverage_rate(df: DataFrame, target: str, lower: str, upper: str, part: Sequ
     return df.groupBy(*part).agg(F.avg(F.col(target).between(F.col(lower), F.col(upper)).cast("double")).alias("coverage"), F.avg(F.col(upper) - F.col(lower)).alias("width"))
 
 
-def jackknife(df: DataFrame, value: str, part: Sequence[str] = ()) -> DataFrame:
-    """Leave-one-out means in closed form: (part, lo, hi, range, std)."""
-    out = df.groupBy(*part).agg(F.sum(value).alias("s"), F.count(value).alias("n"), F.min(value).alias("a"), F.max(value).alias("b"), F.stddev_pop(value).alias("sd"))
-    left = lambda c: (F.col("s") - F.col(c)) / (F.col("n") - 1)
-    return out.where("n > 1").select(*part, left("b").alias("lo"), left("a").alias("hi"), (left("a") - left("b")).alias("range"), (F.col("sd") / (F.col("n") - 1)).alias("std"))
+def jackknife(df: DataFrame, value: str, part: Sequence[str] = (), estimator: str = "mean") -> DataFrame:
+    """Spread of leave-one-out estimates in closed form, a ``mean`` or a ``variance``: (part, lo, hi, range, std).
+
+    What is left out changes a mean or a sum of squares by a term of its own, so a row's estimate needs its part's moments
+    only. ``std`` has n - 1 below. Parts of too few values (2 for a mean, 3 for a variance) have no row; nulls are passed over.
+    """
+    if estimator not in ("mean", "variance"):
+        raise ValueError(f"no closed form for {estimator}; leave_one_out takes any")
+    rows = df.where(F.col(value).isNotNull()).select(*part, F.col(value).cast("double").alias("__x"))
+    moments = rows.groupBy(*part).agg(F.avg("__x").alias("__m"), F.var_pop("__x").alias("__v"), F.count("*").alias("__n"))
+    moments = moments.where(F.col("__n") > (1 if estimator == "mean" else 2))
+    both = rows.join(moments, list(part)) if part else rows.crossJoin(F.broadcast(moments))  # one row if there are no parts
+    n, gap = F.col("__n"), F.col("__x") - F.col("__m")
+    left = F.col("__m") - gap / (n - 1) if estimator == "mean" else (n * F.col("__v") - gap * gap * n / (n - 1)) / (n - 2)
+    out = both.withColumn("__e", left).groupBy(*part).agg(F.min("__e").alias("lo"), F.max("__e").alias("hi"), F.stddev_samp("__e").alias("std"))
+    return out.select(*part, "lo", "hi", (F.col("hi") - F.col("lo")).alias("range"), "std")
 
 
 def matched_auc(df: DataFrame, label: str, score: str, covariate: str, calipers: Sequence[float], key: str) -> DataFrame:
@@ -330,6 +369,25 @@ def matched_auc(df: DataFrame, label: str, score: str, covariate: str, calipers:
     return cuts.join(out, "caliper", "left").select("caliper", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("concordance", F.lit(0.5)).alias("concordance"))
 
 
+def matched_auc_null(df: DataFrame, label: str, score: str, covariate: str, calipers: Sequence[float], key: str, draws: int, seed: int = 0) -> DataFrame:
+    """(caliper, pairs, concordance, ge, p): ``matched_auc`` with p the share of ``draws`` in which as many rows, chosen by
+    hash rank, do at least as well; a draw without a pair does a half. Work is draws x band join."""
+    rows = df.select(F.col(key).alias("__k"), (F.col(label) > 0).cast("int").alias("__y"), F.col(score).alias("__s"), F.col(covariate).cast("double").alias("__c")).where("__y is not null and __s is not null and __c is not null")
+    spark, n_pos = df.sparkSession, F.broadcast(rows.agg(F.sum("__y").alias("__p")))
+    turns = F.broadcast(spark.range(draws).withColumnRenamed("id", "__r"))
+    order = Window.partitionBy("__r").orderBy(hash_split_order(seed, F.col("__r"), "__k"))
+    dealt = rows.crossJoin(turns).crossJoin(n_pos).withColumn("__y", (F.row_number().over(order) <= F.col("__p")).cast("int")).drop("__p", "__k")
+    cuts = F.broadcast(spark.createDataFrame([(float(c),) for c in calipers], "caliper double"))
+    cells = dealt.crossJoin(cuts).groupBy("caliper", "__r", "__y", "__s", "__c").agg(F.count("*").alias("m")).withColumn("cell", F.floor(F.col("__c") / F.col("caliper")))
+    pos = cells.where("__y > 0").select("caliper", "__r", F.col("__s").alias("ps"), F.col("__c").alias("pc"), F.col("m").alias("pm"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    m, win = F.col("pm") * F.col("m"), F.when(F.col("ps") > F.col("__s"), 1.0).when(F.col("ps") == F.col("__s"), 0.5).otherwise(0.0)
+    each = pos.join(cells.where("__y = 0").drop("__y"), ["caliper", "__r", "cell"]).where(F.abs(F.col("pc") - F.col("__c")) <= F.col("caliper")).groupBy("caliper", "__r").agg((F.sum(m * win) / F.sum(m)).alias("__d"))
+    every = cuts.crossJoin(turns).join(each, ["caliper", "__r"], "left").withColumn("__d", F.coalesce("__d", F.lit(0.5)))
+    seen = matched_auc(df, label, score, covariate, calipers, key)
+    hit = every.join(F.broadcast(seen), "caliper").groupBy("caliper", "pairs", "concordance").agg(F.count_if(F.col("__d") >= F.col("concordance") - 1e-12).alias("ge"))
+    return hit.withColumn("p", F.col("ge") / draws)
+
+
 def stratified_auc(df: DataFrame, label: str, score: str, covariate: str, key: str, n: int = 3) -> DataFrame:
     """AUROC within n bands of the covariate, sizes as equal as can be, larger bands first."""
     total = df.count()
@@ -351,8 +409,36 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     return r.select(F.when(below > 0, (F.col("xy") - F.col("xz") * F.col("yz")) / below).alias("partial_spearman"))
 
 
+def residual_spearman(df: DataFrame, x: str, y: str, covariates: Sequence[str]) -> DataFrame:
+    """(spearman, n): Spearman r of what is left of x and y after a linear fit on the covariates.
+
+    The normal equations are sums over one pass, a row of (covariates + 3)^2 numbers at most.
+    """
+    names = ["__one", *covariates]
+    rows = df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in (x, y, *covariates)])).withColumn("__one", F.lit(1.0))
+    pairs = [(a, b) for a in names for b in [*names, x, y]]
+    sums = rows.agg(*[F.sum(F.col(a).cast("double") * F.col(b)).alias(f"s{k}") for k, (a, b) in enumerate(pairs)]).first()
+    if sums[0] is None:
+        return df.sparkSession.createDataFrame([(None, 0)], "spearman double, n long")
+    table = np.array(list(sums), float).reshape(len(names), len(names) + 2)
+    fits = np.linalg.lstsq(table[:, :-2], table[:, -2:], rcond=None)[0]
+    left = lambda c, w: F.col(c) - reduce(Column.__add__, [F.col(n) * float(v) for n, v in zip(names, w)])
+    return spearman(rows.select(left(x, fits[:, 0]).alias("__x"), left(y, fits[:, 1]).alias("__y")), "__x", "__y")
+
+
+def spearman_screen(df: DataFrame, target: str, features: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """(feature, rho, n, p, q, rejected): every feature against a continuous target; p by Student's t on n - 2."""
+    rows = df.select(F.col(target).cast("double").alias("__t"), *[F.col(f).cast("double") for f in features]).unpivot("__t", list(features), "feature", "v")
+    rho = spearman(rows, "v", "__t", ["feature"]).withColumnRenamed("spearman", "rho")
+    t = F.abs("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
+    p = F.when((F.col("n") > 2) & (F.abs("rho") < 1), F.least(2 * student_tail("__t", "__df"), F.lit(1.0))).when(F.abs("rho") >= 1, 0.0)
+    tested = rho.withColumns({"__t": t, "__df": (F.col("n") - 2).cast("double")}).withColumn("p", p).drop("__t", "__df")
+    return bh_fdr(tested, "p", alpha=alpha)
+
+
 def univariate_screen(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    """(feature, auroc, effect, direction, p, q): every feature against one label in one job."""
+    """(feature, auroc, effect, direction, p, q): every feature against one label in one job. p is Mann-Whitney's;
+    ``spearman_screen`` takes a continuous target."""
     rows = df.select(F.col(label).cast("int").alias("y"), *[F.col(f).cast("double") for f in features]).unpivot("y", list(features), "feature", "v").where("v is not null")
     auc = auroc(rows, "y", "v", ["feature"])
     test = mann_whitney(rows.withColumn("one", F.col("y") > 0), "one", "v", ["feature"]).select("feature", "p")
@@ -378,3 +464,18 @@ def threshold_sweep(df: DataFrame, value: str, score: str, cuts: Sequence[float]
     rows = df.select(F.col(value).alias("v"), F.col(score).alias("s")).crossJoin(table).withColumn("y", (F.col("v") > F.col("cut")).cast("int"))
     out = auroc(rows, "y", "s", ["cut"])
     return out.select("cut", "n_pos", "n_neg", F.when((F.col("n_pos") >= min_count) & (F.col("n_neg") >= min_count), F.col("auroc")).alias("auroc"))
+
+
+def threshold_sweep_ci(df: DataFrame, value: str, score: str, cuts: Sequence[float], key: str, draws: int, seed: int = 0, min_count: int = 5, level: float = 0.95) -> DataFrame:
+    """``threshold_sweep`` with (lo, hi) of the AUC by Poisson bootstrap of rows; replicates without both classes are passed over."""
+    spark = df.sparkSession
+    table = F.broadcast(spark.createDataFrame([(float(c),) for c in cuts], "cut double"))
+    turns = F.broadcast(spark.range(draws).withColumnRenamed("id", "__r"))
+    rows = df.select(F.col(key).cast("string").alias("__k"), F.col(value).alias("v"), F.col(score).alias("s")).where("v is not null and s is not null").crossJoin(turns)
+    rows = rows.withColumn("__w", poisson_weight(seed, F.col("__r").cast("string"), F.col("__k"))).where("__w > 0").crossJoin(table)
+    up = (F.col("v") > F.col("cut")).cast("int")
+    cells = rows.groupBy("cut", "__r", "s").agg(F.sum(F.col("__w") * up).alias("p"), F.sum(F.col("__w") * (1 - up)).alias("q"))
+    below = F.coalesce(F.sum("q").over(Window.partitionBy("cut", "__r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = cells.withColumn("won", F.col("p") * (below + F.col("q") / 2)).groupBy("cut", "__r").agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
+    ends = each.groupBy("cut").agg(F.percentile("auc", (1 - level) / 2).alias("lo"), F.percentile("auc", (1 + level) / 2).alias("hi"))
+    return threshold_sweep(df, value, score, cuts, min_count).join(ends, "cut", "left").select("cut", "n_pos", "n_neg", "auroc", *[F.when(F.col("auroc").isNotNull(), F.col(c)).alias(c) for c in ("lo", "hi")])

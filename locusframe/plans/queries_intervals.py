@@ -101,7 +101,11 @@ def j12(v):
     return iv.mark_calls(v("fx_windows2k"), peaks.where("peak_id % 2 = 0"), peaks.where("peak_id % 2 = 1"), ["click", "view"], "locus_id")
 
 
-@register("j13_spaced_topk")
+@register("j13_spaced_topk", """with recursive o as (select *, row_number() over (partition by chrom order by signal desc, start_pos, end_pos) as r from (select chrom, start_pos, end_pos, max(signal) as signal from fx_peaks group by all)),
+    g as (select distinct chrom, 0::bigint as r, []::bigint[] as kept, false as taken from o union all
+      select g.chrom, o.r, case when len(g.kept) < 20 and len(list_filter(g.kept, lambda x: abs(x - o.start_pos) < 5000)) = 0 then list_append(g.kept, o.start_pos) else g.kept end, len(g.kept) < 20 and len(list_filter(g.kept, lambda x: abs(x - o.start_pos) < 5000)) = 0
+      from g join o on o.chrom = g.chrom and o.r = g.r + 1)
+    select o.chrom, start_pos, end_pos, signal from g join o on o.chrom = g.chrom and o.r = g.r where taken""")
 def j13(v):
     return iv.spaced_topk(v("fx_peaks"), "chrom", 5000, 20)
 

@@ -1,9 +1,12 @@
 """Ranking queries."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from locusframe.operators import rank as rk
 from locusframe.plans.catalog import register
+from locusframe.plans.queries_stats import BITS
 
 R = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
 DOM = "a.efficacy >= b.efficacy and a.specificity >= b.specificity and a.robustness >= b.robustness and a.safety >= b.safety and (a.efficacy > b.efficacy or a.specificity > b.specificity or a.robustness > b.robustness or a.safety > b.safety)"
@@ -62,7 +65,16 @@ def r5_preferred(v):
     return rk.select_top(rk.pareto_fronts(v("fx_scores"), "id", max_rank=1).where("rank = 0"), 10, "id", (1, 1, 1, 1)).select("id", *R("composite"))
 
 
-@register("r6_front_membership")
+def noisy(o: str) -> str:
+    return f"least(1, greatest(0, {o} + 0.02::double * sqrt(-2 * ln(greatest({BITS(_q('0'), 'r::varchar', 'id::varchar', _q(o), _q('1'))}, 1e-12))) * cos({2 * math.pi!r}::double * {BITS(_q('0'), 'r::varchar', 'id::varchar', _q(o), _q('2'))}))) as {o}"
+
+
+_q = "'{}'".format
+BEATEN = f"{' and '.join(f'y.{o} >= x.{o}' for o in rk.OBJECTIVES)} and ({' or '.join(f'y.{o} > x.{o}' for o in rk.OBJECTIVES)})"
+
+
+@register("r6_front_membership", f"""with f as (select * from fx_scores x where not exists (select 1 from fx_scores y where {BEATEN})), d as (select id, r, {', '.join(noisy(o) for o in rk.OBJECTIVES)} from f, (select unnest(range(20)) as r)),
+    w as (select id, count(*) / 20 as p from d x where not exists (select 1 from d y where y.r = x.r and {BEATEN}) group by id) select f.id, coalesce(p, 0) as p from f left join w using (id)""")
 def r6(v):
     return rk.front_membership(rk.front(v("fx_scores")), "id", 20)
 

@@ -128,6 +128,11 @@ def q15(v):
     return sq.motif_network(sq.pwm_best(PWMS, v("fx_seq"), "seq", "id"), [0.3, 0.6, 0.9])
 
 
+@register("q15_score_summary", f"with {MOTIFS} select count(*) as nonzero, round(avg(score), 6) as mean, {', '.join(f'round(quantile_cont(score, {p / 100}), 6) as p{p}' for p in (50, 75, 90, 95, 99))} from p where score > 0")
+def q15_summary(v):
+    return sq.motif_score_summary(sq.pwm_best(PWMS, v("fx_seq"), "seq", "id")).select("nonzero", *R("mean", "p50", "p75", "p90", "p95", "p99"))
+
+
 @register("q16_motif_spans", f"""with m as (select 'GAATTC' as motif, 'GAATTC' as k union all select 'GGTCTC', 'GGTCTC' union all select 'GGTCTC', 'GAGACC'), i as (select id, i - 1 as start, substr(seq, i, 6) as k from (select id, seq, unnest(generate_series(1, length(seq) - 5)) as i from fx_seq where length(seq) >= 6))
     select distinct id, motif, start, start + 6 as "end" from i join m using (k)""")
 def q16(v):
@@ -192,12 +197,19 @@ def q21(v):
     return sq.fetch_windows(loci, chunk_text(s, "id", "seq", 512, 0), 100, 512, "locus_id")
 
 
-@register("q22_enhancer_dataset")
+DRAW = lambda what: f"('0x' || substr(sha256('0' || chr(58) || '{what}' || chr(58) || chrom || chr(58) || candidate::varchar), 1, 12))::bigint"
+
+
+@register("q22_enhancer_dataset", f"""with sizes as (select chrom, max(end_pos) as size from fx_peaks group by chrom), best as (select w.locus_id::varchar as locus_id, w.chrom, w.start_pos, w.end_pos, coalesce(max(p.signal), 0) as best from fx_windows2k w left join fx_peaks p on p.chrom = w.chrom and w.start_pos < p.end_pos and w.end_pos > p.start_pos group by all),
+    idle as (select * from best where best <= 0 order by sha256('0' || chr(58) || locus_id), locus_id limit 250), cand as (select chrom, candidate, {DRAW('place')} % greatest(size - 2000, 1) as start_pos, {DRAW('order')} as o from sizes, (select unnest(range(1001)) as candidate)),
+    ground as (select chrom || chr(58) || candidate::varchar as place, chrom, start_pos, start_pos + 2000 as end_pos from cand c where not exists (select 1 from fx_peaks p where p.chrom = c.chrom and c.start_pos < p.end_pos and c.start_pos + 2000 > p.start_pos) order by o, place limit 250),
+    r as (select * from best where best > 0 union all select * from idle union all select *, 0 from ground) select locus_id, chrom, start_pos, end_pos, best > 0 as active, round(ln(1 + best) / (select max(ln(1 + best)) from r), 6) as target from r""")
 def q22(v):
     from locusframe.operators.datasets import labelled_windows
 
     sizes = v("fx_peaks").groupBy("chrom").agg(F.max("end_pos").alias("size"))
-    return labelled_windows(v("fx_windows2k"), v("fx_peaks"), sizes, "locus_id", 500, 2000)
+    found = labelled_windows(v("fx_windows2k"), v("fx_peaks"), sizes, "locus_id", 500, 2000)
+    return found.select("locus_id", "chrom", "start_pos", "end_pos", "active", *R("target"))
 
 
 @register("q23_nn_identity", """with s as (select id, seq, length(seq) as n from fx_seq where length(seq) > 0),

@@ -116,6 +116,17 @@ def t9(v):
     return st.paired_bootstrap(groups(v), "x", "y", "grp", 200, 3).select(*R("estimate", "lo", "hi"))
 
 
+WEIGHTED = f"""{GROUPS}, w as (select r, x - y as d, {poisson("'3'", 'r::varchar', 'grp')} as w from g, (select unnest(range(200)) as r)), e as (select r, d, unnest(range(w)) as i from w where w > 0)"""
+
+
+@register("t9_bootstrap_median", f"""with {WEIGHTED}, s as (select r, median(d) as m, stddev_samp(d) as s from e group by r) select (select round(median(x - y), 6) from g) as median, round(quantile_cont(m, 0.025), 6) as m_lo, round(quantile_cont(m, 0.975), 6) as m_hi,
+    (select round(stddev_samp(x - y), 6) from g) as spread, round(quantile_cont(s, 0.025), 6) as s_lo, round(quantile_cont(s, 0.975), 6) as s_hi from s""")
+def t9_median(v):
+    rows = groups(v).withColumn("d", F.col("x") - F.col("y"))
+    both = [st.bootstrap_ci(rows, "d", "grp", 200, 3, statistic=f).select(F.round("estimate", 6).alias(n), F.round("lo", 6).alias(f"{n[0]}_lo"), F.round("hi", 6).alias(f"{n[0]}_hi")) for n, f in (("median", st.weighted_median), ("spread", st.weighted_spread))]
+    return both[0].crossJoin(both[1])
+
+
 @register("t10_bootstrap_auc", f"""with b as (select id, label, score as a, score * (1 + (id % 7)) as b from fx_labels), w as (select r, label, a, b, case when r < 0 then 1 else {poisson("'5'", 'r::varchar', 'id::varchar')} end as w from b, (select unnest(range(-1, 40)) as r)),
     auc as (select 'a' as k, r, a as s, label, w from w where w > 0 union all select 'b', r, b, label, w from w where w > 0), c as (select k, r, s, sum(w * label) as p, sum(w * (1 - label)) as q from auc group by k, r, s),
     o as (select *, coalesce(sum(q) over (partition by k, r order by s rows between unbounded preceding and 1 preceding), 0) as below from c), e as (select k, r, sum(p * (below + q / 2.0)) / (sum(p) * sum(q)) as auc from o group by k, r),
@@ -139,6 +150,12 @@ def t12(v):
     return st.tost(v("fx_labels").withColumn("g", F.col("label") > 0), "g", "score", 500.0, ["grp"]).select("grp", *R("diff", "t_lower", "t_upper"))
 
 
+@register("t12_tost_paired", """with s as (select grp, avg(pred_a - target) as diff, sqrt(var_samp(pred_a - target) / count(*)) as se, count(*) - 1 as n from fx_pred group by grp having count(*) > 1)
+    select grp, round(diff, 6) as diff, n::double as df, round((diff + 500) / se, 6) as t_lower, round((500 - diff) / se, 6) as t_upper from s""")
+def t12_paired(v):
+    return st.tost_paired(v("fx_pred"), "pred_a", "target", 500.0, ["grp"]).select("grp", F.round("diff", 6).alias("diff"), "df", *R("t_lower", "t_upper"))
+
+
 @register("t13_conformal", """with e as (select grp, abs(target - pred_a) as e, row_number() over (partition by grp order by abs(target - pred_a)) as r, count(*) over (partition by grp) as n from fx_pred),
     q as (select grp, e as radius from e where r = least(ceil((n + 1) * 0.9), n)) select grp, round(radius, 6) as radius, round(avg((target between pred_b - radius and pred_b + radius)::int), 6) as coverage from q join fx_pred using (grp) group by grp, radius""")
 def t13(v):
@@ -148,11 +165,29 @@ def t13(v):
     return st.coverage_rate(inside, "target", "lo", "hi", ["grp"]).join(radius, "grp").select("grp", *R("radius", "coverage"))
 
 
-@register("t14_jackknife", "select grp, round((sum(score) - max(score)) / (count(*) - 1), 6) as lo, round((sum(score) - min(score)) / (count(*) - 1), 6) as hi, round((max(score) - min(score)) / (count(*) - 1), 6) as range, round(stddev_pop(score) / (count(*) - 1), 6) as std from fx_labels group by grp having count(*) > 1")
+@register("t14_jackknife", "select grp, round((sum(score) - max(score)) / (count(*) - 1), 6) as lo, round((sum(score) - min(score)) / (count(*) - 1), 6) as hi, round((max(score) - min(score)) / (count(*) - 1), 6) as range, round(stddev_samp(score) / (count(*) - 1), 6) as std from fx_labels group by grp having count(*) > 1")
 def t14(v):
     return st.jackknife(v("fx_labels"), "score", ["grp"]).select("grp", *R("lo", "hi", "range", "std"))
 
 
+@register("t14_jackknife_variance", """with m as (select grp, avg(score) as m, var_pop(score) as v, count(*) as n from fx_labels group by grp having count(*) > 2), e as (select grp, (n * v - (score - m) * (score - m) * n / (n - 1)) / (n - 2) as e from fx_labels join m using (grp))
+    select grp, round(min(e) / 1000, 3) as lo, round(max(e) / 1000, 3) as hi, round((max(e) - min(e)) / 1000, 3) as range, round(stddev_samp(e) / 1000, 3) as std from e group by grp""")
+def t14_variance(v):
+    return st.jackknife(v("fx_labels"), "score", ["grp"], "variance").select("grp", *[F.round(F.col(c) / 1000, 3).alias(c) for c in ("lo", "hi", "range", "std")])
+
+
+MATCHED = """c as (select unnest([0.5, 2.0]) as caliper), g as (select gene, driver::int as y, log2fc as s, beta * 20 as c from fx_genes)"""
+
+
+@register("t17_matched_auc_null", f"""with {MATCHED}, d as (select r, s, c, (row_number() over (partition by r order by sha256('4' || chr(58) || r || chr(58) || gene)) <= (select sum(y) from g))::int as y from g, (select unnest(range(10)) as r)),
+    o as (select caliper, count(*) as pairs, avg(case when p.s > n.s then 1.0 when p.s = n.s then 0.5 else 0 end) as concordance from c, g p, g n where p.y > 0 and n.y = 0 and abs(p.c - n.c) <= caliper group by caliper),
+    e as (select caliper, p.r, avg(case when p.s > n.s then 1.0 when p.s = n.s then 0.5 else 0 end) as a from c, d p, d n where p.r = n.r and p.y > 0 and n.y = 0 and abs(p.c - n.c) <= caliper group by caliper, p.r)
+    select o.caliper::double as caliper, pairs, round(concordance, 6) as concordance, count(*) filter (a >= concordance - 1e-12) as ge from o join e using (caliper) group by all""")
+def t17_null(v):
+    rows = v("fx_genes").select("gene", F.col("driver").cast("int").alias("y"), F.col("log2fc").alias("s"), (F.col("beta") * 20).alias("c"))
+    return st.matched_auc_null(rows, "y", "s", "c", [0.5, 2.0], "gene", 10, 4).select("caliper", "pairs", *R("concordance"), "ge")
+
+
 @register("t17_matched_auc", """with c as (select unnest([0.5, 2.0]) as caliper), g as (select driver::int as y, log2fc as s, beta * 20 as c from fx_genes)
     select caliper::double as caliper, count(*) as pairs, round(avg(case when p.s > n.s then 1.0 when p.s = n.s then 0.5 else 0 end), 6) as concordance from c, g p, g n where p.y > 0 and n.y = 0 and abs(p.c - n.c) <= caliper group by caliper""")
 def t17(v):
@@ -172,6 +207,19 @@ def t19(v):
     return st.partial_spearman(v("fx_genes"), "log2fc", "det", "beta").select(*R("partial_spearman"))
 
 
+@register("t19_residual_spearman", f"""with m as (select avg(log2fc) as mx, avg(det) as my, avg(beta) as ma, avg(amp) as mb, var_pop(beta) as va, var_pop(amp) as vb, covar_pop(beta, amp) as ab, covar_pop(log2fc, beta) as xa, covar_pop(log2fc, amp) as xb, covar_pop(det, beta) as ya, covar_pop(det, amp) as yb from fx_genes),
+    e as (select round(log2fc - ((xa * vb - xb * ab) * beta + (xb * va - xa * ab) * amp) / (va * vb - ab * ab), 9) as x, round(det - ((ya * vb - yb * ab) * beta + (yb * va - ya * ab) * amp) / (va * vb - ab * ab), 9) as y from fx_genes, m),
+    r as (select {RANK('x')} as x, {RANK('y')} as y, count(*) over () as n from e) select round(corr(x, y), 4) as spearman, any_value(n) as n from r""")
+def t19_residual(v):
+    return st.residual_spearman(v("fx_genes"), "log2fc", "det", ["beta", "amp"]).select(F.round("spearman", 4).alias("spearman"), "n")
+
+
+@register("t20_spearman_screen", f"""with u as (select log2fc as t, f as feature, case f when 'amp' then amp when 'del' then del when 'beta' then beta else det end as v from fx_genes, (select unnest(['amp', 'del', 'beta', 'det']) as f)),
+    r as (select feature, {RANK('v', 'feature')} as rv, {RANK('t', 'feature')} as rt from u) select feature, round(corr(rv, rt), 6) as rho, count(*) as n from r group by feature""")
+def t20_spearman(v):
+    return st.spearman_screen(v("fx_genes"), "log2fc", ["amp", "del", "beta", "det"]).select("feature", *R("rho"), "n")
+
+
 @register("t20_univariate_screen", f"""with u as (select control::int as y, f as feature, case f when 'log2fc' then log2fc when 'amp' then amp when 'del' then del when 'beta' then beta else det end as v from fx_genes, (select unnest(['log2fc', 'amp', 'del', 'beta', 'det']) as f)),
     r as (select *, {RANK('v', 'feature')} as rk from u), a as (select feature, (sum(rk) filter (y > 0) - count(*) filter (y > 0) * (count(*) filter (y > 0) + 1) / 2) / (count(*) filter (y > 0) * count(*) filter (y = 0)) as auc from r group by feature)
     select feature, round(auc, 6) as auroc, round(abs(auc - 0.5) * 2, 6) as effect, case when auc >= 0.5 then 'higher' else 'lower' end as direction from a""")
@@ -192,6 +240,13 @@ def t23(v):
     return st.threshold_sweep(v("fx_genes"), "beta", "log2fc", [0.25, 0.5, 0.9]).select("cut", "n_pos", "n_neg", *R("auroc"))
 
 
+@register("t23_threshold_sweep_ci", f"""with c as (select unnest([0.25, 0.5]) as cut), d as (select cut, r, beta, log2fc as s, {poisson("'6'", 'r::varchar', 'gene')} as w from fx_genes, c, (select unnest(range(20)) as r)),
+    k as (select cut, r, s, sum(w * (beta > cut)::int) as p, sum(w * (beta <= cut)::int) as q from d where w > 0 group by cut, r, s), o as (select *, coalesce(sum(q) over (partition by cut, r order by s rows between unbounded preceding and 1 preceding), 0) as below from k),
+    a as (select cut, r, sum(p * (below + q / 2.0)) / (sum(p) * sum(q)) as auc from o group by cut, r) select cut::double as cut, round(quantile_cont(auc, 0.025), 6) as lo, round(quantile_cont(auc, 0.975), 6) as hi from a group by cut""")
+def t23_ci(v):
+    return st.threshold_sweep_ci(v("fx_genes"), "beta", "log2fc", [0.25, 0.5], "gene", 20, 6).select("cut", *R("lo", "hi"))
+
+
 @register("t24_precision_at_k", "with r as (select control, row_number() over (order by beta desc, gene) as r from fx_genes), k as (select unnest([10, 100]) as k) select k::int as k, round(sum(control::int) / k, 6) as precision from k join r on r.r <= k.k group by k")
 def t24(v):
     return st.precision_at_k(v("fx_genes"), "control", "beta", [10, 100], "gene").select("k", *R("precision"))
@@ -203,6 +258,16 @@ def t25(v):
     return md.cv_auc(rows, ["amp", "beta", "det", "del"], "y", "gene").select("seed", F.round("auroc", 2).alias("auroc"), "n_pos", "n_neg")
 
 
+@register("t25_cv_variants")
+def t25_variants(v):
+    rows = v("fx_genes").withColumn("y", (F.col("log2fc") + F.col("beta") > 0.8).cast("double"))
+    features = ["amp", "beta", "det"]
+    one = md.cv_univariate(rows, features, "y", "gene", folds=2).select(F.concat(F.lit("only "), "feature").alias("what"), F.round("auroc", 2).alias("value"))
+    gone = md.cv_ablation(rows, features, "y", "gene", folds=2).select(F.concat(F.lit("without "), F.coalesce("without", F.lit("none"))).alias("what"), F.round("auroc", 2).alias("value"))
+    null = md.cv_null(rows, ["beta"], "y", "gene", 4, folds=2).select(F.lit("p").alias("what"), F.col("p").alias("value"))
+    return one.unionByName(gone).unionByName(null)
+
+
 @register("t26_permutation_importance")
 def t26(v):
     rows = v("fx_genes").withColumn("y", (F.col("log2fc") + F.col("beta") > 0.8).cast("double"))

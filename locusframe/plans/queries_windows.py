@@ -211,9 +211,13 @@ def n3(v):
     return gr.pagerank(v("fx_edges")).select("node", *R("rank"))
 
 
-@register("n4_hits")
+#: Hubs are the power iteration of edges times their turned edges; each round is scaled by the mean entry.
+@register("n4_hits", """with recursive nd as (select distinct node from (select src as node from fx_edges union all select dst from fx_edges)), m as (select a.src, b.src as dst, sum(a.weight * b.weight) as w from fx_edges a join fx_edges b on a.dst = b.dst group by a.src, b.src), sc as (select sum(w) / (select count(*) from nd) as s from m),
+    h as (select 0 as t, node, 1.0::double as x from nd union all select t + 1, node, coalesce((select sum(w * x) from m join h q on q.node = m.dst where m.src = nd.node), 0) / (select s from sc) from nd, (select max(t) as t from h) where t < 60),
+    l as (select node, x / sqrt(sum(x * x) over ()) as hub from h where t = 60), a as (select dst as node, sum(weight * hub) as a from fx_edges join l on l.node = src group by dst)
+    select node, round(hub, 6) as hub, round(coalesce(a, 0) / sqrt(sum(a * a) over ()), 6) as authority from l left join a using (node)""")
 def n4(v):
-    return gr.hits(v("fx_edges"), rounds=10).select("node", *R("hub", "authority"))
+    return gr.hits(v("fx_edges")).select("node", *R("hub", "authority"))
 
 
 @register("n4_hub_proxy", "with s as (select dst as node, sum(weight) as s from fx_edges group by dst) select src as node, sum(weight * s) as hub from fx_edges join s on s.node = dst group by src")
@@ -221,9 +225,11 @@ def n4_proxy(v):
     return gr.hub_proxy(v("fx_edges"))
 
 
-@register("n5_eigencentrality")
+@register("n5_eigencentrality", """with recursive nd as (select distinct node from (select src as node from fx_edges union all select dst from fx_edges)), sc as (select count(*)::double / (select count(*) from nd) as s from fx_edges),
+    c as (select 0 as t, node, 1.0::double as x from nd union all select t + 1, node, coalesce((select sum(x) from fx_edges e join c q on q.node = e.dst where e.src = nd.node), 0) / (select s from sc) from nd, (select max(t) as t from c) where t < 100)
+    select node, round(x / sqrt(sum(x * x) over ()), 6) as centrality from c where t = 100""")
 def n5(v):
-    return gr.eigencentrality(v("fx_edges"), rounds=10).select("node", *R("centrality"))
+    return gr.eigencentrality(v("fx_edges")).select("node", *R("centrality"))
 
 
 @register("n6_centrality_composite", """with d as (select node, coalesce(o.d, 0) as a, coalesce(i.d, 0) as b from (select src as node, sum(weight) as d from fx_edges group by src) o full join (select dst as node, count(*) as d from fx_edges group by dst) i using (node))
