@@ -29,10 +29,12 @@ def enrichment(df: DataFrame, keys: Sequence[str] = ("mark", "locus")) -> DataFr
 
 
 def per_million(mean: Column, depth: Column) -> Column:
+    """Mean per million reads; 0 where the depth is 0 or null; a null mean is null."""
     return F.when(depth > 0, mean / (depth / 1e6)).otherwise(0.0)
 
 
 def classify_mark(c: str) -> Column:
+    """Kind of a mark by its name, without regard to case; null, empty and ``?`` are unknown, any other name is a factor."""
     t = F.upper(F.coalesce(F.col(c), F.lit("")))
     chain = F.when(t.isin("", "?"), "unknown")
     for name, kind in TARGET_CLASS.items():
@@ -59,6 +61,7 @@ def chromatin_state(high: float = HIGH, low: float = LOW) -> Column:
 
 
 def chromatin_features(df: DataFrame) -> DataFrame:
+    """``df`` with activity and state from one column per mark. A null mark makes what it enters null."""
     mean = lambda ms: sum((F.col(m) for m in ms), F.lit(0.0)) / len(ms)
     out = df.withColumn("active_signal", mean(ACTIVE)).withColumn("repressive_signal", mean(REPRESSIVE)).withColumn("bivalency", F.least("H3K4me3", "H3K27me3"))
     score = (F.col("active_signal") - F.col("repressive_signal")) / (F.col("active_signal") + F.col("repressive_signal") + 1e-6)
@@ -177,6 +180,8 @@ def leave_one_out(df: DataFrame, target: str, value: str, key: str) -> DataFrame
 
 
 def genome3d_features(loci: DataFrame, compartments: DataFrame, insulation: DataFrame, boundaries: DataFrame, key: str) -> DataFrame:
+    """``loci`` with eigenvector, insulation, distance to the nearest boundary and compartment. Loci that no record
+    overlaps have null means and a null compartment; rows without a key have no row."""
     a = window_mean(loci, compartments, key).select(key, F.col("mean").alias("eigenvector"))
     b = window_mean(loci, insulation, key).select(key, F.col("mean").alias("insulation"))
     c = nearest_distance(loci.withColumn("pos", F.col("tss")), boundaries).select(key, "distance")

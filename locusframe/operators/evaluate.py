@@ -16,6 +16,7 @@ DATA_CLASSES = ("REAL", "DERIVED", "POINTER", "SYNTHETIC", "PLACEHOLDER")
 
 
 def assert_empty(violations: DataFrame) -> None:
+    """Raise with the first violations, if there are any."""
     first = violations.head(5)
     if first:
         raise ValueError(f"violations: {first}")
@@ -122,6 +123,7 @@ def leakage_audit(df: DataFrame, key: str, train: str, held_out: Sequence[str],
 
 
 def split_counts(df: DataFrame) -> DataFrame:
+    """(split, n, groups) over all rows; null splits are one split, null groups are not counted."""
     return df.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("sample_group").alias("groups"))
 
 
@@ -198,6 +200,7 @@ def verify_provenance(artifacts: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def inventory(df: DataFrame, by: Sequence[str], statuses: Sequence[str]) -> DataFrame:
+    """Rows, bytes and rows of each status per ``by``; null bytes and statuses are passed over."""
     return df.groupBy(*by).agg(F.count("*").alias("artifacts"), F.sum("bytes").alias("bytes"), *[F.sum((F.col("status") == s).cast("long")).alias(s) for s in statuses])
 
 

@@ -58,10 +58,12 @@ def overlap_flag(a: DataFrame, b: DataFrame, name: str, key: str, size: int = BI
 
 
 def overlap_semi(a: DataFrame, b: DataFrame, key: str, size: int = BIN) -> DataFrame:
+    """Rows of ``a`` whose key has an overlap in ``b``; rows with a null key or place go. Keys should name rows."""
     return a.join(overlap_join(a, b, size=size).select(key).distinct(), key, "left_semi")
 
 
 def overlap_anti(a: DataFrame, b: DataFrame, key: str, size: int = BIN) -> DataFrame:
+    """Rows of ``a`` whose key has no overlap in ``b``; rows with a null key or place stay."""
     return a.join(overlap_join(a, b, size=size).select(key).distinct(), key, "left_anti")
 
 
@@ -155,6 +157,7 @@ def coverage(reads: DataFrame, regions: DataFrame, key: str, per_base: bool = Fa
 
 
 def tss_window(df: DataFrame, up: int, down: int) -> DataFrame:
+    """``df`` with ``up`` bases before and ``down`` after the start site, by strand, from 0 on; no strand reads as minus."""
     plus = F.col("strand") == "+"
     return df.withColumn("start_pos", F.greatest(F.lit(0), F.when(plus, F.col("tss") - up).otherwise(F.col("tss") - down))).withColumn(
         "end_pos", F.when(plus, F.col("tss") + down).otherwise(F.col("tss") + up))

@@ -26,10 +26,12 @@ def gene_matrix(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 
 def wide(df: DataFrame, samples: Sequence[str]) -> DataFrame:
+    """A row per gene and a column per named sample; of repeated cells one stays, cells without a row are null."""
     return df.groupBy("gene").pivot("sample", list(samples)).agg(F.first("value"))
 
 
 def cna_summary(df: DataFrame) -> DataFrame:
+    """(gene, mean, amp_freq, del_freq) of copy-number calls; null and NaN values are passed over."""
     v = F.when(~F.isnan("value"), F.col("value"))
     return df.groupBy("gene").agg(F.avg(v).alias("mean"), F.avg((v >= 1).cast("double")).alias("amp_freq"), F.avg((v <= -1).cast("double")).alias("del_freq"))
 
@@ -49,6 +51,7 @@ def methylation_mean(df: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def protein_summary(df: DataFrame) -> DataFrame:
+    """(gene, mean, detection_rate): rows with a value over all rows of a gene."""
     return df.groupBy("gene").agg(F.avg("value").alias("mean"), (F.count("value") / F.count("*")).alias("detection_rate"))
 
 
@@ -101,6 +104,7 @@ def specificity_q(df: DataFrame, value: str) -> DataFrame:
 
 
 def oncogenic_confidence(df: DataFrame, freq: str = "mut_freq", kind: str = "mut_type_score", driver: str = "driver") -> DataFrame:
+    """``df`` with a logistic score of frequency (as z), driver kind and driver flag; a null part gives a null score."""
     moments = df.agg(F.avg(freq).alias("__m"), F.stddev_pop(freq).alias("__s"))
     logit = 0.4 * (F.col(freq) - F.col("__m")) / (F.col("__s") + 1e-9) + 0.3 * F.col(kind) + 0.2 * F.col(driver).cast("double")
     return df.crossJoin(F.broadcast(moments)).withColumn("oncogenic_confidence", 1 / (1 + F.exp(-logit))).drop("__m", "__s")
@@ -128,11 +132,13 @@ def criteria(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def composite(df: DataFrame, weights: dict[str, float], name: str = "composite") -> DataFrame:
+    """``df`` with the weighted mean of columns; weights need not add up to 1, a null column gives null."""
     total = sum(weights.values()) or 1.0
     return df.withColumn(name, reduce(Column.__add__, [F.col(c) * (w / total) for c, w in weights.items()]))
 
 
 def topk_per(df: DataFrame, part: str | None, score: str, k: int, tie: str) -> DataFrame:
+    """The ``k`` best rows, in all or per ``part``, ties by ``tie``; null scores come last."""
     if part is None:
         return df.orderBy(F.desc(score), F.asc(tie)).limit(k)
     order = Window.partitionBy(part).orderBy(F.desc(score), F.asc(tie))
@@ -140,6 +146,7 @@ def topk_per(df: DataFrame, part: str | None, score: str, k: int, tie: str) -> D
 
 
 def weight_grid(names: Sequence[str], step: float = 0.25) -> list[tuple[float, ...]]:
+    """All weights in steps of ``step`` that add up to 1."""
     levels = round(1 / step)
     return [tuple(x * step for x in c) for c in product(range(levels + 1), repeat=len(names)) if sum(c) == levels]
 
@@ -202,12 +209,14 @@ def select_genes(df: DataFrame, n: int, keep: DataFrame, share: float = 0.5, lev
 
 
 def scale_states(df: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """``df`` with ``state``: the value scaled by its gene's range, within [low, high]; a gene of one value is low, null stays null."""
     edges = df.groupBy("gene").agg(F.min("value").alias("__a"), F.max("value").alias("__b"))
     scaled = F.when(F.col("__b") > F.col("__a"), (F.col("value") - F.col("__a")) / (F.col("__b") - F.col("__a"))).otherwise(0.0)
     return df.join(edges, "gene").withColumn("state", F.least(F.greatest(scaled, F.lit(low)), F.lit(high))).drop("__a", "__b")
 
 
 def call_subtype(df: DataFrame, a: str, b: str, margin: float = 0.2) -> DataFrame:
+    """``df`` with ``call``: the larger of two scores, ambiguous within ``margin``, intermediate if neither is over 0."""
     call = F.when(F.greatest(a, b) <= 0, "intermediate").when(F.abs(F.col(a) - F.col(b)) < margin, "ambiguous").when(F.col(a) > F.col(b), a).otherwise(b)
     return df.withColumn("call", call)
 
@@ -222,4 +231,5 @@ def group_diff(df: DataFrame, group: str, margins: Sequence[float] = (0.0,), min
 
 
 def universe(sets: Sequence[DataFrame], available: DataFrame) -> DataFrame:
+    """Genes of any set that are available too, each once."""
     return reduce(DataFrame.unionByName, [s.select("gene") for s in sets]).distinct().intersect(available.select("gene"))

@@ -88,6 +88,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
 
 
 def fit_regressor(df: DataFrame, features: Sequence[str], label: str, kind: str = "gbt", seed: int = 0) -> PipelineModel:
+    """A fitted pipeline; rows with a null feature or label must go before."""
     learner = GBTRegressor(labelCol=label, featuresCol="raw", maxIter=20, maxDepth=4, seed=seed) if kind == "gbt" else RandomForestRegressor(labelCol=label, featuresCol="raw", numTrees=20, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), learner]).fit(df)
 
@@ -101,4 +102,5 @@ def to_unit(df: DataFrame, value: str, train: DataFrame, train_value: str) -> Da
 
 
 def blend(a: str, b: str, weight: float):
+    """Weighted mean of two columns; null if either is."""
     return F.col(a) * weight + F.col(b) * (1 - weight)

@@ -80,6 +80,7 @@ def offtargets(chunks: DataFrame, guides: DataFrame, k: int = 4) -> DataFrame:
 
 
 def hamming(a: Column, b: Column, n: int = SPACER) -> Column:
+    """Places of the first ``n`` letters that differ; null if one string is shorter than the other."""
     return F.aggregate(F.zip_with(F.slice(F.split(a, ""), 1, n), F.slice(F.split(b, ""), 1, n), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
@@ -129,6 +130,7 @@ def _penalty(positions: Column) -> Column:
 
 
 def cfd_style(guide: str, site: str, pam: str) -> Column:
+    """Product of position penalties at mismatches and the factor of the last two PAM letters."""
     factor = F.create_map(*[F.lit(x) for kv in PAM_FACTOR.items() for x in kv])
     return _penalty(_positions(guide, site)) * F.coalesce(F.try_element_at(factor, F.upper(F.expr(f"right({pam}, 2)"))), F.lit(OTHER_PAM))
 

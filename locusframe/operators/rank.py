@@ -17,6 +17,7 @@ OBJECTIVES = ("efficacy", "specificity", "robustness", "safety")
 
 
 def clip(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
+    """A column within [lo, hi]; null becomes ``lo``."""
     return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
 
 
@@ -27,14 +28,17 @@ def efficacy(*parts: str) -> Column:
 
 
 def specificity(likelihood: str, overlap: str, leak: str, w: tuple[float, float] = (0.5, 0.5)) -> Column:
+    """Weighted likelihood and overlap less leakage, within [0, 1]; a null input counts as 0."""
     return clip(w[0] * clip(F.col(likelihood)) + w[1] * clip(F.col(overlap)) - F.greatest(F.col(leak), F.lit(0.0)))
 
 
 def safety(*risks: str) -> Column:
+    """Product of one minus each risk; a null risk counts as 0."""
     return clip(reduce(Column.__mul__, [1 - clip(F.col(r)) for r in risks]))
 
 
 def composite(objectives: Sequence[str] = OBJECTIVES, weights: Sequence[float] | None = None) -> Column:
+    """Weighted mean of the objectives; null if one is."""
     w = list(weights or [1.0] * len(objectives))
     return reduce(Column.__add__, [F.col(o) * (x / sum(w)) for o, x in zip(objectives, w)])
 
@@ -167,6 +171,7 @@ def crowding(df: DataFrame, key: str, part: str = "rank", objectives: Sequence[s
 
 
 def select_top(df: DataFrame, k: int, key: str, preference: Sequence[float] | None = None, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
+    """At most ``k`` rows of the first front, by preference or by crowding, ties by key."""
     first = df.where("rank = 0")
     if preference:
         return first.withColumn("composite", composite(objectives, preference)).orderBy(F.desc(F.round("composite", 12)), key).limit(k)
@@ -205,6 +210,7 @@ def floors_report(df: DataFrame, key: str, floors: dict[str, float]) -> DataFram
 
 
 def design_space(promoters: DataFrame, enhancers: DataFrame, guides: DataFrame, target: str = "target") -> DataFrame:
+    """Every promoter, enhancer and guide of a target; targets that lack one have no row."""
     return promoters.join(enhancers, target).join(guides, target)
 
 

@@ -30,6 +30,7 @@ def _c(c) -> Column:
 
 
 def revcomp(c) -> Column:
+    """Reverse complement; letters other than ACGTN stay; null stays null."""
     return F.reverse(F.translate(_c(c), "ACGTacgtNn", "TGCAtgcaNn"))
 
 
@@ -134,10 +135,12 @@ def one_hot(c, length: int) -> Column:
 
 
 def augment_revcomp(df: DataFrame, seq: str) -> DataFrame:
+    """``df`` twice: as it is (+) and reverse complemented (-)."""
     return df.withColumn("strand", F.lit("+")).unionByName(df.withColumn(seq, revcomp(seq)).withColumn("strand", F.lit("-")))
 
 
 def melting_temp(c) -> Column:
+    """Melting temperature in degrees: by counts under 14 letters, by GC share from 14 on; null stays null."""
     s = F.upper(_c(c))
     at, cg, n = F.regexp_count(s, F.lit("[AT]")), F.regexp_count(s, F.lit("[GC]")), F.char_length(s)
     return F.when(n < 14, (2 * at + 4 * cg).cast("double")).otherwise(64.9 + 41 * (cg - 16.4) / F.greatest(n, F.lit(1)))
@@ -274,6 +277,7 @@ def cai(df: DataFrame, seq: str, key: str, usage: dict[str, float], frame: int =
 
 
 def max_homopolymer(c) -> Column:
+    """Length of the longest run of one base; 0 for null or empty."""
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(F.upper(_c(c)), F.lit("(A+|C+|G+|T+)"), F.lit(1)), lambda x: F.char_length(x))), F.lit(0))
 
 

@@ -62,6 +62,7 @@ def pearson(x, y) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, part: Sequence[str] = ()) -> DataFrame:
+    """(part, spearman, n) by Pearson of average ranks; pairs with a null are passed over; null if a side is constant."""
     ranked = avg_rank(avg_rank(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, part, "__rx"), y, part, "__ry")
     return ranked.groupBy(*part).agg(pearson("__rx", "__ry").alias("spearman"), F.count("*").alias("n"))
 
@@ -117,6 +118,7 @@ def ece(df: DataFrame, label: str, prob: str, bins: int = 10) -> DataFrame:
 
 
 def precision_at_k(df: DataFrame, label: str, score: str, ks: Sequence[int], tie: str) -> DataFrame:
+    """(k, precision) of the first k rows by score, ties by ``tie``; k rows count even if there are fewer."""
     top = df.orderBy(F.desc(score), F.asc(tie)).limit(max(ks)).withColumn("r", F.row_number().over(Window.orderBy(F.desc(score), F.asc(tie))))
     cuts = df.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
     return F.broadcast(cuts).join(top, F.col("r") <= F.col("k")).groupBy("k").agg((F.sum(F.col(label).cast("double")) / F.col("k")).alias("precision"))
@@ -191,6 +193,7 @@ def wilcoxon(df: DataFrame, x: str, y: str, part: Sequence[str] = ()) -> DataFra
 
 
 def hash_split_order(seed: int | Column, replicate: Column, key: str) -> Column:
+    """A digest to order rows by in a replicate, the same in every run."""
     return F.sha2(F.concat_ws(":", F.lit(seed), replicate.cast("string"), F.col(key).cast("string")), 256)
 
 
@@ -291,6 +294,7 @@ def bootstrap_auc(df: DataFrame, label: str, a: str, b: str, key: str, draws: in
 
 
 def wilson_ci(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    """Lower and upper end of the Wilson interval; [0, 1] without trials."""
     p = successes / n
     mid = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
@@ -331,6 +335,7 @@ def conformal_radius(df: DataFrame, score: str, level: float, part: Sequence[str
 
 
 def coverage_rate(df: DataFrame, target: str, lower: str, upper: str, part: Sequence[str] = ()) -> DataFrame:
+    """(part, coverage, width) of intervals; rows with a null are passed over."""
     return df.groupBy(*part).agg(F.avg(F.col(target).between(F.col(lower), F.col(upper)).cast("double")).alias("coverage"), F.avg(F.col(upper) - F.col(lower)).alias("width"))
 
 

@@ -19,10 +19,12 @@ def tile(sizes: DataFrame, length: int, stride: int | None = None) -> DataFrame:
 
 
 def hash_order(seed, *cols: str) -> Column:
+    """A digest of seed and columns to order rows by, the same in every run."""
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]), 256)
 
 
 def sample_windows(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
+    """``n`` rows by hash of their key: a sample by intent."""
     return df.orderBy(hash_order(seed, *key), *key).limit(n)
 
 
@@ -41,6 +43,7 @@ def bin_signal(track: DataFrame, windows: DataFrame, key: str, bin_size: int, va
 
 
 def masked_mean(values: str, mask: str) -> Column:
+    """Mean of the values whose mask is true; null without any. Null values are passed over."""
     kept = F.filter(F.zip_with(values, mask, lambda v, m: F.when(m, v.cast("double"))), lambda v: v.isNotNull())
     return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, v: s + v) / F.size(kept))
 
@@ -81,6 +84,7 @@ def split_by_role(df: DataFrame, policy: SplitPolicy | None = None) -> DataFrame
 
 
 def chrom_split(df: DataFrame, validation: Sequence[str], test: Sequence[str]) -> DataFrame:
+    """``df`` with its split by chromosome; a null chromosome is train."""
     return df.withColumn("split", F.when(F.col("chrom").isin(*test), "test").when(F.col("chrom").isin(*validation), "val").otherwise("train"))
 
 
@@ -94,6 +98,7 @@ def group_split(df: DataFrame, group: str, val_share: float, test_share: float,
 
 
 def hash_split(df: DataFrame, key: str, salt: str, val_share: float, test_share: float) -> DataFrame:
+    """``df`` with its split by a salted hash of the key, so a key keeps its split."""
     u = hash_bits(salt, F.col(key).cast("string"))
     return df.withColumn("split", F.when(u < test_share, "test").when(u < test_share + val_share, "val").otherwise("train"))
 
@@ -197,10 +202,12 @@ def hash_topn_per_stratum(df: DataFrame, strata: Sequence[str], n: int, seed: in
 
 
 def center_crop(c: str, n: int) -> Column:
+    """The middle ``n`` elements of an array at least that long."""
     return F.slice(c, F.expr(f"(size({c}) - {n}) div 2 + 1"), F.lit(n))
 
 
 def freeze_truth(df: DataFrame, ids: DataFrame, target: str, mask: str, key: str = "example_id") -> DataFrame:
+    """(key, target, mask) of the rows with the given ids; repeated rows stay."""
     return df.join(ids.select(key).distinct(), key, "left_semi").select(key, F.col(target).alias("target"), F.col(mask).alias("mask"))
 
 
@@ -211,4 +218,5 @@ def truth_violations(df: DataFrame, ids: DataFrame, key: str = "example_id") ->
 
 
 def quality_filter(df: DataFrame, vector: str, least: float) -> DataFrame:
+    """Rows whose last element is at least ``least``; rows with a null or empty vector go."""
     return df.where(F.element_at(vector, -1) >= least)

@@ -32,6 +32,7 @@ def read_narrowpeak(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
+    """``read_narrowpeak`` of a format without a signal: it is 0."""
     return read_narrowpeak(spark, path).withColumn("signal", F.lit(0.0))
 
 
@@ -97,6 +98,7 @@ class CatalogSpec:
 
 
 def read_catalog(spark: SparkSession, path: str, spec: CatalogSpec, sep: str = "\t") -> DataFrame:
+    """A delimited table by a ``CatalogSpec``. Columns that no header names are null, fields that are no number too."""
     df = spark.read.csv(path, sep=sep, header=True)
     have = {c.strip().lower(): c for c in df.columns}
     pick = {n: next((have[x.lower()] for x in names if x.lower() in have), None) for n, names in spec.columns.items()}
@@ -111,6 +113,7 @@ def read_catalog(spark: SparkSession, path: str, spec: CatalogSpec, sep: str = "
 
 
 def read_signal(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, start_pos, end_pos, value) of bedGraph; a value that is no number is null, rows without an end go."""
     return _fields(spark, path, 4).select(F.col("f")[0].alias("chrom"), _number(1, "long").alias("start_pos"), _number(2, "long").alias("end_pos"), _number(3).alias("value")).where("end_pos is not null")
 
 

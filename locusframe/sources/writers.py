@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 
 def write_windows(df: DataFrame, path: str, rows_per_file: int = 4096, by: str = "accession") -> None:
+    """Parquet in a folder per ``by``, at most so many rows a file; null ``by`` has a folder of its own."""
     df.write.partitionBy(by).option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
@@ -18,6 +19,7 @@ def write_sorted(df: DataFrame, path: str, keys: tuple[str, ...] = ("chrom", "st
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
+    """Gzipped JSON lines; null fields are left out."""
     df.write.option("compression", "gzip").json(path)
 
 

@@ -19,6 +19,7 @@ def stream_windows(spark: SparkSession, path: str, schema: StructType, include:
 
 
 def split_totals(rows: DataFrame) -> DataFrame:
+    """(split, sample_group, n); nulls are values of their own."""
     return rows.groupBy("split", "sample_group").agg(F.count("*").alias("n"))
 
 
