@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if "dir" not in _own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-locusframe-")
     return _own["dir"]
 
@@ -85,3 +87,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
         .unionByName(edges.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
     )
+
+
+SALTS = 16
+
+
+def component_minimum(nodes: DataFrame, reached: DataFrame, value: str) -> DataFrame:
+    """``nodes`` (node, value) with the smallest ``value`` of the node's component (``reached``: node, component).
+
+    Only linked nodes meet their component, whose one row is repeated for each salt, so a component of any size spreads
+    over tasks. Nodes that nothing reaches keep their value; nulls are passed over as smallest.
+    """
+    linked = nodes.join(reached, "node")
+    low = linked.groupBy("component").agg(F.min(value).alias("__low")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lowest = linked.withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(low, ["component", "__salt"]).select("node", "__low", F.lit(True).alias("__linked"))
+    return nodes.join(lowest, "node", "left").select("node", F.when(F.col("__linked"), F.col("__low")).otherwise(F.col(value)).alias(value))

@@ -7,7 +7,8 @@ and takes only what passes to the exact table. Insertions and deletions of docum
 into the filters or take them out again, so dedup can be undone document by document.
 
 A key is the 128-bit digest of a normalised line. Keys with over 1/2000 of all postings (at most 2000 of them, by
-arithmetic) are decided by a broadcast of that bounded list; all other keys are too small to skew a shard.
+arithmetic) are decided by a broadcast of that bounded list. A shard whose other keys have more postings than one task
+should hold is salted: its postings are dealt to several tasks, each with a copy of the shard's filter.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import table, written
+from locusframe.llm.decontamination import shards_of
 
 #: Fixed values of the contract: what is stripped, what is lower-cased, the shortest key in code points.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -30,6 +32,7 @@ MIN_CHARS = 10
 HOT_KEYS = 2000
 POSTINGS_PER_SHARD = 200_000
 MIN_SHARDS = 64
+TEXT_BYTES = 8 << 20
 
 
 class CuckooFilter:
@@ -97,7 +100,7 @@ class CuckooFilter:
 
 @dataclass
 class LineState:
-    postings: DataFrame  # digest, doc_id
+    postings: DataFrame  # digest, doc_id: written tables, less the deleted documents
     counts: DataFrame  # digest, n_docs, first_doc
     filters: DataFrame  # shard, marks
     shards: int
@@ -137,7 +140,7 @@ def _build(rows: pa.Table) -> pa.Table:
 
 def build_state(docs: DataFrame, **columns: str) -> LineState:
     """Count every line key of ``docs`` and build the filters of repeated keys."""
-    rows = postings(docs, **columns)
+    rows = written(postings(docs, **columns), "line-postings")
     counts = written(reference_counts(rows), "line-counts")
     total = counts.agg(F.sum("n_docs")).first()[0] or 0
     shards = max(MIN_SHARDS, -(-total // POSTINGS_PER_SHARD))
@@ -161,8 +164,13 @@ def repeated_lines(rows: DataFrame, state: LineState) -> DataFrame:
     hot = F.broadcast(exact.where(F.col("n_docs") > total / HOT_KEYS).select("digest", F.col("first_doc").alias("hot_first")))
     routed = rows.join(hot, "digest", "left")
     by_hot = routed.where("doc_id > hot_first").select("doc_id", "digest")
-    cold = routed.where("hot_first is null").select(_shard(state.shards), "doc_id", "digest")
-    passed = cold.groupBy("shard").cogroup(state.filters.groupBy("shard")).applyInArrow(_probe, "doc_id long, digest binary")
+    # Shards that hold more than two tasks' worth: at most one for every so many postings.
+    loads = state.counts.where(F.col("n_docs") <= total / HOT_KEYS).groupBy(_shard(state.shards)).agg(F.sum("n_docs").alias("load"))
+    salted = loads.where(F.col("load") > 2 * POSTINGS_PER_SHARD).select("shard", F.ceil(F.col("load") / POSTINGS_PER_SHARD).cast("int").alias("salts"))
+    cold = routed.where("hot_first is null").select(_shard(state.shards), "doc_id", "digest").join(salted, "shard", "left")
+    cold = cold.select("shard", F.pmod(F.xxhash64("doc_id", "digest"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "doc_id", "digest")
+    filters = state.filters.join(salted, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "marks")
+    passed = cold.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInArrow(_probe, "doc_id long, digest binary")
     return passed.join(exact, "digest").where("doc_id > first_doc").select("doc_id", "digest").unionByName(by_hot)
 
 
@@ -176,18 +184,19 @@ _LOWERED = str.maketrans(UPPER, LOWER)
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, n_lines, n_dropped = [], [], []
-        for text, drop in zip(batch["__text"].to_pylist(), batch["__drop"].to_pylist()):
-            lines = (text or "").split("\n")
-            gone = set(drop or ())
-            kept = [x for x in lines if _line_key(x) not in gone] if gone else lines
-            texts.append("\n".join(kept))
-            n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(kept))
-        out = batch.drop_columns(["__text", "__drop"])
-        for name, values, kind in (("__kept", texts, pa.string()), ("__lines", n_lines, pa.int64()), ("__dropped", n_dropped, pa.int64())):
-            out = out.append_column(name, pa.array(values, kind))
-        yield out
+        for part in shards_of(batch, "__text", TEXT_BYTES):
+            texts, n_lines, n_dropped = [], [], []
+            for doc_id, text, drop in zip(*(part[c].to_pylist() for c in ("__id", "__text", "__drop"))):
+                lines = (text or "").split("\n")
+                gone = set(drop or ()) if doc_id is not None else ()
+                kept = [x for x in lines if _line_key(x) not in gone] if gone else lines
+                texts.append("\n".join(kept))
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(kept))
+            out = part.drop_columns(["__id", "__text", "__drop"])
+            for name, values, kind in (("__kept", texts, pa.string()), ("__lines", n_lines, pa.int64()), ("__dropped", n_dropped, pa.int64())):
+                out = out.append_column(name, pa.array(values, kind))
+            yield out
 
 
 def dedup_lines(docs: DataFrame, state: LineState | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,11 +206,13 @@ def dedup_lines(docs: DataFrame, state: LineState | None = None, id_col: str = "
     text is one empty line and stays; rows without an id keep all lines; rows that share an id are one document; rows
     may repeat; an empty table gives no rows; all other columns pass through.
     """
+    rows = postings(docs, id_col, text_col) if state else None
     state = state or build_state(docs, id_col=id_col, text_col=text_col)
-    drops = repeated_lines(postings(docs, id_col, text_col), state).groupBy("doc_id").agg(F.collect_set("digest").alias("__drop"))
+    drops = repeated_lines(state.postings if rows is None else rows, state).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set("digest").alias("__drop"))
     others = [c for c in docs.columns if c != text_col]
-    joined = docs.select(*others, F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__id")).join(
-        drops.withColumnRenamed("doc_id", "__id"), "__id", "left").drop("__id")
+    # Rows without an id are dealt by their text; should that meet an id, what it finds is passed over.
+    keyed = docs.select(*others, F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__id")).withColumn("__key", F.coalesce("__id", F.xxhash64("__text")))
+    joined = keyed.join(drops, "__key", "left").drop("__key")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
     cut = joined.mapInArrow(_cut, f"{schema}, __kept string, __lines long, __dropped long")
     return cut.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in docs.columns], "__lines", "__dropped")
@@ -209,7 +220,7 @@ def dedup_lines(docs: DataFrame, state: LineState | None = None, id_col: str = "
 
 def insert_documents(state: LineState, docs: DataFrame) -> LineState:
     """The state with ``docs`` (ids not in it yet) added. Only keys whose count crosses two enter the filters."""
-    new = postings(docs)
+    new = written(postings(docs), "line-postings")
     merged = state.counts.select("digest", "n_docs", "first_doc", F.lit(0).alias("new")).unionByName(
         reference_counts(new).select("digest", "n_docs", "first_doc", F.lit(1).alias("new")))
     counts = written(merged.groupBy("digest").agg(
@@ -219,12 +230,18 @@ def insert_documents(state: LineState, docs: DataFrame) -> LineState:
 
 
 def delete_documents(state: LineState, doc_ids: DataFrame) -> LineState:
-    """The state without the documents in ``doc_ids`` (doc_id). Keys that fall below two leave the filters."""
-    gone = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    """The state without the documents in ``doc_ids`` (doc_id). Keys that fall below two leave the filters.
+
+    Only the keys of these documents are counted anew, over the written postings of the others.
+    """
+    gone = written(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "line-deleted")
+    touched = written(state.postings.join(gone, "doc_id", "left_semi").select("digest").distinct(), "line-touched")
     left = state.postings.join(gone, "doc_id", "left_anti").select("digest", "doc_id")
-    counts = written(reference_counts(left), "line-counts")
-    now = counts.where("n_docs > 1").select("digest", F.lit(1).alias("still"))
-    changed = state.counts.where("n_docs > 1").join(now, "digest", "left_anti").select(_shard(state.shards), "digest", F.lit(False).alias("enters"))
+    again = reference_counts(left.join(touched, "digest", "left_semi"))
+    counts = written(state.counts.join(touched, "digest", "left_anti").select(*again.columns).unionByName(again), "line-counts")
+    before = state.counts.where("n_docs > 1").join(touched, "digest", "left_semi")
+    now = counts.where("n_docs > 1").select("digest")
+    changed = before.join(now, "digest", "left_anti").select(_shard(state.shards), "digest", F.lit(False).alias("enters"))
     return _next_state(state, left, counts, changed)
 
 
