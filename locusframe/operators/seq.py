@@ -146,24 +146,29 @@ def melting_temp(c) -> Column:
     return F.when(n < 14, (2 * at + 4 * cg).cast("double")).otherwise(64.9 + 41 * (cg - 16.4) / F.greatest(n, F.lit(1)))
 
 
+def _pairs(s: Column) -> Column:
+    """Neighbouring letters as numbers, 4 x first + second in base order; -1 if either is no base."""
+    codes = F.transform(F.split(s, ""), lambda x: F.when(x == "", -1).otherwise(F.instr(F.lit("".join(BASES)), x) - 1))
+    last = F.greatest(F.char_length(s) - 1, F.lit(0))
+    return F.zip_with(F.slice(codes, 1, last), F.slice(codes, 2, last), lambda a, b: F.when((a < 0) | (b < 0), -1).otherwise(4 * a + b))
+
+
 def guide_features(context) -> Column:
     """140 doubles of a 30-base context: places x bases, pair counts, GC share, GC low, GC high, melting temperature."""
     s = F.upper(_c(context))
     proto = F.substring(s, 5, 20)
     low = F.regexp_count(proto, F.lit("[GC]"))
-    at = F.sequence(F.lit(1), F.greatest(F.char_length(s) - 1, F.lit(1)))
-    pairs = F.transform(at, lambda i: F.substr(s, i, F.lit(2)))
-    count = lambda d: F.size(F.filter(pairs, lambda p: p == d)).cast("double")
-    counts = [count(a + b) for a in BASES for b in BASES]
-    rest = F.array(*counts, low / 20.0, (low < 10).cast("double"), (low > 10).cast("double"), melting_temp(proto) / 100.0)
+    count = lambda pairs, k: F.size(F.filter(pairs, lambda p: p == k)).cast("double")
+    # A one-element transform names the pairs, so they are found once and not for each count.
+    counts = F.transform(F.array(_pairs(s)), lambda pairs: F.array(*[count(pairs, k) for k in range(16)]))[0]
+    rest = F.concat(counts, F.array(low / 20.0, (low < 10).cast("double"), (low > 10).cast("double"), melting_temp(proto) / 100.0))
     return F.concat(F.transform(one_hot(s, 30), lambda x: x.cast("double")), rest)
 
 
 def guide_features_ext(context) -> Column:
     """464 pair-by-place indicators and the melting temperatures of four segments of the protospacer."""
     s = F.upper(_c(context))
-    pairs = [a + b for a in BASES for b in BASES]
-    grid = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(29)), lambda i: F.array(*[(F.substr(s, i, F.lit(2)) == d).cast("double") for d in pairs])))
+    grid = F.flatten(F.transform(F.slice(_pairs(F.rpad(s, 30, "N")), 1, 29), lambda p: F.array(*[(p == k).cast("double") for k in range(16)])))
     segments = ((5, 20), (20, 5), (12, 8), (7, 5))
     return F.concat(grid, F.array(*[melting_temp(F.substring(s, a, n)) / 100.0 for a, n in segments]))
 

@@ -20,10 +20,10 @@ def fronts_sql(n, source="fx_scores"):
     return ", ".join(out)
 
 
-@register("r1_subscores", """select gene, round(case when least(greatest(least(beta, 1), 0), greatest(least(det, 1), 0), greatest(least(amp, 1), 0)) <= 0 then 0 else exp((ln(nullif(greatest(least(beta, 1), 0), 0)) + ln(nullif(greatest(least(det, 1), 0), 0)) + ln(nullif(greatest(least(amp, 1), 0), 0))) / 3) end, 6) as efficacy,
-    round(greatest(0, least(1, 0.5 * greatest(0, least(1, beta)) + 0.5 * greatest(0, least(1, det)) - greatest(del, 0))), 6) as specificity, round((1 - greatest(0, least(1, del))) * (1 - greatest(0, least(1, amp))) * (1 - greatest(0, least(1, beta))), 6) as safety from fx_genes""")
+@register("r1_subscores", """select gene, round(case when least(greatest(least(beta, 1), 0), greatest(least(det, 1), 0), greatest(least(amp, 1), 0)) <= 0 then 0 else exp((ln(nullif(greatest(least(beta, 1), 0), 0)) + ln(nullif(greatest(least(det, 1), 0), 0)) + ln(nullif(greatest(least(amp, 1), 0), 0))) / 3) end, 12) as efficacy,
+    round(greatest(0, least(1, 0.5 * greatest(0, least(1, beta)) + 0.5 * greatest(0, least(1, det)) - greatest(del, 0))), 12) as specificity, round((1 - greatest(0, least(1, del))) * (1 - greatest(0, least(1, amp))) * (1 - greatest(0, least(1, beta))), 12) as safety from fx_genes""")
 def r1(v):
-    return v("fx_genes").select("gene", F.round(rk.efficacy("beta", "det", "amp"), 6).alias("efficacy"), F.round(rk.specificity("beta", "det", "del"), 6).alias("specificity"), F.round(rk.safety("del", "amp", "beta"), 6).alias("safety"))
+    return v("fx_genes").select("gene", F.round(rk.efficacy("beta", "det", "amp"), 12).alias("efficacy"), F.round(rk.specificity("beta", "det", "del"), 12).alias("specificity"), F.round(rk.safety("del", "amp", "beta"), 12).alias("safety"))
 
 
 @register("r1_composite", "select id, round(0.4 * efficacy + 0.3 * specificity + 0.2 * robustness + 0.1 * safety, 6) as composite from fx_scores")

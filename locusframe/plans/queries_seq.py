@@ -260,12 +260,12 @@ def g4(v):
     return scored(v).select("guide", "id", F.col("pos").cast("long").alias("pos"), "strand", *R("cfd", "mit"))
 
 
-@register("g4_exact_cfd", f"with {HITS}, s as (select *, list_transform(list_filter(generate_series(1, 20), lambda i: guide[i] <> site[i]), lambda i: case when guide[i] = 'A' then 0.5::double else i / 20.0::double end) as ws from h) select guide, id, pos, strand, round(list_reduce(list_prepend(1.0::double, ws), lambda a, b: a * b), 6) as cfd from s")
+@register("g4_exact_cfd", f"with {HITS}, s as (select *, list_transform(list_filter(generate_series(1, 20), lambda i: guide[i] <> site[i]), lambda i: case when guide[i] = 'A' then 0.5::double else i / 20.0::double end) as ws from h) select guide, id, pos, strand, round(list_reduce(list_prepend(1.0::double, ws), lambda a, b: a * b), 12) as cfd from s")
 def g4_exact(v):
     spark = v("fx_guides").sparkSession
     weights = spark.createDataFrame([(f"{a}{b}{i}", 0.5 if a == "A" else i / 20.0) for a in "ACGT" for b in "ACGT" if a != b for i in range(1, 21)], "key string, weight double")
     pams = spark.createDataFrame([(a + b, 1.0) for a in "ACGT" for b in "ACGT"], "pam string, weight double")
-    return ot.cfd(hits(v), weights, pams).select("guide", "id", F.col("pos").cast("long").alias("pos"), "strand", *R("cfd"))
+    return ot.cfd(hits(v), weights, pams).select("guide", "id", F.col("pos").cast("long").alias("pos"), "strand", F.round("cfd", 12).alias("cfd"))
 
 
 @register("g5_offtarget_summary", f"""with {SCORED} select guide, count(*) filter (mismatches = 0) as perfect, count(*) filter (mismatches > 0) as n_hits, round(1 / (1 + coalesce(sum(cfd) filter (mismatches > 0), 0)), 6) as cfd_specificity, round(100 / (100 + 100 * coalesce(sum(mit) filter (mismatches > 0), 0)), 6) as mit_specificity, count(*) filter (mismatches > 0) > 5000 as truncated from sc group by guide""")
