@@ -76,10 +76,12 @@ def background_loci(sizes: DataFrame, peaks: DataFrame, n: int, width: int, seed
     return overlap_anti(rows, peaks, "place").withColumn("order", draw("order")).orderBy("order", "place").limit(n).select("place", "chrom", "start_pos", "end_pos")
 
 
-def overlap_max(a: DataFrame, b: DataFrame, value: str, key: str, size: int = BIN) -> DataFrame:
-    """``a`` with ``best``: the largest value over overlaps, 0 without any."""
-    best = overlap_join(a, b, size=size).groupBy(key).agg(F.max(f"b_{value}").alias("best"))
-    return a.join(best, key, "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+def overlap_max(a: DataFrame, b: DataFrame, value: str, key: str, size: int = BIN, flag: str | None = None) -> DataFrame:
+    """``a`` with ``best``: the largest value over overlaps, 0 without any; with ``flag``, whether there is one too."""
+    marks = [F.lit(True).alias(flag)] if flag else []
+    best = overlap_join(a, b, size=size).groupBy(key).agg(F.max(f"b_{value}").alias("best"), *marks)
+    out = a.join(best, key, "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    return out.withColumn(flag, F.coalesce(flag, F.lit(False))) if flag else out
 
 
 def merge_intervals(df: DataFrame, span: int = 1 << 24) -> DataFrame:

@@ -148,6 +148,17 @@ def grouped_scores(df: DataFrame, metric: str, target: str, pred: str, by: Seque
     return out.where(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
+def grouped_metrics(df: DataFrame, metrics: Sequence[str], target: str, pred: str, by: Sequence[str], mask: str | None = None) -> DataFrame:
+    """(by, metric..) with a column per metric, null where not finite: one aggregate for all that need no ranks."""
+    df = df.where(F.col(mask)) if mask else df
+    known = _registry(F.col(target), F.col(pred))
+    out = df.groupBy(*by).agg(F.count("*").alias("__n"), *[F.nanvl(known[m], F.lit(None).cast("double")).alias(m) for m in metrics if m in known]).drop("__n")
+    for m in metrics:
+        if m not in known:
+            out = out.join(grouped_scores(df, m, target, pred, by).withColumnRenamed("score", m), list(by), "left")
+    return out.select(*by, *metrics)
+
+
 def bh_fdr(df: DataFrame, p: str, part: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """``df`` with Benjamini-Hochberg ``q`` and ``rejected``. Null p keeps a null q."""
     ranks = value_ranks(df, p, part=part)

@@ -14,7 +14,7 @@ BEST = f"select a.locus_id, coalesce(max(b.signal), 0) as best, count(b.peak_id)
 @register("flagship_loci", f"""with b as ({BEST}), e as (select min(best) as lo, max(best) as hi from b)
     select locus_id, hit, round(0.7 * (best - lo) / (hi - lo) + 0.3 * cast(hit as int), 6) as composite from b, e order by composite desc, locus_id limit 20""")
 def flagship(v):
-    loci = iv.overlap_flag(iv.overlap_max(v("fx_windows2k"), v("fx_peaks"), "signal", "locus_id"), v("fx_peaks"), "hit", "locus_id")
+    loci = iv.overlap_max(v("fx_windows2k"), v("fx_peaks"), "signal", "locus_id", flag="hit")
     scored = mx.criteria(loci, {"c_signal": F.col("best")}).select("locus_id", "hit", F.round(0.7 * F.col("c_signal") + 0.3 * F.col("hit").cast("int"), 6).alias("composite"))
     return scored.orderBy(F.desc("composite"), "locus_id").limit(20)
 

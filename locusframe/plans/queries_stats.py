@@ -59,11 +59,8 @@ def t3_ece(v):
 def t4(v):
     rows, by = v("fx_pred"), ["split", "grp"]
     names = {"pearson": "pearson", "spearman": "spearman", "direction": "direction_accuracy", "log1p": "neg_mae_log1p", "asinh": "neg_mae_asinh"}
-    out = None
-    for short, metric in names.items():
-        one = st.grouped_scores(rows, metric, "target", "pred_a", by).withColumnRenamed("score", short)
-        out = one if out is None else out.join(one, by)
-    return out.select(*by, *R(*names))
+    found = st.grouped_metrics(rows, list(names.values()), "target", "pred_a", by).dropna()
+    return found.select(*by, *[F.round(metric, 6).alias(short) for short, metric in names.items()])
 
 
 P = "p as (select gene, beta * beta + 0.0001 as p from fx_genes)"
