@@ -4,10 +4,16 @@ Fingerprints grow with the corpus, so neither they nor their trees are broadcast
 fingerprints with that key can be within the radius in that tree. A fingerprint is cut into ``radius + 2`` blocks; two
 that differ in ``radius`` bits or fewer agree on at least two whole blocks, so one tree per pair of blocks and value of
 those blocks (the shard key) finds every link. Equal fingerprints are one node, so a group of copies costs one row.
+Large shards are cut into blocks of bounded size, and every pair of blocks is a tree and its queries.
+
+``keep_one_near_copy`` links whole texts by the Jaccard similarity of their five-word shingles instead. Two fingerprints
+at a similarity of 0.8 differ in ten bits or so, too many for blocks of bits, so there a shard is a key of smallest
+shingle hashes, the radius is wide, and what the trees propose is verified on the texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,11 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import connected_components, table, written
+from locusframe.llm.common import component_minimum, connected_components, table, written
+from locusframe.llm.decontamination import shards_of
+from locusframe.llm.substring_dedup import rolling, word_hashes
 
 #: Fixed values of the contract.
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
-QUERIES_AT_ONCE = 4096
+#: Queries that go down the trees together, and pairs of query and node that they may meet, so memory is bounded.
+QUERIES_AT_ONCE, PAIRS_AT_ONCE = 4096, 1_000_000
+#: Fingerprints in one tree; larger shards are cut into blocks of about so many.
+TREE = 20_000
+TEXT_BYTES = 4 << 20
+#: Entries of shards in one step of a task.
+ENTRIES = 50_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -43,19 +57,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(x) for x in batch["text"].to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found)], ["doc_id", "fp"])
+        for part in shards_of(batch, "text", TEXT_BYTES):
+            found = np.array([fingerprint(x) for x in part["text"].to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(found)], ["doc_id", "fp"])
 
 
 class BKForest:
     """BK-trees of many groups, built and searched on arrays. A node's children are keyed by Hamming distance to it."""
 
-    def __init__(self, values: np.ndarray, group: np.ndarray):
-        """values: uint64; group: rising group numbers. The first value of each group is the root of its tree."""
+    def __init__(self, values: np.ndarray, group: np.ndarray, inside: np.ndarray | None = None):
+        """values: uint64; group: rising group numbers. The first value of each group is the root of its tree; values that
+        are not ``inside`` (by default all are) only ask."""
         self.values, n = values, len(values)
-        first = np.r_[True, group[1:] != group[:-1]]
+        first = np.r_[True, group[1:] != group[:-1]][:n]
         self.root = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-        waiting, at, edges, children = np.flatnonzero(~first), self.root[~first], [], []
+        grows = ~first if inside is None else ~first & inside
+        waiting, at, edges, children = np.flatnonzero(grows), self.root[grows], [], []
         while len(waiting):  # one level: the first to come to a free edge becomes the child, the others go on below it
             edge = at * (BITS + 1) + np.bitwise_count(values[waiting] ^ values[at])
             found, who, back = np.unique(edge, return_index=True, return_inverse=True)
@@ -68,6 +85,10 @@ class BKForest:
         self.edges = np.concatenate([*edges, np.empty(0, np.int64)])[order].astype(np.int64)
         self.children = np.concatenate([*children, np.empty(0, np.int64)])[order].astype(np.int64)
 
+    def queries_at_once(self) -> int:
+        largest = int(np.bincount(self.root).max()) if len(self.root) else 1
+        return max(1, min(QUERIES_AT_ONCE, PAIRS_AT_ONCE // largest))
+
     def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query index, node index) at most ``radius`` apart, following only edges within the radius."""
         query, node = queries, self.root[queries]
@@ -98,28 +119,71 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = above
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batch: pa.RecordBatch) -> tuple[BKForest, np.ndarray, pa.StructArray]:
+    """The trees of a batch of shard blocks, who asks in them, and all entries."""
+    lists = batch["entries"]
+    entries = lists.flatten()
+    asks = entries.field("asks").to_numpy(zero_copy_only=False)
+    group = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return BKForest(entries.field("fp").to_numpy().view(np.uint64), group, ~asks), asks, entries
+
+
+def _askers(asks: np.ndarray, group_of: np.ndarray) -> np.ndarray:
+    """In a tree with its own queries those ask; in a tree without any its nodes ask each other."""
+    visited = np.zeros(len(asks), bool)
+    visited[group_of[asks]] = True
+    return np.flatnonzero(asks | ~visited[group_of])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch until they hold ENTRIES, so memory does not follow the number of rows in a batch."""
     for batch in batches:
-        lists = batch["fps"]
-        values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        group = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        forest, parent = BKForest(values, group), np.arange(len(values))
-        for k in range(0, len(values), QUERIES_AT_ONCE):
-            for a, b in forest.within(np.arange(k, min(k + QUERIES_AT_ONCE, len(values))), RADIUS):
+        held = np.cumsum(np.diff(batch["entries"].offsets.to_numpy()))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(held, (held[start - 1] if start else 0) + ENTRIES, side="right")))
+            # A slice of a list array keeps its parent's offsets, so it is copied.
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch["entries"].slice(start, stop - start)])], ["entries"])
+            start = stop
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        forest, asks, entries = _forest(batch)
+        parent, ask = np.arange(len(forest.values)), _askers(asks, forest.root)
+        few = forest.queries_at_once()
+        for k in range(0, len(ask), few):
+            for a, b in forest.within(ask[k : k + few], RADIUS):
                 unite(parent, a, b)
-        child = np.flatnonzero(parent != np.arange(len(values)))
-        yield pa.RecordBatch.from_arrays([pa.array(values[child].view(np.int64)), pa.array(values[parent[child]].view(np.int64))], ["src", "dst"])
+        child = np.flatnonzero(parent != np.arange(len(parent)))
+        values = forest.values.view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(values[child]), pa.array(values[parent[child]])], ["src", "dst"])
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _shards(keyed: DataFrame, keys: list[str], payload: list[str], tree: int) -> DataFrame:
+    """(entries): a row per block of a shard and pair of its blocks; ``asks`` marks the queries of a pair of blocks.
+
+    A shard of up to ``tree`` rows is one block and its nodes ask each other. Shards of one row are left out.
+    """
+    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("__size"))
+    large = sizes.where(F.col("__size") > tree).select(*keys, F.ceil(F.col("__size") / tree).cast("int").alias("__blocks"))  # few: rows / tree at most
+    rows = keyed.join(large, keys, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    rows = rows.withColumn("__mine", F.pmod(F.xxhash64(*payload), F.col("__blocks")).cast("int"))
+    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    rows = rows.select(*keys, F.least("__mine", "__other").alias("__low"), F.greatest("__mine", "__other").alias("__high"),
+                       F.struct(*payload, (F.col("__mine") > F.col("__other")).alias("asks")).alias("entry"))
+    groups = rows.groupBy(*keys, "__low", "__high").agg(F.sort_array(F.collect_list(F.struct(F.col("entry.asks").alias("o"), "entry"))).alias("e"))
+    return groups.where(F.size("e") > 1).select(F.transform("e", lambda x: x["entry"]).alias("entries"))
+
+
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, tree: int | None = None) -> DataFrame:
     """(src, dst): links that join exactly the distinct fingerprints ``fp`` connected at ``radius`` bits, at most one a row and tree."""
     blocks = radius + 2
     width = BITS // blocks
     mask = (1 << width) - 1
     block = [F.shiftrightunsigned("fp", k * width).bitwiseAND(mask if k < blocks - 1 else (1 << (BITS - k * width)) - 1) for k in range(blocks)]
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(n).alias("tree"), block[a].alias("x"), block[b].alias("y")) for n, (a, b) in enumerate(combinations(range(blocks), 2))])).alias("k"))
-    trees = keyed.groupBy("k.tree", "k.x", "k.y").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    return trees.mapInArrow(_links, "src long, dst long")
+    return _shards(keyed.select("fp", "k.tree", "k.x", "k.y"), ["tree", "x", "y"], ["fp"], tree or TREE).mapInArrow(_links, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,12 +194,137 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    reached = connected_components(fingerprint_links(fps.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = fps.join(reached, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    reached = connected_components(fingerprint_links(fps.select("fp")))
+    found = component_minimum(fps.withColumnRenamed("fp", "node"), reached, "first").select(F.col("node").alias("fp"), F.col("first").alias("component_id"))
+    found = written(found, "fingerprint-components")  # so that the join below has exchanges of its own, which a hot fingerprint can split
+    return rows.join(found, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+#: Of keep_one_near_copy: shard keys a document and smallest hashes in each; a pair at 0.8 shares a key but for one in 600.
+KEYS, HASHES, WIDE = 9, 3, 18
+SIMILARITY = 0.8
+_FACTORS = np.random.default_rng(6).integers(1, 1 << 63, KEYS * HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles_of(text: str | None, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of a text, lower-cased A-Z; fewer words than ``size`` are one shingle."""
+    words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    return np.unique(rolling(words, min(size, len(words)))) if len(words) else np.zeros(0, np.uint64)
+
+
+def _signature(shingles: np.ndarray) -> tuple[int, list[int]]:
+    """SimHash of distinct shingles, and the shard keys."""
+    if not len(shingles):
+        return 0, []
+    ones, low = np.zeros(BITS, np.int64), np.full(len(_FACTORS), 2**64 - 1, np.uint64)
+    for k in range(0, len(shingles), 1 << 14):
+        part = shingles[k : k + (1 << 14)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        low = np.minimum(low, (part[None, :] * _FACTORS[:, None]).min(axis=1))
+    bands = low.reshape(KEYS, HASHES)
+    mixed = np.arange(1, KEYS + 1, dtype=np.uint64) * _FACTORS[:KEYS]
+    for j in range(HASHES):
+        mixed = (mixed ^ bands[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0]), mixed.view(np.int64).tolist()
+
+
+def _signer(shingle: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in shards_of(batch, "text", TEXT_BYTES):
+                classes, fps, keys = [], [], []
+                for text in part["text"].to_pylist():
+                    classes.append(hashlib.md5(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())).digest())
+                    fp, mine = _signature(shingles_of(text, shingle))
+                    fps.append(fp)
+                    keys.append(mine)
+                nodes = np.frombuffer(b"".join(classes), "<i8")[::2]
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], part["row"], pa.array(classes, pa.binary()), pa.array(nodes), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "row", "class", "node", "fp", "keys"])
+
+    return sign
+
+
+def _shingler(shingle: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in shards_of(batch, "text", TEXT_BYTES):
+                found = [shingles_of(x, shingle).view(np.int64) for x in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["node"], pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return sets
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs of nodes whose shingles have the similarity. Only texts of nodes in a pair are read and moved."""
+    pairs = written(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(classes.join(nodes, "node", "left_semi").select("node", "first.doc_id", "first.row").dropDuplicates(["node"]), "pair-nodes")
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, ["doc_id", "row"]).select("node", "text")
+    sets = written(texts.mapInArrow(_shingler(shingle), "node long, shingles array<long>").dropDuplicates(["node"]), "pair-shingles")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    alike = both >= similarity * (F.size("a_set") + F.size("b_set") - both)
+    return written(pairs.join(side("b"), "b").join(side("a"), "a").where(alike).select("a", "b"), "verified")
+
+
+BROADCAST_NODES = 200_000
+
+
+def _wide_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within WIDE bits of nodes that no verified link connects yet."""
+    for batch in _slices(batches):
+        forest, asks, entries = _forest(batch)
+        node, part = entries.field("node").to_numpy(), entries.field("part").to_numpy()
+        ask, few = _askers(asks, forest.root), forest.queries_at_once()
+        for k in range(0, len(ask), few):
+            for a, b in forest.within(ask[k : k + few], WIDE):
+                new = part[a] != part[b]
+                low, high = np.minimum(node[a[new]], node[b[new]]), np.maximum(node[a[new]], node[b[new]])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs in either order, as (a, b) with a < b."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_near_copy(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", tree: int | None = None) -> DataFrame:
+    """``docs`` less every row but one of each group of near copies; of a group the row with the smallest id stays.
+
+    Groups are connected by equal words (A-Z lower-cased, any blanks) and by a Jaccard similarity of ``similarity`` or
+    more of the distinct shingles. First every text is verified against the smallest of each of its shards; trees then
+    propose only pairs that this leaves in different groups, so a large group of copies costs a pair a text, not all
+    pairs. Every link is verified on whole texts; a pair at the similarity is proposed but for about one in 500.
+    Texts without words are one group; rows without an id all stay; of rows equal in id and text one stays; an empty
+    table gives no rows; other columns pass through.
+    """
+    named = docs.withColumn("__row", F.xxhash64(text_col))
+    rows = named.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
+    signed = rows.mapInArrow(_signer(shingle), "doc_id long, row long, class binary, node long, fp long, keys array<long>")
+    classes = written(signed.groupBy("class").agg(
+        F.min(F.struct("doc_id", "row")).alias("first"), F.first("node").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "copy-classes")
+    keyed = classes.select("node", "fp", F.explode("keys").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min("node").alias("a"), F.min_by("fp", "node").alias("a_fp"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("a_fp"))) <= WIDE
+    first = keyed.join(leaders, "key").where((F.col("node") != F.col("a")) & near).select("a", F.col("node").alias("b")).distinct()
+    first_links = _verified(first, classes, rows, shingle, similarity)
+    ends = lambda links: links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    parts = connected_components(ends(first_links))
+    left = keyed.join(parts, "node", "left").select("key", "node", "fp", F.coalesce("component", "node").alias("part"))
+    open_keys = left.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    shards = _shards(left.join(open_keys, "key", "left_semi"), ["key"], ["fp", "node", "part"], tree or TREE)
+    rest = shards.mapInArrow(_wide_pairs, "a long, b long").distinct().join(_ordered(first), ["a", "b"], "left_anti")
+    links = ends(first_links).unionByName(ends(_verified(rest, classes, rows, shingle, similarity)))
+    groups = component_minimum(classes.select("node", "first"), connected_components(links), "first")
+    kept = groups.select(F.col("first.doc_id").alias("__kept"), F.col("first.row").alias("__row")).distinct()
+    same = (F.col(id_col).cast("long") == F.col("__kept")) & (named["__row"] == kept["__row"])
+    one = named.join(kept, same, "left_semi").dropDuplicates([id_col, "__row"])
+    return one.unionByName(named.where(F.col(id_col).isNull())).select(*docs.columns)
