@@ -25,9 +25,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that fingerprints link, the document with the smallest id stays. Documents without an id stay."""
-    found = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of equal words or of five-word shingles at 0.8 or more one document stays. Documents without an id stay."""
+    return simhash.keep_one_near_copy(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
