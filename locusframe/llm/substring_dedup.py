@@ -26,7 +26,7 @@ from locusframe.llm.common import table, written
 from locusframe.llm.decontamination import shards_of
 
 WINDOW = 50
-SLICE_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
+SLICE_BYTES, PIECE_BYTES = 6 << 20, 1 << 18
 MIN_BUCKETS, BUCKET_BYTES, MAX_FAN = 64, 12 << 20, 8192
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
