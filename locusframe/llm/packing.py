@@ -35,7 +35,7 @@ CAPACITY = 2048
 END_OF_DOCUMENT = 1
 #: Beyond so many sources those without a target share so many queues, each source at its own share of its queue, so what is broadcast stays small.
 MAX_QUEUES = 512
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 #: Bytes of text in one slice.
 SLICE_BYTES = 1 << 20
 
@@ -151,6 +151,7 @@ def _tokenizer(path: str):
                     [pa.array([task] * part.num_rows, pa.int32()), part["queue"], part["doc_id"], pa.array(before, pa.int64()),
                      pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["chunk", "queue", "doc_id", "before", "n", "ids"])
+        made.older = {}  # what an idle worker holds is one generation
 
     return tokenize
 
