@@ -21,7 +21,8 @@ from locusframe.llm.common import table, union_all
 SIZES = (3, 4, 5)
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+WORDS_AT_ONCE = 10_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -95,25 +96,27 @@ class Model:
             self.cache = {}
         words = [words_of(t) for t in texts]
         missing = list(set().union(*words).difference(self.cache)) if words else []
-        if missing:
-            owner, bucket = grams_of(missing)
-            self.cache.update(zip(missing, np.bincount(owner, self.weights[bucket], len(missing)).tolist()))
+        for k in range(0, len(missing), WORDS_AT_ONCE):
+            some = missing[k : k + WORDS_AT_ONCE]
+            owner, bucket = grams_of(some)
+            self.cache.update(zip(some, np.bincount(owner, self.weights[bucket], len(some)).tolist()))
         total = np.array([sum(sorted(map(self.cache.__getitem__, x))) for x in words]) + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, train_chars: int = 50_000) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, train_chars: int = 20_000) -> Model:
     """Fit on at most ``per_class`` rows of each class, drawn by hash, with crc32(doc_id) mod 5 other than 0.
 
     A row of a sampled class counts as many times as there are labels for each drawn, so scores and the 0.5 cut follow the
     class shares of all training labels at any table size.
-    Rows with a null id, text or label are passed over. With no row of one class every score is the share of the other.
+    Rows with a null id, text or label and texts of over ``train_chars`` characters are passed over; of rows that share an
+    id one is taken. With no row of one class every score is the share of the other.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(_fold() != 0)
     picked = union_all([known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)])
     texts = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= train_chars)).select("doc_id", "text")
     # At most 2 * per_class ids are broadcast; texts are not shuffled.
-    sample = sorted(texts.join(F.broadcast(picked), "doc_id").select("text", "toxic").collect())
+    sample = sorted(texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").collect())
     counts = dict(known.groupBy("toxic").count().collect())
     return Model.fit([r[0] for r in sample], [r[1] for r in sample], [max(1.0, counts[r[1]] / per_class) for r in sample])
 
