@@ -5,15 +5,15 @@ stretch), its stretches are suffix-sorted, and their Burrows-Wheeler transform g
 phrases step backwards through it together by rank; rows of the ranges found walk left to a sampled suffix position;
 the occurrences become word spans that are merged per document. No row is shuffled.
 
-The benchmark is broadcast in blocks of a checked size; each block is one more pass of the same task over its rows, so
-a large benchmark costs passes, not memory.
+The benchmark is broadcast in blocks of a checked size, a dozen bytes for a byte of text. Each block is one more pass of
+the same task over its rows, by a Python worker of its own, so a benchmark of many blocks takes memory for as many workers.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,10 @@ from locusframe.llm.common import table
 WORD = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block, and of training text in one index.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
+#: Words in one index: a longer text goes in stretches that overlap by a window less one word.
+INDEX_WORDS = 1 << 20
 SAMPLE = 16
 _IN_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -44,20 +46,20 @@ class Phrases:
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
-        found: dict[tuple[int, ...], set[int]] = {}
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for k, (_, text) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(k)
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for phrase in found:
-            by_length.setdefault(len(phrase), []).append(phrase)
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                size = min(window, len(ids))
+                by_length.setdefault(size, []).append((k, np.lib.stride_tricks.sliding_window_view(ids, size)))
         self.groups = []
-        for length, phrases in sorted(by_length.items()):
-            owners = [sorted(found[p]) for p in phrases]
-            ends = np.cumsum([len(x) for x in owners])
-            self.groups.append((length, np.array(phrases, np.int64), np.r_[0, ends], np.concatenate(owners).astype(np.int64)))
+        for length, found in sorted(by_length.items()):
+            item = np.repeat(np.array([k for k, _ in found], np.int32), [len(rows) for _, rows in found])
+            both = np.unique(np.c_[np.concatenate([rows for _, rows in found]), item], axis=0)  # each window of each item once
+            first = np.flatnonzero(np.r_[True, (both[1:, :-1] != both[:-1, :-1]).any(axis=1)])
+            self.groups.append((length, both[first, :-1].copy(), np.r_[first, len(both)], both[:, -1].astype(np.int64)))
         self.shortest = min(by_length, default=0)
+        self.longest = max(by_length, default=0)
 
 
 class WaveletMatrix:
@@ -110,7 +112,7 @@ class FMIndex:
         low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), len(self.bwt), np.int64)
         alive = np.arange(len(phrases))
         for k in range(phrases.shape[1] - 1, -1, -1):
-            symbol = phrases[alive, k]
+            symbol = phrases[alive, k].astype(np.int64)
             low[alive] = self.first[symbol] + self.ranks.rank(symbol, low[alive])
             high[alive] = self.first[symbol] + self.ranks.rank(symbol, high[alive])
             alive = alive[low[alive] < high[alive]]
@@ -133,8 +135,9 @@ class FMIndex:
         return found
 
 
-def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[list[int], list[list[tuple[int, int]]], list[set[int]]]:
+def search_shard(texts: list[str | None], phrases: Phrases, index_words: int | None = None) -> tuple[list[int], list[list[tuple[int, int]]], list[set[int]]]:
     """Per text: its words, its merged hit spans (word numbers, end exclusive), and the items that occur."""
+    most = index_words or INDEX_WORDS
     known = phrases.vocabulary.get
     ids, counts = [], []
     for text in texts:
@@ -155,24 +158,33 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[list[int],
     starts, stops = starts[long], stops[long]
     if not len(starts):
         return counts, spans, items
+    # Stretches longer than an index are cut with an overlap; what is found twice is merged. An index takes whole stretches.
+    pieces = -(-(stops - starts) // most)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts, stops = np.repeat(starts, pieces) + nth * most, np.repeat(stops, pieces)
+    stops = np.minimum(stops, starts + most + phrases.longest - 1)
     size = stops - starts + 1
-    take = np.arange(size.sum()) + np.repeat(starts - np.r_[0, np.cumsum(size)[:-1]], size)
-    text = np.where(np.isin(np.arange(len(take)), np.cumsum(size) - 1), 0, flat[take])
-    index = FMIndex(text, len(phrases.vocabulary))
+    batch = np.cumsum(size) // most
     cover = np.zeros(int(begin[-1]) + 1, np.int64)
-    for length, rows, owner_at, owners in phrases.groups:
-        low, high = index.search(rows)
-        n = high - low
-        if not n.sum():
-            continue
-        which = np.repeat(np.arange(len(rows)), n)
-        row = np.arange(n.sum()) + np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n)
-        at = word_at[take[index.locate(row)]]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + length, -1)
-        doc = np.searchsorted(begin, at, side="right") - 1
-        for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
-            items[d].update(owners[owner_at[w] : owner_at[w + 1]].tolist())
+    for b in np.unique(batch):
+        start, n_words = starts[batch == b], size[batch == b]
+        take = np.arange(n_words.sum()) + np.repeat(start - np.r_[0, np.cumsum(n_words)[:-1]], n_words)
+        text = flat[take]
+        text[np.cumsum(n_words) - 1] = 0
+        index = FMIndex(text, len(phrases.vocabulary))
+        for length, rows, owner_at, owners in phrases.groups:
+            low, high = index.search(rows)
+            n = high - low
+            if not n.sum():
+                continue
+            which = np.repeat(np.arange(len(rows)), n)
+            row = np.arange(n.sum()) + np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n)
+            at = word_at[take[index.locate(row)]]
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + length, -1)
+            doc = np.searchsorted(begin, at, side="right") - 1
+            for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
+                items[d].update(owners[owner_at[w] : owner_at[w + 1]].tolist())
     # Spans of different documents touch where one ends and the next begins, so they are cut at document starts.
     hit = np.cumsum(cover[:-1]) > 0
     for d in np.unique(np.searchsorted(begin, np.flatnonzero(hit), side="right") - 1).tolist():
@@ -198,7 +210,7 @@ def shards_of(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Rec
         yield batch.slice(start)
 
 
-def _searcher(block: Broadcast, text_col: str):
+def _searcher(block: Broadcast, text_col: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = block.value
         for batch in batches:
@@ -210,7 +222,8 @@ def _searcher(block: Broadcast, text_col: str):
                 out = part.drop_columns(["__words", "__spans", "__items"])
                 out = out.append_column("__words", pa.array(counts, pa.int64()))
                 out = out.append_column("__spans", pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS))
-                yield out.append_column("__items", pa.array(named, pa.list_(pa.string())))
+                out = out.append_column("__items", pa.array(named, pa.list_(pa.string())))
+                yield finish(out) if finish else out
 
     return search
 
@@ -225,11 +238,13 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+               finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, finished: str | None = None) -> DataFrame:
     """``docs`` with ``__words``, ``__spans`` (hit words, to be merged) and ``__items`` (ids that occur, sorted as strings).
 
     Null or empty text has no words; items with a null id or text, or without words, have no window; rows and items may
     repeat (items of one id are one item); empty tables on either side give no hits; other columns pass through.
+    ``finish`` makes what is returned (``finished``, a schema) of each batch in the last pass, in the same worker.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
@@ -240,23 +255,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
     out = docs.withColumns({"__words": F.lit(0).cast("long"), "__spans": F.array().cast("array<struct<start:long,end:long>>"), "__items": F.array().cast("array<string>")})
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        out = out.mapInArrow(_searcher(spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in mine], window)), text_col), schema)
+        last = k == blocks - 1 and finish is not None
+        phrases = spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in mine], window))
+        out = out.mapInArrow(_searcher(phrases, text_col, finish if last else None), finished if last else schema)
     return out
 
 
-def _cutter(text_col: str):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch[text_col].to_pylist()
-            for k, spans in enumerate(batch["__spans"].to_pylist()):
-                if not spans:
-                    continue
-                words = [m.span() for m in _IN_WORD.finditer(texts[k])]
-                merged = merge_spans([(s["start"], s["end"]) for s in spans])
-                for a, b in reversed(merged):
-                    texts[k] = texts[k][: words[a][0]] + texts[k][words[b - 1][1] :]
-            out = batch.drop_columns(["__words", "__spans", "__items"])
-            yield out.set_column(out.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
+def _cutter(text_col: str) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch[text_col].to_pylist()
+        for k, spans in enumerate(batch["__spans"].to_pylist()):
+            if not spans:
+                continue
+            words = [m.span() for m in _IN_WORD.finditer(texts[k])]
+            merged = merge_spans([(s["start"], s["end"]) for s in spans])
+            for a, b in reversed(merged):
+                texts[k] = texts[k][: words[a][0]] + texts[k][words[b - 1][1] :]
+        out = batch.drop_columns(["__words", "__spans", "__items"])
+        return out.set_column(out.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
 
     return cut
 
@@ -264,23 +280,22 @@ def _cutter(text_col: str):
 def cut_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every merged span of benchmark words cut out of the text; other texts are left as they are."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return find_leaks(docs, benchmark, text_col).mapInArrow(_cutter(text_col), schema)
+    return find_leaks(docs, benchmark, text_col, finish=_cutter(text_col), finished=schema)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hit = [sum(b - a for a, b in merge_spans([(s["start"], s["end"]) for s in x])) for x in batch["__spans"].to_pylist()]
-        items = batch["__items"].to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["__words"], pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-             pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([h > 0 for h in hit])],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+    hit = [sum(b - a for a, b in merge_spans([(s["start"], s["end"]) for s in x])) for x in batch["__spans"].to_pylist()]
+    items = batch["__items"].to_pylist()
+    return pa.RecordBatch.from_arrays(
+        [batch["doc_id"], batch["__words"], pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+         pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([h > 0 for h in hit])],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return find_leaks(docs, table(spark, sf_dir, "benchmark")).drop("text").mapInArrow(
-        _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return find_leaks(docs, table(spark, sf_dir, "benchmark"), finish=_digest,
+                      finished="doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 _SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
