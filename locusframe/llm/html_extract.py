@@ -5,7 +5,7 @@ hashed words and a few counts. A bidirectional LSTM in numpy reads the whole seq
 is article text, so a block is judged by the document around it.
 
 No table labels blocks, so the labeller is fitted on a bounded sample of pages that say where their article is
-(``article`` or ``main``), as they are, and re-dressed in drawn layouts where class names and order vary and the article
+(``article`` or ``main``), as they are, with these marks taken off, and re-dressed in drawn layouts where class names and order vary and the article
 sits in a plain container. Extraction then reads every page whole.
 """
 
@@ -31,8 +31,12 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 OWN_KIND = {"li": "li", "tr": "tr", "td": "td", "th": "td", "dt": "dd", "dd": "dd", "option": "option"}
+#: Nesting beyond this is read as siblings, as browsers do, so a block's path has a bounded length.
+MAX_DEPTH = 512
+#: Quantifiers are possessive and a tag with an open quote ends at its next ">", so no scan starts over.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
+    r"<!--.*?(-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*+>.*?(?P<end></(?P=raw)\s*>|\Z)"
+    r"|<(?P<back>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*+)(?:(?P<rest>(?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+)>|[^>]*+>)|<[!?][^>]*+>", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANK = re.compile(r"\s+")
 
@@ -40,17 +44,23 @@ Block = tuple[tuple[str, ...], str, int]  # path, text, characters inside links
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order: text between starts and ends of block elements, decoded, blanks made one space."""
+    """Leaf blocks in page order: text between starts and ends of block elements, decoded, blanks made one space.
+
+    Work is in proportion to the page: tokens are found in one pass, and open elements are at most MAX_DEPTH.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, names, whether inside a link
+    path: tuple[str, ...] | None = ()
     held: list[str] = []
-    linked = in_link = 0
+    linked = 0
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, path
         text = _BLANK.sub(" ", "".join(held)).strip()
         if text:
-            out.append((tuple(n for tag, names in stack if tag not in INLINE for n in names), text, linked))
+            if path is None:
+                path = tuple(n for tag, names, _ in stack if tag not in INLINE for n in names)
+            out.append((path, text, linked))
         held.clear()
         linked = 0
 
@@ -59,39 +69,48 @@ def blocks_of(page: str) -> list[Block]:
         if piece:
             piece = html.unescape(piece)
             held.append(piece)
-            linked += len(piece) if in_link else 0
+            linked += len(piece) if stack and stack[-1][2] else 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    def cut(depth: int | None) -> None:
+        nonlocal path
+        if depth is not None:
+            del stack[depth:]
+            path = None
+
+    at, last = 0, page.rfind(">") + 1  # after the last ">" there is no tag
+    for m in _TOKEN.finditer(page, 0, last):
         add(page[at : m.start()])
         at = m.end()
-        if not m[3]:
+        if m[1] == "" or m["end"] == "":  # a comment or a raw element that nothing ends takes the rest
+            at = len(page)
+            break
+        if not m["tag"]:
             continue
-        tag = m[3].lower()
-        if m[2]:
+        tag, rest = m["tag"].lower(), m["rest"]
+        rest = m[0] if rest is None else rest
+        if m["back"]:
             if tag not in INLINE:
                 close()
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            cut(next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None))
         else:
             if tag not in INLINE:
                 close()
                 if tag in CLOSES_P:
-                    depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-                    if depth is not None and all(t in INLINE for t, _ in stack[depth + 1 :]):
-                        del stack[depth:]
+                    depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
+                    if depth is not None and stack[depth][0] == "p":
+                        cut(depth)
                 elif tag in OWN_KIND:
                     depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
                     if depth is not None and OWN_KIND.get(stack[depth][0]) == OWN_KIND[tag]:
-                        del stack[depth:]
+                        cut(depth)
             elif tag in ("br", "wbr"):
                 held.append(" " if tag == "br" else "")
-            if tag not in VOID and not m[4].rstrip().endswith("/"):
-                names = [tag, *(f".{w}" for g in _NAMES.findall(m[4]) for w in re.split(r"[^a-z0-9]+", "".join(g).lower()) if w)] if m[4] else [tag]
-                stack.append((tag, tuple(names)))
-        in_link = any(t == "a" for t, _ in stack)
-    add(page[at:])
+            if tag not in VOID and not rest.rstrip().endswith("/") and len(stack) < MAX_DEPTH:
+                names = [tag, *(f".{w}" for g in _NAMES.findall(rest) for w in re.split(r"[^a-z0-9]+", "".join(g).lower()) if w)] if rest else [tag]
+                stack.append((tag, tuple(names), tag == "a" or bool(stack) and stack[-1][2]))
+                path = None
+    rest = page[at:]
+    add(rest[: rest.find("<!--")] if "<!--" in rest else rest)
     close()
     return out
 
@@ -286,20 +305,26 @@ def _redressed(main: list[str], rng: np.random.Generator) -> tuple[list[Block],
     return [(p, t.replace("\x01", "") or "-", n) for p, t, n in blocks], label
 
 
-def fit_labeller(pages: list[str], seed: int = 7, blocks_a_page: int = 60) -> Labeller:
-    """Fit on pages that mark their article. Without any such page the labeller stays as drawn, from layouts alone."""
+#: Names of the layout words that mark what is no article text even inside an article: adverts, comments, forms and so on.
+NO_TEXT = INSIDE | {f".{w}" for spec in SHELLS for w in spec.split()[1:]}
+
+
+def fit_labeller(pages: list[str], seed: int = 7) -> Labeller:
+    """Fit on pages that mark their article, as they are and with the marks taken off, and on drawn layouts. Without any
+    such page it is fitted on layouts alone."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     texts: list[list[str]] = []
     for page in pages:
-        blocks = blocks_of(page)[:blocks_a_page]
-        marked = np.array([bool({"article", "main"} & set(p)) and not INSIDE & set(p) for p, _, _ in blocks], np.float32)
+        blocks = blocks_of(page)
+        marked = np.array([bool({"article", "main"} & set(p)) and not NO_TEXT & set(p) for p, _, _ in blocks], np.float32)
         if marked.any():
-            xs.append(vectors_of(blocks))
-            ys.append(marked)
-            texts.append([t[:2000] for (p, t, n), m in zip(blocks, marked) if m][:30])
+            unmarked = [(tuple("div" if n in ("article", "main") else n for n in p), t, n) for p, t, n in blocks]
+            xs += [vectors_of(blocks), vectors_of(unmarked)]
+            ys += [marked, marked]
+            texts.append([t for (p, t, n), m in zip(blocks, marked) if m])
     texts = texts or [["No page marks its article.", "So the layouts are drawn around this text."]]
-    for k in range(max(len(xs), 300)):
+    for k in range(max(len(xs) // 2, 300)):
         main = texts[k % len(texts)]
         blocks, label = _redressed(main[: int(rng.integers(1, len(main) + 1))], rng)
         if blocks:
@@ -320,8 +345,8 @@ def _extractor(labeller: Broadcast, html_col: str):
     return extract
 
 
-def fit_pages(pages: DataFrame, html_col: str = "html", train_pages: int = 500, train_chars: int = 100_000) -> Labeller:
-    """Fit on at most ``train_pages`` pages of at most ``train_chars`` characters, drawn by hash."""
+def fit_pages(pages: DataFrame, html_col: str = "html", train_pages: int = 500, train_chars: int = 20_000) -> Labeller:
+    """Fit on at most ``train_pages`` whole pages of at most ``train_chars`` characters, drawn by hash."""
     some = pages.where(F.col(html_col).isNotNull() & (F.char_length(html_col) <= train_chars)).select(html_col)
     return fit_labeller([r[0] for r in hash_sample(some, train_pages, html_col).collect()])
 
