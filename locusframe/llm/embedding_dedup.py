@@ -4,7 +4,8 @@ Cosine >= c between unit vectors is a distance <= eps = sqrt(2 - 2c). Vectors ar
 (fitted on a bounded sample; any rotation gives the same result), sorted by the grid cells of side eps on the leading
 ones, and cut into blocks. The join recurses over intervals of that sequence: pairs of intervals start whole, split by
 ``FAN`` a level, and drop out once their bounding boxes are provably more than eps apart. What is left are pairs of
-blocks, compared in double precision by matrix products.
+blocks, compared in double precision by matrix products. Blocks travel once for each pair of bands (runs of blocks) that
+they are needed in, so what is shuffled grows with bands and not with pairs of blocks.
 
 Equal vectors are one row with a count, so a large group of copies costs nothing. A pair of blocks gives each vector's
 number of links and a spanning set of links, never all pairs.
@@ -20,11 +21,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import connected_components, hash_sample, table, written
+from locusframe.llm.common import component_minimum, connected_components, hash_sample, table, written
 from locusframe.llm.simhash import unite
 
 COSINE = 0.9
 BLOCK = 4096
+MAX_BAND = 16
 FAN = 8
 GRID_DIMS, BOX_DIMS = 8, 16
 PCA_SAMPLE = 5000
@@ -61,7 +63,7 @@ def _block(rows: pa.Table) -> pa.Table:
     return pa.table({
         "part": rows["part"][:1], "nth": rows["nth"][:1],
         "nodes": pa.array([rows["node"].to_numpy().tobytes()], pa.binary()), "copies": pa.array([rows["copies"].to_numpy().tobytes()], pa.binary()),
-        "sizes": pa.array([sizes.tobytes()], pa.binary()), "data": pa.array([np.concatenate(rows["vec"].to_pylist()).astype(np.float64).tobytes()], pa.binary()),
+        "sizes": pa.array([sizes.tobytes()], pa.binary()), "data": pa.array([rows["vec"].combine_chunks().flatten().to_numpy().tobytes()], pa.binary()),
         "low": pa.array([lead.min(axis=0).tolist()]), "high": pa.array([lead.max(axis=0).tolist()]),
     })
 
@@ -97,18 +99,15 @@ def near_intervals(blocks: DataFrame, n_blocks: int, eps: float) -> DataFrame:
     return pairs
 
 
-def _vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = {c: rows[c][0].as_py() for c in ("nodes", "copies", "sizes", "data")}
-    sizes = np.frombuffer(raw["sizes"], np.int32)
-    parts = np.split(np.frombuffer(raw["data"], np.float64), np.cumsum(sizes)[:-1])
-    return np.frombuffer(raw["nodes"], np.int64), np.frombuffer(raw["copies"], np.int64), sizes, _units(parts, int(sizes.max()))
+def _vectors(row: dict, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.frombuffer(row["sizes"], np.int32)
+    parts = np.split(np.frombuffer(row["data"], kind), np.cumsum(sizes)[:-1])
+    return np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64), sizes, _units(parts, int(sizes.max()))
 
 
-def _joiner(cosine: float):
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = left["a"][0].as_py() == left["b"][0].as_py()
-        node_a, copies_a, size_a, a = _vectors(left)
-        node_b, copies_b, size_b, b = _vectors(right)
+def _joiner(cosine: float, kind: str):
+    def join_pair(one: tuple, two: tuple, own: bool) -> pa.Table:
+        (node_a, copies_a, size_a, a), (node_b, copies_b, size_b, b) = one, two
         dims = min(a.shape[1], b.shape[1])
         links_a, links_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         parent = np.arange(len(a) + len(b))
@@ -116,9 +115,9 @@ def _joiner(cosine: float):
             near = (a[k : k + 512, :dims] @ b[:, :dims].T >= cosine) & (size_a[k : k + 512, None] == size_b[None, :])
             if own:
                 near[np.arange(len(near)), np.arange(k, k + len(near))] = False
-            links_a[k : k + 512] = near @ copies_b
-            links_b += copies_a[k : k + 512] @ near
             i, j = np.nonzero(near)
+            links_a[k : k + 512] = np.bincount(i, copies_b[j], len(near)).astype(np.int64)
+            links_b += np.bincount(j, copies_a[k + i], len(b)).astype(np.int64)
             unite(parent, i + k, j if own else j + len(a))
         nodes = np.concatenate([node_a, node_b])
         n = len(a) if own else len(nodes)
@@ -126,6 +125,10 @@ def _joiner(cosine: float):
         some = np.flatnonzero(links[:n])
         return pa.table({"node": nodes[:n][some], "links": links[:n][some], "root": nodes[parent[:n][some]]})
 
+    def join(rows: pa.Table) -> pa.Table:
+        blocks = {r["rank"]: _vectors(r, kind) for r in rows.drop_columns(["pairs"]).to_pylist()}
+        return pa.concat_tables([join_pair(blocks[p["a"]], blocks[p["b"]], p["a"] == p["b"]) for p in rows["pairs"][0].as_py()])
+
     return join
 
 
@@ -137,7 +140,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     An empty table gives no rows; other columns are ignored.
     """
     spark, eps = vectors.sparkSession, float(np.sqrt(2 - 2 * cosine))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(_valid(F.col(vec_col)), F.col(vec_col)).alias("vec"))
+    vec = F.col(vec_col) if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else F.col(vec_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(_valid(vec), vec).alias("vec"))
     classes = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     classes = written(classes, "vectors")
     dims = classes.agg(F.max(F.size("vec"))).first()[0]
@@ -159,21 +163,22 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     offsets = spark.createDataFrame([(r[0], int(b)) for r, b in zip(counts, begins)], "part long, begin long")
     ranked = blocks.join(F.broadcast(offsets), "part").withColumn("rank", F.col("begin") + F.col("nth"))
     pairs = written(near_intervals(ranked.select("rank", "low", "high"), int(begins[-1]), eps), "grid-pairs")
-    data = ranked.select("rank", "nodes", "copies", "sizes", "data")
-    left = pairs.join(data.withColumnRenamed("rank", "a"), "a").select("a", "b", "nodes", "copies", "sizes", "data")
-    right = pairs.join(data.withColumnRenamed("rank", "b"), "b").select(*[F.col(c).alias(c) for c in left.columns])
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_joiner(cosine), "node long, links long, root long")
-    found = written(found, "vector-links")
+    band = max(1, min(MAX_BAND, int(begins[-1]) // 4))
+    pairs = pairs.select("a", "b", F.expr(f"a div {band}").alias("x"), F.expr(f"b div {band}").alias("y"))
+    todo = pairs.groupBy("x", "y").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))  # at most band * band
+    needed = pairs.select("x", "y", F.explode(F.array("a", "b")).alias("rank")).distinct().join(todo, ["x", "y"])
+    data = needed.join(ranked.select("rank", "nodes", "copies", "sizes", "data"), "rank")
+    number = "<f4" if "float" in kind else "<f8"
+    found = written(data.groupBy("x", "y").applyInArrow(_joiner(cosine, number), "node long, links long, root long"), "vector-links")
     reached = connected_components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
-    linked = sequence.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(reached, "node", "left")
-    linked = linked.select("vec", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    result = linked.join(smallest, "root").select("vec", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.join(result, "vec", "left")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"),
-    )
+    low = component_minimum(sequence.select("node", "first"), reached, "first").withColumnRenamed("first", "component_id")
+    linked = sequence.select("vec", "node", "copies").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(low, "node")
+    result = linked.select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    # Vectors that link with nothing do not meet in the join.
+    alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    result = written(result, "vector-components")  # so that the join below has exchanges of its own, which a hot vector can split
+    out = rows.where("vec is not null").join(result, "vec", "left").select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).unionByName(alone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
