@@ -102,3 +102,15 @@ def component_minimum(nodes: DataFrame, reached: DataFrame, value: str) -> DataF
     low = linked.groupBy("component").agg(F.min(value).alias("__low")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lowest = linked.withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(low, ["component", "__salt"]).select("node", "__low", F.lit(True).alias("__linked"))
     return nodes.join(lowest, "node", "left").select("node", F.when(F.col("__linked"), F.col("__low")).otherwise(F.col(value)).alias(value))
+
+
+#: DuckDB: a CTE's body with CRC-32's table (``crc_table.t``), and the checksum of a text's UTF-8 bytes by it.
+CRC_TABLE_SQL = """
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256)) AS n)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB's expression for the unsigned CRC-32 of ``text``, which must not be empty; null for null."""
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT"""

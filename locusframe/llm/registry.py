@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from locusframe.llm import decontamination, embedding_dedup, html_extract, line_dedup, packing, pii, sharding, simhash, substring_dedup, toxicity
+from locusframe.llm import decontamination, embedding_dedup, html_extract, line_dedup, merkle, packing, pii, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_pii": pii.query,
     "op10_embedding_dedup": embedding_dedup.query,
+    "op11_merkle": merkle.query,
 }
 SQL = {
     "op1_sharding": sharding.SQL,
@@ -20,4 +21,5 @@ SQL = {
     "op7_substring_dedup": substring_dedup.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_embedding_dedup": embedding_dedup.SQL,
+    "op11_merkle": merkle.SQL,
 }
