@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from locusframe.llm import decontamination, embedding_dedup, html_extract, line_dedup, merkle, packing, pii, sharding, simhash, substring_dedup, toxicity
+from locusframe.llm import decontamination, embedding_dedup, html_extract, line_dedup, merkle, packing, pii, sharding, simhash, substring_dedup, toxicity, trie
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_pii": pii.query,
     "op10_embedding_dedup": embedding_dedup.query,
     "op11_merkle": merkle.query,
+    "op12_prefix_trie": trie.query,
 }
 SQL = {
     "op1_sharding": sharding.SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op8_line_dedup": line_dedup.SQL,
     "op10_embedding_dedup": embedding_dedup.SQL,
     "op11_merkle": merkle.SQL,
+    "op12_prefix_trie": trie.SQL,
 }
