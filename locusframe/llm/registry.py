@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from locusframe.llm import decontamination, embedding_dedup, html_extract, line_dedup, merkle, packing, pii, sharding, simhash, substring_dedup, toxicity, trie
+from locusframe.llm import decontamination, embedding_dedup, html_extract, line_dedup, merkle, packing, pii, sharding, simhash, substring_dedup, suffix_dedup, toxicity, trie
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_embedding_dedup": embedding_dedup.query,
     "op11_merkle": merkle.query,
     "op12_prefix_trie": trie.query,
+    "op13_suffix_dedup": suffix_dedup.query,
 }
 SQL = {
     "op1_sharding": sharding.SQL,
@@ -24,4 +25,5 @@ SQL = {
     "op10_embedding_dedup": embedding_dedup.SQL,
     "op11_merkle": merkle.SQL,
     "op12_prefix_trie": trie.SQL,
+    "op13_suffix_dedup": suffix_dedup.SQL,
 }
