@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from locusframe.functions.tails import fisher_greater
 from locusframe.operators.intervals import nearest_distance, window_mean
 from locusframe.operators.iterate import written
-from locusframe.operators.stats import BUCKETS, _bucketed, mann_whitney
+from locusframe.operators.scan import running
+from locusframe.operators.stats import mann_whitney
 
 #: Marks of active and of repressed chromatin, all marks that states use, and the levels called high and low.
 ACTIVE = ("H3K27ac", "H3K4me1", "H3K4me3", "H3K9ac")
@@ -112,18 +113,12 @@ def set_contrast(df: DataFrame, target: str, value: str, part: Sequence[str] = (
 
 
 def _nearest(state: DataFrame, of: str) -> DataFrame:
-    """``state`` with ``near_<of>``: the nearest score where ``of`` is over 0 (the lower of two); in the row's own bucket, else at the end of another."""
-    own = Window.partitionBy("part").orderBy("s")
+    """``state`` with ``near_<of>``: the nearest score where ``of`` is over 0, the lower of two."""
     some = F.when(F.col(of) > 0, F.col("s"))
-    ends = {r[0]: (r[1], r[2]) for r in state.where(F.col(of) > 0).groupBy("part").agg(F.min("s"), F.max("s")).collect()}  # at most BUCKETS rows
-    low = [max((ends[j][1] for j in ends if j < k), default=None) for k in range(BUCKETS + 1)]
-    high = [min((ends[j][0] for j in ends if j > k), default=None) for k in range(BUCKETS + 1)]
-    end = lambda xs: F.element_at(F.array(*[F.lit(x).cast("double") for x in xs]), F.col("part") + 1)
-    lo = F.coalesce(F.last(some, True).over(own.rowsBetween(Window.unboundedPreceding, 0)), end(low))
-    hi = F.coalesce(F.first(some, True).over(own.rowsBetween(0, Window.unboundedFollowing)), end(high))
-    out = state.withColumns({"__lo": lo, "__hi": hi})
+    out = running(state.withColumn("__down", -F.col("s")), [], ["s"], {"__lo": some}, "max", alone=True)
+    out = running(out, [], ["__down"], {"__hi": some}, "min", alone=True)
     near = F.when(F.col("__hi").isNull() | (F.col("s") - F.col("__lo") <= F.col("__hi") - F.col("s")), F.col("__lo")).otherwise(F.col("__hi"))
-    return out.withColumn(f"near_{of}", near).drop("__lo", "__hi")
+    return out.withColumn(f"near_{of}", near).drop("__lo", "__hi", "__down")
 
 
 def caliper_match(df: DataFrame, target: str, score: str, key: str, caliper: float, m: int = 3) -> DataFrame:
@@ -138,7 +133,7 @@ def caliper_match(df: DataFrame, target: str, score: str, key: str, caliper: flo
     width = max(caliper * (rows.agg(F.stddev_pop("s")).first()[0] or 0.0), 1e-12)
     counts = rows.groupBy("s").agg((m * F.count_if("t")).alias("need"), F.count_if(~F.col("t")).alias("free"))
     nil = F.lit(0).cast("long")
-    state = written(counts.withColumn("part", _bucketed(counts, "s")).withColumns({"asked": nil, "given": nil}), "caliper")
+    state = written(counts.withColumns({"asked": nil, "given": nil}), "caliper")
     rounds = []
     while True:
         seen = _nearest(_nearest(state, "free"), "need")
@@ -150,7 +145,7 @@ def caliper_match(df: DataFrame, target: str, score: str, key: str, caliper: flo
             break
         state = state.join(block.select(F.col("ts").alias("s"), F.col("n").alias("a")), "s", "left").join(block.select(F.col("bs").alias("s"), F.col("n").alias("b")), "s", "left")
         a, b = F.coalesce("a", nil), F.coalesce("b", nil)
-        state = written(state.select("s", (F.col("need") - a).alias("need"), (F.col("free") - b).alias("free"), "part", (F.col("asked") + a).alias("asked"), (F.col("given") + b).alias("given")), "caliper")
+        state = written(state.select("s", (F.col("need") - a).alias("need"), (F.col("free") - b).alias("free"), (F.col("asked") + a).alias("asked"), (F.col("given") + b).alias("given")), "caliper")
     units = reduce(DataFrame.unionByName, rounds).withColumn("k", F.explode(F.expr("sequence(0L, n - 1)")))
     units = units.select("ts", "bs", (F.col("asked") + F.col("k")).alias("place"), (F.col("given") + F.col("k")).alias("row"))
     number = F.row_number().over(Window.partitionBy("s").orderBy("key")) - 1

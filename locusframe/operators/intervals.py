@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.scan import carried, sliced
+
 BIN = 8192
 
 
@@ -84,22 +86,19 @@ def overlap_max(a: DataFrame, b: DataFrame, value: str, key: str, size: int = BI
     return out.withColumn(flag, F.coalesce(flag, F.lit(False))) if flag else out
 
 
-def merge_intervals(df: DataFrame, span: int = 1 << 24) -> DataFrame:
+def merge_intervals(df: DataFrame) -> DataFrame:
     """Islands of intervals that overlap or touch: (chrom, start_pos, end_pos, n).
 
-    Islands form within stretches of ``span`` bases first, in parallel; what is left (an island or so a stretch edge)
-    is joined per chromosome.
+    Intervals are cut into range slices of (chrom, start); a slice takes over the reach of the slices before it and the
+    start of the island that this leaves open, a number each, so no chromosome or island meets in one task. Null
+    chromosomes are one chromosome; rows with a null start or end are passed over; repeated rows each count.
     """
-
-    def islands(rows: DataFrame, part: list[str]) -> DataFrame:
-        order = Window.partitionBy(*part).orderBy("start_pos", "end_pos")
-        reach = F.max("end_pos").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        fresh = rows.withColumn("fresh", F.when(F.col("start_pos") <= reach, 0).otherwise(1))
-        numbered = fresh.withColumn("island", F.sum("fresh").over(order))
-        return numbered.groupBy(*part, "island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("n").alias("n"))
-
-    rows = df.select("chrom", "start_pos", "end_pos", F.lit(1).cast("long").alias("n"), F.expr(f"start_pos div {span}").alias("stretch"))
-    return islands(islands(rows, ["chrom", "stretch"]).drop("island"), ["chrom"]).select("chrom", "start_pos", "end_pos", "n")
+    order = ["start_pos", "end_pos"]
+    cut = sliced(df.where("start_pos is not null and end_pos is not null").select("chrom", *order), ["chrom", *order], alone=True)
+    cut = carried(cut, ["chrom"], order, {"__reach": ("max", F.col("end_pos"))}, before=True)
+    fresh = F.when(F.col("__reach").isNull() | (F.col("start_pos") > F.col("__reach")), F.col("start_pos"))
+    cut = carried(cut, ["chrom"], order, {"__island": ("max", fresh)})
+    return cut.groupBy("chrom", "__island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count("*").alias("n")).drop("__island")
 
 
 def points_in_regions(points: DataFrame, regions: DataFrame, pos: str = "pos", size: int = BIN) -> DataFrame:
@@ -148,14 +147,37 @@ def extend_reads(reads: DataFrame, fragment: int) -> DataFrame:
         "end_pos", F.when(plus, F.col("start_pos") + fragment).otherwise(F.col("end_pos"))).withColumn("start_pos", F.col("__s")).drop("__s")
 
 
+def coverage_runs(reads: DataFrame, regions: DataFrame, key: str, size: int = BIN) -> DataFrame:
+    """(key, start_pos, end_pos, depth): the pile-up of reads in each region as runs of one depth, 1 or more.
+
+    A read gives two events, +1 where it enters the region and -1 where it leaves; events of one place are summed, and a
+    run lies between two places with the sum of all events up to the first. Work follows reads, not bases. Regions that
+    share a key are one pile-up; rows with a null key, chromosome or end give nothing; repeated reads each count.
+    """
+    pairs = overlap_join(regions.where(F.col(key).isNotNull()), reads, size=size)
+    ends = F.array(F.struct(F.greatest("start_pos", "b_start_pos").alias("at"), F.lit(1).alias("by")), F.struct(F.least("end_pos", "b_end_pos").alias("at"), F.lit(-1).alias("by")))
+    events = pairs.select(key, F.explode(ends).alias("e")).groupBy(key, F.col("e.at").alias("end_pos")).agg(F.sum("e.by").alias("__by"))
+    cut = sliced(events, [key, "end_pos"], alone=True)
+    runs = carried(cut, [key], ["end_pos"], {"depth": ("sum", F.col("__by")), "start_pos": ("max", F.col("end_pos"))}, before=True).where("depth > 0")
+    # Where as many reads leave as enter the depth stays, so the runs on both sides are one.
+    runs = carried(runs.drop("__by"), [key], ["end_pos"], {"__was": ("max", F.struct("end_pos", "depth"))}, before=True)
+    new = F.col("__was").isNull() | (F.col("__was.end_pos") != F.col("start_pos")) | (F.col("__was.depth") != F.col("depth"))
+    runs = carried(runs, [key], ["end_pos"], {"__run": ("max", F.when(new, F.col("start_pos")))})
+    return runs.groupBy(key, "__run").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.first("depth").alias("depth")).drop("__run")
+
+
 def coverage(reads: DataFrame, regions: DataFrame, key: str, per_base: bool = False, size: int = BIN) -> DataFrame:
-    """Read pile-up in regions: (key, pos, depth) per base, or ``regions`` with the mean depth."""
+    """Read pile-up in regions: (key, pos, depth) per base that a read covers, or ``regions`` with the mean depth.
+
+    Bases come from ``coverage_runs``, so a base is made once, not once a read. Repeated reads each count; a region without
+    reads has mean depth 0 and no bases; an empty region has a null mean.
+    """
+    if per_base:
+        return coverage_runs(reads, regions, key, size).select(key, F.explode(F.expr("sequence(start_pos, end_pos - 1)")).alias("pos"), "depth")
     pairs = overlap_join(regions, reads, size=size)
     lo, hi = F.greatest("start_pos", "b_start_pos"), F.least("end_pos", "b_end_pos")
-    if per_base:
-        return pairs.select(key, F.explode(F.sequence(lo, hi - 1)).alias("pos")).groupBy(key, "pos").agg(F.count("*").alias("depth"))
     depth = pairs.groupBy(key).agg(F.sum(hi - lo).alias("bases"))
-    return regions.join(depth, key, "left").withColumn("depth", F.coalesce("bases", F.lit(0)) / (F.col("end_pos") - F.col("start_pos"))).drop("bases")
+    return regions.join(depth, key, "left").withColumn("depth", F.try_divide(F.coalesce("bases", F.lit(0)), F.col("end_pos") - F.col("start_pos"))).drop("bases")
 
 
 def tss_window(df: DataFrame, up: int, down: int) -> DataFrame:
@@ -177,15 +199,20 @@ def mark_calls(loci: DataFrame, case: DataFrame, control: DataFrame, marks: Iter
 def spaced_topk(df: DataFrame, key: str, distance: int, k: int) -> DataFrame:
     """Per ``key`` the strongest intervals at least ``distance`` apart (by start), at most ``k``; a bounded pick by intent.
 
-    Duplicates by coordinates keep their strongest row; ties go to the first coordinates. A pick rules out rows of three
-    cells of ``distance`` bases at most, so while fewer than k are picked one of the key's 3k strongest cells is open:
-    every pick is at least as strong as the weakest of these. Only rows that strong meet in a key's Arrow group.
+    Rows are picked in one order: by falling signal, then by coordinates. Of rows that share a start only the first can be
+    picked. A pick rules out rows of three cells of ``distance`` bases at most, so while fewer than k are picked one of the
+    key's 3k first cells is open, and no pick comes after the first row of the last of these. Only rows up to there meet in
+    a key's Arrow group: they lie in 3k cells, so they are 3k x ``distance`` at most, whatever the ties. Rows with a null
+    chromosome, start or signal are passed over; null keys are a key; repeated rows count once.
     """
-    best = df.where("chrom is not null and start_pos is not null and signal is not null").groupBy(*dict.fromkeys([key, "chrom", "start_pos", "end_pos"])).agg(F.max("signal").alias("signal"))
-    cells = best.groupBy(*dict.fromkeys([key, "chrom"]), F.expr(f"start_pos div {distance}").alias("__cell")).agg(F.max("signal").alias("__top"))
-    strong = cells.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__top")))).where(F.col("__r") <= 3 * k)
-    least = strong.groupBy(key).agg(F.min("__top").alias("__least"))
-    best = best.join(least, key).where(F.col("signal") >= F.col("__least")).drop("__least").select(*best.columns)
+    order = F.struct((-F.col("signal")).alias("signal"), F.col("chrom").alias("chrom"), F.col("start_pos").alias("start_pos"), F.col("end_pos").alias("end_pos"))
+    rows = df.where("chrom is not null and start_pos is not null and signal is not null")
+    best = rows.groupBy(*dict.fromkeys([key, "chrom", "start_pos"])).agg(F.min(order).alias("__order"))
+    cells = best.groupBy(*dict.fromkeys([key, "chrom"]), F.expr(f"start_pos div {distance}").alias("__cell")).agg(F.min("__order").alias("__top"))
+    first = cells.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("__top"))).where(F.col("__r") <= 3 * k)
+    last = first.groupBy(F.col(key).alias("__key")).agg(F.max("__top").alias("__last"))
+    few = best.join(last, F.col(key).eqNullSafe(F.col("__key"))).where(F.col("__order") <= F.col("__last"))
+    few = few.select(*dict.fromkeys([key, "chrom", "start_pos"]), F.col("__order.end_pos").alias("end_pos"), (-F.col("__order.signal")).alias("signal"))
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["signal", "chrom", "start_pos", "end_pos"], ascending=[False, True, True, True])
@@ -199,7 +226,7 @@ def spaced_topk(df: DataFrame, key: str, distance: int, k: int) -> DataFrame:
                     break
         return rows.iloc[kept]
 
-    return best.groupBy(key).applyInPandas(pick, best.schema)
+    return few.groupBy(key).applyInPandas(pick, few.schema)
 
 
 def duplication_audit(df: DataFrame, by: str = "chrom") -> DataFrame:

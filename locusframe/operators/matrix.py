@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.tails import normal_tail
-from locusframe.operators.stats import bh_fdr, mann_whitney, pearson
+from locusframe.operators.stats import bh_fdr, mann_whitney, pearson, smallest_hashes
 
 #: Variant classes that truncate a protein and that change one residue; the criteria of the composite.
 TRUNCATING = ("Nonsense_Mutation", "Frame_Shift_Del", "Frame_Shift_Ins", "Splice_Site", "Nonstop_Mutation", "Translation_Start_Site")
@@ -183,9 +183,7 @@ def selection_aware_p(df: DataFrame, names: Sequence[str], control: str, key: st
     per = top.groupBy("point", "spread").agg(F.sum("__c").alias("r"))
     chosen = per.orderBy(F.desc("r"), F.round("spread", 12), "point").limit(1).select(F.col("point").alias("best"), F.col("r").alias("observed"))
     size = df.agg(F.sum(F.col(control).cast("int")).alias("m"))
-    turns = F.broadcast(df.sparkSession.range(draws).withColumnRenamed("id", "turn"))
-    order = Window.partitionBy("turn").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col("turn").cast("string"), F.col("__t").cast("string")), 256))
-    dealt = df.select(F.col(key).alias("__t")).crossJoin(turns).withColumn("n", F.row_number().over(order)).crossJoin(F.broadcast(size)).where("n <= m").select("turn", "__t")
+    dealt = smallest_hashes(df.select(F.col(key).alias("__t")), "__t", size.withColumnRenamed("m", "k"), draws, seed).withColumnRenamed("__r", "turn")
     hits = top.select("point", "__t").join(dealt, "__t").groupBy("turn", "point").agg(F.count("*").alias("r")).crossJoin(F.broadcast(chosen))
     each = hits.groupBy("turn").agg(F.max("r").alias("r"), F.max(F.when(F.col("point") == F.col("best"), F.col("r")).otherwise(0)).alias("naive"))
     full = df.sparkSession.range(draws).withColumnRenamed("id", "turn").join(each, "turn", "left").na.fill(0, ["r", "naive"]).crossJoin(F.broadcast(chosen))

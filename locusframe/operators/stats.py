@@ -1,7 +1,7 @@
 """Rank statistics, metrics, resampling. Randomness is the rank or bits of sha2(seed:id), so runs repeat anywhere.
 
-Statistics over ranks work on value counts: a row per distinct value, prefix sums within buckets of values, plus the
-totals of the buckets before. No step orders a whole table in one task.
+Statistics over ranks work on value counts: a row per distinct value, with running totals over range slices of values. No
+step orders a whole table in one task.
 """
 
 from __future__ import annotations
@@ -14,9 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.tails import normal_tail, student_tail
-
-BUCKETS = 64
-
+from locusframe.operators.scan import running
 
 def hash_bits(*parts) -> Column:
     """A uniform draw in [0, 1): the first 48 bits of sha2(part:part:...)."""
@@ -24,23 +22,13 @@ def hash_bits(*parts) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def _bucketed(df: DataFrame, value: str) -> Column:
-    bounds = sorted(set(df.approxQuantile(value, [k / BUCKETS for k in range(1, BUCKETS)], 0.01))) if df.sparkSession else []
-    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.col(value).cast("double"))) if bounds else F.lit(0)
-
-
 def value_ranks(df: DataFrame, value: str, sums: Sequence[str] = (), part: Sequence[str] = ()) -> DataFrame:
     """Per distinct value: n, before (rows with a smaller value) and, for each of ``sums``, its sum and its sum before."""
     part = list(part)
     rows = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count("*").alias("n"), *[F.sum(s).alias(s) for s in sums])
-    rows = rows.withColumn("__bucket", _bucketed(df, value))
-    totals = rows.groupBy(*part, "__bucket").agg(*[F.sum(c).alias(f"__t_{c}") for c in ("n", *sums)])
-    ahead = Window.partitionBy(*part, F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows a part
-    starts = totals.select(*part, "__bucket", *[F.coalesce(F.sum(f"__t_{c}").over(ahead), F.lit(0)).alias(f"__s_{c}") for c in ("n", *sums)])
-    inside = Window.partitionBy(*part, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(starts, [*part, "__bucket"])
-    before = lambda c: (F.col(f"__s_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return rows.select(*part, value, "n", *sums, before("n").alias("before"), *[before(s).alias(f"before_{s}") for s in sums])
+    seen = running(rows, part, [value], {f"before_{c}": F.col(c) for c in ("n", *sums)}, alone=True, before=True)
+    before = lambda c: F.coalesce(F.col(f"before_{c}"), F.lit(0))
+    return seen.select(*part, value, "n", *sums, before("n").alias("before"), *[before(s).alias(f"before_{s}") for s in sums])
 
 
 def avg_rank(df: DataFrame, value: str, part: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -88,14 +76,8 @@ def average_precision(df: DataFrame, label: str, score: str, part: Sequence[str]
 
 def auprc_rows(df: DataFrame, label: str, score: str, tie: str, part: Sequence[str] = ()) -> DataFrame:
     """Per row: rows in score order (ties by ``tie``, the table's order), precision at each positive row."""
-    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*part, (F.col(label) > 0).cast("long").alias("__pos"), F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t")).alias("__key"), (-F.col(score)).alias("__neg"))
-    rows = rows.withColumn("__bucket", _bucketed(rows, "__neg"))
-    totals = rows.groupBy(*part, "__bucket").agg(F.count("*").alias("n"), F.sum("__pos").alias("p"))
-    ahead = Window.partitionBy(*part, F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*part, "__bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"), F.coalesce(F.sum("p").over(ahead), F.lit(0)).alias("p0"))
-    inside = Window.partitionBy(*part, "__bucket").orderBy("__key")
-    run = rows.join(starts, [*part, "__bucket"]).select(
-        *part, "__pos", (F.col("p0") + F.sum("__pos").over(inside.rowsBetween(Window.unboundedPreceding, 0))).alias("hits"), (F.col("n0") + F.row_number().over(inside)).alias("seen"))
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*part, (F.col(label) > 0).cast("long").alias("__pos"), (-F.col(score)).alias("__neg"), F.col(tie).alias("__tie"))
+    run = running(rows, part, ["__neg", "__tie"], {"hits": F.col("__pos"), "seen": F.lit(1)}, alone=True)
     out = run.groupBy(*part).agg(F.sum(F.col("__pos") * F.col("hits") / F.col("seen")).alias("s"), F.sum("__pos").alias("p"))
     return out.select(*part, F.when(F.col("p") > 0, F.col("s") / F.col("p")).alias("auprc"))
 
@@ -164,12 +146,8 @@ def bh_fdr(df: DataFrame, p: str, part: Sequence[str] = (), alpha: float = 0.05)
     ranks = value_ranks(df, p, part=part)
     total = ranks.groupBy(*part).agg(F.sum("n").alias("__m"))
     ranks = ranks.join(F.broadcast(total), list(part)) if part else ranks.crossJoin(F.broadcast(total))
-    raw = ranks.withColumn("__raw", F.col(p) * F.col("__m") / (F.col("before") + F.col("n"))).withColumn("__bucket", _bucketed(df, p))
-    low = raw.groupBy(*part, "__bucket").agg(F.min("__raw").alias("__low"))
-    later = Window.partitionBy(*part, F.lit(0)).orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)
-    low = low.select(*part, "__bucket", F.min("__low").over(later).alias("__later"))
-    inside = Window.partitionBy(*part, "__bucket").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    q = raw.join(low, [*part, "__bucket"]).select(*part, p, F.least(F.least(F.min("__raw").over(inside), F.col("__later")), F.lit(1.0)).alias("q"))
+    raw = ranks.select(*part, p, (-F.col(p)).alias("__down"), (F.col(p) * F.col("__m") / (F.col("before") + F.col("n"))).alias("__raw"))
+    q = running(raw, part, ["__down"], {"q": F.col("__raw")}, "min", alone=True).select(*part, p, F.least("q", F.lit(1.0)).alias("q"))
     return df.join(q, [*part, p], "left").withColumn("rejected", F.col("q") <= alpha)
 
 
@@ -208,6 +186,26 @@ def hash_split_order(seed: int | Column, replicate: Column, key: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), replicate.cast("string"), F.col(key).cast("string")), 256)
 
 
+def smallest_hashes(df: DataFrame, key: str, k: DataFrame, draws: int, seed: int = 0, bin_rows: int = 50_000) -> DataFrame:
+    """(__r, key): in each of ``draws`` replicates the rows with the k smallest hashes; ``k`` is a table of one number, ``k``.
+
+    A threshold search: hashes are counted in bins, as many as the rows ask for, so the bin that the k-th falls into holds
+    about ``bin_rows`` of a replicate's rows; bins before it are taken whole and only its rows are ordered. Equal keys have
+    equal hashes and come in any order. Work is draws x rows.
+    """
+    bins = max(1, -(-df.count() // bin_rows))
+    turns = F.broadcast(df.sparkSession.range(draws).withColumnRenamed("id", "__r"))
+    rows = df.select(F.col(key).alias("__k")).crossJoin(turns).withColumn("__h", hash_split_order(seed, F.col("__r"), "__k"))
+    rows = rows.withColumn("__bin", F.floor(F.conv(F.substring("__h", 1, 12), 16, 10).cast("double") / float(1 << 48) * bins).cast("int"))
+    counts = rows.groupBy("__r", "__bin").agg(F.count("*").alias("__n"))
+    order = Window.partitionBy("__r").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    open_ = counts.withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0))).crossJoin(F.broadcast(k.select(F.col("k").alias("__want")))).where(F.col("__before") < F.col("__want"))
+    found = rows.join(open_, ["__r", "__bin"])
+    whole = F.col("__before") + F.col("__n") <= F.col("__want")
+    last = found.where(~whole).withColumn("__i", F.row_number().over(Window.partitionBy("__r", "__bin").orderBy("__h")))
+    return found.where(whole).select("__r", "__k").unionByName(last.where(F.col("__i") <= F.col("__want") - F.col("__before")).select("__r", "__k")).withColumnRenamed("__k", key)
+
+
 def permutation_p(df: DataFrame, x: str, y: str, key: str, draws: int, seed: int = 0, statistic: Callable[[str, str], Column] = pearson, two_sided: bool = True, smoothing: bool = True) -> DataFrame:
     """(observed, ge, p): ``y`` is dealt anew by hash rank in each of ``draws`` replicates; (1 + ge) / (draws + 1), or the bare share.
 
@@ -215,12 +213,11 @@ def permutation_p(df: DataFrame, x: str, y: str, key: str, draws: int, seed: int
     """
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y"))
     observed = base.agg(statistic("__x", "__y").alias("observed"))
-    turns = base.sparkSession.range(draws).withColumnRenamed("id", "__r")
-    place = Window.partitionBy("__r").orderBy("__k")
-    mixed = Window.partitionBy("__r").orderBy(hash_split_order(seed, F.col("__r"), "__k"))
-    deals = base.crossJoin(F.broadcast(turns))  # replicates: a stated number, not rows against rows
-    left = deals.select("__r", "__x", F.row_number().over(place).alias("__n"))
-    right = deals.select("__r", "__y", F.row_number().over(mixed).alias("__n"))
+    turns = F.broadcast(base.sparkSession.range(draws).withColumnRenamed("id", "__r"))  # replicates: a stated number, not rows against rows
+    one = F.lit(1).cast("long")
+    left = running(base.select("__k", "__x"), [], ["__k"], {"__n": one}, alone=True).select("__x", "__n").crossJoin(turns)
+    deals = base.select("__k", "__y").crossJoin(turns).withColumn("__h", hash_split_order(seed, F.col("__r"), "__k")).select("__r", "__h", "__k", "__y")
+    right = running(deals, ["__r"], ["__h", "__k"], {"__n": one}, alone=True).select("__r", "__y", "__n")
     each = left.join(right, ["__r", "__n"]).groupBy("__r").agg(statistic("__x", "__y").alias("s"))
     hit = F.when(F.abs("s") >= F.abs("observed") - 1e-12, 1).otherwise(0) if two_sided else F.when(F.col("s") >= F.col("observed") - 1e-12, 1).otherwise(0)
     out = each.crossJoin(F.broadcast(observed)).groupBy("observed").agg(F.sum(hit).alias("ge"))
@@ -293,8 +290,8 @@ def bootstrap_auc(df: DataFrame, label: str, a: str, b: str, key: str, draws: in
 
     def auc(score: str, name: str) -> DataFrame:
         cells = rows.groupBy("__r", score).agg(F.sum(F.col("__w") * F.col("__y")).alias("p"), F.sum(F.col("__w") * (1 - F.col("__y"))).alias("q"))
-        below = F.coalesce(F.sum("q").over(Window.partitionBy("__r").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        won = cells.withColumn("won", F.col("p") * (below + F.col("q") / 2)).groupBy("__r").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+        below = running(cells, ["__r"], [score], {"below": F.col("q")}, alone=True, before=True)
+        won = below.withColumn("won", F.col("p") * (F.coalesce("below", F.lit(0)) + F.col("q") / 2)).groupBy("__r").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
         return won.select("__r", F.try_divide(F.col("won"), F.col("p") * F.col("q")).alias(name))
 
     each = auc(a, "auc_a").join(auc(b, "auc_b"), "__r").withColumn("d", F.col("auc_a") - F.col("auc_b"))
@@ -389,10 +386,10 @@ def matched_auc_null(df: DataFrame, label: str, score: str, covariate: str, cali
     """(caliper, pairs, concordance, ge, p): ``matched_auc`` with p the share of ``draws`` in which as many rows, chosen by
     hash rank, do at least as well; a draw without a pair does a half. Work is draws x band join."""
     rows = df.select(F.col(key).alias("__k"), (F.col(label) > 0).cast("int").alias("__y"), F.col(score).alias("__s"), F.col(covariate).cast("double").alias("__c")).where("__y is not null and __s is not null and __c is not null")
-    spark, n_pos = df.sparkSession, F.broadcast(rows.agg(F.sum("__y").alias("__p")))
+    spark, n_pos = df.sparkSession, rows.agg(F.sum("__y").alias("k"))
     turns = F.broadcast(spark.range(draws).withColumnRenamed("id", "__r"))
-    order = Window.partitionBy("__r").orderBy(hash_split_order(seed, F.col("__r"), "__k"))
-    dealt = rows.crossJoin(turns).crossJoin(n_pos).withColumn("__y", (F.row_number().over(order) <= F.col("__p")).cast("int")).drop("__p", "__k")
+    chosen = smallest_hashes(rows, "__k", n_pos, draws, seed).withColumn("__one", F.lit(1))
+    dealt = rows.drop("__y").crossJoin(turns).join(chosen, ["__r", "__k"], "left").withColumn("__y", F.coalesce("__one", F.lit(0))).drop("__one", "__k")
     cuts = F.broadcast(spark.createDataFrame([(float(c),) for c in calipers], "caliper double"))
     cells = dealt.crossJoin(cuts).groupBy("caliper", "__r", "__y", "__s", "__c").agg(F.count("*").alias("m")).withColumn("cell", F.floor(F.col("__c") / F.col("caliper")))
     pos = cells.where("__y > 0").select("caliper", "__r", F.col("__s").alias("ps"), F.col("__c").alias("pc"), F.col("m").alias("pm"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
@@ -407,12 +404,11 @@ def matched_auc_null(df: DataFrame, label: str, score: str, covariate: str, cali
 def stratified_auc(df: DataFrame, label: str, score: str, covariate: str, key: str, n: int = 3) -> DataFrame:
     """AUROC within n bands of the covariate, sizes as equal as can be, larger bands first."""
     total = df.count()
-    ranks = value_ranks(df, covariate).select(covariate, "before")
-    place = F.row_number().over(Window.partitionBy(covariate).orderBy(key)) - 1 + F.col("before")
     base, more = divmod(total, n)
     edge = more * (base + 1)
     band = F.when(F.col("__p") < edge, F.floor(F.col("__p") / (base + 1))).otherwise(more + F.floor((F.col("__p") - edge) / max(base, 1)))
-    return auroc(df.join(ranks, covariate).withColumn("__p", place).withColumn("band", band.cast("int")), label, score, ["band"])
+    rows = running(df.where(F.col(covariate).isNotNull()), [], [covariate, key], {"__p": F.lit(1).cast("long")}, alone=True, before=True).withColumn("__p", F.coalesce("__p", F.lit(0)))
+    return auroc(rows.withColumn("band", band.cast("int")), label, score, ["band"])
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
@@ -466,9 +462,8 @@ def set_permutation(df: DataFrame, member: str, value: str, key: str, draws: int
     """(observed, ge, p): mean of the member set against ``draws`` hash-ranked subsets of its size."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("__k"), F.col(member).cast("boolean").alias("__m"), F.col(value).alias("__v"))
     seen = rows.where("__m").agg(F.avg("__v").alias("observed"), F.count("*").alias("k"))
-    turns = F.broadcast(df.sparkSession.range(draws).withColumnRenamed("id", "__r"))
-    order = Window.partitionBy("__r").orderBy(hash_split_order(seed, F.col("__r"), "__k"))
-    deals = rows.crossJoin(turns).withColumn("n", F.row_number().over(order)).crossJoin(F.broadcast(seen)).where("n <= k")
+    chosen = smallest_hashes(rows, "__k", seen.select("k"), draws, seed)
+    deals = chosen.join(rows.select("__k", "__v"), "__k").crossJoin(F.broadcast(seen.select("observed")))
     each = deals.groupBy("__r", "observed").agg(F.avg("__v").alias("s"))
     out = each.groupBy("observed").agg(F.sum((F.col("s") >= F.col("observed") - 1e-12).cast("int")).alias("ge"))
     return out.withColumn("p", (F.col("ge") + 1) / (draws + 1))
@@ -491,7 +486,7 @@ def threshold_sweep_ci(df: DataFrame, value: str, score: str, cuts: Sequence[flo
     rows = rows.withColumn("__w", poisson_weight(seed, F.col("__r").cast("string"), F.col("__k"))).where("__w > 0").crossJoin(table)
     up = (F.col("v") > F.col("cut")).cast("int")
     cells = rows.groupBy("cut", "__r", "s").agg(F.sum(F.col("__w") * up).alias("p"), F.sum(F.col("__w") * (1 - up)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy("cut", "__r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = cells.withColumn("won", F.col("p") * (below + F.col("q") / 2)).groupBy("cut", "__r").agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
+    cells = running(cells, ["cut", "__r"], ["s"], {"below": F.col("q")}, alone=True, before=True)
+    each = cells.withColumn("won", F.col("p") * (F.coalesce("below", F.lit(0)) + F.col("q") / 2)).groupBy("cut", "__r").agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
     ends = each.groupBy("cut").agg(F.percentile("auc", (1 - level) / 2).alias("lo"), F.percentile("auc", (1 + level) / 2).alias("hi"))
     return threshold_sweep(df, value, score, cuts, min_count).join(ends, "cut", "left").select("cut", "n_pos", "n_neg", "auroc", *[F.when(F.col("auroc").isNotNull(), F.col(c)).alias(c) for c in ("lo", "hi")])

@@ -87,6 +87,15 @@ def j10_bases(v):
     return iv.coverage(iv.extend_reads(reads, 150), v("fx_windows2k"), "locus_id", per_base=True)
 
 
+@register("j10_coverage_runs", f"""with b as ({READS}), p as (select locus_id, greatest(a.start_pos, b.start_pos) as lo, least(a.end_pos, b.end_pos) as hi from fx_windows2k a join b on {MEET}),
+    e as (select locus_id, pos, sum(d) as d from (select locus_id, lo as pos, 1 as d from p union all select locus_id, hi, -1 from p) group by locus_id, pos),
+    r as (select locus_id, pos as start_pos, lead(pos) over w as end_pos, sum(d) over w as depth from e where d <> 0 window w as (partition by locus_id order by pos))
+    select locus_id, start_pos, end_pos, depth::bigint as depth from r where depth > 0""")
+def j10_runs(v):
+    reads = v("fx_track").withColumn("strand", F.when(F.col("side") == "F", "+").otherwise("-"))
+    return iv.coverage_runs(iv.extend_reads(reads, 150), v("fx_windows2k"), "locus_id").select("locus_id", "start_pos", "end_pos", F.col("depth").cast("long").alias("depth"))
+
+
 @register("j11_tss_window", """select locus_id, greatest(0, case when strand = '+' then tss - 2000 else tss - 500 end) as start_pos, case when strand = '+' then tss + 500 else tss + 2000 end as end_pos from fx_loci""")
 def j11(v):
     return iv.tss_window(v("fx_loci"), 2000, 500).select("locus_id", "start_pos", "end_pos")
