@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.operators.iterate import written
+from locusframe.operators.scan import running
 from locusframe.operators.stats import hash_bits
 
 OBJECTIVES = ("efficacy", "specificity", "robustness", "safety")
@@ -43,57 +44,68 @@ def composite(objectives: Sequence[str] = OBJECTIVES, weights: Sequence[float] |
     return reduce(Column.__add__, [F.col(o) * (x / sum(w)) for o, x in zip(objectives, w)])
 
 
-def dominance(df: DataFrame, key: str, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
-    """(key, dominated_by): who is at least as good in all objectives and better in one. For tables of candidates."""
-    a = df.select(F.col(key).alias("__k"), *[F.col(o).alias(f"a_{o}") for o in objectives])
-    b = df.select(key, *objectives)
-    all_ = reduce(Column.__and__, [F.col(f"a_{o}") >= F.col(o) for o in objectives])
-    some = reduce(Column.__or__, [F.col(f"a_{o}") > F.col(o) for o in objectives])
-    pairs = b.join(a, all_ & some).groupBy(key).agg(F.array_sort(F.collect_list("__k")).alias("dominated_by"))
-    return df.select(key).join(pairs, key, "left").withColumn("dominated_by", F.coalesce("dominated_by", F.array().cast(pairs.schema["dominated_by"].dataType)))
-
-
-def _skyline(points: np.ndarray) -> np.ndarray:
-    """Which rows no other row dominates; best sums first, so a row is held against the few kept."""
-    order = np.argsort(-points.sum(axis=1), kind="stable")
-    kept = np.zeros((0, points.shape[1]))
-    out = np.zeros(len(points), bool)
-    for k in order:
-        p = points[k]
-        if not ((kept >= p).all(axis=1) & (kept > p).any(axis=1)).any():
-            out[k] = True
-            kept = np.vstack([kept, p])
-    return out
+#: Points that meet in one task: a block in falling order of sums, and the rows that are held against it at once.
+BLOCK, AGAINST = 20_000, 50_000
 
 
-def front(df: DataFrame, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
-    """The non-dominated rows: each task keeps its own skyline, then what is left is joined against itself."""
-    names = list(objectives)
+def _falling(names: Sequence[str]) -> list[Column]:
+    """An order in which who dominates comes first: by falling sum, which rounding keeps in order, then by falling values."""
+    return [F.desc("__sum"), *[F.desc(o) for o in names]]
+
+
+def _points(df: DataFrame, names: Sequence[str], part: Sequence[str], block: int) -> DataFrame:
+    """The distinct points of each part with ``__b``, their block in falling order; written."""
+    points = df.select(*part, *[F.col(o).cast("double").alias(o) for o in names]).distinct()
+    points = points.withColumn("__sum", reduce(Column.__add__, [F.col(o) for o in names]))
+    placed = running(points, part, _falling(names), {"__at": F.lit(1).cast("long")}, alone=True)
+    return written(placed.select(*part, *names, F.expr(f"int((__at - 1) div {block})").alias("__b")), "points")
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(_skyline(np.column_stack([batch[c].to_numpy(zero_copy_only=False) for c in names]))))
 
-    few = df.mapInArrow(local, df.schema)
-    other = few.select(*[F.col(o).alias(f"a_{o}") for o in names]).distinct()
-    beat = reduce(Column.__and__, [F.col(f"a_{o}") >= F.col(o) for o in names]) & reduce(Column.__or__, [F.col(f"a_{o}") > F.col(o) for o in names])
-    return few.join(other, beat, "left_anti")
+def _complete(names: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(o).isNotNull() & ~F.isnan(F.col(o).cast("double")) for o in names])
 
 
-def _depths(points: np.ndarray, known: int | None = None) -> np.ndarray:
-    """Front number of each row within ``points``; ``known`` and more count as ``known``.
+def dominance(df: DataFrame, key: str, objectives: Sequence[str] = OBJECTIVES, block: int = 2_000) -> DataFrame:
+    """(key, dominated_by): who is at least as good in all objectives and better in one, by key.
 
-    Equal rows share a front. Rows come in falling lexicographic order, so dominators come first; whoever is dominated in
-    a front is dominated in all before it, so the front is found by halving.
+    In falling order only earlier points dominate, so blocks of points are held against the blocks up to them, a pair of
+    blocks a task. What comes out has a row a pair and, at last, an array a row: it is for tables of candidates. A null or
+    NaN objective dominates nothing and is dominated by nothing; rows that share a key are one in ``dominated_by``.
+    """
+    names = list(objectives)
+    rows = df.where(_complete(names)).select(key, *[F.col(o).cast("double").alias(o) for o in names])
+    blocks = rows.join(_points(rows, names, [], block), names)
+    last = blocks.agg(F.max("__b")).first()[0] or 0
+    targets = blocks.withColumnRenamed("__b", "__j").withColumn("__i", F.explode(F.expr("sequence(0, __j)")))
+    against = blocks.select(F.col(key).alias("__k"), *[F.col(o).alias(f"__q_{o}") for o in names], F.col("__b").alias("__qi"), F.explode(F.expr(f"sequence(__b, {last})")).alias("__qj"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def meet(mine: pa.Table, other: pa.Table) -> pa.Table:
+        p, q = (np.column_stack([t[c + o].to_numpy() for o in names]) for t, c in ((mine, ""), (other, "__q_")))
+        found = []
+        for k in range(0, len(p), 500):
+            at_least = (q[None] >= p[k : k + 500, None]).all(axis=2)
+            a, b = np.nonzero(at_least & (q[None] > p[k : k + 500, None]).any(axis=2))
+            found.append(np.column_stack([a + k, b]))
+        a, b = np.concatenate([np.zeros((0, 2), np.int64), *found]).T
+        return pa.table({key: mine[key].take(pa.array(a)), "__k": other["__k"].take(pa.array(b))})
+
+    pairs = targets.groupBy("__i", "__j").cogroup(against.groupBy("__qi", "__qj")).applyInArrow(meet, f"`{key}` {kind}, __k {kind}")
+    lists = pairs.groupBy(key).agg(F.array_sort(F.collect_set("__k")).alias("dominated_by"))
+    return df.select(key).join(lists, key, "left").withColumn("dominated_by", F.coalesce("dominated_by", F.array().cast(lists.schema["dominated_by"].dataType)))
+
+
+def _depths(points: np.ndarray, base: np.ndarray, known: int | None = None) -> np.ndarray:
+    """Front number of each of a block's points, in falling order; ``base`` is the least that earlier blocks leave it.
+
+    Whoever is dominated in a front is dominated in all before it, down to its base: were a dominator there in an earlier
+    block, the base would be higher. So the front is found by halving. ``known`` and more count as ``known`` or more.
     """
-    points, back = np.unique(-points, axis=0, return_inverse=True)
-    points = -points
     fronts: list[np.ndarray] = []
     sizes: list[int] = []
     out = np.zeros(len(points), np.int64)
-    for k, p in enumerate(points):
-        lo, hi = 0, len(fronts)
+    for k, (p, lo) in enumerate(zip(points, base.tolist())):
+        hi = len(fronts)
         while lo < hi:
             mid = (lo + hi) // 2
             if (fronts[mid][: sizes[mid]] >= p).all(axis=1).any():
@@ -103,71 +115,180 @@ def _depths(points: np.ndarray, known: int | None = None) -> np.ndarray:
         out[k] = lo
         if known is not None and lo >= known:
             continue
-        if lo == len(fronts):
+        while lo >= len(fronts):
             fronts.append(np.empty((8, points.shape[1])))
             sizes.append(0)
         if sizes[lo] == len(fronts[lo]):
             fronts[lo] = np.concatenate([fronts[lo], np.empty_like(fronts[lo])])
         fronts[lo][sizes[lo]] = p
         sizes[lo] += 1
-    return out[back.ravel()]
+    return out
+
+
+def _beaten(points: np.ndarray, block: np.ndarray, ranks: np.ndarray, levels: int | None = None) -> np.ndarray:
+    """One more than the highest rank of a point of ``block`` that dominates each of ``points``, 0 without one. No point is
+    in both. Both are cut into cells at the block's quantiles: a cell that is higher in all objectives dominates whole,
+    one that is lower in any not at all, and only between the others are points compared."""
+    levels = levels or max(2, min(8, int((len(block) / 30) ** (1 / block.shape[1]))))
+    cuts = [np.unique(np.quantile(block[:, j], np.arange(1, levels) / levels)) for j in range(block.shape[1])]
+    cell = lambda x: np.column_stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(cuts)])
+    theirs, of = np.unique(cell(block), axis=0, return_inverse=True)
+    order = np.lexsort((-ranks, of.ravel()))
+    block, ranks, of = block[order], ranks[order], of.ravel()[order]
+    begin = np.searchsorted(of, np.arange(len(theirs) + 1))
+    highest = ranks[begin[:-1]]
+    mine, my = np.unique(cell(points), axis=0, return_inverse=True)
+    my = my.ravel()
+    out = np.zeros(len(points), np.int64)
+    group = np.argsort(my, kind="stable")
+    edge = np.searchsorted(my[group], np.arange(len(mine) + 1))
+    for c, code in enumerate(mine):
+        whole = (theirs > code).all(axis=1)
+        best = int(highest[whole].max()) + 1 if whole.any() else 0
+        some = np.flatnonzero((theirs >= code).all(axis=1) & ~whole & (highest >= best))
+        rows = group[edge[c] : edge[c + 1]]
+        got = np.full(len(rows), best)
+        for t in some:
+            q, r = block[begin[t] : begin[t + 1]], ranks[begin[t] : begin[t + 1]]
+            q, r = q[r >= best], r[r >= best]
+            for k in range(0, len(rows), max(1, 1_000_000 // len(q))):
+                p = points[rows[k : k + max(1, 1_000_000 // len(q))]]
+                above = q[None, :, 0] >= p[:, None, 0]
+                for j in range(1, points.shape[1]):
+                    above &= q[None, :, j] >= p[:, None, j]
+                first = above.argmax(axis=1)  # ranks fall, so the first that dominates is the highest
+                hit = np.where(above[np.arange(len(p)), first], r[first] + 1, 0)
+                got[k : k + len(p)] = np.maximum(got[k : k + len(p)], hit)
+        out[rows] = got
+    return out
 
 
-def _with_depth(df: DataFrame, names: list[str], known: int | None = None) -> DataFrame:
-    """``df`` with ``__depth`` within its partition, a lower bound of that in the table."""
+def _settled(points: np.ndarray, base: np.ndarray, known: int | None = None) -> np.ndarray:
+    """``_depths`` by halves: the first half's fronts bound those of the second, in cells."""
+    if len(points) <= 256:
+        return _depths(points, base, known)
+    half = len(points) // 2
+    first = _settled(points[:half], base[:half], known)
+    counts = first < known if known is not None else np.ones(half, bool)
+    rest = base[half:]
+    if counts.any():
+        rest = np.maximum(rest, _beaten(points[half:], points[:half][counts], first[counts]))
+    second = rest.copy()
+    open_ = rest < known if known is not None else np.ones(len(rest), bool)
+    second[open_] = _settled(points[half:][open_], rest[open_], known)
+    return np.r_[first, second]
+
+
+def _ranks(df: DataFrame, names: Sequence[str], part: Sequence[str] = (), known: int | None = None, block: int = BLOCK, against: int = AGAINST) -> DataFrame:
+    """(part, objectives, rank): the front of each distinct point within its part, by peeling; with ``known`` only those below.
+
+    A point's front is one more than the last front with a point that dominates it, and in falling order only earlier
+    points do. So blocks of points get their fronts one after the other, each in one task a part, and all later points are
+    held against a block in as many tasks as they ask for: they take over the least front that it leaves them, and go if
+    that is not asked for. Rounds are points / ``block``; no step holds more than a block and ``against`` points.
+    """
+    names, part = list(names), list(part)
+    state = _points(df, names, part, block).withColumn("__base", F.lit(0))
+    last = state.agg(F.max("__b")).first()[0]
+    schema = state.select(*part, *names).schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    matrix = lambda t: np.column_stack([t[o].to_numpy() for o in names])
+
+    def settle(rows: pa.Table) -> pa.Table:
+        points = matrix(rows)
+        order = np.lexsort((*(-points).T[::-1], -reduce(np.add, list(points.T))))
+        ranks = np.empty(len(points), np.int64)
+        ranks[order] = _settled(points[order], rows["__base"].to_numpy().astype(np.int64)[order], known)
+        return rows.select([*part, *names]).append_column("rank", pa.array(ranks, pa.int32()))
+
+    def hold(rows: pa.Table, block: pa.Table) -> pa.Table:
+        base = rows["__base"].to_numpy().astype(np.int64)
+        if block.num_rows and rows.num_rows:
+            base = np.maximum(base, _beaten(matrix(rows), matrix(block), block["rank"].to_numpy().astype(np.int64)))
+        out = rows.select([*part, *names, "__b"]).append_column("__base", pa.array(base, pa.int32()))
+        return out if known is None else out.filter(pa.array(base < known))
+
+    found = []
+    for b in range((last if last is not None else -1) + 1):
+        here = state.where(F.col("__b") == b)
+        keys = part or [F.lit(0).alias("__one")]
+        ranked = written(here.groupBy(*keys).applyInArrow(settle, f"{fields}, rank int"), "fronts")
+        if known is not None:
+            ranked = ranked.where(F.col("rank") < known)
+        found.append(ranked)
+        if b < last:
+            rest = state.where(F.col("__b") > b)
+            salts = max(1, -(-rest.count() // against))
+            mine = rest.withColumn("__salt", F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
+            other = ranked.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            held = mine.groupBy(*part, "__salt").cogroup(other.groupBy(*part, "__salt")).applyInArrow(hold, f"{fields}, __b int, __base int")
+            state = written(held, "points")
+    if not found:
+        return state.select(*part, *names, F.col("__base").alias("rank"))
+    return reduce(DataFrame.unionByName, found)
 
-    def depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = [x for x in batches if x.num_rows]
-        if part:
-            t = pa.Table.from_batches(part).combine_chunks()
-            d = _depths(np.column_stack([t[c].to_numpy() for c in names]), known)
-            yield from t.append_column("__depth", pa.array(d, pa.int64())).to_batches()
 
-    return df.mapInArrow(depth, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", __depth bigint")
+def front(df: DataFrame, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
+    """The rows of ``df`` that no other dominates; equal rows all stay. A row with a null or NaN objective is dominated by
+    none. Each task thins its batches first."""
+    names = list(objectives)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.column_stack([batch[o].to_numpy(zero_copy_only=False) for o in names])
+            order = np.lexsort((*(-points).T[::-1], -reduce(np.add, list(points.T))))
+            points = points[order]
+            fresh = np.r_[True, (points[1:] != points[:-1]).any(axis=1)]
+            depth = _settled(points[fresh], np.zeros(int(fresh.sum()), np.int64), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in points[fresh][depth == 0].T], names)
 
+    whole = df.where(_complete(names))
+    few = whole.select(*[F.col(o).cast("double").alias(o) for o in names]).mapInArrow(local, ", ".join(f"`{o}` double" for o in names))
+    best = _ranks(few, names, known=1).select(*[F.col(o).alias(f"__{o}") for o in names])
+    same = reduce(Column.__and__, [F.col(o).cast("double") == F.col(f"__{o}") for o in names])
+    return whole.join(best, same, "left_semi").unionByName(df.where(~F.coalesce(_complete(names), F.lit(False))))
 
-def pareto_fronts(df: DataFrame, key: str, objectives: Sequence[str] = OBJECTIVES, floor: Column | None = None, max_rank: int | None = None, at_once: int = 200_000) -> DataFrame:
+
+def pareto_fronts(df: DataFrame, key: str, objectives: Sequence[str] = OBJECTIVES, floor: Column | None = None, max_rank: int | None = None, at_once: int = BLOCK) -> DataFrame:
     """``df`` with ``rank`` 0.. by peeling until no row is left; infeasible rows rank after the last feasible front.
 
-    With ``max_rank`` only so many fronts get a rank, feasible ones first (null below). A round peels as many fronts as
-    ``at_once`` rows can hold: a row's front within its partition is never behind its front in the table, so the rows of
-    the first n fronts are among those in the first n of their partitions, and only these meet. Where even one front of
-    all partitions is more, ``front`` peels it by a join.
+    With ``max_rank`` only so many fronts get a rank, feasible ones first (null below). Equal rows share a front; a null
+    floor is not met; a row with a null or NaN objective is dominated by none and dominates none, so it is on the first
+    front of its kind. ``at_once`` points get their fronts in one task.
     """
     names = list(objectives)
-    left = df.select(key, *[F.col(o).cast("double").alias(o) for o in names], F.coalesce(floor, F.lit(False)).alias("__ok") if floor is not None else F.lit(True).alias("__ok"))
+    doubles = [F.col(o).cast("double").alias(o) for o in names]
+    left = df.select(*doubles, F.coalesce(floor, F.lit(False)).alias("__ok") if floor is not None else F.lit(True).alias("__ok"))
     found, rank = [], 0
     for ok in (True, False) if floor is not None else (True,):
-        rest = written(left.where(F.col("__ok") == ok).drop("__ok"), "fronts")
-        while (max_rank is None or rank < max_rank) and not rest.isEmpty():
-            local = written(_with_depth(rest, names), "fronts")
-            sizes = sorted(tuple(r) for r in local.groupBy("__depth").count().orderBy("__depth").limit(at_once).collect())
-            n, held = 0, 0
-            while n < len(sizes) and held + sizes[n][1] <= at_once and (max_rank is None or rank + n < max_rank):
-                held += sizes[n][1]
-                n += 1
-            if n:
-                few = local.where(F.col("__depth") < n).drop("__depth").coalesce(1)
-                top = _with_depth(few, names, n).where(F.col("__depth") < n).select(key, (F.col("__depth") + rank).cast("int").alias("rank"))
-            else:
-                n, top = 1, front(rest, names).select(key, F.lit(rank).alias("rank"))
-            top = written(top, "fronts")
-            found.append(top)
-            rest = written(rest.join(top, key, "left_anti"), "fronts")
-            rank = top.agg(F.max("rank")).first()[0] + 1
-    ranks = reduce(DataFrame.unionByName, found) if found else left.select(key, F.lit(None).cast("int").alias("rank")).limit(0)
-    return df.join(ranks, key, "left")
+        if max_rank is not None and rank >= max_rank:
+            break
+        here = left.where(F.col("__ok") == ok)
+        ranks = _ranks(here.where(_complete(names)), names, known=None if max_rank is None else max_rank - rank, block=at_once)
+        odd = here.where(~F.coalesce(_complete(names), F.lit(False))).select(*names, F.lit(0).alias("rank")).distinct()
+        ranks = written(ranks.unionByName(odd).select(*names, (F.col("rank") + rank).cast("int").alias("rank"), F.lit(ok).alias("__ok")), "fronts")
+        found.append(ranks)
+        top = ranks.agg(F.max("rank")).first()[0]
+        rank = rank if top is None else top + 1
+    ranks = reduce(DataFrame.unionByName, found).select(*[F.col(o).alias(f"__{o}") for o in names], "rank", F.col("__ok").alias("__fits"))
+    same = reduce(Column.__and__, [F.col(o).cast("double").eqNullSafe(F.col(f"__{o}")) for o in names], (F.coalesce(floor, F.lit(False)) if floor is not None else F.lit(True)) == F.col("__fits"))
+    return df.join(ranks, same, "left").drop("__fits", *[f"__{o}" for o in names])
 
 
 def crowding(df: DataFrame, key: str, part: str = "rank", objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
-    """``df`` with ``crowding``: sum over objectives of the gap between neighbours in a front; ends are infinite."""
-    long = df.where(F.col(part).isNotNull()).unpivot([key, part], list(objectives), "objective", "v")
-    order = Window.partitionBy(part, "objective").orderBy("v", key)
-    span = Window.partitionBy(part, "objective")
-    before, after = F.lag("v").over(order), F.lead("v").over(order)
-    width = F.max("v").over(span) - F.min("v").over(span)
+    """``df`` with ``crowding``: sum over objectives of the gap between neighbours in a front; ends are infinite.
+
+    Neighbours in value come from running totals over range slices, ties in order of the key. Rows without a front have no
+    crowding; a null value counts in no objective.
+    """
+    long = df.where(F.col(part).isNotNull()).unpivot([key, part], list(objectives), "objective", "v").where("v is not null")
+    keys = [part, "objective"]
+    near = running(long, keys, ["v", key], {"before": F.col("v")}, "max", alone=True, before=True)
+    near = running(near, keys, [F.desc("v"), F.desc(key)], {"after": F.col("v")}, "min", alone=True, before=True)
+    ends = long.groupBy(*keys).agg((F.max("v") - F.min("v")).alias("width"))
+    before, after, width = F.col("before"), F.col("after"), F.col("width")
     gap = F.when(before.isNull() | after.isNull(), float("inf")).when(width > 0, (after - before) / width).otherwise(0.0)
-    return df.join(long.select(key, gap.alias("g")).groupBy(key).agg(F.sum("g").alias("crowding")), key, "left")
+    return df.join(near.join(ends, keys).select(key, gap.alias("g")).groupBy(key).agg(F.sum("g").alias("crowding")), key, "left")
 
 
 def select_top(df: DataFrame, k: int, key: str, preference: Sequence[float] | None = None, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
@@ -179,24 +300,16 @@ def select_top(df: DataFrame, k: int, key: str, preference: Sequence[float] | No
 
 
 def front_membership(df: DataFrame, key: str, draws: int, seed: int = 0, sigma: float = 0.02, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
-    """(key, p): how often a candidate is on the first front under noise; normal draws from hash bits. Each draw keeps the
-    skylines of its parts, then these are held against each other. Rows with a null objective are passed over (p is 0)."""
+    """(key, p): how often a candidate is on the first front under noise; normal draws from hash bits. All draws are peeled
+    side by side, a part each. Rows with a null or NaN objective are passed over (p is 0)."""
     turns = F.broadcast(df.sparkSession.range(draws).withColumnRenamed("id", "__r"))
     at = lambda o, n: hash_bits(seed, F.col("__r").cast("string"), F.col(key).cast("string"), o, n)
     noise = lambda o: F.sqrt(-2 * F.log(F.greatest(at(o, 1), F.lit(1e-12)))) * F.cos(2 * np.pi * at(o, 2))
-    rows = df.select(key, *objectives).dropna().crossJoin(turns).select(key, "__r", *[clip(F.col(o) + sigma * noise(o)).alias(o) for o in objectives])
     names = list(objectives)
-
-    def local(part: pa.Table) -> pa.Table:
-        return part.filter(pa.array(_skyline(np.column_stack([part[o].to_numpy() for o in names]))))
-
-    # A draw's rows are thinned in several groups before what is left of it meets.
-    salt = F.pmod(F.xxhash64(key), F.lit(16)).alias("__salt")
-    few = rows.select("*", salt).groupBy("__r", "__salt").applyInArrow(local, rows.select("*", salt).schema).drop("__salt")
-    other = few.select("__r", *[F.col(o).alias(f"a_{o}") for o in names]).distinct()
-    beat = reduce(Column.__and__, [F.col(f"a_{o}") >= F.col(o) for o in names]) & reduce(Column.__or__, [F.col(f"a_{o}") > F.col(o) for o in names])
-    on = few.alias("x").join(other.alias("y"), (F.col("x.__r") == F.col("y.__r")) & beat, "left_anti")
-    got = on.groupBy(key).agg((F.count("*") / draws).alias("p"))
+    rows = df.where(_complete(names)).select(key, *names).crossJoin(turns).select(key, "__r", *[clip(F.col(o) + sigma * noise(o)).alias(o) for o in names])
+    rows = written(rows, "draws")
+    best = _ranks(rows, names, ["__r"], known=1)
+    got = rows.join(best, ["__r", *names], "left_semi").groupBy(key).agg((F.count("*") / draws).alias("p"))
     return df.select(key).join(got, key, "left").na.fill(0.0, ["p"])
 
 

@@ -22,7 +22,7 @@ _HOW = {
 }
 
 
-def sliced(df: DataFrame, order: Sequence[str], rows: int | None = None, alone: bool = False, name: str = "slices") -> DataFrame:
+def sliced(df: DataFrame, order: Sequence[str | Column], rows: int | None = None, alone: bool = False, name: str = "slices") -> DataFrame:
     """``df`` with ``__slice`` (an int; a byte if it is the only one), the number of its range of ``order`` (nulls first), about ``rows`` (ROWS) rows each, written.
 
     Rows that are equal in all of ``order`` share a slice. With ``alone``, up to ALONE rows are one slice and are not written.
@@ -36,7 +36,7 @@ def sliced(df: DataFrame, order: Sequence[str], rows: int | None = None, alone:
     return written(df.repartitionByRange(max(1, -(-total // (rows or ROWS))), *order).withColumn("__slice", F.spark_partition_id()), name)
 
 
-def carried(cut: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, tuple[str, Column]], before: bool = False) -> DataFrame:
+def carried(cut: DataFrame, keys: Sequence[str], order: Sequence[str | Column], totals: Mapping[str, tuple[str, Column]], before: bool = False) -> DataFrame:
     """``cut``, made by ``sliced`` over keys and order, with each of ``totals``: (sum, max or min; column) over the key's rows
     up to and with each row, or up to and without it if ``before``.
 
@@ -57,7 +57,7 @@ def carried(cut: DataFrame, keys: Sequence[str], order: Sequence[str], totals: M
     return out.select(*cut.columns, *names)
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, Column], how: str = "sum", rows: int | None = None, alone: bool = False, before: bool = False) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], totals: Mapping[str, Column], how: str = "sum", rows: int | None = None, alone: bool = False, before: bool = False) -> DataFrame:
     """``df`` with ``totals`` as ``carried`` gives them. ``df`` is counted and ordered once each: pass a cheap plan, or allow
     tables of up to ALONE rows to be ordered as one slice by ``alone``."""
     cut = sliced(df, [*keys, *order], rows, alone, "scan")

@@ -68,7 +68,7 @@ def test_mit_perfect_match(spark):
 def test_merge_takes_touching_and_overlap_does_not(spark):
     df = spark.createDataFrame([("c", 0, 5), ("c", 5, 9), ("c", 20, 30)], ["chrom", "start_pos", "end_pos"])
     assert sorted((r[1], r[2]) for r in intervals.merge_intervals(df).collect()) == [(0, 9), (20, 30)]
-    assert sorted((r[1], r[2]) for r in intervals.merge_intervals(df, span=4).collect()) == [(0, 9), (20, 30)]
+    assert intervals.merge_intervals(df.limit(0)).count() == 0
     other = spark.createDataFrame([("c", 9, 20)], ["chrom", "start_pos", "end_pos"])
     assert intervals.overlap_join(df, other).count() == 0
 
