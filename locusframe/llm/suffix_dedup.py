@@ -29,8 +29,8 @@ from locusframe.llm.decontamination import shards_of
 from locusframe.llm.substring_dedup import PACKED, Entries, _both, _joined, _later_here, pack
 
 WINDOW, GRAM = 50, 24
-SLICE_BYTES, PIECE_BYTES = 6 << 20, 1 << 19
-MIN_BUCKETS, BUCKET_BYTES = 64, 12 << 20
+SLICE_BYTES, PIECE_BYTES = 2 << 20, 1 << 18
+MIN_BUCKETS, BUCKET_BYTES = 64, 4 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
