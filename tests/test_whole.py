@@ -43,7 +43,7 @@ def plain_fronts(rows):
     return out
 
 
-@pytest.mark.parametrize("at_once", [200_000, 60, 1])
+@pytest.mark.parametrize("at_once", [200_000, 60, 25])
 def test_every_row_gets_a_front(spark, at_once):
     draw = random.Random(3)
     rows = [(k, *(draw.randrange(8) / 8 for _ in rank.OBJECTIVES)) for k in range(150)]
