@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.functions.tails import fisher_greater
+from locusframe.functions.tails import fisher_greater, normal_tail
 from locusframe.operators.intervals import nearest_distance, window_mean
 from locusframe.operators.iterate import written
 from locusframe.operators.scan import running
-from locusframe.operators.stats import mann_whitney
+from locusframe.operators.stats import mann_whitney, smallest_hashes, value_ranks
 
 #: Marks of active and of repressed chromatin, all marks that states use, and the levels called high and low.
 ACTIVE = ("H3K27ac", "H3K4me1", "H3K4me3", "H3K9ac")
@@ -112,47 +114,116 @@ def set_contrast(df: DataFrame, target: str, value: str, part: Sequence[str] = (
     return out.join(test, list(part), "left") if part else out.crossJoin(test)
 
 
-def _nearest(state: DataFrame, of: str) -> DataFrame:
+def _nearest(state: DataFrame, of: str, part: Sequence[str]) -> DataFrame:
     """``state`` with ``near_<of>``: the nearest score where ``of`` is over 0, the lower of two."""
     some = F.when(F.col(of) > 0, F.col("s"))
-    out = running(state.withColumn("__down", -F.col("s")), [], ["s"], {"__lo": some}, "max", alone=True)
-    out = running(out, [], ["__down"], {"__hi": some}, "min", alone=True)
+    out = running(state, part, ["s"], {"__lo": some}, "max", alone=True)
+    out = running(out, part, [F.desc("s")], {"__hi": some}, "min", alone=True)
     near = F.when(F.col("__hi").isNull() | (F.col("s") - F.col("__lo") <= F.col("__hi") - F.col("s")), F.col("__lo")).otherwise(F.col("__hi"))
-    return out.withColumn(f"near_{of}", near).drop("__lo", "__hi", "__down")
+    return out.withColumn(f"near_{of}", near).drop("__lo", "__hi")
 
 
-def caliper_match(df: DataFrame, target: str, score: str, key: str, caliper: float, m: int = 3) -> DataFrame:
-    """(target, match, gap): up to m unused background rows of each target within caliper x spread, closest pairs first.
+def _closest_first(rows: pd.DataFrame) -> pd.DataFrame:
+    """All matches of one segment, in order of (gap, target score, match score), between distinct scores.
+
+    Of scores with open places or free rows the closest pair is always neighbours, so a heap of neighbours in a linked
+    list yields it: a score that has given or taken all leaves the list and its neighbours become a pair.
+    """
+    rows = rows.sort_values("s")
+    s, need, free = (rows[c].tolist() for c in ("s", "need", "free"))
+    asked, given, width = rows["asked"].tolist(), rows["given"].tolist(), float(rows["width"].iloc[0])
+    n = len(s)
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    heap: list[tuple[float, float, float, int, int]] = []
+
+    def pair(i: int, j: int) -> None:
+        for t, b in ((i, j), (j, i)) if i != j else ((i, i),):
+            if need[t] > 0 and free[b] > 0 and abs(s[t] - s[b]) <= width:
+                heapq.heappush(heap, (abs(s[t] - s[b]), s[t], s[b], t, b))
+
+    for k in range(n):
+        pair(k, k)
+        if k:
+            pair(k - 1, k)
+    found = []
+    while heap:
+        _, ts, bs, t, b = heapq.heappop(heap)
+        units = min(need[t], free[b])
+        if not units:
+            continue
+        found.append((ts, bs, asked[t], given[b], units))
+        need[t], free[b], asked[t], given[b] = need[t] - units, free[b] - units, asked[t] + units, given[b] + units
+        for k in {t, b}:
+            if not need[k] and not free[k]:
+                i, j = before[k], after[k]
+                if i >= 0:
+                    after[i] = j
+                if j >= 0:
+                    before[j] = i
+                if i >= 0 and j >= 0:
+                    pair(i, j)
+    return pd.DataFrame(found, columns=["ts", "bs", "asked", "given", "n"])
+
+
+#: Distinct scores that are matched in one task.
+SEGMENT = 1_000_000
+
+
+def caliper_match(df: DataFrame, target: str, score: str, key: str, caliper: float | Column, m: int = 3, part: Sequence[str] = (), segment: int | None = None) -> DataFrame:
+    """(part, target, match, gap): up to m unused background rows of each target within caliper x spread, closest pairs first.
 
     As if all pairs were walked by (gap, target score, match score, target, match) and each taken whose row is free and
     whose target is short of m, until no pair is left. Order-free, so a contested row may go to another target than a walk
-    over targets would give it. Rounds run over distinct scores: two scores nearest to each other are matched in one
-    round, the k-th open place of one with the k-th free row of the other. Rows without a score are passed over.
+    over targets would give it. Distinct scores are cut into segments where neighbours are further apart than the caliper;
+    a segment is matched by itself, in one task up to SEGMENT scores. Scores of a larger one that are nearest to each other
+    are matched first, all over it at once, the k-th open place of one with the k-th free row of the other; scores that
+    have nothing left drop out and the rest is cut again. Rows without a score are passed over; with ``part``, spread and
+    matches are a part's own and ``caliper`` may be a column of it.
     """
-    rows = df.where(F.col(target).isNotNull()).select(F.col(key).alias("key"), F.col(target).alias("t"), F.col(score).cast("double").alias("s")).where("s is not null and not isnan(s)")
-    width = max(caliper * (rows.agg(F.stddev_pop("s")).first()[0] or 0.0), 1e-12)
-    counts = rows.groupBy("s").agg((m * F.count_if("t")).alias("need"), F.count_if(~F.col("t")).alias("free"))
+    part = list(part)
+    c = caliper if isinstance(caliper, Column) else F.lit(float(caliper))
+    rows = df.where(F.col(target).isNotNull()).select(*part, F.col(key).alias("key"), F.col(target).alias("t"), F.col(score).cast("double").alias("s"), c.alias("c")).where("s is not null and not isnan(s)")
+    spread = rows.groupBy(*part).agg(F.greatest(F.max("c") * F.stddev_pop("s"), F.lit(1e-12)).alias("width"))
+    counts = rows.groupBy(*part, "s").agg((m * F.count_if("t")).alias("need"), F.count_if(~F.col("t")).alias("free"))
     nil = F.lit(0).cast("long")
-    state = written(counts.withColumns({"asked": nil, "given": nil}), "caliper")
+    state = written((counts.join(spread, part) if part else counts.crossJoin(F.broadcast(spread))).withColumns({"asked": nil, "given": nil}), "caliper")
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema}
+    fields = "".join(f"`{p}` {kinds[p]}, " for p in part)
     rounds = []
     while True:
-        seen = _nearest(_nearest(state, "free"), "need")
-        asks = seen.where((F.col("need") > 0) & (F.abs(F.col("s") - F.col("near_free")) <= width)).select(F.col("s").alias("ts"), F.col("near_free").alias("bs"), "need", "asked")
-        gives = seen.where("free > 0").select(F.col("near_need").alias("ts"), F.col("s").alias("bs"), "free", "given")
-        block = written(asks.join(gives, ["ts", "bs"]).select("ts", "bs", "asked", "given", F.least("need", "free").alias("n")), "caliper")
-        rounds.append(block)
+        live = state.where("need > 0 or free > 0")
+        cut = running(live, part, ["s"], {"__was": F.col("s")}, "max", alone=True, before=True)
+        fresh = F.when(F.col("__was").isNull() | (F.col("s") - F.col("__was") > F.col("width")), F.col("s"))
+        cut = running(cut, part, ["s"], {"seg": fresh}, "max", alone=True).drop("__was")
+        sizes = cut.groupBy(*part, "seg").agg(F.count("*").alias("__n"), F.sum("need").alias("__need"), F.sum("free").alias("__free")).where("__need > 0 and __free > 0").drop("__need", "__free")
+        cut = written(cut.join(sizes, [*part, "seg"]), "caliper")
+        small = F.col("__n") <= (segment or SEGMENT)
+
+        def whole(rows: pd.DataFrame) -> pd.DataFrame:
+            out = _closest_first(rows)
+            return out.assign(**{p: rows[p].iloc[0] for p in part})[[*part, *out.columns]]
+
+        rounds.append(written(cut.where(small).groupBy(*part, "seg").applyInPandas(whole, fields + "ts double, bs double, asked long, given long, n long"), "caliper"))
+        state = cut.where(~small).drop("seg", "__n")
+        if state.isEmpty():
+            break
+        seen = _nearest(_nearest(state, "free", part), "need", part)
+        asks = seen.where((F.col("need") > 0) & (F.abs(F.col("s") - F.col("near_free")) <= F.col("width"))).select(*part, F.col("s").alias("ts"), F.col("near_free").alias("bs"), "need", "asked")
+        gives = seen.where("free > 0").select(*part, F.col("near_need").alias("ts"), F.col("s").alias("bs"), "free", "given")
+        block = written(asks.join(gives, [*part, "ts", "bs"]).select(*part, "ts", "bs", "asked", "given", F.least("need", "free").alias("n")), "caliper")
         if block.isEmpty():
             break
-        state = state.join(block.select(F.col("ts").alias("s"), F.col("n").alias("a")), "s", "left").join(block.select(F.col("bs").alias("s"), F.col("n").alias("b")), "s", "left")
+        rounds.append(block)
+        state = state.join(block.select(*part, F.col("ts").alias("s"), F.col("n").alias("a")), [*part, "s"], "left").join(block.select(*part, F.col("bs").alias("s"), F.col("n").alias("b")), [*part, "s"], "left")
         a, b = F.coalesce("a", nil), F.coalesce("b", nil)
-        state = written(state.select("s", (F.col("need") - a).alias("need"), (F.col("free") - b).alias("free"), (F.col("asked") + a).alias("asked"), (F.col("given") + b).alias("given")), "caliper")
+        state = written(state.select(*part, "s", (F.col("need") - a).alias("need"), (F.col("free") - b).alias("free"), "width", (F.col("asked") + a).alias("asked"), (F.col("given") + b).alias("given")), "caliper")
     units = reduce(DataFrame.unionByName, rounds).withColumn("k", F.explode(F.expr("sequence(0L, n - 1)")))
-    units = units.select("ts", "bs", (F.col("asked") + F.col("k")).alias("place"), (F.col("given") + F.col("k")).alias("row"))
-    number = F.row_number().over(Window.partitionBy("s").orderBy("key")) - 1
-    t = rows.where("t").select("key", "s", number.alias("i"))
-    t = t.select(F.col("key").alias("target"), F.col("s").alias("ts"), F.explode(F.array(*[(F.col("i") * m + k).cast("long") for k in range(m)])).alias("place"))
-    b = rows.where("not t").select(F.col("key").alias("match"), F.col("s").alias("bs"), number.cast("long").alias("row"))
-    return units.join(t, ["ts", "place"]).join(b, ["bs", "row"]).select("target", "match", F.abs(F.col("ts") - F.col("bs")).alias("gap"))
+    units = units.select(*part, "ts", "bs", (F.col("asked") + F.col("k")).alias("place"), (F.col("given") + F.col("k")).alias("row"))
+    one = F.lit(1).cast("long")
+    t = running(rows.where("t").select(*part, "s", "key"), [*part, "s"], ["key"], {"i": one}, alone=True)
+    t = t.select(*part, F.col("key").alias("target"), F.col("s").alias("ts"), F.explode(F.array(*[(F.col("i") * m - m + k).cast("long") for k in range(m)])).alias("place"))
+    b = running(rows.where("not t").select(*part, "s", "key"), [*part, "s"], ["key"], {"i": one}, alone=True).select(*part, F.col("key").alias("match"), F.col("s").alias("bs"), (F.col("i") - 1).alias("row"))
+    return units.join(t, [*part, "ts", "place"]).join(b, [*part, "bs", "row"]).select(*part, "target", "match", F.abs(F.col("ts") - F.col("bs")).alias("gap"))
 
 
 def sweep(df: DataFrame, name: str, values: Sequence[float]) -> DataFrame:
@@ -160,18 +231,98 @@ def sweep(df: DataFrame, name: str, values: Sequence[float]) -> DataFrame:
     return df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(float(v),) for v in values], f"{name} double")))
 
 
+def signal_means(loci: DataFrame, tracks: DataFrame, widths: Sequence[int], key: str, pos: str = "tss", value: str = "value") -> DataFrame:
+    """(key, width, track, mean, n): plain mean of a track's records that overlap pos - width .. pos + width, for all widths.
+
+    An index of running totals: what overlaps a window is what starts before its end less what ends up to its start, so a
+    window of any width is two look-ups and a subtraction. Starts, ends and look-ups of all widths and tracks are put in
+    one order and summed in range slices. Values are taken from their mean first, so that sums stay small. ``tracks`` has a
+    column ``track``; null or NaN values, and records without a place or of no length, are skipped; a window without
+    records has a null mean; loci that share a key each have their own rows; loci without a place have none.
+    """
+    if min(widths) < 1:
+        raise ValueError("a width is one base or more")
+    records = tracks.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col("start_pos") < F.col("end_pos")) & F.col("track").isNotNull()).select("track", "chrom", "start_pos", "end_pos", F.col(value).cast("double").alias("v"))
+    middle = records.agg(F.avg("v")).first()[0] or 0.0
+    names = records.select("track").distinct()
+    asks = sweep(loci.where(F.col("chrom").isNotNull() & F.col(pos).isNotNull()).select(F.col(key).alias("__key"), "chrom", F.col(pos).alias("__pos")), "width", widths).crossJoin(names)
+    asks = asks.withColumn("width", F.col("width").cast("long"))
+    none, nil = F.lit(0.0), F.lit(0).cast("long")
+    # At one place ends come first, then look-ups, then starts.
+    point = lambda at, rank, n, v: F.struct(at.alias("at"), F.lit(rank).alias("rank"), n.alias("n"), v.alias("v"))
+    moved = F.col("v") - middle
+    events = records.select("track", "chrom", F.explode(F.array(point(F.col("end_pos"), 0, F.lit(-1).cast("long"), -moved), point(F.col("start_pos"), 2, F.lit(1).cast("long"), moved))).alias("e"))
+    events = events.groupBy("track", "chrom", "e.at", "e.rank").agg(F.sum("e.n").alias("n"), F.sum("e.v").alias("v"))
+    lookups = asks.select("track", "chrom", "__key", "width", F.explode(F.array(point(F.col("__pos") - F.col("width"), 1, nil, none), point(F.col("__pos") + F.col("width"), 1, nil, none))).alias("e"), F.col("__pos"))
+    lookups = lookups.select("track", "chrom", "e.*", "__key", "width", "__pos", F.when(F.col("e.at") < F.col("__pos"), "lo").otherwise("hi").alias("side"))
+    both = lookups.unionByName(events, allowMissingColumns=True)
+    starts, ends = F.col("rank") == 2, F.col("rank") == 0
+    seen = running(both, ["track", "chrom"], ["at", "rank"], {"sn": F.when(starts, F.col("n")), "sv": F.when(starts, F.col("v")), "en": F.when(ends, F.col("n")), "ev": F.when(ends, F.col("v"))}, alone=True).where("rank = 1")
+    hi = F.col("side") == "hi"
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = seen.groupBy("__key", "width", "track", "chrom", "__pos").agg((zero(F.when(hi, F.col("sn"))) + zero(F.when(~hi, F.col("en")))).alias("n"), (zero(F.when(hi, F.col("sv"))) + zero(F.when(~hi, F.col("ev")))).alias("v"))
+    return out.select(F.col("__key").alias(key), "width", "track", F.when(F.col("n") > 0, F.col("v") / F.col("n") + middle).alias("mean"), "n")
+
+
+def residual_sweep(loci: DataFrame, case: DataFrame, control: DataFrame, key: str, target: str, widths: Sequence[int], pseudos: Sequence[float], draws: int, seed: int = 0, pos: str = "tss") -> DataFrame:
+    """A row per window width and pseudo-count: n, n_target, target_mean, background_mean, fold, u, p, set_ge, set_p.
+
+    The residual is log2((case + pseudo) / (control + pseudo)) of the means within the width; loci without both are passed
+    over, and so are rows whose ``target`` is null. p is the rank test that targets are greater; set_p the share of
+    ``draws`` background sets of the targets' number, chosen by hash, whose mean is at least theirs. Means come from
+    running totals, so residuals are rounded to nine digits: windows of equal records tie. ``loci`` has a row a key.
+    """
+    tracks = case.withColumn("track", F.lit("case")).unionByName(control.withColumn("track", F.lit("control")), allowMissingColumns=True)
+    means = signal_means(loci, tracks, widths, key, pos)
+    means = means.groupBy(key, "width").agg(*[F.max(F.when(F.col("track") == t, F.col("mean"))).alias(t) for t in ("case", "control")]).dropna()
+    flags = loci.select(key, F.col(target).cast("boolean").alias("__t")).where("__t is not null")
+    rows = sweep(means.join(flags, key), "pseudo", pseudos).withColumn("residual", F.round(F.log2((F.col("case") + F.col("pseudo")) / (F.col("control") + F.col("pseudo"))), 9))
+    rows = written(rows.select(key, "width", "pseudo", "__t", "residual"), "residuals")
+    part = ["width", "pseudo"]
+    t, v = F.col("__t"), F.col("residual")
+    out = rows.groupBy(*part).agg(F.count("*").alias("n"), F.count_if(t).alias("n_target"), F.avg(F.when(t, v)).alias("target_mean"), F.avg(F.when(~t, v)).alias("background_mean"))
+    out = written(out.withColumn("fold", F.pow(F.lit(2.0), F.col("target_mean"))), "sweep")
+    test = mann_whitney(rows, "__t", "residual", part, "greater").select(*part, "u", "p")
+    chosen = smallest_hashes(rows.where(~t), key, out.select(*part, F.col("n_target").alias("k")), draws, seed, part=part)
+    each = chosen.join(rows.select(key, *part, "residual"), [key, *part]).groupBy(*part, "__r").agg(F.avg("residual").alias("__m"))
+    hits = each.join(out.select(*part, "target_mean"), part).groupBy(*part).agg(F.count_if(F.col("__m") >= F.col("target_mean") - 1e-12).alias("set_ge"))
+    return out.join(test, part, "left").join(hits, part, "left").withColumn("set_p", F.col("set_ge") / draws)
+
+
+def caliper_sweep(df: DataFrame, target: str, value: str, score: str, key: str, calipers: Sequence[float], m: int = 3) -> DataFrame:
+    """A row per caliper: n_matched, matched_mean, u, p of all targets' ``value`` against their matches', greater. All
+    calipers are matched side by side. A caliper without a match has n_matched 0 and no test."""
+    rows = sweep(df.where(F.col(target).isNotNull() & F.col(value).isNotNull()).select(key, target, value, score), "caliper", calipers)
+    pairs = caliper_match(rows, target, score, key, F.col("caliper"), m, ["caliper"])
+    matched = written(pairs.select("caliper", F.col("match").alias(key)).join(df.select(key, value), key).select("caliper", value, F.lit(False).alias("__t")), "matched")
+    both = matched.unionByName(rows.where(F.col(target)).select("caliper", value, F.lit(True).alias("__t")))
+    out = both.groupBy("caliper").agg(F.count_if(~F.col("__t")).alias("n_matched"), F.avg(F.when(~F.col("__t"), F.col(value))).alias("matched_mean"))
+    return out.join(mann_whitney(both, "__t", value, ["caliper"], "greater").select("caliper", "u", "p"), "caliper", "left")
+
+
 def leave_one_out(df: DataFrame, target: str, value: str, key: str) -> DataFrame:
-    """(dropped, u, p) of the rank test with each target left out, from ranks of the whole table.
+    """(dropped, mean, u, p, worst) of the rank test that targets are greater, with each target left out; ``worst`` is the
+    largest p of all.
 
-    U counts wins of a target over background, so leaving one out subtracts its wins; no row is copied.
+    U counts wins of targets over background, so leaving one out subtracts its wins, and ties lose it from its value: both
+    come from value counts, and no row is copied. Nulls are passed over; with one target or no background p is null.
     """
-    background = df.where(~F.col(target)).groupBy(value).agg(F.count("*").alias("n"))
-    t = df.where(F.col(target)).select(F.col(key).alias("dropped"), F.col(value).alias("tv"))
-    values = t.select("tv").distinct()
-    below = values.join(background, F.col(value) <= F.col("tv")).groupBy("tv").agg(F.sum(F.when(F.col(value) < F.col("tv"), F.col("n")).otherwise(F.col("n") / 2)).alias("wins"))
-    wins = t.join(below, "tv", "left").na.fill(0.0, ["wins"])
-    total = wins.agg(F.sum("wins").alias("__u"))
-    return wins.crossJoin(F.broadcast(total)).select("dropped", (F.col("__u") - F.col("wins")).alias("u"))
+    rows = df.where(F.col(target).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("dropped"), F.col(target).cast("boolean").alias("__t"), F.col(value).alias("__v"))
+    ranks = value_ranks(rows.withColumn("__b", (~F.col("__t")).cast("long")), "__v", ["__b"])
+    cubes = lambda c: c * c * c - c
+    n = F.col("n").cast("double")
+    wins = F.col("before___b") + F.col("__b") / 2
+    ranks = written(ranks.select("__v", n.alias("n"), (n - F.col("__b")).alias("__a"), wins.alias("wins")), "values")
+    all_ = ranks.agg(F.sum("n").alias("__n"), F.sum("__a").alias("__n1"), F.sum(F.col("__a") * F.col("wins")).alias("__u"), F.sum(F.col("__a") * F.col("__v")).alias("__s"), F.sum(cubes(F.col("n"))).alias("__ties"))
+    each = rows.where("__t").join(ranks, "__v").crossJoin(F.broadcast(all_))
+    n1, n2 = F.col("__n1") - 1, F.col("__n") - F.col("__n1")
+    total = n1 + n2
+    ties = F.col("__ties") - cubes(F.col("n")) + cubes(F.col("n") - 1)
+    spread = F.sqrt(F.greatest(n1 * n2 / 12 * ((total + 1) - F.coalesce(F.try_divide(ties, total * (total - 1)), F.lit(0.0))), F.lit(0.0)))
+    out = each.select("dropped", F.try_divide(F.col("__s") - F.col("__v"), n1).alias("mean"), (F.col("__u") - F.col("wins")).alias("u"), n1.alias("__n1"), n2.alias("__n2"), spread.alias("__sd"))
+    z = F.when(F.col("__sd") > 0, (F.col("u") - F.col("__n1") * F.col("__n2") / 2 - 0.5) / F.col("__sd")).when((F.col("__n1") > 0) & (F.col("__n2") > 0), 0.0)
+    out = written(out.withColumn("__z", z).select("dropped", "mean", "u", normal_tail("__z").alias("p")), "left-out")
+    return out.crossJoin(F.broadcast(out.agg(F.max("p").alias("worst"))))
 
 
 def genome3d_features(loci: DataFrame, compartments: DataFrame, insulation: DataFrame, boundaries: DataFrame, key: str) -> DataFrame:

@@ -186,24 +186,28 @@ def hash_split_order(seed: int | Column, replicate: Column, key: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), replicate.cast("string"), F.col(key).cast("string")), 256)
 
 
-def smallest_hashes(df: DataFrame, key: str, k: DataFrame, draws: int, seed: int = 0, bin_rows: int = 50_000) -> DataFrame:
-    """(__r, key): in each of ``draws`` replicates the rows with the k smallest hashes; ``k`` is a table of one number, ``k``.
+def smallest_hashes(df: DataFrame, key: str, k: DataFrame, draws: int, seed: int = 0, bin_rows: int = 50_000, part: Sequence[str] = ()) -> DataFrame:
+    """(part, __r, key): in each of ``draws`` replicates of a part the rows with the k smallest hashes; ``k`` has a row a part.
 
     A threshold search: hashes are counted in bins, as many as the rows ask for, so the bin that the k-th falls into holds
     about ``bin_rows`` of a replicate's rows; bins before it are taken whole and only its rows are ordered. Equal keys have
     equal hashes and come in any order. Work is draws x rows.
     """
+    part = list(part)
     bins = max(1, -(-df.count() // bin_rows))
     turns = F.broadcast(df.sparkSession.range(draws).withColumnRenamed("id", "__r"))
-    rows = df.select(F.col(key).alias("__k")).crossJoin(turns).withColumn("__h", hash_split_order(seed, F.col("__r"), "__k"))
+    rows = df.select(*part, F.col(key).alias("__k")).crossJoin(turns).withColumn("__h", hash_split_order(seed, F.col("__r"), "__k"))
     rows = rows.withColumn("__bin", F.floor(F.conv(F.substring("__h", 1, 12), 16, 10).cast("double") / float(1 << 48) * bins).cast("int"))
-    counts = rows.groupBy("__r", "__bin").agg(F.count("*").alias("__n"))
-    order = Window.partitionBy("__r").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
-    open_ = counts.withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0))).crossJoin(F.broadcast(k.select(F.col("k").alias("__want")))).where(F.col("__before") < F.col("__want"))
-    found = rows.join(open_, ["__r", "__bin"])
+    counts = rows.groupBy(*part, "__r", "__bin").agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(*part, "__r").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0)))
+    wanted = k.select(*part, F.col("k").alias("__want"))
+    open_ = (before.join(wanted, part) if part else before.crossJoin(F.broadcast(wanted))).where(F.col("__before") < F.col("__want"))
+    found = rows.join(open_, [*part, "__r", "__bin"])
     whole = F.col("__before") + F.col("__n") <= F.col("__want")
-    last = found.where(~whole).withColumn("__i", F.row_number().over(Window.partitionBy("__r", "__bin").orderBy("__h")))
-    return found.where(whole).select("__r", "__k").unionByName(last.where(F.col("__i") <= F.col("__want") - F.col("__before")).select("__r", "__k")).withColumnRenamed("__k", key)
+    last = found.where(~whole).withColumn("__i", F.row_number().over(Window.partitionBy(*part, "__r", "__bin").orderBy("__h")))
+    taken = last.where(F.col("__i") <= F.col("__want") - F.col("__before"))
+    return found.where(whole).select(*part, "__r", "__k").unionByName(taken.select(*part, "__r", "__k")).withColumnRenamed("__k", key)
 
 
 def permutation_p(df: DataFrame, x: str, y: str, key: str, draws: int, seed: int = 0, statistic: Callable[[str, str], Column] = pearson, two_sided: bool = True, smoothing: bool = True) -> DataFrame:

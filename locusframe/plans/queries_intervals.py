@@ -201,10 +201,41 @@ def h9(v):
     return rows.groupBy("cut").agg(F.sum((F.col("residual") > F.col("cut")).cast("long")).alias("n_up"), F.round(F.avg(F.when(F.abs("residual") > F.col("cut"), F.col("residual"))), 6).alias("mean"))
 
 
-@register("h10_leave_one_out", """with t as (select gene as dropped, beta as x from fx_genes where control), b as (select beta as y from fx_genes where not control),
-    w as (select dropped, sum(case when y < x then 1.0 when y = x then 0.5 else 0 end) as w from t, b group by dropped) select dropped, round((select sum(w) from w) - w, 6) as u from w""")
+#: The upper normal tail by the power series of the error function.
+TAIL = lambda z: f"0.5 * (1 - 2 / sqrt(pi()) * list_sum(list_transform(range(90), lambda i: pow(-1, i) * pow(({z}) / sqrt(2), 2 * i + 1) / (gamma(i + 1) * (2 * i + 1)))))"
+
+
+@register("h9_residual_sweep", f"""with w as (select unnest([500, 1000, 3000]) as width), q as (select unnest([0.5, 1.0, 5.0])::double as pseudo),
+    m as (select width, l.locus_id, avg(b.value) filter (b.side = 'F') as c, avg(b.value) filter (b.side = 'O') as o from fx_loci l, w, fx_track b where l.chrom = b.chrom and b.start_pos < l.tss + width and b.end_pos > l.tss - width group by width, l.locus_id),
+    r as (select width, pseudo, locus_id, locus_id % 25 = 0 as t, round(log2((c + pseudo) / (o + pseudo)), 9) as v from m, q where c is not null and o is not null),
+    k as (select *, rank() over (partition by width, pseudo order by v) + (count(*) over (partition by width, pseudo, v) - 1) / 2.0 as rk, count(*) over (partition by width, pseudo, v) as same from r),
+    s as (select width, pseudo, count(*)::double as n, (count(*) filter (t))::double as n1, avg(v) filter (t) as target_mean, avg(v) filter (not t) as background_mean, sum(rk) filter (t) - count(*) filter (t) * (count(*) filter (t) + 1) / 2 as u, sum(same::double * same - 1) as ties from k group by all),
+    d as (select width, pseudo, turn, v, row_number() over (partition by width, pseudo, turn order by sha256('3' || chr(58) || turn || chr(58) || locus_id)) as i from r, (select unnest(range(20)) as turn) where not t),
+    e as (select width, pseudo, turn, avg(v) as m from d join s using (width, pseudo) where i <= n1 group by all),
+    g as (select width, pseudo, count(*) filter (m >= target_mean - 1e-12) as ge from e join s using (width, pseudo) group by all),
+    z as (select *, n1 * (n - n1) as nn, sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))) as sd from s)
+    select width::bigint as width, pseudo, n::bigint as n, n1::bigint as n_target, round(target_mean, 6) as target_mean, round(background_mean, 6) as background_mean, round(u, 6) as u, round({TAIL('(u - nn / 2 - 0.5) / sd')}, 6) as p, ge as set_ge, round(ge / 20.0, 6) as set_p from z join g using (width, pseudo)""")
+def h9_sweep(v):
+    t = v("fx_track")
+    loci = v("fx_loci").withColumn("t", F.col("locus_id") % 25 == 0)
+    out = ch.residual_sweep(loci, t.where("side = 'F'"), t.where("side = 'O'"), "locus_id", "t", (500, 1000, 3000), (0.5, 1.0, 5.0), 20, 3)
+    return out.select("width", "pseudo", "n", "n_target", *[F.round(c, 6).alias(c) for c in ("target_mean", "background_mean", "u", "p")], "set_ge", F.round("set_p", 6).alias("set_p"))
+
+
+@register("h9_caliper_sweep")  # matching closest pairs first is a walk: tests hold it against a plain one
+def h9_calipers(v):
+    rows = v("fx_genes").withColumn("t", F.expr("cast(substring(gene, 2) as int) % 50 = 0"))
+    return ch.caliper_sweep(rows, "t", "beta", "log2fc", "gene", (0.1, 0.25, 0.5))
+
+
+@register("h10_leave_one_out", f"""with t as (select gene as dropped, beta as x from fx_genes where control), b as (select beta as y from fx_genes where not control),
+    c as (select beta, count(*)::double as n from fx_genes group by beta), s as (select (select count(*) from t) - 1.0 as n1, (select count(*) from b)::double as n2, (select sum(n * n * n - n) from c) as ties, (select sum(x) from t) as total),
+    w as (select dropped, x, sum(case when y < x then 1.0 when y = x then 0.5 else 0 end) as w from t, b group by dropped, x),
+    r as (select dropped, (total - x) / n1 as mean, (select sum(w) from w) - w as u, n1 * n2 as nn, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - (ties - (n * n * n - n) + ((n - 1) * (n - 1) * (n - 1) - (n - 1))) / ((n1 + n2) * (n1 + n2 - 1)))) as sd from w join c on c.beta = x, s),
+    q as (select dropped, mean, u, {TAIL('(u - nn / 2 - 0.5) / sd')} as p from r)
+    select dropped, round(mean, 6) as mean, round(u, 6) as u, round(p, 6) as p, round(max(p) over (), 6) as worst from q""")
 def h10(v):
-    return ch.leave_one_out(v("fx_genes"), "control", "beta", "gene").select("dropped", F.round("u", 6).alias("u"))
+    return ch.leave_one_out(v("fx_genes"), "control", "beta", "gene").select("dropped", *[F.round(c, 6).alias(c) for c in ("mean", "u", "p", "worst")])
 
 
 @register("h11_genome3d", f"""with e as (select a.locus_id, avg(b.value - 25000) as eigenvector, avg(b.value) filter (b.side = 'F') as insulation from fx_windows2k a join fx_track b on {MEET} group by a.locus_id),
