@@ -26,18 +26,11 @@ from pyspark.sql import functions as F
 
 from locusframe.llm.common import table, written
 from locusframe.llm.decontamination import shards_of
-from locusframe.llm.substring_dedup import PACKED, Entries, _both, _joined, _later_here, pack
+from locusframe.llm.substring_dedup import _BACK, _BYTE, _R, PACKED, Entries, _both, _joined, _later_here, _mix, _power, _sums, pack
 
 WINDOW, GRAM = 50, 24
 SLICE_BYTES, PIECE_BYTES = 2 << 20, 1 << 18
 MIN_BUCKETS, BUCKET_BYTES = 64, 4 << 20
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _M1
-    h = (h ^ (h >> np.uint64(29))) * _M2
-    return h ^ (h >> np.uint64(32))
 
 
 def _words(text: bytes) -> np.ndarray:
@@ -65,60 +58,76 @@ def _sliding(h: np.ndarray, n: int, pick=np.minimum) -> np.ndarray:
     return pick(out[: len(out) - (n - k)], out[n - k :]) if k < n else out
 
 
-def anchors_of(text: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes): of every ``window`` bytes an anchor, chosen by these bytes alone up to equal hashes.
+def _pieces(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, int]]]:
+    """(text, begin, end) of texts of ``window`` bytes or more, long ones cut with overlap, in lists of about PIECE_BYTES."""
+    held, size, rim = [], 0, 2 * window
+    for k, text in enumerate(texts):
+        for at in range(0, max(len(text) - window + 1, 0), PIECE_BYTES):
+            begin, end = max(at - rim, 0), min(at + PIECE_BYTES + rim, len(text))
+            held.append((k, begin, end))
+            size += end - begin
+            if size >= PIECE_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _context_hashes(data: bytes, begin: np.ndarray, end: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[begin:end], its length and the place in it, from running sums."""
+    total = _sums(_BYTE[np.frombuffer(data, np.uint8)], _R)
+    own = (total[end] - total[begin]) * _power(_BACK[_R], len(data))[begin]
+    return _mix(own + _mix(((places - begin) * 4096 + (end - begin)).astype(np.uint64)))
+
 
-    Long texts go piece by piece. Where equal hashes crowd, as in a run of one byte, the first and last of every half
-    reach are enough for each window to hold one.
+def anchors_of(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, anchor hash, context hash): of every ``window`` bytes of each text an anchor, chosen by these bytes
+    alone up to equal hashes, and its context: all strings of the window's length that can hold it.
+
+    Texts go through together, long ones piece by piece. Where equal hashes crowd, as in a run of one byte, the first and
+    last of every half reach are enough for each window to hold one.
     """
-    reach = window - gram + 1
-    places, hashes = [], []
-    for at in range(0, max(len(text) - window + 1, 0), PIECE_BYTES):
-        first = max(at - reach, 0)
-        h = gram_hashes(text[first : at + PIECE_BYTES + 2 * window], gram)
+    reach, left = window - gram + 1, window - gram
+    found = []
+    for pieces in _pieces(texts, window):
+        data = b"".join(texts[k][a:b] for k, a, b in pieces)
+        text, first, size = (np.array(x, np.int64) for x in zip(*((k, a, b - a) for k, a, b in pieces)))
+        stop = np.cumsum(size)
+        start, whole = stop - size, np.array([len(texts[k]) for k in text.tolist()])
+        h = gram_hashes(data, gram)
         low = _sliding(h, reach)
+        for e in stop[:-1].tolist():  # windows that cross from one text to the next
+            low[e - window + 1 : e] = 0
         rim = np.zeros(reach - 1, np.uint64)
-        found = np.flatnonzero(_sliding(np.r_[rim, low, rim], reach, np.maximum) == h)
-        places.append(found + first)
-        hashes.append(h[found])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    places, which = np.unique(np.concatenate(places), return_index=True)
-    hashes = np.concatenate(hashes)[which]
-    fresh = np.r_[True, (hashes[1:] != hashes[:-1]) | (np.diff(places) >= reach)]
+        at = np.flatnonzero(_sliding(np.r_[rim, low, rim], reach, np.maximum) == h)
+        of = np.searchsorted(stop, at, side="right")
+        begin, end = np.maximum(at - left, start[of]), np.minimum(at + window, stop[of])
+        sure = (at + gram <= stop[of]) & ((at - left >= start[of]) | (first[of] == 0)) & ((at + window <= stop[of]) | (first[of] + size[of] == whole[of]))
+        at, of, begin, end = at[sure], of[sure], begin[sure], end[sure]
+        found.append((text[of], at - start[of] + first[of], h[at], _context_hashes(data, begin, end, at)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    text, place, h, context = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((place, text))
+    text, place, h, context = text[order], place[order], h[order], context[order]
+    new = np.r_[True, (text[1:] != text[:-1]) | (place[1:] != place[:-1])]  # pieces overlap
+    text, place, h, context = text[new], place[new], h[new], context[new]
+    fresh = np.r_[True, (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (np.diff(place) >= reach)]
     run = np.cumsum(fresh)
-    cell = (places - places[fresh][run - 1]) // (reach // 2)
+    cell = (place - place[fresh][run - 1]) // (reach // 2)
     new = np.r_[True, (run[1:] != run[:-1]) | (cell[1:] != cell[:-1])]
     keep = new | np.r_[new[1:], True]
-    return places[keep], hashes[keep]
-
-
-def context_hashes(text: bytes, places: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of each place's context, its length and the anchor's place in it."""
-    left = window - gram
-    words, out = _words(text + bytes(8)), np.empty(len(places), np.uint64)
-    begin, end = np.maximum(places - left, 0), np.minimum(places + window, len(text))
-    h = _mix(((places - begin) * 1000 + (end - begin)).astype(np.uint64))
-    for k in range(0, left + window, 8):  # eight bytes at a time, the last eight again at the end
-        at = np.minimum(begin + k, end - 8)
-        h = np.where(begin + k < end, _mix(h ^ words[at]), h)
-    out[:] = h
-    return out
+    return text[keep], place[keep], h[keep], context[keep]
 
 
 def _probes(window: int, gram: int, buckets: int):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in shards_of(batch, "text", SLICE_BYTES):
-                docs, keys = [], []
-                for doc_id, row, text in zip(part["doc_id"].to_pylist(), part["row"].to_pylist(), part["text"].to_pylist()):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    places, hashes = anchors_of(raw, window, gram)
-                    if len(places):
-                        docs.append((doc_id, row, context_hashes(raw, places, window, gram), (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32), places))
-                        keys.append(hashes >> np.uint64(32))
-                if docs:
-                    yield _split(Entries.of(docs), np.concatenate(keys), buckets)
+                text, place, h, context = anchors_of([t.encode("utf-8", "surrogatepass") for t in part["text"].to_pylist()], window, gram)
+                if len(text):
+                    ids, rows = (np.array(part[c].to_pylist(), np.int64)[text] for c in ("doc_id", "row"))
+                    yield _split(Entries(context, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), ids, rows, place), h >> np.uint64(32), buckets)
 
     return probe
 
@@ -168,38 +177,51 @@ def _settle(rows: pa.Table) -> pa.Table:
     return _lists(_joined(e, known), np.r_[wanted, np.zeros(len(known.ids), bool)])
 
 
-CONTEXTS = "bucket int, ids binary, rows binary, begins binary, sizes binary, bytes binary"
+CONTEXTS = "bucket int, ids binary, rows binary, begins binary, anchors binary, sizes binary, bytes binary"
+_PARTS = ["ids", "rows", "begins", "anchors", "sizes"]
+
+
+def _cut_out(data: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings data[begin : begin + size], each in a row of ``width`` bytes, and which of these are theirs."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(width, np.uint8)], width)[begin]
+    return rows, np.arange(width) < size[:, None]
 
 
 def _contexts(window: int, gram: int, buckets: int):
-    left = window - gram
+    left, width = window - gram, 2 * window - gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in shards_of(batch, "__text", SLICE_BYTES):
-                found: dict[int, list] = {}
+            for part in shards_of(batch, "__text", SLICE_BYTES // 2):
+                texts, ids, rows, places = [], [], [], []
                 for doc_id, row, text, hits in zip(*(part[c].to_pylist() for c in ("__id", "__row", "__text", "__hits"))):
                     asked = [p for h in hits or () if doc_id is not None and h["row"] == row for p in h["wanted"]]
-                    if not asked:
-                        continue
-                    raw = (text or "").encode("utf-8", "surrogatepass")
-                    at = np.sort(np.array(asked, np.int64))
-                    for p, h in zip(at.tolist(), _at(raw, at, gram).tolist()):
-                        begin = max(p - left, 0)
-                        found.setdefault((h >> 32) * buckets >> 32, []).append((doc_id, row, begin, raw[begin : p + window]))
-                if found:
-                    columns = [(k, *(np.array([x[i] for x in v], np.int64).tobytes() for i in range(3)), np.array([len(x[3]) for x in v], np.int64).tobytes(), b"".join(x[3] for x in v)) for k, v in found.items()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns), [pa.int32(), *[pa.binary()] * 5])], ["bucket", "ids", "rows", "begins", "sizes", "bytes"])
+                    if asked:
+                        texts.append((text or "").encode("utf-8", "surrogatepass"))
+                        ids.append(doc_id)
+                        rows.append(row)
+                        places.append(np.array(asked, np.int64))
+                if not texts:
+                    continue
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                of = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+                length = np.array([len(t) for t in texts])
+                start = np.cumsum(length) - length
+                place = np.concatenate(places)
+                begin, end = np.maximum(place - left, 0), np.minimum(place + window, length[of])
+                h = gram_hashes_of(_cut_out(data, start[of] + place, end - place, gram)[0])
+                bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                order = np.lexsort((h, bucket))
+                of, place, begin, end, bucket = of[order], place[order], begin[order], end[order], bucket[order]
+                cut, own = _cut_out(data, start[of] + begin, end - begin, width)
+                edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+                parts = [np.array(ids, np.int64)[of], np.array(rows, np.int64)[of], begin, place - begin, end - begin]
+                columns = [bucket[edge[:-1]].tolist(), *([x[a:b].tobytes() for a, b in zip(edge, edge[1:])] for x in parts), [cut[a:b][own[a:b]].tobytes() for a, b in zip(edge, edge[1:])]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 6])], ["bucket", *_PARTS, "bytes"])
 
     return cut
 
 
-def _at(raw: bytes, places: np.ndarray, gram: int) -> np.ndarray:
-    """The hashes of the anchors at ``places``."""
-    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), gram)[places]
-    return np.array([gram_hashes(r.tobytes(), gram)[0] for r in rows], np.uint64) if len(rows) < 64 else gram_hashes_of(rows)
-
-
 def gram_hashes_of(rows: np.ndarray) -> np.ndarray:
     """The hash of each row of bytes, the same as in a text."""
     n = rows.shape[1]
@@ -281,25 +303,38 @@ def repeats_of(data: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.nda
 
 
 SPANS = "doc_id long, row long, starts array<int>, lengths array<int>"
+#: Contexts in one suffix array: equal strings share an anchor, so a shard is cut between anchors.
+TOGETHER = 4_000
 
 
-def _later_repeats(window: int):
+def _later_repeats(window: int, gram: int):
     def find(rows: pa.Table) -> pa.Table:
-        long = lambda c: np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in rows[c]])
-        ids, texts, begins, sizes = (long(c) for c in ("ids", "rows", "begins", "sizes"))
+        ids, texts, begins, anchors, sizes = (np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in rows[c]]) for c in _PARTS)
         data = np.frombuffer(b"".join(rows["bytes"].to_pylist()), np.uint8)
-        repeat, length, string, offset = repeats_of(data, sizes, window)
-        first = np.flatnonzero(np.r_[True, repeat[1:] != repeat[:-1]]) if len(repeat) else np.zeros(0, np.int64)
-        if len(repeat):
-            low = np.minimum.reduceat(ids[string], first)
-            late = ids[string] > low[repeat]
-            length, string, offset = length[late], string[late], offset[late]
-        place = begins[string] + offset
-        order = np.lexsort((place, texts[string], ids[string]))
-        i, t = ids[string][order], texts[string][order]
+        at = np.cumsum(sizes) - sizes
+        h = gram_hashes_of(_cut_out(data, at + anchors, sizes - anchors, gram)[0])
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+        cuts = [0]
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+            if b - cuts[-1] > TOGETHER and a > cuts[-1]:
+                cuts.append(a)
+        found = []
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            mine = order[a:b]
+            cut, own = _cut_out(data, at[mine], sizes[mine], 2 * window - gram)
+            repeat, length, string, offset = repeats_of(cut[own], sizes[mine], window)
+            if len(repeat):
+                string = mine[string]
+                edge = np.flatnonzero(np.r_[True, repeat[1:] != repeat[:-1]])
+                late = ids[string] > np.minimum.reduceat(ids[string], edge)[repeat]
+                found.append((ids[string[late]], texts[string[late]], (begins[string] + offset)[late], length[late]))
+        i, t, place, length = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+        order = np.lexsort((place, t, i))
+        i, t, place, length = i[order], t[order], place[order], length[order]
         edge = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])]) if len(i) else np.zeros(0, np.int64)
-        at = pa.array(np.r_[edge, len(i)].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(at, pa.array(x[order].astype(np.int32))) for x in (place, length)]
+        ends = pa.array(np.r_[edge, len(i)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (place, length)]
         return pa.table({"doc_id": i[edge], "row": t[edge], "starts": lists[0], "lengths": lists[1]})
 
     return find
@@ -314,8 +349,14 @@ def _cutter(window: int, gram: int):
                 kept, counts, gone, spans = [], [], [], []
                 for doc_id, text, row, removed in zip(*(part[c].to_pylist() for c in ("__id", "__text", "__row", "__removed"))):
                     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+                    if doc_id is None or not removed:
+                        kept.append(raw.tobytes())
+                        counts.append(len(raw))
+                        gone.append(0)
+                        spans.append(0)
+                        continue
                     edge = np.zeros(len(raw) + 1, np.int32)
-                    for r in removed or () if doc_id is not None else ():
+                    for r in removed:
                         if r["row"] == row:
                             start, length = np.array(r["starts"], np.int64), np.array(r["lengths"] or (), np.int64)
                             if not len(length):  # contexts
@@ -366,7 +407,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     keyed = rows.select(*[c for c in docs.columns if c != text_col], "__id", F.col(text_col).alias("__text"), "__row")
     keyed = keyed.withColumn("__key", F.coalesce("__id", F.xxhash64("__text"))).repartition("__key")
     near = keyed.join(asked.hint("shuffle_hash"), F.col("__key") == F.col("__aid"), "left")
-    spans = near.mapInArrow(_contexts(window, GRAM, buckets), CONTEXTS).groupBy("bucket").applyInArrow(_later_repeats(window), SPANS)
+    spans = near.mapInArrow(_contexts(window, GRAM, buckets), CONTEXTS).groupBy("bucket").applyInArrow(_later_repeats(window, GRAM), SPANS)
     whole = hits.where(F.size("known") > 0).select("doc_id", "row", F.col("known").alias("starts"), F.array().cast("array<int>").alias("lengths"))
     removed = whole.unionByName(spans).groupBy(F.col("doc_id").alias("__rid")).agg(F.collect_list(F.struct("row", "starts", "lengths")).alias("__removed"))
     joined = keyed.join(removed.hint("shuffle_hash"), F.col("__key") == F.col("__rid"), "left").drop("__key", "__rid")

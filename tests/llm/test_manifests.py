@@ -153,14 +153,19 @@ def test_suffix_dedup_of_few_letters(spark, window):
 
 def test_every_window_holds_an_anchor():
     rng = np.random.default_rng(3)
-    for n in rng.integers(40, 500, 60):
-        text = bytes(rng.integers(97, 97 + int(rng.integers(1, 4)), n).astype(np.uint8))
-        places, _ = suffix_dedup.anchors_of(text)
-        for s in range(n - 49):
-            assert ((places >= s) & (places <= s + 26)).any()
-    long = np.random.default_rng(1).integers(97, 110, 3 * suffix_dedup.PIECE_BYTES // 2).astype(np.uint8).tobytes()
-    places, hashes = suffix_dedup.anchors_of(long)
-    assert (hashes == suffix_dedup.gram_hashes(long, 24)[places]).all() and np.diff(places).max() <= 27 and len(places) < len(long) / 11
+    texts = [bytes(rng.integers(97, 97 + int(rng.integers(1, 4)), n).astype(np.uint8)) for n in rng.integers(40, 500, 60)]
+    texts.append(rng.integers(97, 110, 5 * suffix_dedup.PIECE_BYTES // 2).astype(np.uint8).tobytes())
+    text, place, anchor, context = suffix_dedup.anchors_of(texts)
+    seen = {}
+    for k, t in enumerate(texts):
+        mine = place[text == k]
+        assert (np.diff(mine) > 0).all() and (anchor[text == k] == suffix_dedup.gram_hashes(t, 24)[mine]).all()
+        if len(t) >= 50:
+            assert mine[0] <= 26 and np.diff(mine).max(initial=0) <= 27 and mine[-1] >= len(t) - 50
+        for p, c in zip(mine[:2000].tolist(), context[text == k][:2000].tolist()):
+            own = (t[max(p - 26, 0) : p + 50], min(p, 26))
+            assert seen.setdefault(c, own) == own
+    assert len(set(seen.values())) == len(seen) and (text == 60).sum() < len(texts[-1]) / 11
 
 
 def test_maximal_repeats():
