@@ -57,7 +57,7 @@ def _holds(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in found.split(".")))  # whatever zeros lead
     digits = only_digits(found)
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
