@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -26,12 +27,14 @@ from locusframe.llm.common import hash_sample, table
 from locusframe.llm.decontamination import shards_of
 
 #: Fixed values of HTML: elements whose text is not text, that end a line but no block, that have no end tag.
-RAW = ("script", "style", "template", "noscript", "svg", "iframe", "object", "textarea", "select", "title", "math", "canvas")
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = ("script", "style", "template", "noscript", "svg", "iframe", "object", "textarea", "select", "title", "canvas")
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+                   "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd mpadded mphantom menclose semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 OWN_KIND = {"li": "li", "tr": "tr", "td": "td", "th": "td", "dt": "dd", "dd": "dd", "option": "option"}
-#: Nesting beyond this is read as siblings, as browsers do, so a block's path has a bounded length.
+#: Elements nested deeper than this are read as siblings, as browsers do, so a block's path has a bounded length; their end
+#: tags close nothing.
 MAX_DEPTH = 512
 #: Quantifiers are possessive and a tag with an open quote ends at its next ">", so no scan starts over.
 _TOKEN = re.compile(
@@ -53,6 +56,8 @@ def blocks_of(page: str) -> list[Block]:
     path: tuple[str, ...] | None = ()
     held: list[str] = []
     linked = 0
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}  # blocks with one path share it
+    skipped: Counter[str] = Counter()  # start tags beyond MAX_DEPTH that are still open
 
     def close() -> None:
         nonlocal linked, path
@@ -60,6 +65,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             if path is None:
                 path = tuple(n for tag, names, _ in stack if tag not in INLINE for n in names)
+                path = paths.setdefault(path, path)
             out.append((path, text, linked))
         held.clear()
         linked = 0
@@ -91,7 +97,10 @@ def blocks_of(page: str) -> list[Block]:
         if m["back"]:
             if tag not in INLINE:
                 close()
-            cut(next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None))
+            if skipped[tag]:
+                skipped[tag] -= 1
+            else:
+                cut(next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None))
         else:
             if tag not in INLINE:
                 close()
@@ -105,7 +114,10 @@ def blocks_of(page: str) -> list[Block]:
                         cut(depth)
             elif tag in ("br", "wbr"):
                 held.append(" " if tag == "br" else "")
-            if tag not in VOID and not rest.rstrip().endswith("/") and len(stack) < MAX_DEPTH:
+            opens = tag not in VOID and not rest.rstrip().endswith("/")
+            if opens and len(stack) >= MAX_DEPTH:
+                skipped[tag] += 1
+            elif opens:
                 names = [tag, *(f".{w}" for g in _NAMES.findall(rest) for w in re.split(r"[^a-z0-9]+", "".join(g).lower()) if w)] if rest else [tag]
                 stack.append((tag, tuple(names), tag == "a" or bool(stack) and stack[-1][2]))
                 path = None
@@ -116,6 +128,8 @@ def blocks_of(page: str) -> list[Block]:
 
 
 PATH_DIMS, WORD_DIMS, COUNT_DIMS, HIDDEN = 192, 48, 8, 24
+#: Blocks of all pages of a group that are labelled in one stretch.
+STRETCH = 20_000
 DIMS = PATH_DIMS + WORD_DIMS + COUNT_DIMS
 _paths: dict[tuple[str, ...], np.ndarray] = {}
 _words: dict[str, int] = {}
@@ -134,11 +148,13 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return found
 
 
-def vectors_of(blocks: list[Block]) -> np.ndarray:
-    out = np.zeros((len(blocks), DIMS), np.float32)
+def vectors_of(blocks: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """The vectors of a page's blocks, or of blocks ``first`` to ``last``: path, words, counts and the place in the page."""
+    some = blocks[first:last]
+    out = np.zeros((len(some), DIMS), np.float32)
     if len(_words) > 300_000:
         _words.clear()
-    for k, (path, text, linked) in enumerate(blocks):
+    for k, (path, text, linked) in enumerate(some):
         out[k, :PATH_DIMS] = _path_vector(path)
         words = text.split(" ")
         places = []
@@ -152,7 +168,7 @@ def vectors_of(blocks: list[Block]) -> np.ndarray:
         out[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = signed / max(1.0, float(np.sqrt((signed * signed).sum())))
         n = len(text)
         out[k, -COUNT_DIMS:] = (
-            np.log1p(n) / 8, np.log1p(len(words)) / 6, linked / n, text[-1] in ".!?", sum(map(text.count, ".,;")) / len(words), text[:1].isupper(), k / len(blocks), 1 / len(blocks))
+            np.log1p(n) / 8, np.log1p(len(words)) / 6, linked / n, text[-1] in ".!?", sum(map(text.count, ".,;")) / len(words), text[:1].isupper(), (first + k) / len(blocks), 1 / len(blocks))
     return out
 
 
@@ -167,11 +183,12 @@ class Labeller:
             self.p |= {f"x{d}": draw(DIMS, 4 * HIDDEN), f"h{d}": draw(HIDDEN, 4 * HIDDEN), f"c{d}": np.repeat(np.float32([0, 1, 0, 0]), HIDDEN)}
         self.p |= {"o": draw(2 * HIDDEN, 1), "ob": np.zeros(1, np.float32)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """x: (steps, pages, DIMS). A masked step leaves the state at zero, so padding on either side does not matter."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, state: tuple[np.ndarray, np.ndarray] | None = None, keep: bool = True) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """x: (steps, pages, DIMS). A masked step leaves the state at zero, so padding on either side does not matter. What
+        the slopes need of each step is kept only if asked for."""
         steps, pages, _ = x.shape
         ahead = (x.reshape(-1, DIMS) @ self.p[f"x{d}"] + self.p[f"c{d}"]).reshape(steps, pages, -1)
-        h = c = np.zeros((pages, HIDDEN), np.float32)
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32),) * 2
         out, kept = np.zeros((steps, pages, HIDDEN), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = ahead[t] + h @ self.p[f"h{d}"]
@@ -183,12 +200,26 @@ class Labeller:
             c = m * (f * c + i * g)
             h = m * (o * np.tanh(c))
             out[t] = h
-            kept.append((t, before, i, f, o, g, c, m))
-        return out, kept
-
-    def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, d)[0] for d in "fb"], axis=2)
-        return (both @ self.p["o"] + self.p["ob"])[:, :, 0]
+            if keep:
+                kept.append((t, before, i, f, o, g, c, m))
+        return out, kept, (h, c)
+
+    def scores(self, pages: list[list[Block]]) -> np.ndarray:
+        """(steps, pages): over 0 where a block is article text. Pages go in stretches of STRETCH blocks in all, each
+        direction carrying its state from one to the next, so memory does not follow the length of a page."""
+        steps, size = max(map(len, pages)), max(1, STRETCH // len(pages))
+        out = np.full((steps, len(pages)), self.p["ob"][0], np.float32)
+        stretches = [(a, min(a + size, steps)) for a in range(0, steps, size)]
+        once: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for d, half in (("f", self.p["o"][:HIDDEN, 0]), ("b", self.p["o"][HIDDEN:, 0])):
+            state = None
+            for a, b in stretches if d == "f" else stretches[::-1]:
+                x, mask = once.get(a) or padded([vectors_of(p, a, b) for p in pages], b - a)
+                if len(stretches) == 1:
+                    once[a] = x, mask
+                h, _, state = self._run(x, mask, d, state, keep=False)
+                out[a:b] += h @ half
+        return out
 
     def _slopes(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         runs = {d: self._run(x, mask, d) for d in "fb"}
@@ -241,19 +272,19 @@ class Labeller:
         start = 0
         while start < len(order):
             stop = start + 1
-            while stop < len(order) and stop - start < 128 and (stop - start + 1) * len(pages[order[stop]]) <= 40_000:
+            while stop < len(order) and stop - start < 128 and (stop - start + 1) * len(pages[order[stop]]) <= STRETCH:
                 stop += 1
             group = order[start:stop]
-            x, mask = padded([vectors_of(pages[k]) for k in group])
-            score = self.scores(x, mask)
+            score = self.scores([pages[k] for k in group])
             for j, k in enumerate(group):
                 out[k] = score[: len(pages[k]), j] > 0
             start = stop
         return out
 
 
-def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    steps = max(map(len, pages))
+def padded(pages: list[np.ndarray], steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pages side by side, (steps, pages, DIMS), and which steps are theirs."""
+    steps = steps or max(map(len, pages))
     x, mask = np.zeros((steps, len(pages), DIMS), np.float32), np.zeros((steps, len(pages)), np.float32)
     for j, p in enumerate(pages):
         x[: len(p), j], mask[: len(p), j] = p, 1
