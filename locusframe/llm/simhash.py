@@ -15,15 +15,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import component_minimum, connected_components, table, written
+from locusframe.llm.common import component_minimum, connected_components, table, union_all, written
 from locusframe.llm.decontamination import shards_of
 from locusframe.llm.substring_dedup import rolling, word_hashes
 
@@ -203,6 +204,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Of keep_one_near_copy: shard keys a document and smallest hashes in each; a pair at 0.8 shares a key but for one in 600.
 KEYS, HASHES, WIDE = 9, 3, 18
 SIMILARITY = 0.8
+#: Texts of different groups in a shard up to which trees propose its pairs at once.
+FEW = 64
+#: Texts that lead a larger shard in the first round.
+LEAD = 4
 _FACTORS = np.random.default_rng(6).integers(1, 1 << 63, KEYS * HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -286,6 +291,48 @@ def _wide_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
 
 
+def _near(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= WIDE
+
+
+def _told_apart(classes: DataFrame) -> DataFrame:
+    """``classes`` with one 64-bit ``node`` each: of classes that share one all but the first get another by their 128 bits."""
+    for salt in range(64):
+        shared = written(classes.groupBy("node").agg(F.min("class").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n"), "shared-nodes")
+        if shared.isEmpty():
+            return classes
+        other = F.when(F.col("class") > F.col("__first"), F.xxhash64(F.lit(salt), "class")).otherwise(F.col("node"))
+        classes = written(classes.join(shared, "node", "left").withColumn("node", F.when(F.col("__first").isNotNull(), other).otherwise(F.col("node"))).drop("__first"), "copy-classes")
+    raise RuntimeError("nodes still shared")
+
+
+def _open_keys(left: DataFrame) -> DataFrame:
+    """(key, n) of shards with texts of several groups that have not led yet, and how many."""
+    waiting = left.where("not led").groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n"))
+    return written(waiting.where("lo <> hi").select("key", "n"), "open-shards")
+
+
+def _with_turns(left: DataFrame, few: int) -> DataFrame:
+    """``left`` with the ``turn`` in which a text leads its shard, where that is open and large: texts closest to the
+    majority of the shard's fingerprints first, as the text that others were made from is; by hash among equals."""
+    large = _open_keys(left).where(F.col("n") > few).select("key")
+    if large.isEmpty():
+        return left
+    bit = lambda k: F.shiftrightunsigned("fp", k).bitwiseAND(1)
+    sums = left.join(large, "key", "left_semi").groupBy("key").agg(F.count("*").alias("__n"), *[F.sum(bit(k)).alias(f"__b{k}") for k in range(BITS)])
+    most = lambda k: F.shiftleft(F.when(2 * F.col(f"__b{k}") > F.col("__n"), F.lit(1)).otherwise(F.lit(0)).cast("long"), k)
+    middle = sums.select("key", reduce(lambda x, y: x.bitwiseOR(y), [most(k) for k in range(BITS)]).alias("__middle"))
+    order = F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.col("__middle"))).cast("long"), 40).bitwiseOR(F.pmod(F.xxhash64("node"), F.lit(1 << 40)))
+    return written(left.drop("turn").join(middle, "key", "left").select("key", "node", "fp", "part", order.alias("turn"), "led"), "shard-turns")
+
+
+def _merged(left: DataFrame, links: DataFrame) -> DataFrame:
+    """(part, component) of groups that links between their texts join; the other groups are not in it."""
+    part = left.select("node", "part").distinct()
+    both = links.join(part.select(F.col("node").alias("src"), F.col("part").alias("x")), "src").join(part.select(F.col("node").alias("dst"), F.col("part").alias("y")), "dst")
+    return connected_components(both.select(F.col("x").alias("src"), F.col("y").alias("dst"))).withColumnRenamed("node", "part")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Pairs in either order, as (a, b) with a < b."""
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -296,13 +343,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_near_copy(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", tree: int | None = None) -> DataFrame:
+def keep_one_near_copy(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", tree: int | None = None, few: int | None = None) -> DataFrame:
     """``docs`` less every row but one of each group of near copies; of a group the row with the smallest id stays.
 
     Groups are connected by equal words (A-Z lower-cased, any blanks) and by a Jaccard similarity of ``similarity`` or
-    more of the distinct shingles. First every text is verified against the smallest of each of its shards; trees then
-    propose only pairs that this leaves in different groups, so a large group of copies costs a pair a text, not all
-    pairs. Every link is verified on whole texts; a pair at the similarity is proposed but for about one in 500.
+    more of the distinct shingles. First every text is verified against the smallest of each of its shards. While a shard
+    holds more than FEW texts of different groups, texts of it take turns to lead, those closest to the shard's middle first: each is verified against all that wait in other
+    groups, twice as many lead each round, and what links joins groups. So the near copies of a large family are soon one
+    group; a family that is not near costs what its pairs within the radius cost. Trees propose the pairs of what is left. Every link is verified
+    on whole texts; a pair at the similarity is proposed but for about one in 500.
     Texts without words are one group; rows without an id all stay; of rows equal in id and text one stays; an empty
     table gives no rows; other columns pass through.
     """
@@ -311,18 +360,33 @@ def keep_one_near_copy(docs: DataFrame, shingle: int = 5, similarity: float = SI
     signed = rows.mapInArrow(_signer(shingle), "doc_id long, row long, class binary, node long, fp long, keys array<long>")
     classes = written(signed.groupBy("class").agg(
         F.min(F.struct("doc_id", "row")).alias("first"), F.first("node").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "copy-classes")
+    classes = _told_apart(classes)
     keyed = classes.select("node", "fp", F.explode("keys").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("node").alias("a"), F.min_by("fp", "node").alias("a_fp"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("a_fp"))) <= WIDE
-    first = keyed.join(leaders, "key").where((F.col("node") != F.col("a")) & near).select("a", F.col("node").alias("b")).distinct()
-    first_links = _verified(first, classes, rows, shingle, similarity)
+    first = keyed.join(leaders, "key").where((F.col("node") != F.col("a")) & _near("fp", "a_fp")).select("a", F.col("node").alias("b")).distinct()
     ends = lambda links: links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    parts = connected_components(ends(first_links))
+    links = [ends(_verified(first, classes, rows, shingle, similarity))]
+    few = few or FEW
+    parts = connected_components(links[0])
     left = keyed.join(parts, "node", "left").select("key", "node", "fp", F.coalesce("component", "node").alias("part"))
-    open_keys = left.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    shards = _shards(left.join(open_keys, "key", "left_semi"), ["key"], ["fp", "node", "part"], tree or TREE)
+    left = written(left.select("*", F.lit(None).cast("long").alias("turn"), F.lit(False).alias("led")), "shard-parts")
+    left, lead = _with_turns(left, few), LEAD
+    while not (large := _open_keys(left).where(F.col("n") > few)).isEmpty():
+        waiting = left.where("not led").join(large.select("key"), "key", "left_semi")
+        leaders = waiting.withColumn("__i", F.row_number().over(Window.partitionBy("key").orderBy("turn"))).where(F.col("__i") <= lead).drop("__i")
+        leaders = written(leaders.select("key", F.col("node").alias("l"), F.col("fp").alias("l_fp"), F.col("part").alias("l_part"), "turn"), "leaders")
+        met = waiting.drop("turn").join(leaders.drop("turn"), "key").where((F.col("part") != F.col("l_part")) & _near("fp", "l_fp"))
+        pairs = _ordered(met.select(F.col("node").alias("a"), F.col("l").alias("b"))).distinct().join(_ordered(first), ["a", "b"], "left_anti")
+        links.append(ends(_verified(pairs, classes, rows, shingle, similarity)))
+        joined = _merged(left, links[-1])
+        last = leaders.groupBy("key").agg(F.max("turn").alias("__last"))
+        left = left.join(joined, "part", "left").join(last, "key", "left")
+        left = written(left.select("key", "node", "fp", F.coalesce("component", "part").alias("part"), "turn", (F.col("led") | F.coalesce(F.col("turn") <= F.col("__last"), F.lit(False))).alias("led")), "shard-parts")
+        lead *= 2
+    open_rows = left.where("not led").join(_open_keys(left).select("key"), "key", "left_semi")
+    shards = _shards(open_rows.select("key", "fp", "node", "part"), ["key"], ["fp", "node", "part"], tree or TREE)
     rest = shards.mapInArrow(_wide_pairs, "a long, b long").distinct().join(_ordered(first), ["a", "b"], "left_anti")
-    links = ends(first_links).unionByName(ends(_verified(rest, classes, rows, shingle, similarity)))
+    links = union_all([*links, ends(_verified(rest, classes, rows, shingle, similarity))])
     groups = component_minimum(classes.select("node", "first"), connected_components(links), "first")
     kept = groups.select(F.col("first.doc_id").alias("__kept"), F.col("first.row").alias("__row")).distinct()
     same = (F.col(id_col).cast("long") == F.col("__kept")) & (named["__row"] == kept["__row"])

@@ -335,6 +335,7 @@ def _later_repeats(window: int, gram: int):
         edge = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])]) if len(i) else np.zeros(0, np.int64)
         ends = pa.array(np.r_[edge, len(i)].astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (place, length)]
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": i[edge], "row": t[edge], "starts": lists[0], "lengths": lists[1]})
 
     return find
@@ -372,6 +373,7 @@ def _cutter(window: int, gram: int):
                 for name, values, kind in (("__kept", kept, pa.binary()), ("__bytes", counts, pa.int64()), ("__gone", gone, pa.int64()), ("__spans", spans, pa.int64())):
                     result = result.append_column(name, pa.array(values, kind))
                 yield result
+            pa.default_memory_pool().release_unused()
 
     return cut
 

@@ -274,8 +274,8 @@ def test_fingerprint_links_of_cut_shards(spark, tree):
     assert parts(got) == parts(want)
 
 
-@pytest.mark.parametrize("tree", [20_000, 8])
-def test_near_copies(spark, nasty, empty, tree):
+@pytest.mark.parametrize("tree,few", [(20_000, None), (8, 4)])
+def test_near_copies(spark, nasty, empty, tree, few):
     rng = np.random.default_rng(9)
     rows = [(i, t, s) for i, t, s in nasty.select("doc_id", "text", "source").collect()]
     for k in range(30):  # families at similarities around 0.8
@@ -299,12 +299,33 @@ def test_near_copies(spark, nasty, empty, tree):
     groups = defaultdict(list)
     for k in named:
         groups[find(k)].append(rows[k][0])
-    got = simhash.keep_one_near_copy(docs, tree=tree).collect()
+    got = simhash.keep_one_near_copy(docs, tree=tree, few=few).collect()
     assert sum(r["doc_id"] is None for r in got) == sum(r[0] is None for r in rows)
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(min(g) for g in groups.values())
     assert simhash.keep_one_near_copy(empty).count() == 0 and simhash.keep_one_near_copy(nasty).columns == nasty.columns
 
 
+def test_a_large_family_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words, made = prose(200, 5).split(), []
+    for k in range(1_500):  # near the text they come from, but mostly not to each other
+        w = list(words)
+        for at in rng.choice(200, 4, replace=False):
+            w[at] = f"changed{rng.integers(10**6)}"
+        made.append(" ".join(w))
+    rows = [(k, t) for k, t in enumerate(made)] + [(5_000, " ".join(words)), (6_000, prose(200, 6))]
+    seen, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: (seen.append(pairs.count()), verified(pairs, *rest))[1])
+    got = simhash.keep_one_near_copy(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 6_000] and sum(seen) < 40 * len(rows), seen
+
+
+def test_classes_that_share_a_node_are_told_apart(spark):
+    rows = [(bytes([k]) * 16, k // 3) for k in range(9)]
+    got = simhash._told_apart(spark.createDataFrame(rows, "class binary, node long")).collect()
+    assert len({r["node"] for r in got}) == 9 and sum(r["node"] in (0, 1, 2) for r in got) == 3
+
+
 def test_components(spark):
     from locusframe.llm.common import connected_components
 
