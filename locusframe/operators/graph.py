@@ -1,37 +1,100 @@
-"""Networks as edge tables (src, dst, weight). Iterations write each round to the checkpoint folder when one is set."""
+"""Networks as edge tables (src, dst, weight). Iterations write their rounds to the shared folder."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.operators.iterate import written
-from locusframe.operators.stats import pearson
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration, to the shared folder that the session names."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        return df.cache()  # a session without a folder, as in tests
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
-
-
-def coexpression_edges(df: DataFrame, tau: float) -> DataFrame:
+#: Genes and samples of a block of the matrix.
+GENES, SAMPLES = 256, 4096
+
+
+def _packer():
+    """One block of genes by samples as a dense matrix, NaN where a sample is missing."""
+
+    def pack(rows: pa.Table) -> pa.Table:
+        gene, i = np.unique(np.array(rows["gene"].to_pylist(), object), return_inverse=True)
+        sample, j = np.unique(np.array(rows["sample"].to_pylist(), object), return_inverse=True)
+        matrix = np.full((len(gene), len(sample)), np.nan)
+        matrix[i, j] = rows["x"].to_numpy()
+        return pa.table({"block": rows["block"][:1], "part": rows["part"][:1], "genes": pa.array([gene.tolist()]), "samples": pa.array([sample.tolist()]), "x": pa.array([matrix.tobytes()], pa.binary())})
+
+    return pack
+
+
+def _product(tau: float | None):
+    """Sums over common samples of all pairs of genes of two blocks, by matrix products of values and of what is there."""
+
+    def matrix(t: pa.Table, samples: np.ndarray) -> tuple[list, np.ndarray]:
+        genes, mine = t["genes"][0].as_py(), np.array(t["samples"][0].as_py(), object)
+        x = np.full((len(genes), len(samples)), np.nan)
+        x[:, np.searchsorted(samples, mine)] = np.frombuffer(t["x"][0].as_py(), np.float64).reshape(len(genes), -1)
+        return genes, x
+
+    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["src", "dst", "n", "x", "y", "xx", "yy", "xy"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], pa.string() if c in ("src", "dst") else pa.float64()) for c in names})
+        samples = np.union1d(np.array(left["samples"][0].as_py(), object), np.array(right["samples"][0].as_py(), object))
+        (ga, a), (gb, b) = matrix(left, samples), matrix(right, samples)
+        ma, mb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+        a, b = np.nan_to_num(a), np.nan_to_num(b)
+        sums = [ma @ mb.T, a @ mb.T, ma @ b.T, (a * a) @ mb.T, ma @ (b * b).T, a @ b.T]
+        keep = (sums[0] > 0) & (np.array(ga, object)[:, None] < np.array(gb, object)[None, :])
+        if left["block"][0] != right["block"][0]:
+            keep = sums[0] > 0
+        if tau is not None:  # all samples are here
+            n, x, y, xx, yy, xy = sums
+            with np.errstate(all="ignore"):
+                keep &= np.abs((n * xy - x * y) / np.sqrt((n * xx - x * x) * (n * yy - y * y))) > tau - 1e-6
+        i, j = np.nonzero(keep)
+        low = np.array([ga[k] for k in i], object), np.array([gb[k] for k in j], object)
+        swap = low[0] > low[1] if len(i) else np.zeros(0, bool)
+        vals = [s[keep] for s in sums]
+        vals[1], vals[2] = np.where(swap, vals[2], vals[1]), np.where(swap, vals[1], vals[2])
+        vals[3], vals[4] = np.where(swap, vals[4], vals[3]), np.where(swap, vals[3], vals[4])
+        ends = np.where(swap, low[1], low[0]), np.where(swap, low[0], low[1])
+        return pa.table({**{c: pa.array(e.tolist(), pa.string()) for c, e in zip(names, ends)}, **{c: pa.array(v, pa.float64()) for c, v in zip(names[2:], vals)}})
+
+    return multiply
+
+
+def coexpression_edges(df: DataFrame, tau: float, genes: int = GENES, samples: int = SAMPLES) -> DataFrame:
     """(src, dst, weight, sign), both directions: Pearson r of genes over their common samples, |r| > tau.
 
-    Pairs meet by sample, genes in order, and are summed before they are shuffled: genes are a catalogue, samples many.
-    A constant gene has no edge.
+    A blocked matrix product: the table is cut into blocks of genes by samples, each pair of gene blocks meets once for
+    every part of the samples, and products of values and of presence give the six sums of r. What is shuffled is each
+    block once a block of genes, and sums of pairs that have common samples; with one part of samples only the pairs over
+    ``tau``. Values are taken from their gene's mean first. Rows of one gene and sample are averaged; null or NaN values
+    are missing; a gene that is constant over the common samples has no edge; null genes or samples are passed over.
     """
-    a = df.select("sample", F.col("gene").alias("src"), F.col("value").alias("x"))
-    b = df.select("sample", F.col("gene").alias("dst"), F.col("value").alias("y"))
-    sums = a.join(b, "sample").where(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(pearson("x", "y").alias("r"))
-    kept = sums.where(F.abs("r") > tau).select("src", "dst", F.abs("r").alias("weight"), F.signum("r").cast("int").alias("sign"))
+    kinds = {c: df.schema[c].dataType.simpleString() for c in ("gene", "sample")}
+    cells = df.where("gene is not null and sample is not null and value is not null and not isnan(value)").groupBy(F.col("gene").cast("string").alias("gene"), F.col("sample").cast("string").alias("sample")).agg(F.avg("value").alias("x"))
+    cells = written(cells, "cells")
+    n_genes, n_samples = cells.agg(F.countDistinct("gene"), F.countDistinct("sample")).first()
+    blocks, parts = max(1, -(-n_genes // genes)), max(1, -(-n_samples // samples))
+    means = cells.groupBy("gene").agg(F.avg("x").alias("__m"))
+    at = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
+    placed = cells.join(means, "gene").select("gene", "sample", (F.col("x") - F.col("__m")).alias("x"), at("gene", blocks, "block"), at("sample", parts, "part"))
+    packed = written(placed.groupBy("block", "part").applyInArrow(_packer(), "block int, part int, genes array<string>, samples array<string>, x binary"), "blocks")
+    left = packed.withColumn("to", F.explode(F.expr(f"sequence(block, {blocks - 1})")))
+    right = packed.select(F.col("block"), F.col("part").alias("q"), "genes", "samples", "x", F.explode(F.expr("sequence(0, block)")).alias("of"))
+    left = left.select("block", "part", "to", "genes", "samples", "x")
+    sums = left.groupBy("block", "to", "part").cogroup(right.groupBy("of", "block", "q")).applyInArrow(_product(tau if parts == 1 else None), "src string, dst string, n double, x double, y double, xx double, yy double, xy double")
+    if parts > 1:
+        sums = sums.groupBy("src", "dst").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n, x, y = (F.col(c) for c in ("n", "x", "y"))
+    spread = lambda ss, s: F.when(n * F.col(ss) - s * s > 1e-12 * n * F.col(ss), n * F.col(ss) - s * s)
+    r = (n * F.col("xy") - x * y) / F.sqrt(spread("xx", x) * spread("yy", y))
+    kept = sums.select("src", "dst", r.alias("r")).where(F.abs("r") > tau)
+    kept = kept.select(F.col("src").cast(kinds["gene"]).alias("src"), F.col("dst").cast(kinds["gene"]).alias("dst"), F.abs("r").alias("weight"), F.signum("r").cast("int").alias("sign"))
     return kept.unionByName(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "sign"))
 
 
@@ -49,8 +112,8 @@ def _nodes(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, damping: float = 0.85, tol: float = 1e-9, rounds: int = 200, every: int = 5) -> DataFrame:
     """(node, rank): weighted out-shares, dangling mass spread evenly, until the largest change is under ``tol``."""
     total = edges.groupBy("src").agg(F.sum("weight").alias("__t"))
-    share = _cut(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("__t")).alias("share")))
-    nodes = _cut(_nodes(edges).join(total.select(F.col("src").alias("node"), F.lit(True).alias("sends")), "node", "left"))
+    share = written(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("__t")).alias("share")), "shares")
+    nodes = written(_nodes(edges).join(total.select(F.col("src").alias("node"), F.lit(True).alias("sends")), "node", "left"), "nodes")
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for turn in range(1, rounds + 1):
@@ -58,7 +121,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tol: float = 1e-9, rounds:
         got = share.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("__got"))
         new = ranks.join(got, "node", "left").crossJoin(F.broadcast(idle)).select("node", "sends", ((1 - damping) / n + damping * (F.coalesce("__got", F.lit(0.0)) + F.col("__idle") / n)).alias("rank"), F.col("rank").alias("__old"))
         if turn % every == 0 or turn == rounds:
-            new = _cut(new)
+            new = written(new, "ranks")
             if (new.agg(F.max(F.abs(F.col("rank") - F.col("__old")))).first()[0] or 0.0) < tol:
                 ranks = new.drop("__old")
                 break

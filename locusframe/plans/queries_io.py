@@ -188,6 +188,15 @@ def st1(v):
     return streams.split_totals(spark.read.schema(rows.schema).parquet(out))
 
 
+@register("st1_stream_once_per_id", f"select split, sample_group, count(*) as n from (select {SPLIT} as split, sample_group from fx_records) group by split, sample_group")
+def st1_written(v):
+    rows, path = arriving(v)
+    spark, out = rows.sparkSession, scratch(rows.sparkSession, "stream")
+    once = streams.OncePerId(scratch(spark, "ids"), "example_id", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    streams.run_once(streams.arriving_windows(spark, path, rows.schema), scratch(spark, "stream-state"), "append", once)
+    return streams.split_totals(spark.read.schema(rows.schema).parquet(out))
+
+
 @register("st2_stream_leakage", f"select sample_group, count(distinct split) > 1 as leak from (select {SPLIT} as split, sample_group from fx_records) group by sample_group")
 def st2(v):
     rows, path = arriving(v)

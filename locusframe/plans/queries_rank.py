@@ -55,6 +55,11 @@ def r4(v):
     return ranked(v).select("id", "rank", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 6)).alias("crowding"))
 
 
+@register("r4_crowding_first_fronts", f"with {CROWD} select id, rank, case when crowding = 'infinity'::double then -1 else round(crowding, 6) end as crowding from c")
+def r4_first(v):
+    return ranked(v, 2).where("rank is not null").select("id", F.col("rank").cast("long").alias("rank"), F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 6)).alias("crowding"))
+
+
 @register("r5_select_top", f"with {CROWD} select id from c where rank = 0 order by crowding desc, id limit 10")
 def r5(v):
     return rk.select_top(ranked(v, 2), 10, "id").select("id")

@@ -66,10 +66,15 @@ def q9(v):
     return sq.augment_revcomp(v("fx_seq"), "seq")
 
 
-@register("q10_melting_temp", f"""with w as (select id, substr(seq, 1, 20) as s, substr(seq, 1, 10) as t from fx_seq) select id, round(case when length(s) < 14 then 2 * ({COUNT('A', 's')} + {COUNT('T', 's')}) + 4 * ({COUNT('G', 's')} + {COUNT('C', 's')}) else 64.9::double + 41 * ({COUNT('G', 's')} + {COUNT('C', 's')} - 16.4::double) / length(s) end, 6) as long,
-    (2 * ({COUNT('A', 't')} + {COUNT('T', 't')}) + 4 * ({COUNT('G', 't')} + {COUNT('C', 't')}))::double as short from w""")
+TM = lambda s: f"case when length({s}) < 14 then 2 * ({COUNT('A', s)} + {COUNT('T', s)}) + 4 * ({COUNT('G', s)} + {COUNT('C', s)}) else 64.9::double + 41 * ({COUNT('G', s)} + {COUNT('C', s)} - 16.4::double) / length({s}) end"
+
+
+@register("q10_melting_temp", f"""with p as (select id, n, substr(seq, i, n) as s from fx_seq, (select unnest([10, 20]) as n), unnest(generate_series(1, length(seq), n)) as t(i)),
+    m as (select id, max({TM('s')}) filter (n = 20) as long, max({TM('s')}) filter (n = 10) as short from p group by id)
+    select f.id, round({TM('f.seq')}, 6) as whole, round(long, 6) as long, round(short::double, 6) as short from fx_seq f left join m on f.id = m.id""")
 def q10(v):
-    return v("fx_seq").select("id", F.round(sq.melting_temp(F.substring("seq", 1, 20)), 6).alias("long"), sq.melting_temp(F.substring("seq", 1, 10)).alias("short"))
+    hottest = lambda n: F.array_max(F.transform(F.expr(f"filter(sequence(1, greatest(length(seq), 1), {n}), i -> i <= length(seq))"), lambda i: sq.melting_temp(F.substr("seq", i, F.lit(n)))))
+    return v("fx_seq").select("id", F.round(sq.melting_temp("seq"), 6).alias("whole"), F.round(hottest(20), 6).alias("long"), F.round(hottest(10), 6).alias("short"))
 
 
 SITES = f"""s as (select id, '+' as strand, seq as s from fx_seq union all select id, '-', {RC.format(s='seq')} from fx_seq), i as (select *, unnest(generate_series(4, length(s) - 27)) as i from s where length(s) > 30)"""
