@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import table
+from locusframe.llm.common import table, written
 
 #: Fixed values of the contract: the words of a text, and the words in a window.
 WORD = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -229,6 +229,7 @@ def _searcher(block: Broadcast, text_col: str, finish: Callable[[pa.RecordBatch]
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -244,7 +245,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
 
     Null or empty text has no words; items with a null id or text, or without words, have no window; rows and items may
     repeat (items of one id are one item); empty tables on either side give no hits; other columns pass through.
-    ``finish`` makes what is returned (``finished``, a schema) of each batch in the last pass, in the same worker.
+    A benchmark over ``block_bytes`` goes in blocks, one after the other: each is fetched, shared, searched for in all texts
+    and its hits written before the next, so only one is held at a time. ``finish`` makes what is returned (``finished``, a
+    schema) of each batch in the last pass, in the same worker.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
@@ -258,6 +261,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
         last = k == blocks - 1 and finish is not None
         phrases = spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in mine], window))
         out = out.mapInArrow(_searcher(phrases, text_col, finish if last else None), finished if last else schema)
+        if k < blocks - 1:  # one block at a time on the driver and on the executors
+            out = written(out, "leaks")
+            phrases.unpersist()
     return out
 
 
@@ -269,8 +275,8 @@ def _cutter(text_col: str) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
                 continue
             words = [m.span() for m in _IN_WORD.finditer(texts[k])]
             merged = merge_spans([(s["start"], s["end"]) for s in spans])
-            for a, b in reversed(merged):
-                texts[k] = texts[k][: words[a][0]] + texts[k][words[b - 1][1] :]
+            ends = [0, *(words[b - 1][1] for _, b in merged)]
+            texts[k] = "".join([*(texts[k][end : words[a][0]] for end, (a, _) in zip(ends, merged)), texts[k][ends[-1] :]])
         out = batch.drop_columns(["__words", "__spans", "__items"])
         return out.set_column(out.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
 
