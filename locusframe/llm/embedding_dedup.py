@@ -26,7 +26,8 @@ from locusframe.llm.simhash import unite
 
 COSINE = 0.9
 BLOCK = 4096
-MAX_BAND = 16
+#: Blocks of a band: at most so many, and so many bytes of doubles in the two bands of a task.
+MAX_BAND, BAND_BYTES = 16, 256 << 20
 FAN = 8
 GRID_DIMS, BOX_DIMS = 8, 16
 PCA_SAMPLE = 5000
@@ -163,7 +164,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     offsets = spark.createDataFrame([(r[0], int(b)) for r, b in zip(counts, begins)], "part long, begin long")
     ranked = blocks.join(F.broadcast(offsets), "part").withColumn("rank", F.col("begin") + F.col("nth"))
     pairs = written(near_intervals(ranked.select("rank", "low", "high"), int(begins[-1]), eps), "grid-pairs")
-    band = max(1, min(MAX_BAND, int(begins[-1]) // 4))
+    band = max(1, min(MAX_BAND, int(begins[-1]) // 4, BAND_BYTES // (2 * BLOCK * dims * 8)))
     pairs = pairs.select("a", "b", F.expr(f"a div {band}").alias("x"), F.expr(f"b div {band}").alias("y"))
     todo = pairs.groupBy("x", "y").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))  # at most band * band
     needed = pairs.select("x", "y", F.explode(F.array("a", "b")).alias("rank")).distinct().join(todo, ["x", "y"])

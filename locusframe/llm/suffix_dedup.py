@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from locusframe.llm.common import table, written
 from locusframe.llm.decontamination import shards_of
-from locusframe.llm.substring_dedup import _BACK, _BYTE, _R, PACKED, Entries, _both, _joined, _later_here, _mix, _power, _sums, pack
+from locusframe.llm.substring_dedup import _BACK, _BYTE, _R, PACKED, Entries, _both, _joined, _later_here, _mix, _power, _sums, _unpack, pack
 
 WINDOW, GRAM = 50, 24
 SLICE_BYTES, PIECE_BYTES = 2 << 20, 1 << 18
-MIN_BUCKETS, BUCKET_BYTES = 64, 4 << 20
+MIN_BUCKETS, BUCKET_BYTES, MAX_FAN = 64, 4 << 20, 8192
 
 
 def _words(text: bytes) -> np.ndarray:
@@ -142,6 +142,44 @@ def _split(e: Entries, key: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pack(e.take(sent), bucket, known, int(e.places[-1] + e.ids[-1]) % buckets, 8)
 
 
+def _finer(fan: int):
+    """Packs the rows of each coarse bucket again by the ``fan`` fine ones in it; what a smaller document among some hundred
+    thousand entries settles is only marked, so a hot context of very many slices is a few entries then."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def packed() -> pa.RecordBatch:
+            e = _unpack(held, 8).ordered()
+            known, sent = _later_here(e)
+            sent, known, first = np.sort(sent), e.take(np.sort(known)), held[0]["bucket"] * fan
+            fine = (e.more[sent].astype(np.uint64) * np.uint64(fan) >> np.uint64(32)).astype(np.int64)
+            return pack(e.take(sent), first + fine, known, first + int(e.places[-1] + e.ids[-1]) % fan, 8)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (row["bucket"] != held[0]["bucket"] or sum(r["n"] for r in held) + row["n"] > SLICE_BYTES // 4):
+                    yield packed()
+                    held = []
+                if row["known"]:
+                    yield pa.RecordBatch.from_pylist([row | {"bucket": row["bucket"] * fan}], batch.schema)
+                else:
+                    held.append(row)
+        if held:
+            yield packed()
+
+    return again
+
+
+def _exchanged(named: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
+    """Packed rows ready to be grouped by bucket. Beyond MAX_FAN buckets they go by coarse buckets first, so a row never
+    holds less than a fair number of entries: one more exchange, but the volume stays in proportion to the input."""
+    if buckets <= MAX_FAN:
+        return named.mapInArrow(_probes(window, gram, buckets), PACKED)
+    coarse = named.mapInArrow(_probes(window, gram, -(-buckets // MAX_FAN)), PACKED)
+    return coarse.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_finer(MAX_FAN), PACKED)
+
+
 def _lists(e: Entries, wanted: np.ndarray) -> pa.Table:
     """(doc_id, row, known, wanted): places by document, those whose context goes and those whose bytes are needed."""
     order = np.lexsort((e.places, wanted, e.texts, e.ids))
@@ -402,7 +440,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     buckets = max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
     rows = _with_rows(docs, id_col, text_col)
     named = rows.where(F.col("__id").isNotNull() & F.col(text_col).isNotNull()).select(F.col("__id").alias("doc_id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
-    hits = written(named.mapInArrow(_probes(window, GRAM, buckets), PACKED).groupBy("bucket").applyInArrow(_settle, HITS), "contexts")
+    hits = written(_exchanged(named, window, GRAM, buckets).groupBy("bucket").applyInArrow(_settle, HITS), "contexts")
     asked = hits.where(F.size("wanted") > 0).groupBy(F.col("doc_id").alias("__aid")).agg(F.collect_list(F.struct("row", "wanted")).alias("__hits"))
     # Both joins below are left joins on the same columns of the same exchange, so texts are shuffled once. Rows without
     # an id are dealt by their text; should that meet an id, what it finds is passed over.

@@ -134,7 +134,10 @@ def plain_bytes(rows, window):
     return sorted(out, key=repr)
 
 
-def test_suffix_dedup(spark, nasty, empty):
+@pytest.mark.parametrize("fan", [None, 4])
+def test_suffix_dedup(spark, nasty, empty, monkeypatch, fan):
+    if fan:  # coarse buckets first
+        monkeypatch.setattr(suffix_dedup, "MAX_FAN", fan)
     out = suffix_dedup.dedup_bytes(nasty)
     got = sorted(((r["doc_id"], r["__bytes"], r["__removed"], r["__spans"], bytes(r["__kept"])) for r in out.collect()), key=repr)
     assert got == plain_bytes([(r["doc_id"], r["text"]) for r in nasty.collect()], suffix_dedup.WINDOW)
