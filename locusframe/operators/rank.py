@@ -16,6 +16,12 @@ from locusframe.operators.stats import hash_bits
 
 OBJECTIVES = ("efficacy", "specificity", "robustness", "safety")
 
+#: Fixed values of the evidence scores: weights, the values at which a part counts fully, and where silencing begins.
+CONVERGENCE = {"percentile": 0.28, "log2fc": 0.20, "master": 0.16, "targets": 0.12, "amp": 0.12, "driver": 0.06, "subtype": 0.06, "silencing": 0.15}
+DIRECTION = {"log2fc": 0.30, "copies": 0.20, "beta": 0.20, "det": 0.15, "residual": 0.15}
+ROLE = {"copies": 0.7, "beta": 0.3}
+FULL_LOG2FC, FULL_COPIES, FULL_RESIDUAL, DET_FROM, BETA_FROM = 4, 0.3, 2, 0.3, 0.5
+
 
 def clip(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     """A column within [lo, hi]; null becomes ``lo``."""
@@ -342,13 +348,21 @@ def dossier(targets: DataFrame, layers: Sequence[DataFrame], rules: Sequence[tup
     return out.withColumn("score", score).withColumn("reasons", why).withColumn("verdict", F.when(F.col("score") >= cuts[1], "strong").when(F.col("score") >= cuts[0], "moderate").otherwise("weak"))
 
 
+def _silenced() -> Column:
+    """How far methylation is above BETA_FROM, 0 to 1; below it negative."""
+    return (F.col("beta") - BETA_FROM) / (1 - BETA_FROM)
+
+
 def convergence_score(df: DataFrame, percentile: str, masters: int) -> DataFrame:
-    """``df`` with silencing_penalty and convergence_score from percentile, log2fc, master_rank, motif_targets, amp, driver, subtype, beta."""
+    """``df`` with silencing_penalty and convergence_score from percentile, log2fc, master_rank, motif_targets, amp, driver,
+    subtype, beta. A null amp counts as 0 and a null beta costs nothing; another null part gives a null score."""
+    w = CONVERGENCE
     top = df.agg(F.greatest(F.max("motif_targets"), F.lit(1)).alias("__m"))
-    base = (
-        0.28 * F.col(percentile) + 0.20 * clip(F.col("log2fc") / 4) + 0.16 * F.col("master_rank") / max(masters, 1) + 0.12 * F.col("motif_targets") / F.col("__m")
-        + 0.12 * clip(F.coalesce("amp", F.lit(0.0)) / 0.3) + 0.06 * F.col("driver").cast("double") + 0.06 * (F.col("subtype") != "").cast("double"))
-    penalty = F.when(F.col("beta") > 0.5, 0.15 * clip((F.col("beta") - 0.5) / 0.5)).otherwise(0.0)
+    parts = {
+        "percentile": F.col(percentile), "log2fc": clip(F.col("log2fc") / FULL_LOG2FC), "master": F.col("master_rank") / max(masters, 1), "targets": F.col("motif_targets") / F.col("__m"),
+        "amp": clip(F.coalesce("amp", F.lit(0.0)) / FULL_COPIES), "driver": F.col("driver").cast("double"), "subtype": (F.col("subtype") != "").cast("double")}
+    base = reduce(Column.__add__, [w[name] * part for name, part in parts.items()])
+    penalty = F.when(F.col("beta") > BETA_FROM, w["silencing"] * clip(_silenced())).otherwise(0.0)
     return df.crossJoin(F.broadcast(top)).withColumn("silencing_penalty", F.round(penalty, 4)).withColumn("convergence_score", F.round(base - penalty, 4)).drop("__m")
 
 
@@ -371,21 +385,22 @@ def direction_gate(df: DataFrame, roles: DataFrame, direction: str, exceptions:
 def direction_score(direction: Column) -> Column:
     """Signed components over the weights of those present, from log2fc, amp, del, beta, det, residual; 0 without any."""
     sign = F.when(direction == "repress", 1.0).otherwise(-1.0)
-    parts = (
-        (0.30, clip(F.col("log2fc") / 4, -1.0)), (0.20, clip(F.col("amp") / 0.3) - clip(F.col("del") / 0.3)), (0.20, -clip((F.col("beta") - 0.5) / 0.5)),
-        (0.15, clip((F.col("det") - 0.3) / 0.7, -1.0)), (0.15, clip(F.col("residual") / 2, -1.0)))
-    there = (F.col("log2fc").isNotNull(), F.col("amp").isNotNull() & F.col("del").isNotNull(), F.col("beta").isNotNull(), F.col("det").isNotNull(), F.col("residual").isNotNull())
-    top = reduce(Column.__add__, [F.when(t, w * v).otherwise(0.0) for t, (w, v) in zip(there, parts)])
-    below = reduce(Column.__add__, [F.when(t, F.lit(w)).otherwise(0.0) for t, (w, _) in zip(there, parts)])
+    parts = {
+        "log2fc": clip(F.col("log2fc") / FULL_LOG2FC, -1.0), "copies": clip(F.col("amp") / FULL_COPIES) - clip(F.col("del") / FULL_COPIES), "beta": -clip(_silenced()),
+        "det": clip((F.col("det") - DET_FROM) / (1 - DET_FROM), -1.0), "residual": clip(F.col("residual") / FULL_RESIDUAL, -1.0)}
+    there = {name: F.col("amp").isNotNull() & F.col("del").isNotNull() if name == "copies" else F.col(name).isNotNull() for name in parts}
+    top = reduce(Column.__add__, [F.when(there[n], DIRECTION[n] * v).otherwise(0.0) for n, v in parts.items()])
+    below = reduce(Column.__add__, [F.when(t, F.lit(DIRECTION[n])).otherwise(0.0) for n, t in there.items()])
     return F.round(sign * F.when(below > 0, top / below).otherwise(0.0), 4)
 
 
 def role_audit(df: DataFrame, cut: float = 0.1) -> DataFrame:
-    """``df`` (amp, del, beta, admissible) with implied direction and verdict against the curated role."""
-    number, silence = clip((F.col("amp") - F.col("del")) / 0.3, -1.0), -clip((F.col("beta") - 0.5) / 0.5)
+    """``df`` (amp, del, beta, admissible) with implied direction and verdict against the curated role; without evidence
+    the verdict says so."""
+    number, silence = clip((F.col("amp") - F.col("del")) / FULL_COPIES, -1.0), -clip(_silenced())
     has_n, has_s = F.col("amp").isNotNull() & F.col("del").isNotNull(), F.col("beta").isNotNull()
-    weight = F.when(has_n, 0.7).otherwise(0.0) + F.when(has_s, 0.3).otherwise(0.0)
-    signal = F.when(weight > 0, (F.when(has_n, 0.7 * number).otherwise(0.0) + F.when(has_s, 0.3 * silence).otherwise(0.0)) / weight)
+    weight = F.when(has_n, ROLE["copies"]).otherwise(0.0) + F.when(has_s, ROLE["beta"]).otherwise(0.0)
+    signal = F.when(weight > 0, (F.when(has_n, ROLE["copies"] * number).otherwise(0.0) + F.when(has_s, ROLE["beta"] * silence).otherwise(0.0)) / weight)
     implied = F.when(F.col("signal") > cut, "repress").when(F.col("signal") < -cut, "activate")
     verdict = F.when(F.size("admissible") == 0, "no prediction").when(F.col("signal").isNull(), "no evidence").when(F.col("implied").isNull(), "inconclusive").when(F.array_contains("admissible", F.col("implied")), "corroborated").otherwise("conflict")
     return df.withColumn("signal", signal).withColumn("implied", implied).withColumn("verdict", verdict)

@@ -1,4 +1,4 @@
-"""Rows of both engines in one form: columns by name, doubles to five digits, order ignored."""
+"""Rows of both engines in one form: columns by name, doubles to nine digits, order ignored."""
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ def plain(x):
         return bool(x)
     if isinstance(x, (int, np.integer)):
         return int(x)
-    return round(float(x), 5) + 0.0 if isinstance(x, (float, np.floating)) else x
+    return round(float(x), 9) + 0.0 if isinstance(x, (float, np.floating)) else x
 
 
 def rows(df: pd.DataFrame) -> list:
