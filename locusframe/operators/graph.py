@@ -114,8 +114,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tol: float = 1e-9, rounds:
     total = edges.groupBy("src").agg(F.sum("weight").alias("__t"))
     share = written(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("__t")).alias("share")), "shares")
     nodes = written(_nodes(edges).join(total.select(F.col("src").alias("node"), F.lit(True).alias("sends")), "node", "left"), "nodes")
-    n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    n = max(nodes.count(), 1)
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for turn in range(1, rounds + 1):
         idle = ranks.where("sends is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("__idle"))
         got = share.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("__got"))

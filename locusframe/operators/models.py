@@ -27,18 +27,26 @@ def _pipeline(features: Sequence[str], label: str, model: str, seed: int) -> Pip
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), learner])
 
 
-def _score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def fit_classifier(df: DataFrame, features: Sequence[str], label: str, model: str = "logistic", seed: int = 0) -> PipelineModel | None:
+    """A fitted pipeline that scales and classifies; none without rows. Rows with a null feature or label must go before."""
+    return None if df.isEmpty() else _pipeline(features, label, model, seed).fit(df)
+
+
+def _score(model: PipelineModel | None, df: DataFrame) -> DataFrame:
+    if model is None:
+        return df.withColumn("score", F.lit(None).cast("double"))
     return model.transform(df).withColumn("score", vector_to_array("probability")[1])
 
 
 def cv_auc(df: DataFrame, features: Sequence[str], label: str, key: str, model: str = "logistic", folds: int = 3, seeds: Sequence[int] = (0,)) -> DataFrame:
-    """(seed, auroc, n_pos, n_neg) of out-of-fold scores; scaling and fitting see the training folds only."""
+    """(seed, auroc, n_pos, n_neg) of out-of-fold scores; scaling and fitting see the training folds only. The AUC is null
+    without both classes; an empty table has counts of null."""
     out = None
     for seed in seeds:
         dealt = with_folds(df, label, key, folds, seed).cache()
         held = None
         for k in range(folds):
-            fitted = _pipeline(features, label, model, seed).fit(dealt.where(F.col("fold") != k))
+            fitted = fit_classifier(dealt.where(F.col("fold") != k), features, label, model, seed)
             part = _score(fitted, dealt.where(F.col("fold") == k)).select(label, "score")
             held = part if held is None else held.unionByName(part)
         row = auroc(held, label, "score").withColumn("seed", F.lit(seed))
@@ -73,8 +81,8 @@ def cv_null(df: DataFrame, features: Sequence[str], label: str, key: str, draws:
     return out.withColumn("p", (F.col("ge") + 1) / (draws + 1))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, key: str, seed: int = 0) -> DataFrame:
-    """(feature, drop): loss of AUC when one column is dealt anew by hash rank."""
+def permutation_importance(model: PipelineModel | None, df: DataFrame, features: Sequence[str], label: str, key: str, seed: int = 0) -> DataFrame:
+    """(feature, drop): loss of AUC when one column is dealt anew by hash rank; null without a model or both classes."""
     base = auroc(_score(model, df), label, "score").first()[0]
     out = None
     for f in features:
@@ -82,17 +90,24 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
         place = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__salt").orderBy(key)))
         dealt = parts.select("__salt", F.col(f).alias("__v"), F.row_number().over(Window.partitionBy("__salt").orderBy(hash_order(seed, key))).alias("__n"))
         mixed = place.join(dealt, ["__salt", "__n"]).withColumn(f, F.col("__v"))
-        row = auroc(_score(model, mixed), label, "score").select(F.lit(f).alias("feature"), (base - F.col("auroc")).alias("drop"))
+        row = auroc(_score(model, mixed), label, "score").select(F.lit(f).alias("feature"), (F.lit(base).cast("double") - F.col("auroc")).alias("drop"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def fit_regressor(df: DataFrame, features: Sequence[str], label: str, kind: str = "gbt", seed: int = 0) -> PipelineModel:
-    """A fitted pipeline; rows with a null feature or label must go before."""
+def fit_regressor(df: DataFrame, features: Sequence[str], label: str, kind: str = "gbt", seed: int = 0) -> PipelineModel | None:
+    """A fitted pipeline, none without rows; rows with a null feature or label must go before."""
+    if df.isEmpty():
+        return None
     learner = GBTRegressor(labelCol=label, featuresCol="raw", maxIter=20, maxDepth=4, seed=seed) if kind == "gbt" else RandomForestRegressor(labelCol=label, featuresCol="raw", numTrees=20, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), learner]).fit(df)
 
 
+def predicted(model: PipelineModel | None, df: DataFrame) -> DataFrame:
+    """``df`` with ``prediction``; null without a model."""
+    return df.withColumn("prediction", F.lit(None).cast("double")) if model is None else model.transform(df)
+
+
 def to_unit(df: DataFrame, value: str, train: DataFrame, train_value: str) -> DataFrame:
     """``df`` with ``unit``: the share of training values that are at most the value."""
     n = train.where(F.col(train_value).isNotNull()).count()

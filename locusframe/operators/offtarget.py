@@ -40,7 +40,7 @@ def offtargets(chunks: DataFrame, guides: DataFrame, k: int = 4) -> DataFrame:
     limit = k
 
     def one_hot(letters: np.ndarray) -> np.ndarray:
-        return (letters[:, :, None] == np.arange(4, dtype=np.uint8)).reshape(len(letters), -1).astype(np.float32)
+        return (letters[:, :, None] == np.arange(4, dtype=np.uint8)).reshape(len(letters), 4 * SPACER).astype(np.float32)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, forward, backward, table = shared.value

@@ -103,7 +103,7 @@ def s12(v):
     docs = v("supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct(F.col("s_name").alias("name"), F.col("s_suppkey").alias("bytes"))).alias("artifacts"))
     path = scratch(docs.sparkSession, "manifests")
     docs.select(F.to_json(F.struct("artifacts")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return rd.read_manifests(docs.sparkSession, f"{path}/*.txt").select("name", "bytes")
+    return rd.read_manifests(docs.sparkSession, f"{path}/*.txt", "name: string, bytes: long").where("name is not null").select("name", "bytes")
 
 
 @register("s13_read_weights", "select gene as key, beta as weight from fx_genes")
@@ -127,7 +127,7 @@ def k1(v):
     rows = v("fx_records").select(*COLUMNS)
     path = scratch(rows.sparkSession, "windows")
     wr.write_windows(rows, path, 1000, "study")
-    return rows.sparkSession.read.parquet(path).select(*COLUMNS)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select(*COLUMNS)
 
 
 @register("k2_write_sorted", "select chrom, count(*) as n, min(start_pos) as first, max(start_pos) as last, true as sorted from fx_records group by chrom")
@@ -164,7 +164,7 @@ def k5(v):
     path = scratch(rows.sparkSession, "shards")
     wr.write_windows(rows, path, 1000, "study")
     m = wr.shard_manifest(rows.sparkSession, path).agg(F.count_distinct("collection").cast("int").alias("collections"), F.min(F.length("sha256") == 64).alias("digests"))
-    return rows.sparkSession.read.parquet(path).agg(F.count("*").alias("rows")).crossJoin(F.broadcast(m))
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).agg(F.count("*").alias("rows")).crossJoin(F.broadcast(m))
 
 
 SPLIT = "case when example_id % 5 = 0 then 'locus_test' else 'train' end"

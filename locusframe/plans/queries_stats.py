@@ -269,7 +269,7 @@ def t25_variants(v):
 def t26(v):
     rows = v("fx_genes").withColumn("y", (F.col("log2fc") + F.col("beta") > 0.8).cast("double"))
     features = ["amp", "beta", "det"]
-    model = md._pipeline(features, "y", "logistic", 0).fit(rows)
+    model = md.fit_classifier(rows, features, "y")
     return md.permutation_importance(model, rows, features, "y", "gene")
 
 
@@ -284,4 +284,4 @@ def t27_fit(v):
     rows = v("fx_genes").withColumn("y", F.col("log2fc") * F.col("beta"))
     train = rows.where(F.pmod(F.xxhash64("gene"), F.lit(5)) > 0)
     model = md.fit_regressor(train, ["log2fc", "beta", "det"], "y", "forest")
-    return model.transform(rows).select("gene", (md.blend("prediction", "beta", 0.7)).alias("blend"))
+    return md.predicted(model, rows).select("gene", (md.blend("prediction", "beta", 0.7)).alias("blend"))

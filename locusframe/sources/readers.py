@@ -81,6 +81,8 @@ def read_wide_matrix(spark: SparkSession, path: str, id_col: str | None = None,
         m = re.match(symbol_regex, h)
         if k != at and m:
             seen.setdefault(m[1], k)
+    if not seen:
+        return spark.createDataFrame([], "row string, gene string, value double")
     first = sep.join(header)
     rows = lines.where(F.col("value") != first).select(F.split("value", re.escape(sep)).alias("f")).where(F.size("f") == len(header))
     cells = F.array(*[F.struct(F.lit(g).alias("gene"), F.col("f")[k].try_cast("double").alias("value")) for g, k in seen.items()])
@@ -147,9 +149,11 @@ def read_soft(spark: SparkSession, path: str) -> DataFrame:
                        F.filter(many("supplementary_file"), lambda x: x != "NONE").alias("files"), F.when(F.coalesce(one("status"), F.lit("")).rlike(r"[A-Z][a-z]{2} \d{1,2} \d{4}"), date).alias("released"))
 
 
-def read_manifests(spark: SparkSession, glob: str) -> DataFrame:
-    """A row per artifact of many JSON documents, with the file that it came from."""
-    docs = spark.read.option("multiLine", True).json(glob).withColumn("manifest", F.input_file_name())
+def read_manifests(spark: SparkSession, glob: str, artifact: str | None = None) -> DataFrame:
+    """A row per artifact of many JSON documents, with the file that it came from; ``artifact``, the fields of one, if they
+    are known, so that documents without any give an empty table of these."""
+    reader = spark.read.option("multiLine", True)
+    docs = (reader.schema(f"artifacts array<struct<{artifact}>>") if artifact else reader).json(glob).withColumn("manifest", F.input_file_name())
     return docs.select("manifest", F.explode_outer("artifacts").alias("a")).select("manifest", "a.*")
 
 
