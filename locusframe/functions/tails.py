@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 @F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
+    """Upper tail of the normal distribution; null for null or NaN."""
     return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)) if x == x and x is not None else None)
 
 
@@ -34,6 +35,7 @@ def _beta_tail(a: float, b: float, x: float) -> float:
 
 @F.pandas_udf(DoubleType())
 def student_tail(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Upper tail of Student's t with ``df`` degrees of freedom; null where t or df is null, or df is not positive."""
     def one(x: float, v: float) -> float:
         half = 0.5 * _beta_tail(v / 2, 0.5, v / (v + x * x))
         return half if x >= 0 else 1 - half

@@ -104,7 +104,10 @@ def log2_residual(loci: DataFrame, case: DataFrame, control: DataFrame, key: str
 
 
 def set_contrast(df: DataFrame, target: str, value: str, part: Sequence[str] = ()) -> DataFrame:
-    """(part, target_mean, background_mean, target_up, background_up, u, p): rank test that targets are greater."""
+    """(part, target_mean, background_mean, target_up, background_up, u, p): rank test that targets are greater.
+
+    Rows with a null value are passed over; without both groups u and p are null.
+    """
     t = F.col(target)
     mean = lambda w, c: F.avg(F.when(w, c))
     v = F.col(value)

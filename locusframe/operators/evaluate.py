@@ -29,7 +29,11 @@ def elements(df: DataFrame, key: Sequence[str], arrays: dict[str, str]) -> DataF
 
 
 def align(a: DataFrame, b: DataFrame, key: str, same: Sequence[str], target: str, tol: float = 1e-6) -> DataFrame:
-    """(key, reason): ids that one side lacks, fields that differ, targets apart by more than ``tol``."""
+    """(key, reason): ids that one side lacks, fields that differ, targets apart by more than ``tol``.
+
+    A null key matches nothing and comes as lacking on the other side; equal nulls agree; a null target does not
+    drift; ids should come once a side.
+    """
     left = a.select(key, F.lit(True).alias("__a"), *[F.col(c).alias(f"a_{c}") for c in (*same, target)])
     right = b.select(key, F.lit(True).alias("__b"), *[F.col(c).alias(f"b_{c}") for c in (*same, target)])
     both = F.col("__a").isNotNull() & F.col("__b").isNotNull()

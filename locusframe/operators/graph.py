@@ -110,7 +110,10 @@ def _nodes(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, tol: float = 1e-9, rounds: int = 200, every: int = 5) -> DataFrame:
-    """(node, rank): weighted out-shares, dangling mass spread evenly, until the largest change is under ``tol``."""
+    """(node, rank): weighted out-shares, dangling mass spread evenly, until the largest change is under ``tol``.
+
+    Null ends are a node; edges that come twice add up; a table without edges has no node.
+    """
     total = edges.groupBy("src").agg(F.sum("weight").alias("__t"))
     share = written(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("__t")).alias("share")), "shares")
     nodes = written(_nodes(edges).join(total.select(F.col("src").alias("node"), F.lit(True).alias("sends")), "node", "left"), "nodes")
@@ -175,7 +178,10 @@ def hub_proxy(edges: DataFrame) -> DataFrame:
 
 
 def eigencentrality(edges: DataFrame, rounds: int = 200, tol: float = 1e-12) -> DataFrame:
-    """(node, centrality) of length 1: power iteration on the 0/1 adjacency of edges with a weight over 0."""
+    """(node, centrality) of length 1: power iteration on the 0/1 adjacency of edges with a weight over 0.
+
+    Edges that come twice count once; a null weight is no edge; without edges there is no node.
+    """
     nodes = written(_nodes(edges), "nodes")
     plain = written(edges.where("weight > 0").select("src", "dst").distinct().withColumn("weight", F.lit(1.0)), "edges")
     step = lambda s: nodes.join(_sent(plain, s, "centrality", back=True, name="centrality"), "node", "left").na.fill(0.0)

@@ -102,7 +102,10 @@ def merge_intervals(df: DataFrame) -> DataFrame:
 
 
 def points_in_regions(points: DataFrame, regions: DataFrame, pos: str = "pos", size: int = BIN) -> DataFrame:
-    """Points inside merged regions, both ends closed."""
+    """Points inside merged regions, both ends closed.
+
+    Points or regions with a null chromosome or place meet nothing; a repeated point stays as often as it comes.
+    """
     merged = merge_intervals(regions)
     right = _binned(_prefixed(merged), "b_start_pos", "b_end_pos", size, "__b")
     right = right.unionByName(right.where((F.col("b_end_pos") % size == 0)).withColumn("bin", F.expr(f"b_end_pos div {size}"))).distinct()

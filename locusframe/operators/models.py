@@ -68,7 +68,11 @@ def cv_univariate(df: DataFrame, features: Sequence[str], label: str, key: str,
 
 
 def cv_null(df: DataFrame, features: Sequence[str], label: str, key: str, draws: int, seed: int = 0, **options) -> DataFrame:
-    """(observed, ge, p): out-of-fold AUC against that of labels dealt anew within hash cells; (1 + ge) / (draws + 1)."""
+    """(observed, ge, p): out-of-fold AUC against that of labels dealt anew within hash cells; (1 + ge) / (draws + 1).
+
+    Rows with a null feature or label must go before; an observed AUC of null (one class) gives no row to compare and
+    p of 1 / (draws + 1).
+    """
     seen = cv_auc(df, features, label, key, **options).agg(F.avg("auroc").alias("observed"))
     cells = df.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(16)))
     place = cells.withColumn("__n", F.row_number().over(Window.partitionBy("__salt").orderBy(key))).drop(label)

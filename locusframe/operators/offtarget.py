@@ -30,6 +30,8 @@ def offtargets(chunks: DataFrame, guides: DataFrame, k: int = 4) -> DataFrame:
     Plus-strand sites end in GG, minus-strand sites begin with CC; up to ``k`` substitutions in the 20 bases. A task
     tests the anchor first and compares what is left with every guide, on arrays; only hits leave it. The guides are a
     stated query set.
+    Repeated guides count once, guides under 20 letters or null and null sequences give no hit; letters other than
+    ACGT match nothing.
     """
     wanted = sorted({r[0][:SPACER].upper() for r in guides.select("guide").collect() if r[0] and len(r[0]) >= SPACER})
     code = np.full(256, 9, np.uint8)
@@ -99,6 +101,7 @@ def offtargets_seeded(places: DataFrame, guides: DataFrame, k: int = 4) -> DataF
     """The same join in relational form: of ``k + 1`` segments one must agree; then the distance is counted.
 
     places (.., site, pam), guides (guide). A pair is kept at the first segment that agrees, so it comes once.
+    Null guides or sites meet nothing; repeated ones each count.
     """
     edges = [round(i * SPACER / (k + 1)) for i in range(k + 2)]
     cut = lambda c: F.array(*[F.concat_ws(":", F.lit(i), F.substring(c, a + 1, b - a)) for i, (a, b) in enumerate(zip(edges, edges[1:]))])

@@ -340,7 +340,10 @@ def pairs(df: DataFrame, key: str, logic: Sequence[str] = ("AND", "OR")) -> Data
 
 
 def dossier(targets: DataFrame, layers: Sequence[DataFrame], rules: Sequence[tuple[str, float, str]], key: str = "gene", cuts: tuple[float, float] = (1.0, 2.0)) -> DataFrame:
-    """``targets`` with evidence of every layer, the sum of the rules that hold, verdict and reasons; rules are (SQL, points, text)."""
+    """``targets`` with evidence of every layer, the sum of the rules that hold, verdict and reasons; rules are (SQL, points, text).
+
+    Layers should have a row a key; a gene without a layer has nulls there, and a rule over a null does not hold.
+    """
     out = reduce(lambda a, b: a.join(b, key, "left"), layers, targets)
     holds = [F.coalesce(F.expr(s), F.lit(False)) for s, _, _ in rules]
     score = reduce(Column.__add__, [F.when(h, F.lit(float(p))).otherwise(0.0) for h, (_, p, _) in zip(holds, rules)])

@@ -72,7 +72,10 @@ def kmers(df: DataFrame, seq: str, key: str, k: int) -> DataFrame:
 
 
 def kmer_features(df: DataFrame, seq: str, key: str, k: int) -> DataFrame:
-    """(key, kmer, freq): counts over the sequence's valid k-mers."""
+    """(key, kmer, freq): counts over the sequence's valid k-mers.
+
+    A sequence without a valid k-mer, a null one too, has no row; rows that share a key are counted as one.
+    """
     counts = kmers(df, seq, key, k).groupBy(key, "kmer").agg(F.count("*").alias("n"))
     return counts.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy(key))).drop("n")
 
@@ -234,7 +237,10 @@ def motif_score_summary(scores: DataFrame) -> DataFrame:
 
 
 def motif_spans(df: DataFrame, seq: str, key: str, motifs: Sequence[str]) -> DataFrame:
-    """(key, motif, start, end): every occurrence, overlapping too, of each motif and its reverse complement."""
+    """(key, motif, start, end): every occurrence, overlapping too, of each motif and its reverse complement.
+
+    Null sequences and those shorter than a motif have none; equal finds of rows that share a key come once.
+    """
     turned = lambda m: m[::-1].translate(str.maketrans("ACGT", "TGCA"))
     both = sorted({(m, x) for m in motifs for x in (m, turned(m))})
     out = None

@@ -23,7 +23,10 @@ def hash_bits(*parts) -> Column:
 
 
 def value_ranks(df: DataFrame, value: str, sums: Sequence[str] = (), part: Sequence[str] = ()) -> DataFrame:
-    """Per distinct value: n, before (rows with a smaller value) and, for each of ``sums``, its sum and its sum before."""
+    """Per distinct value: n, before (rows with a smaller value) and, for each of ``sums``, its sum and its sum before.
+
+    Null values are passed over, NaN is the largest value, null parts are a part; an empty table gives no rows.
+    """
     part = list(part)
     rows = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count("*").alias("n"), *[F.sum(s).alias(s) for s in sums])
     seen = running(rows, part, [value], {f"before_{c}": F.col(c) for c in ("n", *sums)}, alone=True, before=True)
@@ -66,7 +69,10 @@ def auroc(df: DataFrame, label: str, score: str, part: Sequence[str] = ()) -> Da
 
 
 def average_precision(df: DataFrame, label: str, score: str, part: Sequence[str] = ()) -> DataFrame:
-    """Threshold-grouped: precision at each distinct score, weighted by the recall that it adds."""
+    """Threshold-grouped: precision at each distinct score, weighted by the recall that it adds.
+
+    Rows with a null are passed over, ties share a threshold; null without a positive row.
+    """
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).withColumn("__pos", (F.col(label) > 0).cast("long")).withColumn("__neg", -F.col(score))
     ranks = value_ranks(rows, "__neg", ["__pos"], part)
     hits, seen = F.col("before___pos") + F.col("__pos"), F.col("before") + F.col("n")
@@ -83,7 +89,10 @@ def auprc_rows(df: DataFrame, label: str, score: str, tie: str, part: Sequence[s
 
 
 def ndcg(df: DataFrame, gain: str, score: str, k: int, tie: str) -> DataFrame:
-    """NDCG over the first k; both orders are top-k picks, not sorts of the table."""
+    """NDCG over the first k; both orders are top-k picks, not sorts of the table.
+
+    Null scores come last and null gains add nothing; 0 without any gain.
+    """
     def dcg(order, name):
         top = df.orderBy(order, F.asc(tie)).limit(k)
         return top.withColumn("r", F.row_number().over(Window.orderBy(order, F.asc(tie)))).agg(F.sum(F.col(gain) / F.log2(F.col("r") + 1)).alias(name))
@@ -93,9 +102,12 @@ def ndcg(df: DataFrame, gain: str, score: str, k: int, tie: str) -> DataFrame:
 
 
 def ece(df: DataFrame, label: str, prob: str, bins: int = 10) -> DataFrame:
-    """Expected calibration error over equal bins of probability."""
+    """Expected calibration error over equal bins of probability.
+
+    Rows with a null are passed over; 1 falls into the last bin; null without rows.
+    """
     at = F.least(F.floor(F.col(prob) * bins), F.lit(bins - 1))
-    cells = df.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(prob).alias("p"), F.avg(F.col(label).cast("double")).alias("y"))
+    cells = df.where(F.col(prob).isNotNull() & F.col(label).isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(prob).alias("p"), F.avg(F.col(label).cast("double")).alias("y"))
     return cells.agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("ece"))
 
 
@@ -170,7 +182,10 @@ def mann_whitney(df: DataFrame, group: str, value: str, part: Sequence[str] = ()
 
 
 def wilcoxon(df: DataFrame, x: str, y: str, part: Sequence[str] = ()) -> DataFrame:
-    """Signed-rank test of paired columns, zeros dropped: (part, n, w_plus, z, p), two-sided normal tail."""
+    """Signed-rank test of paired columns, zeros dropped: (part, n, w_plus, z, p), two-sided normal tail.
+
+    Pairs with a null are passed over, ties share their average rank; a part without a difference has no row.
+    """
     rows = df.withColumn("__d", F.col(x) - F.col(y)).where("__d <> 0").withColumn("__a", F.abs("__d")).withColumn("__up", (F.col("__d") > 0).cast("long"))
     ranks = value_ranks(rows, "__a", ["__up"], part)
     out = ranks.groupBy(*part).agg(
@@ -214,6 +229,8 @@ def permutation_p(df: DataFrame, x: str, y: str, key: str, draws: int, seed: int
     """(observed, ge, p): ``y`` is dealt anew by hash rank in each of ``draws`` replicates; (1 + ge) / (draws + 1), or the bare share.
 
     Work is draws x rows: aggregate to groups before when rows are many.
+    Rows with a null on either side are passed over; keys must name rows; a replicate or table whose statistic is null
+    counts as no hit.
     """
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y"))
     observed = base.agg(statistic("__x", "__y").alias("observed"))
@@ -254,10 +271,12 @@ def poisson_weight(*parts) -> Column:
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
+    """Mean of values by weights, as an aggregate; null without weight."""
     return F.try_divide(F.sum(weight * value), F.sum(weight))
 
 
 def weighted_median(value: Column, weight: Column) -> Column:
+    """Median of values that count as often as their weights say, as an aggregate."""
     return F.percentile(value, 0.5, weight)
 
 
@@ -314,7 +333,10 @@ def wilson_ci(successes: Column, n: Column, z: float = 1.959963984540054) -> tup
 
 
 def tost(df: DataFrame, group: str, value: str, margin: float, part: Sequence[str] = ()) -> DataFrame:
-    """Welch equivalence test of two groups (``group`` true or false): (part, diff, df, p_lower, p_upper, p)."""
+    """Welch equivalence test of two groups (``group`` true or false): (part, diff, df, p_lower, p_upper, p).
+
+    Null values are passed over; a part with under two rows of a group has a null p.
+    """
     one = F.col(group).cast("boolean")
     stats = df.groupBy(*part).agg(*[f(F.when(w, F.col(value))).alias(n + s) for s, w in (("1", one), ("0", ~one)) for f, n in ((F.avg, "m"), (F.var_samp, "v"), (F.count, "n"))])
     a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
@@ -338,7 +360,10 @@ def tost_paired(df: DataFrame, a: str, b: str, margin: float, part: Sequence[str
 
 
 def conformal_radius(df: DataFrame, score: str, level: float, part: Sequence[str] = ()) -> DataFrame:
-    """(part, radius): the order statistic ceil((n + 1) * level), clipped to n, by value counts."""
+    """(part, radius): the order statistic ceil((n + 1) * level), clipped to n, by value counts.
+
+    Null scores are passed over and ties count each; a part without scores has no row.
+    """
     ranks = value_ranks(df, score, part=part)
     n = ranks.groupBy(*part).agg(F.sum("n").alias("__n"))
     ranks = ranks.join(F.broadcast(n), list(part)) if part else ranks.crossJoin(F.broadcast(n))
@@ -406,8 +431,11 @@ def matched_auc_null(df: DataFrame, label: str, score: str, covariate: str, cali
 
 
 def stratified_auc(df: DataFrame, label: str, score: str, covariate: str, key: str, n: int = 3) -> DataFrame:
-    """AUROC within n bands of the covariate, sizes as equal as can be, larger bands first."""
-    total = df.count()
+    """AUROC within n bands of the covariate, sizes as equal as can be, larger bands first.
+
+    Rows without a covariate are in no band, ties of it go by ``key``; a band without both classes has a null AUC.
+    """
+    total = df.where(F.col(covariate).isNotNull()).count()
     base, more = divmod(total, n)
     edge = more * (base + 1)
     band = F.when(F.col("__p") < edge, F.floor(F.col("__p") / (base + 1))).otherwise(more + F.floor((F.col("__p") - edge) / max(base, 1)))
@@ -416,7 +444,10 @@ def stratified_auc(df: DataFrame, label: str, score: str, covariate: str, key: s
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
-    """Spearman r of x and y with the ranks of z taken out of both by regression."""
+    """Spearman r of x and y with the ranks of z taken out of both by regression.
+
+    Rows with a null in any are passed over; null if a column is constant or a function of z's ranks.
+    """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
     for c, name in ((x, "__rx"), (y, "__ry"), (z, "__rz")):
         rows = avg_rank(rows, c, name=name)
@@ -463,7 +494,11 @@ def univariate_screen(df: DataFrame, label: str, features: Sequence[str]) -> Dat
 
 
 def set_permutation(df: DataFrame, member: str, value: str, key: str, draws: int, seed: int = 0) -> DataFrame:
-    """(observed, ge, p): mean of the member set against ``draws`` hash-ranked subsets of its size."""
+    """(observed, ge, p): mean of the member set against ``draws`` hash-ranked subsets of its size.
+
+    Rows with a null value are passed over; keys must name rows; without members there is nothing to observe and p is
+    1 / (draws + 1).
+    """
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("__k"), F.col(member).cast("boolean").alias("__m"), F.col(value).alias("__v"))
     seen = rows.where("__m").agg(F.avg("__v").alias("observed"), F.count("*").alias("k"))
     chosen = smallest_hashes(rows, "__k", seen.select("k"), draws, seed)

@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.operators.intervals import BIN, overlap_join
+from locusframe.operators.scan import running
 from locusframe.operators.stats import hash_bits
 
 
 def tile(sizes: DataFrame, length: int, stride: int | None = None) -> DataFrame:
-    """(chrom, start_pos, end_pos) of whole windows; a last partial one is dropped."""
+    """(chrom, start_pos, end_pos) of whole windows; a last partial one is dropped.
+
+    A null size, or one under the length, gives no window; a chromosome that comes twice is tiled twice.
+    """
     rows = sizes.where(F.col("size") >= length)
     return rows.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - length, F.lit(stride or length).cast("long"))).alias("start_pos")).withColumn("end_pos", F.col("start_pos") + length)
 
@@ -29,7 +33,10 @@ def sample_windows(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
 
 
 def bin_signal(track: DataFrame, windows: DataFrame, key: str, bin_size: int, value: str = "value", size: int = BIN) -> DataFrame:
-    """``windows`` with ``target`` and ``valid``: mean per bin weighted by covered bases; uncovered bins are 0 and not valid."""
+    """``windows`` with ``target`` and ``valid``: mean per bin weighted by covered bases; uncovered bins are 0 and not valid.
+
+    Null, NaN and infinite values are passed over; windows that share a key share their values.
+    """
     good = track.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     pairs = overlap_join(windows, good, size=size)
     lo, hi = F.greatest("start_pos", "b_start_pos") - F.col("start_pos"), F.least("end_pos", "b_end_pos") - F.col("start_pos")
@@ -89,10 +96,14 @@ def chrom_split(df: DataFrame, validation: Sequence[str], test: Sequence[str]) -
 
 
 def group_split(df: DataFrame, group: str, val_share: float, test_share: float, seed: int) -> DataFrame:
-    """Whole groups by hash rank: the first shares go to test and val. Groups are ranked, not rows."""
+    """Whole groups by hash rank: the first shares go to test and val. Groups are ranked, not rows.
+
+    Rows with a null group have no split and go; rows of a group stay together however many; shares round to whole
+    groups.
+    """
     groups = df.select(group).distinct()
     n = groups.count()
-    ranked = groups.withColumn("__r", F.row_number().over(Window.orderBy(hash_order(seed, group), group)))
+    ranked = running(groups.withColumn("__h", hash_order(seed, group)), [], ["__h", group], {"__r": F.lit(1)}, alone=True)
     name = F.when(F.col("__r") <= round(n * test_share), "test").when(F.col("__r") <= round(n * test_share) + round(n * val_share), "val").otherwise("train")
     return df.join(ranked.select(group, name.alias("split")), group)
 
@@ -126,7 +137,11 @@ def pad_zero_vector(c: str, n: int) -> Column:
 
 
 def retile(df: DataFrame, tile_bp: int, bin_size: int, arrays: Sequence[str], key: str = "example_id") -> DataFrame:
-    """Local tiles of long windows with their slices of every profile, and the parent's id."""
+    """Local tiles of long windows with their slices of every profile, and the parent's id.
+
+    Windows shorter than a tile are for the caller to leave out; a null array gives null slices; an empty table gives
+    no tiles.
+    """
     per = tile_bp // bin_size
     rows = df.withColumn("tile", F.explode(F.sequence(F.lit(0), F.expr(f"(end_pos - start_pos) div {tile_bp} - 1").cast("int"))))
     rest = [c for c in df.columns if c not in (key, "start_pos", "end_pos", *arrays)]
@@ -136,7 +151,11 @@ def retile(df: DataFrame, tile_bp: int, bin_size: int, arrays: Sequence[str], ke
 
 
 def pair_windows(ref: DataFrame, trt: DataFrame, on: Sequence[str] = ("chrom", "start_pos", "end_pos")) -> DataFrame:
-    """(on, delta, valid, side): full-outer match by coordinates; delta is treatment less reference, valid is both masks."""
+    """(on, delta, valid, side): full-outer match by coordinates; delta is treatment less reference, valid is both masks.
+
+    A null coordinate matches nothing; windows that come twice on a side pair with each of the other; a null target is
+    no window of its side.
+    """
     on = list(on)
     r = ref.select(*on, F.col("target").alias("__rt"), F.col("valid").alias("__rv"))
     t = trt.select(*on, F.col("target").alias("__tt"), F.col("valid").alias("__tv"))
