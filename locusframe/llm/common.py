@@ -13,6 +13,7 @@ _own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +49,7 @@ def hash_sample(df: DataFrame, n: int, *cols: str) -> DataFrame:
 
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:
+    """Rows of all frames, columns by name."""
     return reduce(DataFrame.unionByName, dfs)
 
 

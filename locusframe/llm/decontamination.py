@@ -37,6 +37,7 @@ _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 
 
 def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in order, A-Z lower-cased; null has none."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
 
 

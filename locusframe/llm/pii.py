@@ -44,12 +44,14 @@ TEXT_BYTES = 8 << 20
 
 
 def luhn(digits: str) -> bool:
+    """Whether the digits pass the Luhn check."""
     values = np.frombuffer(digits.encode(), np.uint8)[::-1].astype(np.int64) - 48
     twice = values[1::2] * 2
     return int(values[::2].sum() + (twice - 9 * (twice > 9)).sum()) % 10 == 0
 
 
 def only_digits(text: str) -> str:
+    """The ASCII digits of a text."""
     return re.sub("[^0-9]", "", text)
 
 
@@ -127,6 +129,7 @@ class Taken:
 
 
 def in_order(spans: list[Span]) -> list[Span]:
+    """Spans by start, kinds in their listed order at one start."""
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -154,6 +157,7 @@ HINTS = {
 
 
 def features(text: str, span: Span) -> list[float]:
+    """What the trees read of a span: its format, its digits and letters, and the words around it."""
     kind, start, end = span
     found, before, after = text[start:end], text[max(0, start - 30) : start].lower(), text[end : end + 12]
     digits = only_digits(found)

@@ -27,6 +27,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> set[str]:
+    """The distinct lower-cased words of a text; null has none."""
     return set(_LETTERS.findall((text or "").lower()))
 
 
