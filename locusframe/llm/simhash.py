@@ -161,15 +161,16 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values[child]), pa.array(values[parent[child]])], ["src", "dst"])
 
 
-def _shards(keyed: DataFrame, keys: list[str], payload: list[str], tree: int) -> DataFrame:
+def _shards(keyed: DataFrame, keys: list[str], payload: list[str], tree: int, weight: Column | None = None) -> DataFrame:
     """(entries): a row per block of a shard and pair of its blocks; ``asks`` marks the queries of a pair of blocks.
 
-    A shard of up to ``tree`` rows is one block and its nodes ask each other. Shards of one row are left out.
+    A shard of up to ``tree`` rows (or that sum of ``weight``) is one block and its nodes ask each other. Shards of one row
+    are left out.
     """
-    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("__size"))
+    sizes = keyed.groupBy(*keys).agg((F.count("*") if weight is None else F.sum(weight)).alias("__size"))
     large = sizes.where(F.col("__size") > tree).select(*keys, F.ceil(F.col("__size") / tree).cast("int").alias("__blocks"))  # few: rows / tree at most
     rows = keyed.join(large, keys, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
-    rows = rows.withColumn("__mine", F.pmod(F.xxhash64(*payload), F.col("__blocks")).cast("int"))
+    rows = rows.withColumn("__mine", F.pmod(F.xxhash64(*payload[:2]), F.col("__blocks")).cast("int"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     rows = rows.select(*keys, F.least("__mine", "__other").alias("__low"), F.greatest("__mine", "__other").alias("__high"),
                        F.struct(*payload, (F.col("__mine") > F.col("__other")).alias("asks")).alias("entry"))
@@ -206,8 +207,8 @@ KEYS, HASHES, WIDE = 9, 3, 18
 SIMILARITY = 0.8
 #: Texts of different groups in a shard up to which trees propose its pairs at once.
 FEW = 64
-#: Texts that lead a larger shard in the first round.
-LEAD = 4
+#: Texts that lead a larger shard in the first round, and the share of near pairs among those led by that ends the rounds.
+LEAD, YIELD = 4, 0.1
 _FACTORS = np.random.default_rng(6).integers(1, 1 << 63, KEYS * HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -265,10 +266,7 @@ def _shingler(shingle: int):
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b) of the pairs of nodes whose shingles have the similarity. Only texts of nodes in a pair are read and moved."""
     pairs = written(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(classes.join(nodes, "node", "left_semi").select("node", "first.doc_id", "first.row").dropDuplicates(["node"]), "pair-nodes")
-    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, ["doc_id", "row"]).select("node", "text")
-    sets = written(texts.mapInArrow(_shingler(shingle), "node long, shingles array<long>").dropDuplicates(["node"]), "pair-shingles")
+    sets = _texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), classes, docs, shingle)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     alike = both >= similarity * (F.size("a_set") + F.size("b_set") - both)
@@ -278,17 +276,39 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
 BROADCAST_NODES = 200_000
 
 
-def _wide_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within WIDE bits of nodes that no verified link connects yet."""
-    for batch in _slices(batches):
-        forest, asks, entries = _forest(batch)
-        node, part = entries.field("node").to_numpy(), entries.field("part").to_numpy()
-        ask, few = _askers(asks, forest.root), forest.queries_at_once()
-        for k in range(0, len(ask), few):
-            for a, b in forest.within(ask[k : k + few], WIDE):
-                new = part[a] != part[b]
-                low, high = np.minimum(node[a[new]], node[b[new]]), np.maximum(node[a[new]], node[b[new]])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+def _texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the texts of ``nodes``, written; other texts are not moved."""
+    wanted = written(classes.join(nodes, "node", "left_semi").select("node", "first.doc_id", "first.row").dropDuplicates(["node"]), "wanted")
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, ["doc_id", "row"]).select("node", "text")
+    return written(texts.mapInArrow(_shingler(shingle), "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+
+
+def _wide_links(similarity: float):
+    """Links between groups, of what the trees propose within WIDE bits: each is verified on the shingles in the task, and
+    groups that a link joins are one from there on, so a task returns at most a link a group."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            forest, asks, entries = _forest(batch)
+            node, part = entries.field("node").to_numpy(), np.unique(entries.field("part").to_numpy(), return_inverse=True)[1]
+            lists = entries.field("shingles")
+            flat, begin = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            size = np.diff(begin)
+            group = np.arange(int(part.max()) + 1) if len(part) else np.zeros(0, np.int64)
+            ask, few, found = _askers(asks, forest.root), forest.queries_at_once(), []
+            for k in range(0, len(ask), few):
+                for a, b in forest.within(ask[k : k + few], WIDE):
+                    low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+                    open_ = (group[part[a]] != group[part[b]]) & (low >= similarity * high)
+                    for x, y in zip(a[open_].tolist(), b[open_].tolist()):
+                        if group[part[x]] != group[part[y]]:
+                            both = len(np.intersect1d(flat[begin[x] : begin[x + 1]], flat[begin[y] : begin[y + 1]], assume_unique=True))
+                            if both >= similarity * (size[x] + size[y] - both):
+                                unite(group, np.array([part[x]]), np.array([part[y]]))
+                                found.append((node[x], node[y]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["src", "dst"])
+
+    return link
 
 
 def _near(a: str, b: str) -> Column:
@@ -348,10 +368,12 @@ def keep_one_near_copy(docs: DataFrame, shingle: int = 5, similarity: float = SI
 
     Groups are connected by equal words (A-Z lower-cased, any blanks) and by a Jaccard similarity of ``similarity`` or
     more of the distinct shingles. First every text is verified against the smallest of each of its shards. While a shard
-    holds more than FEW texts of different groups, texts of it take turns to lead, those closest to the shard's middle first: each is verified against all that wait in other
-    groups, twice as many lead each round, and what links joins groups. So the near copies of a large family are soon one
-    group; a family that is not near costs what its pairs within the radius cost. Trees propose the pairs of what is left. Every link is verified
-    on whole texts; a pair at the similarity is proposed but for about one in 500.
+    holds more than FEW texts of different groups, texts of it take turns to lead, those closest to the shard's middle
+    first: each is verified against all that wait in other groups, four times as many lead each round, and what links joins
+    groups, so the near copies of a large family are soon one group. Rounds end where few of the pairs led by are near.
+    Trees then propose the pairs of what is left; a task verifies them on the shingles of its texts and returns links
+    between groups only. Every link is verified on whole texts; a pair at the similarity is proposed but for about one in
+    500.
     Texts without words are one group; rows without an id all stay; of rows equal in id and text one stays; an empty
     table gives no rows; other columns pass through.
     """
@@ -377,16 +399,19 @@ def keep_one_near_copy(docs: DataFrame, shingle: int = 5, similarity: float = SI
         leaders = written(leaders.select("key", F.col("node").alias("l"), F.col("fp").alias("l_fp"), F.col("part").alias("l_part"), "turn"), "leaders")
         met = waiting.drop("turn").join(leaders.drop("turn"), "key").where((F.col("part") != F.col("l_part")) & _near("fp", "l_fp"))
         pairs = _ordered(met.select(F.col("node").alias("a"), F.col("l").alias("b"))).distinct().join(_ordered(first), ["a", "b"], "left_anti")
+        pairs = written(pairs, "led-pairs")
         links.append(ends(_verified(pairs, classes, rows, shingle, similarity)))
         joined = _merged(left, links[-1])
         last = leaders.groupBy("key").agg(F.max("turn").alias("__last"))
         left = left.join(joined, "part", "left").join(last, "key", "left")
         left = written(left.select("key", "node", "fp", F.coalesce("component", "part").alias("part"), "turn", (F.col("led") | F.coalesce(F.col("turn") <= F.col("__last"), F.lit(False))).alias("led")), "shard-parts")
-        lead *= 2
-    open_rows = left.where("not led").join(_open_keys(left).select("key"), "key", "left_semi")
-    shards = _shards(open_rows.select("key", "fp", "node", "part"), ["key"], ["fp", "node", "part"], tree or TREE)
-    rest = shards.mapInArrow(_wide_pairs, "a long, b long").distinct().join(_ordered(first), ["a", "b"], "left_anti")
-    links = union_all([*links, ends(_verified(rest, classes, rows, shingle, similarity))])
+        lead *= 4
+        if links[-1].count() < YIELD * pairs.count():
+            break
+    open_rows = written(left.where("not led").join(_open_keys(left).select("key"), "key", "left_semi").select("key", "fp", "node", "part"), "open-rows")
+    open_rows = open_rows.join(_texts_of(open_rows.select("node").distinct(), classes, rows, shingle), "node")
+    shards = _shards(open_rows, ["key"], ["fp", "node", "part", "shingles"], tree or TREE, F.lit(1) + F.size("shingles") / 100)
+    links = union_all([*links, written(shards.mapInArrow(_wide_links(similarity), "src long, dst long"), "tree-links")])
     groups = component_minimum(classes.select("node", "first"), connected_components(links), "first")
     kept = groups.select(F.col("first.doc_id").alias("__kept"), F.col("first.row").alias("__row")).distinct()
     same = (F.col(id_col).cast("long") == F.col("__kept")) & (named["__row"] == kept["__row"])
