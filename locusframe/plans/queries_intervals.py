@@ -214,7 +214,7 @@ TAIL = lambda z: f"0.5 * (1 - 2 / sqrt(pi()) * list_sum(list_transform(range(90)
     e as (select width, pseudo, turn, avg(v) as m from d join s using (width, pseudo) where i <= n1 group by all),
     g as (select width, pseudo, count(*) filter (m >= target_mean - 1e-12) as ge from e join s using (width, pseudo) group by all),
     z as (select *, n1 * (n - n1) as nn, sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))) as sd from s)
-    select width::bigint as width, pseudo, n::bigint as n, n1::bigint as n_target, round(target_mean, 6) as target_mean, round(background_mean, 6) as background_mean, round(u, 6) as u, round({TAIL('(u - nn / 2 - 0.5) / sd')}, 6) as p, ge as set_ge, round(ge / 20.0, 6) as set_p from z join g using (width, pseudo)""")
+    select width::bigint as width, pseudo, n::bigint as n, n1::bigint as n_target, round(target_mean, 6) as target_mean, round(background_mean, 6) as background_mean, round(u, 6) as u, round({TAIL('(u - nn / 2 - 0.5) / sd')}, 6) as p, ge as set_ge, round(ge / 20.0, 6) as set_p from z left join g using (width, pseudo)""")
 def h9_sweep(v):
     t = v("fx_track")
     loci = v("fx_loci").withColumn("t", F.col("locus_id") % 25 == 0)
