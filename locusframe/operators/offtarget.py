@@ -81,36 +81,56 @@ def offtargets(chunks: DataFrame, guides: DataFrame, k: int = 4) -> DataFrame:
     return chunks.select("chrom", F.col("chunk_start").cast("long").alias("chunk_start"), "seq").mapInArrow(scan, HIT)
 
 
-def hamming(a: Column, b: Column, n: int = SPACER) -> Column:
-    """Places of the first ``n`` letters that differ; null if one string is shorter than the other."""
-    return F.aggregate(F.zip_with(F.slice(F.split(a, ""), 1, n), F.slice(F.split(b, ""), 1, n), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-
-
 def sites(df: DataFrame, seq: str, key: str, minus: bool = True, last: bool = True) -> DataFrame:
     """(key, pos, strand, site, pam): places of a sequence whose PAM is NGG. ``last`` takes the last legal place too."""
-    rows = windows_of(df, seq, [key], SITE).withColumnRenamed("at", "pos")
+    rows = windows_of(df, seq, [key], SITE, [(21, "GG"), *([(0, "CC")] if minus else [])]).withColumnRenamed("at", "pos")
     if not last:
         rows = rows.where(F.col("pos") < F.col("n") - SITE)
-    out = rows.where(F.expr("substring(w, 22, 2) = 'GG'")).select(key, "pos", F.lit("+").alias("strand"), "w")
+    found = [F.when(F.substring("w", 22, 2) == "GG", F.struct(F.lit("+").alias("strand"), "w"))]
     if minus:
-        out = out.unionByName(rows.where(F.expr("substring(w, 1, 2) = 'CC'")).select(key, "pos", F.lit("-").alias("strand"), revcomp("w").alias("w")))
+        found.append(F.when(F.substring("w", 1, 2) == "CC", F.struct(F.lit("-").alias("strand"), revcomp("w").alias("w"))))
+    out = rows.select(key, "pos", F.explode(F.array_compact(F.array(*found))).alias("x")).select(key, "pos", "x.strand", "x.w")
     return out.select(key, "pos", "strand", F.substring("w", 1, SPACER).alias("site"), F.substring("w", SPACER + 1, 3).alias("pam"))
 
 
+#: Sites that are compared with all guides at once.
+AT_ONCE = 20_000
+
+
 def offtargets_seeded(places: DataFrame, guides: DataFrame, k: int = 4) -> DataFrame:
-    """The same join in relational form: of ``k + 1`` segments one must agree; then the distance is counted.
+    """The same join for given places: a task compares its sites with every guide as one matrix product, so a pair that is
+    too far apart never becomes a row and nothing is shuffled. Segments as seeds would be two or three letters at eight
+    mismatches, which rule out next to nothing.
 
-    places (.., site, pam), guides (guide). A pair is kept at the first segment that agrees, so it comes once.
-    Null guides or sites meet nothing; repeated ones each count.
+    places (.., site, pam), guides (guide). Guides are a stated query set and go to every task. Letters are compared as
+    they are, the first 20; a pair of different lengths does not meet. Null guides or sites meet nothing; repeated sites
+    each count.
     """
-    edges = [round(i * SPACER / (k + 1)) for i in range(k + 2)]
-    cut = lambda c: F.array(*[F.concat_ws(":", F.lit(i), F.substring(c, a + 1, b - a)) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
-    g = guides.select(F.upper(F.substring("guide", 1, SPACER)).alias("guide")).distinct()
-    left = places.withColumn("__p", cut("site")).withColumn("__seed", F.explode("__p"))
-    right = g.withColumn("__g", cut("guide")).withColumn("__seed", F.explode("__g"))
-    first = F.filter(F.zip_with("__p", "__g", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())[0]
-    pairs = left.join(right, "__seed").where(F.col("__seed") == first).withColumn("mismatches", hamming(F.col("site"), F.col("guide")))
-    return pairs.where(F.col("mismatches") <= k).drop("__p", "__g", "__seed")
+    wanted = sorted({r[0] for r in guides.select(F.upper(F.substring("guide", 1, SPACER))).distinct().collect() if r[0]})
+    letters = sorted({ord(c) for g in wanted for c in g})  # a letter that no guide has agrees with none
+    shared = places.sparkSession.sparkContext.broadcast(wanted)
+    limit, columns = k, places.columns
+
+    def one_hot(words: list[str]) -> np.ndarray:
+        codes = np.array(words, f"U{SPACER}").view(np.uint32).reshape(len(words), SPACER)
+        return (codes[:, :, None] == np.array(letters, np.uint32)).reshape(len(words), -1).astype(np.float32)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value
+        if not names:
+            return
+        hot, sizes = one_hot(names).T, np.array([len(g) for g in names])
+        for batch in batches:
+            for first in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(first, AT_ONCE)
+                found = [(s or "")[:SPACER] for s in part["site"].to_pylist()]
+                bad = sizes - one_hot(found) @ hot
+                p, g = np.nonzero((bad <= limit) & (np.array([len(s) for s in found])[:, None] == sizes))
+                hit = [c.take(pa.array(p)) for c in part.columns]
+                yield pa.RecordBatch.from_arrays([*hit, pa.array(names, pa.string()).take(pa.array(g)), pa.array(bad[p, g].astype(np.int32))], [*columns, "guide", "mismatches"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in places.schema)
+    return places.mapInArrow(compare, f"{fields}, guide string, mismatches int")
 
 
 def local_offtargets(seqs: DataFrame, guides: DataFrame, seq: str, key: str, k: int = 4) -> DataFrame:
