@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.operators.scan import carried, sliced
+from locusframe.operators.iterate import written
+from locusframe.operators.scan import carried, running, sliced
 
 BIN = 8192
 
@@ -55,18 +56,18 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", size: int = BIN
 
 def overlap_flag(a: DataFrame, b: DataFrame, name: str, key: str, size: int = BIN) -> DataFrame:
     """``a`` with a boolean ``name``: whether any interval of ``b`` overlaps."""
-    hit = overlap_join(a, b, size=size).select(key).distinct().withColumn(name, F.lit(True))
+    hit = overlap_totals(a, b, key, {}).withColumn(name, F.lit(True))
     return a.join(hit, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def overlap_semi(a: DataFrame, b: DataFrame, key: str, size: int = BIN) -> DataFrame:
     """Rows of ``a`` whose key has an overlap in ``b``; rows with a null key or place go. Keys should name rows."""
-    return a.join(overlap_join(a, b, size=size).select(key).distinct(), key, "left_semi")
+    return a.join(overlap_totals(a, b, key, {}), key, "left_semi")
 
 
 def overlap_anti(a: DataFrame, b: DataFrame, key: str, size: int = BIN) -> DataFrame:
     """Rows of ``a`` whose key has no overlap in ``b``; rows with a null key or place stay."""
-    return a.join(overlap_join(a, b, size=size).select(key).distinct(), key, "left_anti")
+    return a.join(overlap_totals(a, b, key, {}), key, "left_anti")
 
 
 def background_loci(sizes: DataFrame, peaks: DataFrame, n: int, width: int, seed: int = 0) -> DataFrame:
@@ -137,10 +138,64 @@ def nearest_distance(a: DataFrame, points: DataFrame, pos: str = "pos", stretch:
     return a.join(found, (F.col("chrom") == F.col("__chrom")) & (F.col(pos) == F.col("__place")), "left").drop("__chrom", "__place")
 
 
+def _totals_at(points: DataFrame, b: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
+    """(chrom, at, <total>_s, <total>_e) of distinct points (chrom, at): sums over the rows of ``b`` that start before the
+    point, and over those that end at it or before; written.
+
+    Starts and ends of one place are summed first; these and the points are put in one order and summed in range slices.
+    """
+    rows = b.where("chrom is not null and start_pos <= end_pos").select("chrom", "start_pos", "end_pos", *[v.alias(k) for k, v in totals.items()])
+    # At one place ends come first, then points, then starts.
+    sides = F.explode(F.array(F.struct(F.col("end_pos").alias("at"), F.lit(0).alias("rank")), F.struct(F.col("start_pos").alias("at"), F.lit(2).alias("rank"))))
+    events = rows.select("chrom", sides.alias("e"), *totals).groupBy("chrom", "e.at", "e.rank").agg(*[F.sum(k).alias(k) for k in totals])
+    both = points.withColumn("rank", F.lit(1)).unionByName(events, allowMissingColumns=True)
+    sums = {f"{k}_{side}": F.when(F.col("rank") == rank, F.col(k)) for k in totals for side, rank in (("s", 2), ("e", 0))}
+    seen = running(both, ["chrom"], ["at", "rank"], sums, alone=True).where("rank = 1")
+    return written(seen.select("chrom", "at", *[F.coalesce(k, F.lit(0)).alias(k) for k in sums]), "totals")
+
+
+def _looked_up(loci: DataFrame, b: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
+    """``loci`` with ``_totals_at`` their starts (lo_<total>_s, ..) and ends (hi_..); rows without a place have none."""
+    points = loci.where("chrom is not null").select("chrom", F.explode(F.array("start_pos", "end_pos")).alias("at")).where("at is not null").distinct()
+    found = _totals_at(points, b, totals)
+    for end, column in (("lo", "start_pos"), ("hi", "end_pos")):
+        side = found.select(F.col("chrom").alias("__c"), F.col("at").alias("__at"), *[F.col(c).alias(f"{end}_{c}") for c in found.columns[2:]])
+        loci = loci.join(side, (F.col("chrom") == F.col("__c")) & (F.col(column) == F.col("__at")), "left").drop("__c", "__at")
+    return loci
+
+
+def overlap_totals(a: DataFrame, b: DataFrame, key: str, totals: Mapping[str, Column]) -> DataFrame:
+    """(key, totals): sums of columns of ``b`` over all overlaps of the key's rows; keys without an overlap have no row.
+
+    No pair is made: what overlaps is what starts before the end less what ends up to the start, so work follows the rows
+    of both tables, however many overlap. Rows of ``a`` of no length meet in bins; null keys and rows of ``b`` that end
+    before they start are passed over.
+    """
+    named = {f"__t_{k}": v for k, v in totals.items()} | {"__t_rows": F.lit(1).cast("long")}
+    mine = a.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), "chrom", "start_pos", "end_pos")
+    long = _looked_up(mine.where("start_pos < end_pos"), b, named)
+    found = long.select("__key", *[(F.col(f"hi_{k}_s") - F.col(f"lo_{k}_e")).alias(k) for k in named]).where("__t_rows > 0")
+    flat = mine.where("start_pos >= end_pos")
+    if not flat.isEmpty():
+        met = overlap_join(flat, b.where("start_pos <= end_pos").select("chrom", "start_pos", "end_pos", *[v.alias(k) for k, v in named.items()]))
+        found = found.unionByName(met.select("__key", *[F.col(f"b_{k}").alias(k) for k in named]))
+    if not totals:
+        return found.select(F.col("__key").alias(key)).distinct()
+    return found.groupBy(F.col("__key").alias(key)).agg(*[F.sum(f"__t_{k}").alias(k) for k in totals])
+
+
 def window_mean(loci: DataFrame, track: DataFrame, key: str, value: str = "value", size: int = BIN) -> DataFrame:
-    """``loci`` with ``mean``: plain mean of the records that overlap, not weighted; null records are skipped."""
-    mean = overlap_join(loci, track.where(F.col(value).isNotNull() & ~F.isnan(value)), size=size).groupBy(key).agg(F.avg(f"b_{value}").alias("mean"))
-    return loci.join(mean, key, "left")
+    """``loci`` with ``mean``: plain mean of the records that overlap, not weighted; null records are skipped.
+
+    From running totals, so no pair is made. Values are summed as decimals of some 27 digits, as a total over a chromosome
+    would take digits from doubles.
+    """
+    records = track.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("__v", F.col(value).cast("double"))
+    most = records.agg(F.max(F.abs("__v"))).first()[0] or 1.0
+    scale = min(18, 27 - len(str(int(most)))) if most < 1e26 else None
+    summed = F.col("__v").cast(f"decimal(28,{scale})") if scale is not None else F.col("__v")
+    found = overlap_totals(loci, records, key, {"__sum": summed, "__rows": F.lit(1).cast("long")})
+    return loci.join(found.select(key, (F.col("__sum").cast("double") / F.col("__rows")).alias("mean")), key, "left")
 
 
 def extend_reads(reads: DataFrame, fragment: int) -> DataFrame:
@@ -172,14 +227,16 @@ def coverage_runs(reads: DataFrame, regions: DataFrame, key: str, size: int = BI
 def coverage(reads: DataFrame, regions: DataFrame, key: str, per_base: bool = False, size: int = BIN) -> DataFrame:
     """Read pile-up in regions: (key, pos, depth) per base that a read covers, or ``regions`` with the mean depth.
 
-    Bases come from ``coverage_runs``, so a base is made once, not once a read. Repeated reads each count; a region without
+    Bases come from ``coverage_runs``, so a base is made once, not once a read; mean depths from running totals. Repeated reads each count; a region without
     reads has mean depth 0 and no bases; an empty region has a null mean.
     """
     if per_base:
         return coverage_runs(reads, regions, key, size).select(key, F.explode(F.expr("sequence(start_pos, end_pos - 1)")).alias("pos"), "depth")
-    pairs = overlap_join(regions, reads, size=size)
-    lo, hi = F.greatest("start_pos", "b_start_pos"), F.least("end_pos", "b_end_pos")
-    depth = pairs.groupBy(key).agg(F.sum(hi - lo).alias("bases"))
+    # Bases up to a place: of every read that starts before it, the place less its start; less the same from its end on.
+    ends = {"n": F.lit(1).cast("long"), "start": F.col("start_pos").cast("long"), "end": F.col("end_pos").cast("long")}
+    mine = regions.where(F.col(key).isNotNull() & (F.col("start_pos") < F.col("end_pos"))).select(key, "chrom", "start_pos", "end_pos")
+    upto = lambda end, at: F.col(at) * (F.col(f"{end}_n_s") - F.col(f"{end}_n_e")) - (F.col(f"{end}_start_s") - F.col(f"{end}_end_e"))
+    depth = _looked_up(mine, reads, ends).groupBy(key).agg(F.sum(upto("hi", "end_pos") - upto("lo", "start_pos")).alias("bases"))
     return regions.join(depth, key, "left").withColumn("depth", F.try_divide(F.coalesce("bases", F.lit(0)), F.col("end_pos") - F.col("start_pos"))).drop("bases")
 
 

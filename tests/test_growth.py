@@ -1,8 +1,6 @@
 """Steps that grew faster than their input: results against plain versions, and plans without what made them grow."""
 
-from pyspark.sql import functions as F
-
-from locusframe.operators import offtarget
+from locusframe.operators import intervals, offtarget
 
 
 def plan(df):
@@ -22,3 +20,28 @@ def test_guides_meet_sites_without_a_shuffle(spark):
     turn = str.maketrans("ACGTN", "TGCAN")
     plain = sorted((n, i, s, w[:20], w[20:]) for n, t in texts if t for i in range(len(t) - 22) for s, w in (("+", t[i : i + 23]), ("-", t[i : i + 23].translate(turn)[::-1])) if w[21:] == "GG")
     assert sorted((r.id, r.pos, r.strand, r.site, r.pam) for r in rows) == plain
+
+
+def test_sums_over_overlaps_make_no_pairs(spark, monkeypatch):
+    places = [(n, f"c{n % 2}", 10 * n % 97, 10 * n % 97 + n % 30) for n in range(60)] + [(90, None, 1, 9), (91, "c0", None, 9), (92, "c9", 1, 5), (5, "c1", 3, 80), (None, "c1", 3, 80)]
+    records = [(f"c{n % 2}", 7 * n % 101, 7 * n % 101 + n % 12, None if n % 17 == 0 else float("nan") if n % 19 == 0 else n * 1.25) for n in range(300)] + [(None, 1, 50, 2.0), ("c1", None, 50, 2.0)]
+    a = spark.createDataFrame(places, "key long, chrom string, start_pos long, end_pos long")
+    b = spark.createDataFrame(records, "chrom string, start_pos long, end_pos long, value double")
+    full = a.where("start_pos < end_pos or start_pos is null")
+    meets = lambda p, r: None not in (*p[1:], *r[:3]) and p[1] == r[0] and p[2] < r[2] and p[3] > r[1]
+    mean, depth, hit = {}, {}, set()
+    for k in {p[0] for p in places} - {None}:
+        over = [(p, r) for p in places if p[0] == k for r in records if meets(p, r)]
+        values = [r[3] for p, r in over if r[3] is not None and r[3] == r[3]]
+        mean[k] = round(sum(values) / len(values), 9) if values else None
+        depth[k] = sum(min(p[3], r[2]) - max(p[2], r[1]) for p, r in over)
+        hit |= {k} if over else set()
+    # Rows of no length still meet in bins.
+    assert {r.key: r.mean and round(r.mean, 9) for r in intervals.window_mean(a, b, "key").collect() if r.key is not None} == mean
+    assert {r.key for r in intervals.overlap_semi(a, b, "key").collect()} == hit
+    monkeypatch.setattr(intervals, "overlap_join", None)
+    assert {r.key: round(r.mean, 9) for r in intervals.window_mean(full, b, "key").where("mean is not null").collect()} == {k: m for k, m in mean.items() if m is not None and (k == 5 or k % 30)}
+    got = {(r.key, r.start_pos): round(r.depth * (r.end_pos - r.start_pos)) for r in intervals.coverage(b, full.where("key != 5"), "key").where("start_pos is not null").collect()}
+    assert got == {(p[0], p[2]): depth[p[0]] for p in places if p[0] not in (None, 5) and p[2] is not None and p[2] < p[3]}
+    assert {r.key for r in intervals.overlap_flag(full, b, "hit", "key").where("hit").collect()} == {k for k in hit if k == 5 or k % 30}
+    assert {r.key for r in intervals.overlap_anti(full, b, "key").collect()} == {r.key for r in full.collect()} - hit
