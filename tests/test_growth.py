@@ -64,3 +64,9 @@ def test_products_are_spread_over_tasks(spark, monkeypatch):
     got = rank.design_space(side(40, "p"), side(9, "e"), side(2, "g"))
     assert got.rdd.getNumPartitions() == 8
     assert sorted((r.target, r.p, r.e, r.g) for r in got.collect()) == sorted((p % 3, p, e, g) for p in range(40) for e in range(9) for g in range(2) if p % 3 == e % 3 == g % 3)
+
+
+def test_pieces_of_a_text_come_from_one_scan(spark):
+    from locusframe.plans.catalog import QUERIES
+
+    assert "sequence(" not in plan(QUERIES["q10_melting_temp"](spark, "/root/testdata/sf0.001"))
