@@ -101,7 +101,9 @@ def w7_forbidden(v):
 def w8(v):
     e = F.transform("embedding", lambda x: x.cast("double"))
     rows = v("embeddings").withColumn("x", F.when(F.col("vec_id") % 2 == 0, F.transform(e, lambda x: F.lit(0.0))).otherwise(F.concat(e, F.array_repeat(F.lit(1.0), 6))))
-    return rows.select("vec_id", F.transform(wd.pad_zero_vector("x", 70), lambda x: F.round(x, 6)).alias("x"))
+    # round() drops the sign of what it makes zero; the SQL keeps it.
+    signed = lambda x: F.when(F.round(x, 6) == 0, x * 0.0).otherwise(F.round(x, 6))
+    return rows.select("vec_id", F.transform(wd.pad_zero_vector("x", 70), signed).alias("x"))
 
 
 @register("w9_retile", f"with {PROFILES} select vec_id || chr(58) || t as example_id, vec_id as parent, t::int as tile, vec_id * 64 + t * 16 as start_pos, list_transform(target[t * 16 + 1 : t * 16 + 16], lambda x: round(x, 6)) as target from pf, (select unnest(range(4)) as t)")
