@@ -15,3 +15,24 @@ def test_padded_vectors_keep_the_sign_of_zero(spark, tmp_path):
     signed = lambda rows: sorted((k, [(v, math.copysign(1, v)) for v in x]) for k, x in rows)
     got = signed(tuple(r) for r in QUERIES["w8_pad_zero_vector"](spark, str(tmp_path)).select("vec_id", "x").collect())
     assert got == signed(con.execute(SQL["w8_pad_zero_vector"]).fetchall())
+
+
+def test_nearest_sequences_of_all_lengths_meet_in_one_pass(spark, monkeypatch):
+    from locusframe.operators import seq
+
+    texts = [(n, "".join("ACGTÉN"[(n * 31 + i * i * 7 + i // 3) % (6 if n % 4 == 0 else 4)] for i in range(1 + n * 13 % 300))) for n in range(60)] + [(90, ""), (91, None), (None, "ACGT")]
+    df = spark.createDataFrame(texts, "id long, s string")
+    full = [(k, s) for k, s in texts if k is not None and s]
+    plain = []
+    for k, s in full:
+        if k % 3 == 0:
+            shares = [(-round(sum(a == b for a, b in zip(s, t)) / min(len(s), len(t)), 9), r) for r, t in full if r != k]
+            plain.append((k, min(shares)[1], -min(shares)[0]))
+    passes = []
+    one = seq._nearest
+    monkeypatch.setattr(seq, "_nearest", lambda *a: passes.append(1) or one(*a))
+    for room in (1 << 20, 3000):
+        monkeypatch.setattr(seq, "QUERY_BYTES", room)
+        got = sorted((r["id"], r["nearest"], round(r["identity"], 9)) for r in seq.nn_identity(df.where("id % 3 = 0"), df.repartition(3), "s", "id", loo=True).collect())
+        assert got == sorted(plain)
+        assert room == 3000 or len(passes) == 1
