@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,46 +140,88 @@ def local_offtargets(seqs: DataFrame, guides: DataFrame, seq: str, key: str, k:
     return offtargets_seeded(sites(seqs, seq, key, minus=False, last=False), guides, k).where("mismatches > 0")
 
 
-def _positions(guide: str, site: str) -> Column:
-    both = F.zip_with(F.slice(F.split(guide, ""), 1, SPACER), F.slice(F.split(site, ""), 1, SPACER), lambda x, y: x != y)
-    return F.filter(F.transform(both, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+def _codes(words: pa.Array) -> np.ndarray:
+    """The first SPACER letters of each word as numbers, 0 past its end; an empty word is one letter that nothing else equals."""
+    cut = pc.utf8_slice_codeunits(pc.fill_null(words, "").cast(pa.string()), 0, SPACER)
+    padded = pc.utf8_rpad(cut, SPACER, "\0")
+    text = b"".join(padded.cast(pa.binary()).to_pylist()) if padded.offset or len(padded) == 0 else padded.buffers()[2].to_pybytes()[: int(np.frombuffer(padded.buffers()[1], np.int32)[len(padded)])]
+    if len(text) == SPACER * len(words):
+        codes = np.frombuffer(text, np.uint8).reshape(len(words), SPACER).astype(np.uint32)
+    else:
+        codes = np.array(cut.to_pylist(), f"U{SPACER}").view(np.uint32).reshape(len(words), SPACER).copy()
+    codes[codes[:, 0] == 0, 0] = 1
+    return codes
 
 
-def _product(values: Column) -> Column:
-    return F.aggregate(values, F.lit(1.0), lambda s, x: s * x)
+def _differ(guide: pa.Array, site: pa.Array) -> np.ndarray:
+    a, b = _codes(guide), _codes(site)
+    return (a != b) & (a > 0) & (b > 0)
 
 
-def _penalty(positions: Column) -> Column:
-    table = F.array(*[F.lit(1.0 - p) for p in POSITION_PENALTY])
-    return _product(F.transform(positions, lambda i: F.element_at(table, i + 1)))
+def _product(factors: Iterable[np.ndarray], n: int) -> np.ndarray:
+    out = np.ones(n)
+    for f in factors:  # in order of places, as rounding depends on it
+        out *= f
+    return out
+
+
+def _scores(values: np.ndarray, *given: pa.Array) -> pa.Array:
+    """``values``, null where one of ``given`` is."""
+    return pa.array(values, pa.float64(), mask=np.logical_or.reduce([g.is_null().to_numpy(zero_copy_only=False) for g in given]))
+
+
+def _penalties(bad: np.ndarray) -> np.ndarray:
+    return _product((np.where(bad[:, i], 1.0 - p, 1.0) for i, p in enumerate(POSITION_PENALTY)), len(bad))
+
+
+def _penalty(guide: pa.Array, site: pa.Array) -> pa.Array:
+    return _scores(_penalties(_differ(guide, site)), guide, site)
+
+
+def _mit(guide: pa.Array, site: pa.Array) -> pa.Array:
+    bad = _differ(guide, site)
+    n = bad.sum(axis=1).astype(float)
+    last = SPACER - 1 - bad[:, ::-1].argmax(axis=1)
+    spread = (last - bad.argmax(axis=1)) / np.where(n > 1, n - 1, 1.0)
+    near = np.where(n > 1, 1 / ((19 - spread) / 19 * 4 + 1), 1.0)
+    return _scores(np.where(n == 0, 1.0, _penalties(bad) * near / np.where(n == 0, 1.0, n * n)), guide, site)
 
 
 def cfd_style(guide: str, site: str, pam: str) -> Column:
     """Product of position penalties at mismatches and the factor of the last two PAM letters."""
     factor = F.create_map(*[F.lit(x) for kv in PAM_FACTOR.items() for x in kv])
-    return _penalty(_positions(guide, site)) * F.coalesce(F.try_element_at(factor, F.upper(F.expr(f"right({pam}, 2)"))), F.lit(OTHER_PAM))
+    return F.arrow_udf(_penalty, "double")(guide, site) * F.coalesce(F.try_element_at(factor, F.upper(F.expr(f"right({pam}, 2)"))), F.lit(OTHER_PAM))
 
 
 def mit_score(guide: str, site: str) -> Column:
     """Penalties x spread of the mismatches x their number; a perfect match is 1."""
-    at = _positions(guide, site)
-    n = F.size(at).cast("double")
-    spread = (F.array_max(at) - F.array_min(at)) / (n - 1)
-    return F.when(n == 0, 1.0).otherwise(_penalty(at) * F.when(n > 1, 1 / ((19 - spread) / 19 * 4 + 1)).otherwise(1.0) / (n * n))
+    return F.arrow_udf(_mit, "double")(guide, site)
 
 
 def cfd(hits: DataFrame, weights: DataFrame, pams: DataFrame, guide: str = "guide", site: str = "site", pam: str = "pam") -> DataFrame:
     """``hits`` with ``cfd`` from exact tables: weights (key: guide base, site base, place from 1; weight), pams (pam, weight).
 
-    A pair without a weight makes the score 0, as does an unknown PAM.
+    A pair without a weight makes the score 0, as does an unknown PAM. The weights are a catalogue and go to every task.
     """
-    pairs = F.map_from_entries(F.collect_list(F.struct("key", "weight")))
-    table = F.broadcast(weights.agg(pairs.alias("__w")).crossJoin(pams.agg(F.map_from_entries(F.collect_list(F.struct("pam", "weight"))).alias("__p"))))
-    letters = lambda c: F.slice(F.split(F.upper(c), ""), 1, SPACER)
-    keys = F.filter(F.transform(F.arrays_zip(letters(guide).alias("a"), letters(site).alias("b")), lambda x, i: F.when(x["a"] != x["b"], F.concat(x["a"], x["b"], (i + 1).cast("string")))), lambda x: x.isNotNull())
-    score = _product(F.transform(keys, lambda x: F.coalesce(F.try_element_at(F.col("__w"), x), F.lit(0.0))))
+    given = [(r[0], r[1]) for r in weights.select("key", F.col("weight").cast("double")).collect() if r[0] is not None]
+    table = {(k[0], k[1], int(k[2:]) - 1): w for k, w in given if re.fullmatch("..[1-9][0-9]*", k, re.S) and int(k[2:]) <= SPACER}
+    if len({k for k, _ in given}) < len(given):
+        raise ValueError("a weight is given twice")
+    alphabet = np.array(sorted({ord(c) for k in table for c in k[:2]} or {0}), np.uint32)
+    dense = np.zeros((SPACER, len(alphabet) + 1, len(alphabet) + 1))  # the last row and column are for other letters
+    place = {chr(c): n for n, c in enumerate(alphabet.tolist())}
+    for (a, b, i), w in table.items():
+        dense[i, place[a], place[b]] = w or 0.0
+
+    def weight(guide: pa.Array, site: pa.Array) -> pa.Array:
+        a, b = _codes(guide), _codes(site)
+        at = [np.where(alphabet[k := np.minimum(np.searchsorted(alphabet, x), len(alphabet) - 1)] == x, k, len(alphabet)) for x in (a, b)]
+        return _scores(_product((np.where(a[:, i] != b[:, i], dense[i, at[0][:, i], at[1][:, i]], 1.0) for i in range(SPACER)), len(a)), guide, site)
+
+    factors = F.broadcast(pams.agg(F.map_from_entries(F.collect_list(F.struct("pam", "weight"))).alias("__p")))
     full = (F.char_length(guide) >= SPACER) & (F.char_length(site) >= SPACER)
-    return hits.crossJoin(table).withColumn("cfd", F.when(full, score * F.coalesce(F.try_element_at(F.col("__p"), F.upper(F.expr(f"right({pam}, 2)"))), F.lit(0.0))).otherwise(0.0)).drop("__w", "__p")
+    score = F.arrow_udf(weight, "double")(F.upper(guide), F.upper(site)) * F.coalesce(F.try_element_at(F.col("__p"), F.upper(F.expr(f"right({pam}, 2)"))), F.lit(0.0))
+    return hits.crossJoin(factors).withColumn("cfd", F.when(full, score).otherwise(0.0)).drop("__p")
 
 
 def offtarget_summary(hits: DataFrame, cap: int = 5000, max_mm: int = 4) -> DataFrame:

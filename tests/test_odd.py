@@ -36,3 +36,29 @@ def test_nearest_sequences_of_all_lengths_meet_in_one_pass(spark, monkeypatch):
         got = sorted((r["id"], r["nearest"], round(r["identity"], 9)) for r in seq.nn_identity(df.where("id % 3 = 0"), df.repartition(3), "s", "id", loo=True).collect())
         assert got == sorted(plain)
         assert room == 3000 or len(passes) == 1
+
+
+def test_scores_of_hits_come_from_arrays(spark):
+    from locusframe.operators import offtarget as ot
+
+    w = "ACGTACGTTGCATGCAACGT"
+    pairs = [(w, w), (w, "C" + w[1:]), (w, w[:5] + "AA" + w[7:]), (w, w[::-1]), (w[:7], w), ("", w), ("", ""), (None, w), (w, None), ("É" + w[1:], "É" + w[1:19] + "G"), (w.lower(), w)]
+    df = spark.createDataFrame([(n, a, b, "AGG") for n, (a, b) in enumerate(pairs)], "n int, guide string, site string, pam string")
+    weights = spark.createDataFrame([(f"{a}{b}{i}", i / 20) for a in "ACGT" for b in "ACGT" if a != b for i in range(1, 21) if (a, i) != ("G", 3)], "key string, weight double")
+    scored = ot.cfd(df.withColumn("style", ot.cfd_style("guide", "site", "pam")).withColumn("mit", ot.mit_score("guide", "site")), weights, spark.createDataFrame([("GG", 1.0)], "pam string, weight double"))
+    text = scored._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in text and "zip_with(" not in text
+    for r in scored.collect():
+        a, b = pairs[r.n]
+        if a is None or b is None:
+            assert (r.style, r.mit, r.cfd) == (None, None, 0.0)
+            continue
+        bad = [i for i, (x, y) in enumerate(zip(a or [""], b or [""])) if x != y]
+        style, exact = 1.0, 1.0
+        for i in bad:
+            style *= 1.0 - ot.POSITION_PENALTY[i]
+        for i, (x, y) in enumerate(zip(a.upper(), b.upper())):
+            exact *= 1.0 if x == y else 0.0 if x not in "ACGT" or y not in "ACGT" or (x, i) == ("G", 2) else (i + 1) / 20
+        near = 1 / ((19 - (bad[-1] - bad[0]) / (len(bad) - 1)) / 19 * 4 + 1) if len(bad) > 1 else 1.0
+        assert (r.style, r.mit) == (style, style * near / len(bad) ** 2 if bad else 1.0)
+        assert r.cfd == (exact if len(a) >= 20 and len(b) >= 20 else 0.0)
