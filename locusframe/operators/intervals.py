@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -205,23 +205,39 @@ def extend_reads(reads: DataFrame, fragment: int) -> DataFrame:
         "end_pos", F.when(plus, F.col("start_pos") + fragment).otherwise(F.col("end_pos"))).withColumn("start_pos", F.col("__s")).drop("__s")
 
 
+def _runs(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, start_pos, end_pos, depth) of events (keys, end_pos, __by), one a place: runs of one depth other than 0."""
+    cut = sliced(events, [*keys, "end_pos"], alone=True)
+    runs = carried(cut, keys, ["end_pos"], {"depth": ("sum", F.col("__by")), "start_pos": ("max", F.col("end_pos"))}, before=True).where("depth > 0")
+    return runs.select(*keys, "start_pos", "end_pos", "depth")
+
+
+def _events(rows: DataFrame, keys: Sequence[str], by: Column) -> DataFrame:
+    """Events of rows (keys, start_pos, end_pos), ``by`` at the start and less it at the end; places where the depth stays
+    have none, so the runs on both sides are one."""
+    ends = F.array(F.struct(F.col("start_pos").alias("at"), by.alias("by")), F.struct(F.col("end_pos").alias("at"), (-by).alias("by")))
+    return rows.select(*keys, F.explode(ends).alias("e")).groupBy(*keys, F.col("e.at").alias("end_pos")).agg(F.sum("e.by").alias("__by")).where("__by <> 0")
+
+
 def coverage_runs(reads: DataFrame, regions: DataFrame, key: str, size: int = BIN) -> DataFrame:
     """(key, start_pos, end_pos, depth): the pile-up of reads in each region as runs of one depth, 1 or more.
 
-    A read gives two events, +1 where it enters the region and -1 where it leaves; events of one place are summed, and a
-    run lies between two places with the sum of all events up to the first. Work follows reads, not bases. Regions that
-    share a key are one pile-up; rows with a null key, chromosome or end give nothing; repeated reads each count.
+    A read gives two events, +1 at its start and -1 at its end; events of one place are summed, and a run lies between two
+    places with the sum of all events up to the first. Runs are made once a chromosome and cut to the regions, so no read
+    meets a region and work follows reads and runs. Regions that share a key are one pile-up, summed from their runs; rows
+    with a null key, chromosome or end give nothing; repeated reads each count.
     """
-    pairs = overlap_join(regions.where(F.col(key).isNotNull()), reads, size=size)
-    ends = F.array(F.struct(F.greatest("start_pos", "b_start_pos").alias("at"), F.lit(1).alias("by")), F.struct(F.least("end_pos", "b_end_pos").alias("at"), F.lit(-1).alias("by")))
-    events = pairs.select(key, F.explode(ends).alias("e")).groupBy(key, F.col("e.at").alias("end_pos")).agg(F.sum("e.by").alias("__by"))
-    cut = sliced(events, [key, "end_pos"], alone=True)
-    runs = carried(cut, [key], ["end_pos"], {"depth": ("sum", F.col("__by")), "start_pos": ("max", F.col("end_pos"))}, before=True).where("depth > 0")
-    # Where as many reads leave as enter the depth stays, so the runs on both sides are one.
-    runs = carried(runs.drop("__by"), [key], ["end_pos"], {"__was": ("max", F.struct("end_pos", "depth"))}, before=True)
-    new = F.col("__was").isNull() | (F.col("__was.end_pos") != F.col("start_pos")) | (F.col("__was.depth") != F.col("depth"))
-    runs = carried(runs, [key], ["end_pos"], {"__run": ("max", F.when(new, F.col("start_pos")))})
-    return runs.groupBy(key, "__run").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.first("depth").alias("depth")).drop("__run")
+    whole = reads.where("chrom is not null and start_pos < end_pos").select("chrom", "start_pos", "end_pos")
+    runs = written(_runs(_events(whole, ["chrom"], F.lit(1)), ["chrom"]), "runs")
+    mine = regions.where(F.col(key).isNotNull() & (F.col("start_pos") < F.col("end_pos"))).select(key, "chrom", "start_pos", "end_pos")
+    width = choose_bin(mine) if size == BIN else size
+    inside = lambda some: overlap_join(some, runs, size=width).select(
+        key, F.greatest("start_pos", "b_start_pos").alias("start_pos"), F.least("end_pos", "b_end_pos").alias("end_pos"), F.col("b_depth").alias("depth"))
+    shared = mine.groupBy(key).count().where("count > 1").select(key)
+    if shared.isEmpty():
+        return inside(mine)
+    many = _runs(_events(inside(mine.join(shared, key, "left_semi")), [key], F.col("depth")), [key])
+    return inside(mine.join(shared, key, "left_anti")).unionByName(many)
 
 
 def coverage(reads: DataFrame, regions: DataFrame, key: str, per_base: bool = False, size: int = BIN) -> DataFrame:

@@ -62,3 +62,24 @@ def test_scores_of_hits_come_from_arrays(spark):
         near = 1 / ((19 - (bad[-1] - bad[0]) / (len(bad) - 1)) / 19 * 4 + 1) if len(bad) > 1 else 1.0
         assert (r.style, r.mit) == (style, style * near / len(bad) ** 2 if bad else 1.0)
         assert r.cfd == (exact if len(a) >= 20 and len(b) >= 20 else 0.0)
+
+
+def test_pile_up_is_made_once_a_chromosome(spark, monkeypatch):
+    from locusframe.operators import intervals
+
+    reads = [(f"c{n % 2}", 7 * n % 300, 7 * n % 300 + n % 23) for n in range(400)] + [(None, 1, 50), ("c1", None, 50), ("c0", 20, 20)]
+    regions = [(n, f"c{n % 2}", 11 * n % 290, 11 * n % 290 + 5 + n % 40) for n in range(40)] + [(1, "c1", 0, 60), (1, "c0", 30, 90), (2, "c0", 0, 400), (None, "c0", 0, 9), (77, "c9", 0, 9), (78, "c0", 9, 9)]
+    seen = []
+    join = intervals.overlap_join
+    monkeypatch.setattr(intervals, "overlap_join", lambda a, b, *r, **k: seen.append(b) or join(a, b, *r, **k))
+    df = lambda rows, key="": spark.createDataFrame(rows, f"{key}chrom string, start_pos long, end_pos long")
+    got = {(r["key"], p): r["depth"] for r in intervals.coverage_runs(df(reads), df(regions, "key long, "), "key").collect() for p in range(r["start_pos"], r["end_pos"])}
+    want = {}
+    for k, c, a, b in regions:
+        for chrom, s, e in reads:
+            for p in range(max(a, s), min(b, e)) if k is not None and chrom == c and s is not None else ():
+                want[k, p] = want.get((k, p), 0) + 1
+    assert got == want
+    # What meets the regions is runs that do not overlap, not reads.
+    met = sorted(tuple(r) for r in seen[0].select("chrom", "start_pos", "end_pos").collect())
+    assert all(x[0] != y[0] or x[2] <= y[1] for x, y in zip(met, met[1:]))
