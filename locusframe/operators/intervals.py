@@ -79,10 +79,45 @@ def background_loci(sizes: DataFrame, peaks: DataFrame, n: int, width: int, seed
     return overlap_anti(rows, peaks, "place").withColumn("order", draw("order")).orderBy("order", "place").limit(n).select("place", "chrom", "start_pos", "end_pos")
 
 
+def _nodes(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``level`` and ``node``, a row for each of the fewest aligned stretches of 2^level bases that make the interval up."""
+    levels = rows.withColumn("level", F.explode(F.expr("sequence(0, cast(ceil(log2(end_pos - start_pos + 1)) as int))")))
+    levels = levels.withColumn("__lo", F.expr("shiftright(start_pos + shiftleft(1L, level) - 1, level)")).withColumn("__hi", F.expr("shiftright(end_pos, level)")).where("__lo < __hi")
+    ends = F.array(F.expr("if(__lo & 1 = 1, __lo, null)"), F.expr("if(__hi & 1 = 1, __hi - 1, null)"))
+    return levels.withColumn("node", F.explode(ends)).where("node is not null").drop("__lo", "__hi", "start_pos", "end_pos")
+
+
+def _above(points: DataFrame, levels: int) -> DataFrame:
+    """``points`` with ``level`` and ``node`` of all aligned stretches of up to 2^levels bases that hold ``at``."""
+    rows = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    return rows.withColumn("node", F.expr("shiftright(at, level)")).drop("at")
+
+
 def overlap_max(a: DataFrame, b: DataFrame, value: str, key: str, size: int = BIN, flag: str | None = None) -> DataFrame:
-    """``a`` with ``best``: the largest value over overlaps, 0 without any; with ``flag``, whether there is one too."""
-    marks = [F.lit(True).alias(flag)] if flag else []
-    best = overlap_join(a, b, size=size).groupBy(key).agg(F.max(f"b_{value}").alias("best"), *marks)
+    """``a`` with ``best``: the largest value over overlaps, 0 without any; with ``flag``, whether there is one too.
+
+    No pair is made: intervals overlap where one holds the other's start. Intervals are made up of aligned stretches, a
+    start lies in one of each length, and stretches hold their largest value, so work follows the rows of both tables
+    times the logarithm of the longest interval. Rows of no length meet in bins; null keys and places overlap nothing.
+    """
+    whole, flat = "chrom is not null and start_pos < end_pos", "chrom is not null and start_pos >= end_pos"
+    mine = a.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), "chrom", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"))
+    theirs = b.select("chrom", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"), F.col(value).alias("__v"))
+    top = [F.max("__v").alias("__v"), F.lit(True).alias("__any")]
+    long = written(theirs.where(whole).groupBy("chrom", "start_pos", "end_pos").agg(*top), "values")
+    height = lambda df: int(df.agg(F.ceil(F.log2(F.max(F.col("end_pos") - F.col("start_pos")) + 1))).first()[0] or 0)
+    place = ["chrom", "level", "node"]
+    inner = _above(long.select("chrom", F.col("start_pos").alias("at"), "__v"), height(mine.where(whole))).withColumn("side", F.lit(0))
+    outer = _nodes(long.select("chrom", "start_pos", "end_pos", "__v")).withColumn("side", F.lit(1))
+    held = inner.unionByName(outer).groupBy("side", *place).agg(*top)
+    asks = mine.where(whole)
+    asked = _nodes(asks).withColumn("side", F.lit(0)).unionByName(_above(asks.select("__key", "chrom", F.col("start_pos").alias("at")), height(long)).withColumn("side", F.lit(1)))
+    met = asked.join(held, ["side", *place]).select("__key", "__v")
+    odd_a, odd_b = mine.where(flat), theirs.where(flat)
+    if not odd_a.isEmpty() or not odd_b.isEmpty():
+        pairs = overlap_join(odd_a, theirs, size=size).unionByName(overlap_join(asks, odd_b, size=size))
+        met = met.unionByName(pairs.select("__key", F.col("b___v").alias("__v")))
+    best = met.groupBy(F.col("__key").alias(key)).agg(F.max("__v").alias("best"), *([F.lit(True).alias(flag)] if flag else []))
     out = a.join(best, key, "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
     return out.withColumn(flag, F.coalesce(flag, F.lit(False))) if flag else out
 

@@ -83,3 +83,23 @@ def test_pile_up_is_made_once_a_chromosome(spark, monkeypatch):
     # What meets the regions is runs that do not overlap, not reads.
     met = sorted(tuple(r) for r in seen[0].select("chrom", "start_pos", "end_pos").collect())
     assert all(x[0] != y[0] or x[2] <= y[1] for x, y in zip(met, met[1:]))
+
+
+def test_maxima_over_overlaps_make_no_pairs(spark, monkeypatch):
+    from locusframe.operators import intervals
+
+    places = [(n, f"c{n % 2}", 10 * n % 97 - 20, 10 * n % 97 - 20 + n % 30) for n in range(60)] + [(90, None, 1, 9), (91, "c0", None, 9), (92, "c9", 1, 5), (5, "c1", 3, 80), (None, "c1", 3, 80)]
+    records = [(f"c{n % 2}", 37 * n % 131 - 25, 37 * n % 131 - 25 + n * n % 12, None if n % 17 == 0 else (n * 7919 % 101) - 50.0) for n in range(60)] + [(None, 1, 50, 99.0), ("c1", None, 50, 99.0), ("c0", 3, 3, 99.0), ("c0", -40, 60, None)]
+    b = spark.createDataFrame(records, "chrom string, start_pos long, end_pos long, value double")
+    a = lambda rows: spark.createDataFrame(rows, "key long, chrom string, start_pos long, end_pos long")
+    meets = lambda p, r: None not in (*p, *r[:3]) and p[1] == r[0] and p[2] < r[2] and p[3] > r[1]
+
+    def check(places, records, b):
+        over = {p[0]: [r[3] for q in places if q[0] == p[0] for r in records if meets(q, r)] for p in places}
+        want = sorted(((p[0], max([v for v in over[p[0]] if v is not None], default=0.0), bool(over[p[0]])) for p in places), key=repr)
+        got = intervals.overlap_max(a(places), b, "value", "key", flag="hit").select("key", "best", "hit").collect()
+        assert sorted((tuple(r) for r in got), key=repr) == want and sum(w[2] for w in want) > 20
+
+    check(places, records, b)
+    monkeypatch.setattr(intervals, "overlap_join", None)
+    check([p for p in places if p[2] is None or p[2] < p[3]], [r for r in records if r[1] is None or r[1] < r[2]], b.where("start_pos is null or start_pos < end_pos"))
