@@ -70,3 +70,18 @@ def test_pieces_of_a_text_come_from_one_scan(spark):
     from locusframe.plans.catalog import QUERIES
 
     assert "sequence(" not in plan(QUERIES["q10_melting_temp"](spark, "/root/testdata/sf0.001"))
+
+
+def test_lists_of_dominators_shuffle_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(rank, "LISTS", 30, raising=False)
+    monkeypatch.setattr(rank, "ENTRIES", 100, raising=False)
+    value = lambda n, m: float(n * m % 11)
+    rows = [(f"k{n}", value(n, 3), value(n, 7), value(n * n, 5)) for n in range(200)]
+    rows += [("k7", 10.0, 0.0, 1.0), ("k7", 0.0, 9.0, 1.0), ("odd", None, 1.0, 1.0), ("odd", float("nan"), 1.0, 1.0), (None, 1.0, 1.0, 1.0), (None, 10.0, 10.0, 10.0)]
+    df = spark.createDataFrame(rows, "id string, a double, b double, c double").repartition(3)
+    got = rank.dominance(df, "id", ["a", "b", "c"])
+    assert "FlatMapCoGroups" not in plan(got) and "Join" not in plan(got)
+    full = [r for r in rows if r[0] and all(x is not None and x == x for x in r[1:])]
+    above = lambda p, q: all(x >= y for x, y in zip(p[1:], q[1:])) and p[1:] != q[1:]
+    lists = {k: sorted({p[0] for q in full if q[0] == k for p in full if above(p, q)}) for k in {r[0] for r in rows}}
+    assert sorted(((r.id or "", r.dominated_by) for r in got.collect())) == sorted((r[0] or "", lists[r[0]]) for r in rows)
