@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.tails import fisher_greater, normal_tail
-from locusframe.operators.intervals import nearest_distance, window_mean
+from locusframe.operators.intervals import looked_up, nearest_distance, window_mean, window_means
 from locusframe.operators.iterate import written
 from locusframe.operators.scan import running
 from locusframe.operators.stats import mann_whitney, smallest_hashes, value_ranks
@@ -90,17 +90,16 @@ def summit_features(c: str) -> Column:
 
 def log2_residual(loci: DataFrame, case: DataFrame, control: DataFrame, key: str, pseudo: float = 1.0, replicate: str | None = None) -> DataFrame:
     """``loci`` with case, control and residual = log2((case + pseudo) / (control + pseudo)); control replicates are averaged first."""
-    a = window_mean(loci, case, key).select(key, F.col("mean").alias("case"))
-    if replicate:
-        names = [r[0] for r in control.select(replicate).distinct().orderBy(replicate).collect()]  # replicates of one control: a few
-        means = [window_mean(loci, control.where(F.col(replicate) == r), key).select(key, F.col("mean").alias("m")) for r in names]
-        b = means[0]
-        for m in means[1:]:
-            b = b.unionByName(m)
-        b = b.groupBy(key).agg(F.avg("m").alias("control"))
-    else:
-        b = window_mean(loci, control, key).select(key, F.col("mean").alias("control"))
-    return loci.join(a, key, "left").join(b, key, "left").withColumn("residual", F.log2((F.col("case") + pseudo) / (F.col("control") + pseudo)))
+    names = [r[0] for r in control.select(replicate).distinct().orderBy(replicate).collect()] if replicate else [None]  # replicates of one control: a few
+    place = lambda rows, side: rows.select("chrom", "start_pos", "end_pos", "value", F.lit(side).alias("__side"))
+    both = place(case, -1)
+    for n, r in enumerate(names):
+        both = both.unionByName(place(control.where(F.col(replicate) == r) if replicate else control, n))
+    out = window_means(loci, both, key, {f"__m{n}": F.col("__side") == n for n in range(-1, len(names))})
+    means = [F.col(f"__m{n}") for n in range(len(names))]
+    level = F.try_divide(reduce(Column.__add__, [F.coalesce(m, F.lit(0.0)) for m in means]), reduce(Column.__add__, [m.isNotNull().cast("int") for m in means])) if replicate else means[0]
+    out = out.withColumns({"case": F.col("__m-1"), "control": level}).drop("__m-1", *[f"__m{n}" for n in range(len(names))])
+    return out.withColumn("residual", F.log2((F.col("case") + pseudo) / (F.col("control") + pseudo)))
 
 
 def set_contrast(df: DataFrame, target: str, value: str, part: Sequence[str] = ()) -> DataFrame:
@@ -238,8 +237,7 @@ def signal_means(loci: DataFrame, tracks: DataFrame, widths: Sequence[int], key:
     """(key, width, track, mean, n): plain mean of a track's records that overlap pos - width .. pos + width, for all widths.
 
     An index of running totals: what overlaps a window is what starts before its end less what ends up to its start, so a
-    window of any width is two look-ups and a subtraction. Starts, ends and look-ups of all widths and tracks are put in
-    one order and summed in range slices. Values are taken from their mean first, so that sums stay small. ``tracks`` has a
+    window of any width is two look-ups and a subtraction, in stretches of bases. Values are taken from their mean first, so that sums stay small. ``tracks`` has a
     column ``track``; null or NaN values, and records without a place or of no length, are skipped; a window without
     records has a null mean; loci that share a key each have their own rows; loci without a place have none.
     """
@@ -249,22 +247,10 @@ def signal_means(loci: DataFrame, tracks: DataFrame, widths: Sequence[int], key:
     middle = records.agg(F.avg("v")).first()[0] or 0.0
     names = records.select("track").distinct()
     asks = sweep(loci.where(F.col("chrom").isNotNull() & F.col(pos).isNotNull()).select(F.col(key).alias("__key"), "chrom", F.col(pos).alias("__pos")), "width", widths).crossJoin(names)
-    asks = asks.withColumn("width", F.col("width").cast("long"))
-    none, nil = F.lit(0.0), F.lit(0).cast("long")
-    # At one place ends come first, then look-ups, then starts.
-    point = lambda at, rank, n, v: F.struct(at.alias("at"), F.lit(rank).alias("rank"), n.alias("n"), v.alias("v"))
-    moved = F.col("v") - middle
-    events = records.select("track", "chrom", F.explode(F.array(point(F.col("end_pos"), 0, F.lit(-1).cast("long"), -moved), point(F.col("start_pos"), 2, F.lit(1).cast("long"), moved))).alias("e"))
-    events = events.groupBy("track", "chrom", "e.at", "e.rank").agg(F.sum("e.n").alias("n"), F.sum("e.v").alias("v"))
-    lookups = asks.select("track", "chrom", "__key", "width", F.explode(F.array(point(F.col("__pos") - F.col("width"), 1, nil, none), point(F.col("__pos") + F.col("width"), 1, nil, none))).alias("e"), F.col("__pos"))
-    lookups = lookups.select("track", "chrom", "e.*", "__key", "width", "__pos", F.when(F.col("e.at") < F.col("__pos"), "lo").otherwise("hi").alias("side"))
-    both = lookups.unionByName(events, allowMissingColumns=True)
-    starts, ends = F.col("rank") == 2, F.col("rank") == 0
-    seen = running(both, ["track", "chrom"], ["at", "rank"], {"sn": F.when(starts, F.col("n")), "sv": F.when(starts, F.col("v")), "en": F.when(ends, F.col("n")), "ev": F.when(ends, F.col("v"))}, alone=True).where("rank = 1")
-    hi = F.col("side") == "hi"
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    out = seen.groupBy("__key", "width", "track", "chrom", "__pos").agg((zero(F.when(hi, F.col("sn"))) + zero(F.when(~hi, F.col("en")))).alias("n"), (zero(F.when(hi, F.col("sv"))) + zero(F.when(~hi, F.col("ev")))).alias("v"))
-    return out.select(F.col("__key").alias(key), "width", "track", F.when(F.col("n") > 0, F.col("v") / F.col("n") + middle).alias("mean"), "n")
+    asks = asks.withColumn("width", F.col("width").cast("long")).withColumn("start_pos", F.col("__pos") - F.col("width")).withColumn("end_pos", F.col("__pos") + F.col("width"))
+    found = looked_up(asks, records, {"n": F.lit(1).cast("long"), "v": F.col("v") - middle}, ["track", "chrom"])
+    inside = lambda c: F.col(f"hi_{c}_s") - F.col(f"lo_{c}_e")
+    return found.select(F.col("__key").alias(key), "width", "track", F.when(inside("n") > 0, inside("v") / inside("n") + middle).alias("mean"), inside("n").alias("n"))
 
 
 def residual_sweep(loci: DataFrame, case: DataFrame, control: DataFrame, key: str, target: str, widths: Sequence[int], pseudos: Sequence[float], draws: int, seed: int = 0, pos: str = "tss") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.operators.iterate import written
-from locusframe.operators.scan import carried, running, sliced
+from locusframe.operators.scan import carried, sliced
 
 BIN = 8192
 
@@ -173,29 +173,43 @@ def nearest_distance(a: DataFrame, points: DataFrame, pos: str = "pos", stretch:
     return a.join(found, (F.col("chrom") == F.col("__chrom")) & (F.col(pos) == F.col("__place")), "left").drop("__chrom", "__place")
 
 
-def _totals_at(points: DataFrame, b: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
-    """(chrom, at, <total>_s, <total>_e) of distinct points (chrom, at): sums over the rows of ``b`` that start before the
+#: Bases a stretch: at most three rows a base meet in a task, as what lies at one place is summed first.
+STRETCH = 1 << 16
+
+
+def _totals_at(points: DataFrame, b: DataFrame, totals: Mapping[str, Column], keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """(keys, at, <total>_s, <total>_e) of distinct points (keys, at): sums over the rows of ``b`` that start before the
     point, and over those that end at it or before; written.
 
-    Starts and ends of one place are summed first; these and the points are put in one order and summed in range slices.
+    Starts and ends of one place are summed first; these and the points are put in order and summed within stretches of
+    bases, which take over the sums of the stretches before them, so nothing is ordered as a whole or written twice.
     """
-    rows = b.where("chrom is not null and start_pos <= end_pos").select("chrom", "start_pos", "end_pos", *[v.alias(k) for k, v in totals.items()])
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    rows = b.where(known & F.expr("start_pos <= end_pos")).select(*keys, "start_pos", "end_pos", *[v.alias(k) for k, v in totals.items()])
     # At one place ends come first, then points, then starts.
     sides = F.explode(F.array(F.struct(F.col("end_pos").alias("at"), F.lit(0).alias("rank")), F.struct(F.col("start_pos").alias("at"), F.lit(2).alias("rank"))))
-    events = rows.select("chrom", sides.alias("e"), *totals).groupBy("chrom", "e.at", "e.rank").agg(*[F.sum(k).alias(k) for k in totals])
-    both = points.withColumn("rank", F.lit(1)).unionByName(events, allowMissingColumns=True)
+    events = rows.select(*keys, sides.alias("e"), *totals).select(*keys, "e.at", "e.rank", *totals)
     sums = {f"{k}_{side}": F.when(F.col("rank") == rank, F.col(k)) for k in totals for side, rank in (("s", 2), ("e", 0))}
-    seen = running(both, ["chrom"], ["at", "rank"], sums, alone=True).where("rank = 1")
-    return written(seen.select("chrom", "at", *[F.coalesce(k, F.lit(0)).alias(k) for k in sums]), "totals")
-
-
-def _looked_up(loci: DataFrame, b: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
+    marks = points.withColumn("rank", F.lit(1))
+    cut = lambda some: marks.unionByName(some, allowMissingColumns=True).withColumn("__in", F.expr(f"at div {STRETCH}"))
+    here = Window.partitionBy(*keys, "__in").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    seen = cut(events.groupBy(*keys, "at", "rank").agg(*[F.sum(k).alias(k) for k in totals])).withColumns({k: F.sum(v).over(here) for k, v in sums.items()}).where("rank = 1")
+    ahead = Window.partitionBy(*keys).orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    whole = cut(events).groupBy(*keys, "__in").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    earlier = whole.select(*keys, "__in", *[F.sum(k).over(ahead).alias(f"__c_{k}") for k in sums])
+    both = [F.coalesce(F.col(k) + F.col(f"__c_{k}"), k, f"__c_{k}", F.lit(0)).alias(k) for k in sums]
+    return written(seen.join(earlier, [*keys, "__in"]).select(*keys, "at", *both), "totals")
+
+
+def looked_up(loci: DataFrame, b: DataFrame, totals: Mapping[str, Column], keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """``loci`` with ``_totals_at`` their starts (lo_<total>_s, ..) and ends (hi_..); rows without a place have none."""
-    points = loci.where("chrom is not null").select("chrom", F.explode(F.array("start_pos", "end_pos")).alias("at")).where("at is not null").distinct()
-    found = _totals_at(points, b, totals)
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    points = loci.where(known).select(*keys, F.explode(F.array("start_pos", "end_pos")).alias("at")).where("at is not null").distinct()
+    found = _totals_at(points, b, totals, keys)
     for end, column in (("lo", "start_pos"), ("hi", "end_pos")):
-        side = found.select(F.col("chrom").alias("__c"), F.col("at").alias("__at"), *[F.col(c).alias(f"{end}_{c}") for c in found.columns[2:]])
-        loci = loci.join(side, (F.col("chrom") == F.col("__c")) & (F.col(column) == F.col("__at")), "left").drop("__c", "__at")
+        side = found.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("at").alias("__at"), *[F.col(c).alias(f"{end}_{c}") for k in totals for c in (f"{k}_s", f"{k}_e")])
+        same = reduce(Column.__and__, [F.col(k) == F.col(f"__k_{k}") for k in keys], F.col(column) == F.col("__at"))
+        loci = loci.join(side, same, "left").drop("__at", *[f"__k_{k}" for k in keys])
     return loci
 
 
@@ -208,7 +222,7 @@ def overlap_totals(a: DataFrame, b: DataFrame, key: str, totals: Mapping[str, Co
     """
     named = {f"__t_{k}": v for k, v in totals.items()} | {"__t_rows": F.lit(1).cast("long")}
     mine = a.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), "chrom", "start_pos", "end_pos")
-    long = _looked_up(mine.where("start_pos < end_pos"), b, named)
+    long = looked_up(mine.where("start_pos < end_pos"), b, named)
     found = long.select("__key", *[(F.col(f"hi_{k}_s") - F.col(f"lo_{k}_e")).alias(k) for k in named]).where("__t_rows > 0")
     flat = mine.where("start_pos >= end_pos")
     if not flat.isEmpty():
@@ -219,8 +233,9 @@ def overlap_totals(a: DataFrame, b: DataFrame, key: str, totals: Mapping[str, Co
     return found.groupBy(F.col("__key").alias(key)).agg(*[F.sum(f"__t_{k}").alias(k) for k in totals])
 
 
-def window_mean(loci: DataFrame, track: DataFrame, key: str, value: str = "value", size: int = BIN) -> DataFrame:
-    """``loci`` with ``mean``: plain mean of the records that overlap, not weighted; null records are skipped.
+def window_means(loci: DataFrame, track: DataFrame, key: str, of: Mapping[str, Column], value: str = "value") -> DataFrame:
+    """``loci`` with a column for each of ``of``: plain mean, not weighted, of the records that overlap and that it holds
+    for; null records are skipped.
 
     From running totals, so no pair is made. Values are summed as decimals of some 27 digits, as a total over a chromosome
     would take digits from doubles.
@@ -229,8 +244,14 @@ def window_mean(loci: DataFrame, track: DataFrame, key: str, value: str = "value
     most = records.agg(F.max(F.abs("__v"))).first()[0] or 1.0
     scale = min(18, 27 - len(str(int(most)))) if most < 1e26 else None
     summed = F.col("__v").cast(f"decimal(28,{scale})") if scale is not None else F.col("__v")
-    found = overlap_totals(loci, records, key, {"__sum": summed, "__rows": F.lit(1).cast("long")})
-    return loci.join(found.select(key, (F.col("__sum").cast("double") / F.col("__rows")).alias("mean")), key, "left")
+    totals = {f"__sum_{k}": F.when(of[k], summed) for k in of} | {f"__rows_{k}": F.when(of[k], F.lit(1).cast("long")) for k in of}
+    found = overlap_totals(loci, records, key, totals)
+    return loci.join(found.select(key, *[F.try_divide(F.col(f"__sum_{k}").cast("double"), F.col(f"__rows_{k}")).alias(k) for k in of]), key, "left")
+
+
+def window_mean(loci: DataFrame, track: DataFrame, key: str, value: str = "value", size: int = BIN) -> DataFrame:
+    """``loci`` with ``mean``: plain mean of the records that overlap, not weighted; null records are skipped."""
+    return window_means(loci, track, key, {"mean": F.lit(True)}, value)
 
 
 def extend_reads(reads: DataFrame, fragment: int) -> DataFrame:
@@ -287,7 +308,7 @@ def coverage(reads: DataFrame, regions: DataFrame, key: str, per_base: bool = Fa
     ends = {"n": F.lit(1).cast("long"), "start": F.col("start_pos").cast("long"), "end": F.col("end_pos").cast("long")}
     mine = regions.where(F.col(key).isNotNull() & (F.col("start_pos") < F.col("end_pos"))).select(key, "chrom", "start_pos", "end_pos")
     upto = lambda end, at: F.col(at) * (F.col(f"{end}_n_s") - F.col(f"{end}_n_e")) - (F.col(f"{end}_start_s") - F.col(f"{end}_end_e"))
-    depth = _looked_up(mine, reads, ends).groupBy(key).agg(F.sum(upto("hi", "end_pos") - upto("lo", "start_pos")).alias("bases"))
+    depth = looked_up(mine, reads, ends).groupBy(key).agg(F.sum(upto("hi", "end_pos") - upto("lo", "start_pos")).alias("bases"))
     return regions.join(depth, key, "left").withColumn("depth", F.try_divide(F.coalesce("bases", F.lit(0)), F.col("end_pos") - F.col("start_pos"))).drop("bases")
 
 

@@ -1,6 +1,6 @@
 """Steps that grew faster than their input: results against plain versions, and plans without what made them grow."""
 
-from locusframe.operators import intervals, matrix, offtarget, rank
+from locusframe.operators import chromatin, intervals, matrix, offtarget, rank, scan
 
 
 def plan(df):
@@ -85,3 +85,26 @@ def test_lists_of_dominators_shuffle_no_pairs(spark, monkeypatch):
     above = lambda p, q: all(x >= y for x, y in zip(p[1:], q[1:])) and p[1:] != q[1:]
     lists = {k: sorted({p[0] for q in full if q[0] == k for p in full if above(p, q)}) for k in {r[0] for r in rows}}
     assert sorted(((r.id or "", r.dominated_by) for r in got.collect())) == sorted((r[0] or "", lists[r[0]]) for r in rows)
+
+
+def test_running_totals_are_summed_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "STRETCH", 16, raising=False)
+    monkeypatch.setattr(scan, "sliced", None)  # nothing is put in one order as a whole
+    reads = [(f"c{n % 2}", 7 * n % 301 - 40, 7 * n % 301 - 40 + n % 25, n * 1.25, n % 3) for n in range(300)]
+    b = spark.createDataFrame(reads, "chrom string, start_pos long, end_pos long, value double, turn int")
+    places = [(n, f"c{n % 3}", 13 * n % 400 - 60, 13 * n % 400 - 60 + 1 + n % 70) for n in range(80)]
+    a = spark.createDataFrame(places, "key long, chrom string, start_pos long, end_pos long")
+    over = lambda p, turns: [r[3] for r in reads if r[0] == p[1] and r[1] < p[3] and r[2] > p[2] and r[4] in turns]
+    bare = lambda vs: sum(vs) / len(vs) if vs else None
+    mean = lambda vs: short(bare(vs))
+    short = lambda v: None if v is None else round(v, 8)
+    calls, plain = [], intervals.looked_up if hasattr(intervals, "looked_up") else None
+    monkeypatch.setattr(intervals, "looked_up", lambda *x: calls.append(1) or plain(*x), raising=False)
+    got = chromatin.log2_residual(a, b.where("turn = 0"), b.where("turn > 0"), "key", replicate="turn").collect()
+    assert len(calls) == 1  # case and control in one pass
+    second = lambda p: [m for m in (bare(over(p, [1])), bare(over(p, [2]))) if m is not None]
+    assert sorted((r.key, short(r.case), short(r.control)) for r in got) == sorted((p[0], mean(over(p, [0])), mean(second(p))) for p in places)
+    loci = a.select("key", "chrom", "start_pos")
+    full = b.where("start_pos < end_pos").withColumn("track", b.turn.cast("string"))
+    swept = {(r.key, r.width, r.track): (short(r["mean"]), r.n) for r in chromatin.signal_means(loci, full, (5, 40), "key", "start_pos").collect()}
+    assert swept == {(p[0], w, str(t)): (mean(vs), len(vs)) for p in places for w in (5, 40) for t in range(3) for vs in [[r[3] for r in reads if r[1] < r[2] and r[0] == p[1] and r[1] < p[2] + w and r[2] > p[2] - w and r[4] == t]]}
