@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.tails import normal_tail, student_tail
+from locusframe.operators.iterate import written
 from locusframe.operators.scan import running
 
 def hash_bits(*parts) -> Column:
@@ -201,6 +202,10 @@ def hash_split_order(seed: int | Column, replicate: Column, key: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), replicate.cast("string"), F.col(key).cast("string")), 256)
 
 
+#: Rows of a table of replicates and parts that is sent to all tasks.
+FEW = 100_000
+
+
 def smallest_hashes(df: DataFrame, key: str, k: DataFrame, draws: int, seed: int = 0, bin_rows: int = 50_000, part: Sequence[str] = ()) -> DataFrame:
     """(part, __r, key): in each of ``draws`` replicates of a part the rows with the k smallest hashes; ``k`` has a row a part.
 
@@ -211,16 +216,21 @@ def smallest_hashes(df: DataFrame, key: str, k: DataFrame, draws: int, seed: int
     part = list(part)
     bins = max(1, -(-df.count() // bin_rows))
     turns = F.broadcast(df.sparkSession.range(draws).withColumnRenamed("id", "__r"))
-    rows = df.select(*part, F.col(key).alias("__k")).crossJoin(turns).withColumn("__h", hash_split_order(seed, F.col("__r"), "__k"))
+    keyed = df.groupBy(F.col(key).alias("__k")).agg(F.collect_list(F.struct(*part)).alias("__parts")) if part else df.select(F.col(key).alias("__k"))
+    rows = keyed.crossJoin(turns).withColumn("__h", hash_split_order(seed, F.col("__r"), "__k"))  # a key's hash serves all its parts
     rows = rows.withColumn("__bin", F.floor(F.conv(F.substring("__h", 1, 12), 16, 10).cast("double") / float(1 << 48) * bins).cast("int"))
+    rows = rows.select("__r", "__k", "__h", "__bin", F.inline("__parts")) if part else rows
     counts = rows.groupBy(*part, "__r", "__bin").agg(F.count("*").alias("__n"))
     order = Window.partitionBy(*part, "__r").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0)))
     wanted = k.select(*part, F.col("k").alias("__want"))
     open_ = (before.join(wanted, part) if part else before.crossJoin(F.broadcast(wanted))).where(F.col("__before") < F.col("__want"))
-    found = rows.join(open_, [*part, "__r", "__bin"])
-    whole = F.col("__before") + F.col("__n") <= F.col("__want")
-    last = found.where(~whole).withColumn("__i", F.row_number().over(Window.partitionBy(*part, "__r", "__bin").orderBy("__h")))
+    ends = open_.groupBy(*part, "__r").agg(F.max("__bin").alias("__last"), F.max_by(F.struct("__before", "__n", "__want"), "__bin").alias("e"))
+    ends = written(ends.select(*part, "__r", "__last", "e.*"), "hashes")
+    # A row a replicate and part: sent to the tasks, so only rows up to the k-th are moved.
+    found = rows.join(F.broadcast(ends) if ends.count() <= FEW else ends, [*part, "__r"]).where(F.col("__bin") <= F.col("__last"))
+    whole = (F.col("__bin") < F.col("__last")) | (F.col("__before") + F.col("__n") <= F.col("__want"))
+    last = found.where(~whole).withColumn("__i", F.row_number().over(Window.partitionBy(*part, "__r").orderBy("__h")))
     taken = last.where(F.col("__i") <= F.col("__want") - F.col("__before"))
     return found.where(whole).select(*part, "__r", "__k").unionByName(taken.select(*part, "__r", "__k")).withColumnRenamed("__k", key)
 
@@ -262,12 +272,13 @@ def exact_permutation_p(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
 
 def poisson_weight(*parts) -> Column:
     """A Poisson(1) draw from a hash: how often a row is in a bootstrap replicate."""
-    u, steps, total, term = hash_bits(*parts), F.lit(0), 0.0, 0.36787944117144233
+    total, term, steps = 0.0, 0.36787944117144233, []
     for k in range(8):
         total += term
-        steps = steps + (u >= total).cast("int")
+        steps.append(total)
         term /= k + 1
-    return steps
+    # A one-element transform names the draw, so it is hashed once and not for each step.
+    return F.transform(F.array(hash_bits(*parts)), lambda u: reduce(Column.__add__, [(u >= t).cast("int") for t in steps]))[0]
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -516,15 +527,22 @@ def threshold_sweep(df: DataFrame, value: str, score: str, cuts: Sequence[float]
     return out.select("cut", "n_pos", "n_neg", F.when((F.col("n_pos") >= min_count) & (F.col("n_neg") >= min_count), F.col("auroc")).alias("auroc"))
 
 
+#: Rows that a task draws all replicates of.
+ROWS_A_TASK = 20_000
+
+
 def threshold_sweep_ci(df: DataFrame, value: str, score: str, cuts: Sequence[float], key: str, draws: int, seed: int = 0, min_count: int = 5, level: float = 0.95) -> DataFrame:
     """``threshold_sweep`` with (lo, hi) of the AUC by Poisson bootstrap of rows; replicates without both classes are passed over."""
     spark = df.sparkSession
     table = F.broadcast(spark.createDataFrame([(float(c),) for c in cuts], "cut double"))
     turns = F.broadcast(spark.range(draws).withColumnRenamed("id", "__r"))
-    rows = df.select(F.col(key).cast("string").alias("__k"), F.col(value).alias("v"), F.col(score).alias("s")).where("v is not null and s is not null").crossJoin(turns)
+    rows = df.select(F.col(key).cast("string").alias("__k"), F.col(value).alias("v"), F.col(score).alias("s")).where("v is not null and s is not null")
+    tasks = -(-rows.count() // ROWS_A_TASK)  # a small file makes many draws
+    rows = (rows.repartition(tasks) if tasks > 1 else rows).crossJoin(turns)
     rows = rows.withColumn("__w", poisson_weight(seed, F.col("__r").cast("string"), F.col("__k"))).where("__w > 0").crossJoin(table)
     up = (F.col("v") > F.col("cut")).cast("int")
     cells = rows.groupBy("cut", "__r", "s").agg(F.sum(F.col("__w") * up).alias("p"), F.sum(F.col("__w") * (1 - up)).alias("q"))
+    cells = written(cells, "cells")  # counting and ordering would draw anew
     cells = running(cells, ["cut", "__r"], ["s"], {"below": F.col("q")}, alone=True, before=True)
     each = cells.withColumn("won", F.col("p") * (F.coalesce("below", F.lit(0)) + F.col("q") / 2)).groupBy("cut", "__r").agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
     ends = each.groupBy("cut").agg(F.percentile("auc", (1 - level) / 2).alias("lo"), F.percentile("auc", (1 + level) / 2).alias("hi"))

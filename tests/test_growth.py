@@ -1,6 +1,6 @@
 """Steps that grew faster than their input: results against plain versions, and plans without what made them grow."""
 
-from locusframe.operators import chromatin, intervals, matrix, offtarget, rank, scan
+from locusframe.operators import chromatin, intervals, matrix, offtarget, rank, scan, stats
 
 
 def plan(df):
@@ -108,3 +108,28 @@ def test_running_totals_are_summed_in_stretches(spark, monkeypatch):
     full = b.where("start_pos < end_pos").withColumn("track", b.turn.cast("string"))
     swept = {(r.key, r.width, r.track): (short(r["mean"]), r.n) for r in chromatin.signal_means(loci, full, (5, 40), "key", "start_pos").collect()}
     assert swept == {(p[0], w, str(t)): (mean(vs), len(vs)) for p in places for w in (5, 40) for t in range(3) for vs in [[r[3] for r in reads if r[1] < r[2] and r[0] == p[1] and r[1] < p[2] + w and r[2] > p[2] - w and r[4] == t]]}
+
+
+def test_replicates_draw_once_and_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(stats, "ROWS_A_TASK", 10, raising=False)
+    df = spark.createDataFrame([(f"g{n}", n % 7 / 7, float(n * n % 31)) for n in range(60)], "gene string, beta double, score double").coalesce(1)
+    names, seen = [], stats.written if hasattr(stats, "written") else None
+    monkeypatch.setattr(stats, "written", lambda rows, name: names.append(name) or seen(rows, name), raising=False)
+    out = stats.threshold_sweep_ci(df, "beta", "score", [0.3], "gene", 5, 6).collect()
+    assert names == ["cells"] and out[0].lo <= out[0].hi
+    assert plan(df.select(stats.poisson_weight(1, df.gene).alias("w"))).count("sha2(") == 1
+
+
+def test_hashes_of_a_key_serve_its_parts(spark, monkeypatch):
+    import hashlib
+
+    rows = [(n, p) for n in range(90) for p in ("a", "b", "c") if (n + len(p)) % 5 or p == "b"]
+    df = spark.createDataFrame(rows, "id long, part string")
+    want = spark.createDataFrame([("a", 4), ("b", 30), ("c", 500)], "part string, k long")
+    digest = lambda r, n: hashlib.sha256(f"3:{r}:{n}".encode()).hexdigest()
+    expected = sorted((p, r, n) for p, k in (("a", 4), ("b", 30), ("c", 500)) for r in range(3) for n in sorted((n for n, q in rows if q == p), key=lambda n: digest(r, n))[:k])
+    for few in (1000, 0):
+        monkeypatch.setattr(stats, "FEW", few, raising=False)
+        got = stats.smallest_hashes(df, "id", want, 3, 3, bin_rows=20, part=["part"])
+        assert sorted((r.part, r["__r"], r.id) for r in got.collect()) == expected
+        assert "inline(" in plan(got)
