@@ -1,5 +1,7 @@
 """Steps that grew faster than their input: results against plain versions, and plans without what made them grow."""
 
+from pyspark.sql import functions as F
+
 from locusframe.operators import chromatin, intervals, matrix, offtarget, rank, scan, stats
 
 
@@ -133,3 +135,32 @@ def test_hashes_of_a_key_serve_its_parts(spark, monkeypatch):
         got = stats.smallest_hashes(df, "id", want, 3, 3, bin_rows=20, part=["part"])
         assert sorted((r.part, r["__r"], r.id) for r in got.collect()) == expected
         assert "inline(" in plan(got)
+
+
+def test_fronts_follow_chains(spark, monkeypatch):
+    rows = [(n, (n * 7919 % 1009) / 1009, n * 37 % 11 / 10, n * 53 % 11 / 10, n * 71 % 11 / 10) for n in range(400)]
+    rows += [(900 + n, *rows[n][1:]) for n in range(5)] + [(990, None, 0.5, 0.5, 0.5), (991, float("nan"), 0.5, 0.5, 0.5), (992, 0.0, 0.0, 0.0, 0.0), (993, -0.0, 0.0, 0.0, 0.0)]
+    whole = {r[0]: r[1:] for r in rows if r[0] not in (990, 991)}
+    above = {k: [q for q in whole if q != k and whole[q] != p and all(x >= y for x, y in zip(whole[q], p))] for k, p in whole.items()}
+    want = {990: 0, 991: 0}
+    for k in sorted(whole, key=lambda k: len(above[k])):
+        want[k] = 1 + max((want[q] for q in above[k]), default=-1)
+    df = spark.createDataFrame(rows, ["id", *rank.OBJECTIVES])
+    monkeypatch.setattr(rank, "_settled", None)  # no point is compared with points
+    monkeypatch.setattr(rank, "_beaten", None)
+    assert dict(rank.pareto_fronts(df, "id").select("id", "rank").collect()) == want
+    monkeypatch.setattr(scan, "ALONE", 10)
+    monkeypatch.setattr(rank, "SLICE", 150)
+    assert dict(rank.pareto_fronts(df, "id").select("id", "rank").collect()) == want
+    few = rank.pareto_fronts(df, "id", floor=F.col("safety") >= 0.5, max_rank=3).select("id", "rank").collect()
+    good = {k: x for k, x in want.items() if k in whole and whole[k][3] >= 0.5}
+    assert {k: x for k, x in few if k in good} == {k: x if x < 3 else None for k, x in good.items()}  # who dominates a feasible row here is feasible
+    one = spark.createDataFrame([(n, n * 7 % 50 / 10) for n in range(500)], "id long, a double")
+    assert dict(rank.pareto_fronts(one, "id", ["a"]).select("id", "rank").collect()) == {n: 49 - n * 7 % 50 for n in range(500)}
+    parts = rank._ranks(df.where("id < 400").withColumn("p", F.col("id") % 2), list(rank.OBJECTIVES), ["p"]).collect()
+    for p in (0, 1):
+        mine = {k: v for k, v in whole.items() if k < 400 and k % 2 == p}
+        deep: dict = {}
+        for k in sorted(mine, key=lambda k: len([q for q in above[k] if q in mine])):
+            deep[mine[k]] = 1 + max((deep[mine[q]] for q in above[k] if q in mine), default=-1)
+        assert {tuple(r[1:5]): r["rank"] for r in parts if r["p"] == p} == deep
