@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +57,94 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", size: int = BIN
     return pairs.unionByName(a.join(met, same, "left_anti"), allowMissingColumns=True)
 
 
+#: Rows of both tables a task; rows of the first that meet a bin in one task; pairs that leave a task at once.
+MEETING, CROWDED, PAIRS = 50_000, 20_000, 1_000_000
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame, key: str, other: str, size: int = BIN) -> DataFrame:
+    """(key, other): the keys of each pair of ``overlap_join``, which comes once for each pair of rows.
+
+    In a bin the rows of ``b`` lie by start, so those that a row of ``a`` may meet are a range: pairs are read off ranges on
+    arrays, and what is compared grows as what comes out does. A task holds a bin's rows of ``b`` and PAIRS pairs. A bin with
+    more than CROWDED rows of ``a`` is dealt to several tasks.
+    """
+    place = ["chrom", "bin"]
+
+    def rows(df: DataFrame, k: str, name: str) -> DataFrame:
+        whole = df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in ("chrom", "start_pos", "end_pos")]))
+        whole = whole.select(F.col(k).alias(name), "chrom", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"))
+        return _binned(whole, "start_pos", "end_pos", size, "__x").withColumn("__fresh", F.col("__x_first") == F.col("bin")).drop("__x_first")
+
+    mine, theirs = rows(a, key, "__a"), rows(b, other, "__b")
+    crowds = F.broadcast(mine.groupBy(*place).agg(F.ceil(F.count("*") / CROWDED).cast("int").alias("__parts")).where("__parts > 1"))
+    parts = F.coalesce("__parts", F.lit(1))
+    mine = mine.join(crowds, place, "left").withColumn("__part", F.pmod(F.xxhash64("__a", "start_pos", "end_pos"), parts).cast("int")).withColumn("__asks", F.lit(True))
+    theirs = theirs.join(crowds, place, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("__asks", F.lit(False))
+    tasks = max(1, -(-(a.count() + b.count()) // MEETING))
+    groups = [*place, "__part"]
+    met = theirs.drop("__parts").unionByName(mine.drop("__parts"), allowMissingColumns=True)
+    met = met.repartition(tasks, *groups).sortWithinPartitions(*groups, "__asks", "start_pos")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, lies, ready, total = None, [], None, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            differs = np.zeros(batch.num_rows - 1, bool)
+            for g in groups:
+                differs |= pc.not_equal(batch[g][1:], batch[g][:-1]).to_numpy(zero_copy_only=False)
+            asks = batch["__asks"].to_numpy(zero_copy_only=False)
+            edges = np.r_[0, np.flatnonzero(differs) + 1, batch.num_rows]
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                here = tuple(batch[g][i].as_py() for g in groups)
+                if here != now:
+                    now, held, lies = here, [], None
+                first = i + int(np.searchsorted(asks[i:j], True))  # rows of b come first, by start
+                if first > i:
+                    held.append(batch.slice(i, first - i))
+                if first == j or not held:
+                    continue
+                if lies is None:
+                    lies = [pa.concat_arrays([h[c] for h in held]) for c in ("__b", "start_pos", "end_pos", "__fresh")]
+                    lies = [lies[0], *[c.to_numpy(zero_copy_only=False) for c in lies[1:]]]
+                for pair in ranges(batch.slice(first, j - first), *lies):
+                    ready.append(pair)
+                    total += len(pair[0])
+                    if total >= PAIRS:
+                        yield made(ready)
+                        ready, total = [], 0
+        if ready:
+            yield made(ready)
+
+    def made(ready: list[tuple[pa.Array, pa.Array]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(list(c)) for c in zip(*ready)], ["__a", "__b"])
+
+    def ranges(asked: pa.RecordBatch, keys: pa.Array, start: np.ndarray, end: np.ndarray, fresh: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array]]:
+        lo, hi = (asked[c].to_numpy() for c in ("start_pos", "end_pos"))
+        # A pair counts in the first bin that both reach, so a row that comes from an earlier bin meets only those that begin here.
+        least = np.where(asked["__fresh"].to_numpy(zero_copy_only=False), 0, int((~fresh).sum()))
+        inside, past = np.searchsorted(start, lo), np.searchsorted(start, hi)
+        inside = np.where((end <= start).any(), len(start), inside)  # rows of no length are all looked at
+        reach = np.searchsorted(start, lo - int((end - start).max()), side="right")
+        for begin, stop, sure in ((np.maximum(reach, least), np.minimum(inside, past), False), (np.maximum(inside, least), past, True)):
+            counts = np.maximum(stop - begin, 0)
+            upto = np.r_[0, np.cumsum(counts)]
+            k = 0
+            while k < len(counts):
+                n = max(k + 1, int(np.searchsorted(upto, upto[k] + PAIRS, side="right")) - 1)
+                who = np.repeat(np.arange(k, n), counts[k:n])
+                at = np.arange(upto[k], upto[n]) - np.repeat(upto[k:n] - begin[k:n], counts[k:n])
+                if not sure:
+                    over = end[at] > lo[who]
+                    who, at = who[over], at[over]
+                if len(at):
+                    yield asked["__a"].take(pa.array(who)), keys.take(pa.array(at))
+                k = n
+
+    kinds = [f"{c} {df.schema[k].dataType.simpleString()}" for c, df, k in (("__a", a, key), ("__b", b, other))]
+    return met.select("__a", "__b", *groups, "start_pos", "end_pos", "__fresh", "__asks").mapInArrow(meet, ", ".join(kinds)).select(F.col("__a").alias(key), F.col("__b").alias(other))
+
+
 def overlap_flag(a: DataFrame, b: DataFrame, name: str, key: str, size: int = BIN) -> DataFrame:
     """``a`` with a boolean ``name``: whether any interval of ``b`` overlaps."""
     hit = overlap_totals(a, b, key, {}).withColumn(name, F.lit(True))

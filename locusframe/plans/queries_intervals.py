@@ -21,7 +21,7 @@ def flagship(v):
 
 @register("j1_overlap_join", f"select a.locus_id, b.peak_id from fx_windows2k a join fx_peaks b on {MEET}")
 def j1(v):
-    return iv.overlap_join(v("fx_windows2k"), v("fx_peaks")).select("locus_id", F.col("b_peak_id").alias("peak_id"))
+    return iv.overlap_pairs(v("fx_windows2k"), v("fx_peaks"), "locus_id", "peak_id")
 
 
 @register("j2_overlap_flag", f"select locus_id, hit from ({BEST})")

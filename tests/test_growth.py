@@ -1,5 +1,7 @@
 """Steps that grew faster than their input: results against plain versions, and plans without what made them grow."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from locusframe.operators import chromatin, intervals, matrix, offtarget, rank, scan, stats
@@ -164,3 +166,21 @@ def test_fronts_follow_chains(spark, monkeypatch):
         for k in sorted(mine, key=lambda k: len([q for q in above[k] if q in mine])):
             deep[mine[k]] = 1 + max((deep[mine[q]] for q in above[k] if q in mine), default=-1)
         assert {tuple(r[1:5]): r["rank"] for r in parts if r["p"] == p} == deep
+
+
+def test_overlap_pairs_come_from_ranges(spark, monkeypatch):
+    draw = random.Random(8)
+    place = lambda n, k: (n, draw.choice(["c1", "c2"]), (s := draw.randrange(-40, 400)), s + draw.choice([0, -3, 1, 5, 30, 120 if k else 7]))
+    left = [place(n, 1) for n in range(90)] + [(7, "c1", 3, 80), (None, "c1", 3, 80), (500, None, 1, 9), (501, "c1", None, 9), (502, "c1", 1, None)]
+    right = [place(n, 0) for n in range(200)] + [(3, "c1", 5, 300), (3, "c1", 5, 300), (500, None, 1, 9), (501, "c1", None, 9)]
+    a = spark.createDataFrame(left, "a long, chrom string, start_pos long, end_pos int")
+    b = spark.createDataFrame([(f"p{r[0]}", *r[1:]) for r in right], "b string, chrom string, start_pos long, end_pos long")
+    want = sorted((str(p[0]), f"p{r[0]}") for p in left for r in right if None not in (*p[1:], *r[1:]) and p[1] == r[1] and p[2] < r[3] and p[3] > r[2])
+    for size, crowd, pairs in ((8192, 20_000, 1_000_000), (32, 20_000, 50), (64, 4, 3)):
+        monkeypatch.setattr(intervals, "CROWDED", crowd)
+        monkeypatch.setattr(intervals, "PAIRS", pairs)
+        got = intervals.overlap_pairs(a, b, "a", "b", size)
+        assert "Join" not in plan(got).replace("BroadcastHashJoin", "")  # no row meets another in a join
+        assert sorted((str(r.a), r.b) for r in got.collect()) == want
+    assert intervals.overlap_pairs(a.where("false"), b, "a", "b").count() == 0
+    assert intervals.overlap_pairs(a, b.where("false"), "a", "b").count() == 0
