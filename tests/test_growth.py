@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from locusframe.operators import chromatin, intervals, matrix, offtarget, rank, scan, stats
+from locusframe.operators import chromatin, intervals, matrix, offtarget, rank, scan, seq, stats
 
 
 def plan(df):
@@ -184,3 +184,38 @@ def test_overlap_pairs_come_from_ranges(spark, monkeypatch):
         assert sorted((str(r.a), r.b) for r in got.collect()) == want
     assert intervals.overlap_pairs(a.where("false"), b, "a", "b").count() == 0
     assert intervals.overlap_pairs(a, b.where("false"), "a", "b").count() == 0
+
+
+def test_sites_of_both_strands_come_from_one_scan(spark, monkeypatch):
+    draw = random.Random(4)
+    texts = [(n, "".join(draw.choice("ACGGCTgcN" if n % 3 == 0 else "ACGGCT") for _ in range(30 + 9 * n))) for n in range(12)]
+    texts += [(20, None), (21, ""), (22, "GG" * 15), (23, "GG" * 16), (24, "CC" * 15 + "A"), (25, "ACGé" + "GGCC" * 12), (26, "ß" + "CCGG" * 12)]
+    turn = str.maketrans("ACGTN", "TGCAN")
+    want = []
+    for n, s in texts:
+        up = (s or "").upper()
+        for strand, t in (("+", up), ("-", up[::-1].translate(turn))):
+            for i in range(4, len(t) - 26):
+                if t[i + 21 : i + 23] == "GG" and "N" not in t[i : i + 20]:
+                    want.append((n, strand, 100 + (i if strand == "+" else len(t) - i - 20), t[i : i + 20], t[i + 20 : i + 23], t[i - 4 : i + 26]))
+    df = spark.createDataFrame([(*t, 100) for t in texts], "id long, seq string, off int")
+    for letters in (4 << 20, 50):
+        monkeypatch.setattr(seq, "STRETCH", letters)
+        found = seq.enumerate_sites(df.coalesce(1), "seq", "id", "off")
+        assert "translate" not in plan(found) and "Generate" not in plan(found)
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_vectors_are_summed_up_in_their_task(spark, monkeypatch):
+    draw = random.Random(6)
+    contexts = ["".join(draw.choice("ACGT" if n % 4 else "ACGTNé") for _ in range(30)) for n in range(40)] + [None, "G" * 30, "acgt" * 7 + "aa", "ACGTACGTA", ""]
+    df = spark.createDataFrame(list(enumerate(contexts)), "id long, c string")
+    monkeypatch.setattr(seq, "VECTORS", 7)
+    for column, vectors in ((seq.guide_features, seq.plain_vectors), (seq.guide_features_ext, seq.extended_vectors)):
+        found = seq.vector_digest(df, "c", vectors)
+        assert found.columns == ["id", "ones", "place", "last"] and "transform" not in plan(found)
+        got = {r[0]: tuple(r[1:]) for r in found.collect()}
+        assert got.pop(40) == (None, None, None)
+        for n, x in df.where("c is not null").select("id", column("c").alias("x")).collect():
+            ones, place, last = got[n]
+            assert (ones, last) == (sum(e == 1 for e in x), x[-1]) and abs(place - sum(e * k for k, e in enumerate(x, 1))) < 1e-9
