@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.operators.intervals import background_loci, overlap_max
+from locusframe.operators.iterate import written
 from locusframe.operators.windows import hash_order
 
 
@@ -13,6 +14,7 @@ def labelled_windows(candidates: DataFrame, signal: DataFrame, sizes: DataFrame,
     """(key, chrom, start_pos, end_pos, active, target): active windows have signal; negatives are half inactive candidates
     and half background that touches none; target is log1p of the signal over its largest. ``negatives`` bounds the draw by intent."""
     best = overlap_max(candidates, signal, "signal", key).select(F.col(key).cast("string").alias(key), "chrom", "start_pos", "end_pos", "best")
+    best = written(best, "best")  # read three times
     active = best.where("best > 0")
     idle = best.where("best <= 0").orderBy(hash_order(seed, key), key).limit(negatives // 2)
     ground = background_loci(sizes, signal, negatives - negatives // 2, width, seed).select(F.col("place").alias(key), "chrom", "start_pos", "end_pos", F.lit(0.0).alias("best"))

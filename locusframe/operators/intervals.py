@@ -29,6 +29,12 @@ def _binned(df: DataFrame, lo: str, hi: str, size: int, name: str) -> DataFrame:
     return df.withColumn(f"{name}_first", first).withColumn("bin", F.explode(F.sequence(first, last)))
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df``, to be joined where both sides are shuffled. Spark takes a table that grows as the input does for small, by the
+    compressed columns that it is made from, and would gather its rows in the driver to broadcast them."""
+    return df.hint("merge")
+
+
 def _prefixed(b: DataFrame, prefix: str = "b_") -> DataFrame:
     return b.select(*[F.col(c).alias(f"{prefix}{c}") for c in b.columns])
 
@@ -47,7 +53,7 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", size: int = BIN
         & (F.col("start_pos") < F.col("b_end_pos")) & (F.col("end_pos") > F.col("b_start_pos"))
         & (F.col("bin") == F.greatest("__a_first", "__b_first"))
     )
-    pairs = left.join(right, meet).drop("bin", "__bbin", "__a_first", "__b_first")
+    pairs = left.join(apart(right), meet).drop("bin", "__bbin", "__a_first", "__b_first")
     if how == "inner":
         return pairs
     met = pairs.select(*[F.col(c).alias(f"__met_{c}") for c in a.columns]).distinct()
@@ -148,17 +154,17 @@ def overlap_pairs(a: DataFrame, b: DataFrame, key: str, other: str, size: int =
 def overlap_flag(a: DataFrame, b: DataFrame, name: str, key: str, size: int = BIN) -> DataFrame:
     """``a`` with a boolean ``name``: whether any interval of ``b`` overlaps."""
     hit = overlap_totals(a, b, key, {}).withColumn(name, F.lit(True))
-    return a.join(hit, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return a.join(apart(hit), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def overlap_semi(a: DataFrame, b: DataFrame, key: str, size: int = BIN) -> DataFrame:
     """Rows of ``a`` whose key has an overlap in ``b``; rows with a null key or place go. Keys should name rows."""
-    return a.join(overlap_totals(a, b, key, {}), key, "left_semi")
+    return a.join(apart(overlap_totals(a, b, key, {})), key, "left_semi")
 
 
 def overlap_anti(a: DataFrame, b: DataFrame, key: str, size: int = BIN) -> DataFrame:
     """Rows of ``a`` whose key has no overlap in ``b``; rows with a null key or place stay."""
-    return a.join(overlap_totals(a, b, key, {}), key, "left_anti")
+    return a.join(apart(overlap_totals(a, b, key, {})), key, "left_anti")
 
 
 def background_loci(sizes: DataFrame, peaks: DataFrame, n: int, width: int, seed: int = 0) -> DataFrame:
@@ -184,33 +190,114 @@ def _above(points: DataFrame, levels: int) -> DataFrame:
     return rows.withColumn("node", F.expr("shiftright(at, level)")).drop("at")
 
 
+#: Bases a bin of ``overlap_tops``, a power of two: a task holds a few numbers for each, times its logarithm.
+REACH = 1 << 13
+_NONE, _BITS = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Doubles as integers of the same order, NaN last; ``_ordered`` of these as doubles leads back."""
+    bits = np.where(np.isnan(values), np.nan, values).view(np.int64)
+    return bits ^ (bits >> 63 & _BITS)
+
+
+def overlap_tops(a: DataFrame, b: DataFrame, key: str, values: Mapping[str, Column], size: int = BIN) -> DataFrame:
+    """(key, values): the largest of each of ``values``, columns of ``b`` taken as doubles, over all overlaps of the key's
+    rows; null without any. Keys are those of ``a`` with a place, null keys not.
+
+    No pair is made: intervals overlap where one holds the other's start. A row goes to the bins that its ends lie in; there
+    maxima of starts and of covered bases lie in aligned stretches of 1, 2, 4, .. bases on arrays, so a task holds a bin's
+    arrays, however many rows it has, and a row costs two look-ups. What lies between the ends' bins is looked up in aligned
+    stretches of bins. Equal places are one row. Rows of no length meet in bins; null places overlap nothing.
+    """
+    names, place = list(values), ["chrom", "start_pos", "end_pos"]
+    whole, flat = "chrom is not null and start_pos < end_pos", "chrom is not null and start_pos >= end_pos"
+    bits = REACH.bit_length() - 1
+    ends = {c: F.col(c).cast("long") for c in ("start_pos", "end_pos")}
+    mine = a.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), "chrom", *[v.alias(c) for c, v in ends.items()])
+    theirs = b.select("chrom", *[v.alias(c) for c, v in ends.items()], *[v.cast("double").alias(k) for k, v in values.items()])
+    most = [F.max(k).alias(k) for k in names]
+    first, last = F.expr(f"shiftright(start_pos, {bits})"), F.expr(f"shiftright(end_pos - 1, {bits})")
+    asks = mine.where(whole).select(*place).distinct()
+    long = theirs.where(whole).groupBy(*place).agg(*most)
+    in_bins = lambda df: df.withColumn("bin", F.explode(F.array_distinct(F.array(first, last))))
+    met = in_bins(long.withColumn("__asks", F.lit(False))).unionByName(in_bins(asks.withColumn("__asks", F.lit(True))), allowMissingColumns=True)
+    met = met.repartition("chrom", "bin").sortWithinPartitions("chrom", "bin", "__asks")
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, closed = None, False
+        starts, cover = (np.full((len(names), bits + 1, REACH), _NONE) for _ in range(2))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            differs = np.zeros(batch.num_rows - 1, bool)
+            for g in ("chrom", "bin"):
+                differs |= pc.not_equal(batch[g][1:], batch[g][:-1]).to_numpy(zero_copy_only=False)
+            edges = np.r_[0, np.flatnonzero(differs) + 1, batch.num_rows]
+            turn = batch["__asks"].to_numpy(zero_copy_only=False)
+            at = batch["bin"].to_numpy() * REACH
+            lo, hi = batch["start_pos"].to_numpy() - at, np.minimum(batch["end_pos"].to_numpy() - at, REACH)
+            tall = np.frexp(hi - np.maximum(lo, 0))[1] - 1  # the level of the longest stretch that fits
+            held = [(batch[k].is_valid().to_numpy(zero_copy_only=False), _ordered(batch[k].fill_null(0.0).to_numpy(zero_copy_only=False))) for k in names]
+            found = np.full((len(names), batch.num_rows), _NONE)
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                here = (batch["chrom"][i].as_py(), batch["bin"][i].as_py())
+                if here != now:
+                    now, closed = here, False
+                    starts.fill(_NONE)
+                    cover.fill(_NONE)
+                m = i + int(np.searchsorted(turn[i:j], True))  # rows of b come first
+                for v, (valid, value) in enumerate(held if m > i else ()):
+                    n = np.flatnonzero(valid[i:m]) + i
+                    np.maximum.at(cover[v], (tall[n], np.maximum(lo[n], 0)), value[n])
+                    np.maximum.at(cover[v], (tall[n], hi[n] - (1 << tall[n])), value[n])
+                    n = n[lo[n] >= 0]
+                    np.maximum.at(starts[v, 0], lo[n], value[n])
+                if m == j:
+                    continue
+                if not closed:
+                    closed = True
+                    for k in range(bits):
+                        h = 1 << k
+                        np.maximum(starts[:, k, :-h], starts[:, k, h:], out=starts[:, k + 1, :-h])
+                    for k in range(bits, 0, -1):
+                        h = 1 << k - 1
+                        np.maximum(cover[:, k - 1], cover[:, k], out=cover[:, k - 1])
+                        np.maximum(cover[:, k - 1, h:], cover[:, k, :-h], out=cover[:, k - 1, h:])
+                n = np.arange(m, j)
+                x, k = np.maximum(lo[n], 0), tall[n]
+                over = np.maximum(starts[:, k, x], starts[:, k, hi[n] - (1 << k)])
+                found[:, n] = np.where(lo[n] >= 0, np.maximum(over, cover[:, 0, x]), over)
+            n = np.flatnonzero(turn)
+            back = (found[:, n] ^ (found[:, n] >> 63 & _BITS)).view(np.float64)
+            yield pa.RecordBatch.from_arrays([batch[c].take(pa.array(n)) for c in place] + [pa.array(x, mask=y == _NONE) for x, y in zip(back, found[:, n])], [*place, *names])
+
+    kind = a.schema["chrom"].dataType.simpleString()
+    met = met.select(*place, "bin", "__asks", *names).mapInArrow(tops, ", ".join([f"chrom {kind}, start_pos long, end_pos long", *[f"`{k}` double" for k in names]]))
+    far = lambda df: df.agg(F.max(F.when(F.expr(whole), last - first - 1)), F.coalesce(F.max(F.expr(flat)), F.lit(False))).first()
+    (far_a, odd_a), (far_b, odd_b) = far(mine), far(theirs)
+    between = lambda df: _nodes(df.select("*", (first + 1).alias("__lo"), last.alias("__hi")).where("__lo < __hi").drop("start_pos", "end_pos").withColumnsRenamed({"__lo": "start_pos", "__hi": "end_pos"}))
+    named = asks.select("*", F.struct(*place).alias("__of"))
+    up = lambda n: int(n).bit_length()
+    for some, asked, n in ((lambda: _above(long.select("chrom", first.alias("at"), *names), up(far_a)), lambda: between(named), far_a), (lambda: between(long), lambda: _above(named.select("chrom", "__of", first.alias("at")), up(far_b)), far_b)):
+        if n and n > 0:
+            stretch = ["chrom", "level", "node"]
+            met = met.unionByName(asked().join(apart(some().groupBy(*stretch).agg(*most)), stretch).select("__of.*", *names))
+    out = mine.join(apart(met.groupBy(*place).agg(*most)), place).select("__key", *names)
+    if odd_a or odd_b:
+        pairs = overlap_join(mine.where(flat), theirs, size=size).unionByName(overlap_join(mine.where(whole), theirs.where(flat), size=size))
+        out = out.unionByName(pairs.select("__key", *[F.col(f"b_{k}").alias(k) for k in names]))
+    return out.groupBy(F.col("__key").alias(key)).agg(*most)
+
+
 def overlap_max(a: DataFrame, b: DataFrame, value: str, key: str, size: int = BIN, flag: str | None = None) -> DataFrame:
     """``a`` with ``best``: the largest value over overlaps, 0 without any; with ``flag``, whether there is one too.
 
-    No pair is made: intervals overlap where one holds the other's start. Intervals are made up of aligned stretches, a
-    start lies in one of each length, and stretches hold their largest value, so work follows the rows of both tables
-    times the logarithm of the longest interval. Rows of no length meet in bins; null keys and places overlap nothing.
+    From ``overlap_tops``, so no pair is made; null keys and places overlap nothing.
     """
-    whole, flat = "chrom is not null and start_pos < end_pos", "chrom is not null and start_pos >= end_pos"
-    mine = a.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), "chrom", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"))
-    theirs = b.select("chrom", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"), F.col(value).alias("__v"))
-    top = [F.max("__v").alias("__v"), F.lit(True).alias("__any")]
-    long = written(theirs.where(whole).groupBy("chrom", "start_pos", "end_pos").agg(*top), "values")
-    height = lambda df: int(df.agg(F.ceil(F.log2(F.max(F.col("end_pos") - F.col("start_pos")) + 1))).first()[0] or 0)
-    place = ["chrom", "level", "node"]
-    inner = _above(long.select("chrom", F.col("start_pos").alias("at"), "__v"), height(mine.where(whole))).withColumn("side", F.lit(0))
-    outer = _nodes(long.select("chrom", "start_pos", "end_pos", "__v")).withColumn("side", F.lit(1))
-    held = inner.unionByName(outer).groupBy("side", *place).agg(*top)
-    asks = mine.where(whole)
-    asked = _nodes(asks).withColumn("side", F.lit(0)).unionByName(_above(asks.select("__key", "chrom", F.col("start_pos").alias("at")), height(long)).withColumn("side", F.lit(1)))
-    met = asked.join(held, ["side", *place]).select("__key", "__v")
-    odd_a, odd_b = mine.where(flat), theirs.where(flat)
-    if not odd_a.isEmpty() or not odd_b.isEmpty():
-        pairs = overlap_join(odd_a, theirs, size=size).unionByName(overlap_join(asks, odd_b, size=size))
-        met = met.unionByName(pairs.select("__key", F.col("b___v").alias("__v")))
-    best = met.groupBy(F.col("__key").alias(key)).agg(F.max("__v").alias("best"), *([F.lit(True).alias(flag)] if flag else []))
-    out = a.join(best, key, "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
-    return out.withColumn(flag, F.coalesce(flag, F.lit(False))) if flag else out
+    tops = overlap_tops(a, b, key, {"__best": F.col(value)} | ({"__flag": F.lit(1.0)} if flag else {}), size)
+    out = a.join(apart(tops), key, "left").withColumn("best", F.coalesce("__best", F.lit(0.0)))
+    return out.withColumn(flag, F.col("__flag").isNotNull()).drop("__best", "__flag") if flag else out.drop("__best")
 
 
 def merge_intervals(df: DataFrame) -> DataFrame:
@@ -300,7 +387,7 @@ def looked_up(loci: DataFrame, b: DataFrame, totals: Mapping[str, Column], keys:
     for end, column in (("lo", "start_pos"), ("hi", "end_pos")):
         side = found.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("at").alias("__at"), *[F.col(c).alias(f"{end}_{c}") for k in totals for c in (f"{k}_s", f"{k}_e")])
         same = reduce(Column.__and__, [F.col(k) == F.col(f"__k_{k}") for k in keys], F.col(column) == F.col("__at"))
-        loci = loci.join(side, same, "left").drop("__at", *[f"__k_{k}" for k in keys])
+        loci = loci.join(apart(side), same, "left").drop("__at", *[f"__k_{k}" for k in keys])
     return loci
 
 
@@ -337,7 +424,7 @@ def window_means(loci: DataFrame, track: DataFrame, key: str, of: Mapping[str, C
     summed = F.col("__v").cast(f"decimal(28,{scale})") if scale is not None else F.col("__v")
     totals = {f"__sum_{k}": F.when(of[k], summed) for k in of} | {f"__rows_{k}": F.when(of[k], F.lit(1).cast("long")) for k in of}
     found = overlap_totals(loci, records, key, totals)
-    return loci.join(found.select(key, *[F.try_divide(F.col(f"__sum_{k}").cast("double"), F.col(f"__rows_{k}")).alias(k) for k in of]), key, "left")
+    return loci.join(apart(found.select(key, *[F.try_divide(F.col(f"__sum_{k}").cast("double"), F.col(f"__rows_{k}")).alias(k) for k in of])), key, "left")
 
 
 def window_mean(loci: DataFrame, track: DataFrame, key: str, value: str = "value", size: int = BIN) -> DataFrame:
@@ -400,7 +487,7 @@ def coverage(reads: DataFrame, regions: DataFrame, key: str, per_base: bool = Fa
     mine = regions.where(F.col(key).isNotNull() & (F.col("start_pos") < F.col("end_pos"))).select(key, "chrom", "start_pos", "end_pos")
     upto = lambda end, at: F.col(at) * (F.col(f"{end}_n_s") - F.col(f"{end}_n_e")) - (F.col(f"{end}_start_s") - F.col(f"{end}_end_e"))
     depth = looked_up(mine, reads, ends).groupBy(key).agg(F.sum(upto("hi", "end_pos") - upto("lo", "start_pos")).alias("bases"))
-    return regions.join(depth, key, "left").withColumn("depth", F.try_divide(F.coalesce("bases", F.lit(0)), F.col("end_pos") - F.col("start_pos"))).drop("bases")
+    return regions.join(apart(depth), key, "left").withColumn("depth", F.try_divide(F.coalesce("bases", F.lit(0)), F.col("end_pos") - F.col("start_pos"))).drop("bases")
 
 
 def tss_window(df: DataFrame, up: int, down: int) -> DataFrame:

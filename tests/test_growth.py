@@ -219,3 +219,22 @@ def test_vectors_are_summed_up_in_their_task(spark, monkeypatch):
         for n, x in df.where("c is not null").select("id", column("c").alias("x")).collect():
             ones, place, last = got[n]
             assert (ones, last) == (sum(e == 1 for e in x), x[-1]) and abs(place - sum(e * k for k, e in enumerate(x, 1))) < 1e-9
+
+
+def test_maxima_over_overlaps_are_gathered_nowhere(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "REACH", 16, raising=False)
+    draw = random.Random(11)
+    place = lambda long: (draw.choice(["c1", "c2"]), (s := draw.randrange(-60, 500)), s + draw.choice([1, 5, 15, 16, 17, 40, 300 if long else 2]))
+    odd = [("c1", 20, 20), ("c1", 30, 25), (None, 1, 9), ("c1", None, 9), ("c2", 1, None), ("c9", 1, 9)]
+    left = [(n, *place(n % 5 == 0)) for n in range(80)] + [(7, "c1", 3, 80), (7, "c2", 3, 80), (None, "c1", 3, 80)] + [(200 + n, *p) for n, p in enumerate(odd)]
+    values = [None, float("-inf"), float("inf"), float("nan"), -0.5, -3.0]
+    right = [(*place(n % 9 == 0), values[n] if n < 6 else draw.uniform(-9, 9), "xyz"[n % 3], n % 2) for n in range(120)] + [(*p, 99.0, "x", 0) for p in odd]
+    for some in (right, right[:2], right[6:60], right[60:61]):
+        a = spark.createDataFrame(left, "key long, chrom string, start_pos int, end_pos long")
+        b = spark.createDataFrame(some, "chrom string, start_pos long, end_pos long, value double, mark string, side int")
+        over = lambda k: [r for p in left if p[0] == k is not None for r in some if None not in (*p[1:], *r[:3]) and p[1] == r[0] and p[2] < r[2] and p[3] > r[1]]
+        order = lambda v: (v != v, v)
+        best = {p[0]: (str(max((r[3] for r in over(p[0]) if r[3] is not None), key=order, default=0.0)), bool(over(p[0]))) for p in left}
+        got = intervals.overlap_max(a, b, "value", "key", flag="hit")
+        assert {r.key: (str(r.best), r.hit) for r in got.collect()} == best
+        assert "BroadcastHashJoin" not in plan(got) and "BroadcastExchange" not in plan(got)
