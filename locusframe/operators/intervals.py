@@ -498,11 +498,13 @@ def tss_window(df: DataFrame, up: int, down: int) -> DataFrame:
 
 
 def mark_calls(loci: DataFrame, case: DataFrame, control: DataFrame, marks: Iterable[str], key: str, size: int = BIN) -> DataFrame:
-    """(key, <mark>_case, <mark>_control, <mark>_gain) from interval tables with a ``mark`` column; one join for all."""
+    """(key, <mark>_case, <mark>_control, <mark>_gain) from interval tables with a ``mark`` column; from ``overlap_tops``, all
+    calls at once, so no pair is made. A null key has no calls."""
     both = case.select("chrom", "start_pos", "end_pos", "mark", F.lit("case").alias("side")).unionByName(control.select("chrom", "start_pos", "end_pos", "mark", F.lit("control").alias("side")))
     marks = list(marks)
-    flag = lambda m, s: F.coalesce(F.max((F.col("b_mark") == m) & (F.col("b_side") == s)), F.lit(False)).alias(f"{m}_{s}")
-    calls = overlap_join(loci, both, how="left", size=size).groupBy(key).agg(*[flag(m, s) for m in marks for s in ("case", "control")])
+    asked = {f"{m}_{s}": F.when((F.col("mark") == m) & (F.col("side") == s), 1.0) for m in marks for s in ("case", "control")}
+    tops = overlap_tops(loci, both.where(F.col("mark").isin(marks)), key, {f"__t_{k}": v for k, v in asked.items()}, size)
+    calls = loci.select(key).distinct().join(apart(tops), key, "left").select(key, *[F.col(f"__t_{k}").isNotNull().alias(k) for k in asked])
     return calls.select("*", *[(F.col(f"{m}_case") & ~F.col(f"{m}_control")).alias(f"{m}_gain") for m in marks])
 
 

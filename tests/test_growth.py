@@ -238,3 +238,7 @@ def test_maxima_over_overlaps_are_gathered_nowhere(spark, monkeypatch):
         got = intervals.overlap_max(a, b, "value", "key", flag="hit")
         assert {r.key: (str(r.best), r.hit) for r in got.collect()} == best
         assert "BroadcastHashJoin" not in plan(got) and "BroadcastExchange" not in plan(got)
+        calls = {k: tuple(any((r[4], r[5]) == (m, s) for r in over(k)) for m in "xy" for s in (0, 1)) for k in {p[0] for p in left}}
+        made = intervals.mark_calls(a, b.where("side = 0"), b.where("side = 1"), ["x", "y"], "key")
+        assert {r.key: (r.x_case, r.x_control, r.y_case, r.y_control) for r in made.collect()} == calls
+        assert all(r.x_gain == (r.x_case and not r.x_control) for r in made.collect()) and made.count() == len(calls)
