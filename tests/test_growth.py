@@ -242,3 +242,25 @@ def test_maxima_over_overlaps_are_gathered_nowhere(spark, monkeypatch):
         made = intervals.mark_calls(a, b.where("side = 0"), b.where("side = 1"), ["x", "y"], "key")
         assert {r.key: (r.x_case, r.x_control, r.y_case, r.y_control) for r in made.collect()} == calls
         assert all(r.x_gain == (r.x_case and not r.x_control) for r in made.collect()) and made.count() == len(calls)
+
+
+def test_products_come_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(rank, "ROWS_A_TASK", 6)
+    monkeypatch.setattr(rank, "TILE", 4, raising=False)
+    p = spark.createDataFrame([(n % 3 if n % 11 else None, f"p{n}", n * 0.5) for n in range(50)], "t int, p string, x double")
+    e = spark.createDataFrame([(n * 7 % 4, n) for n in range(30)] + [(None, 99), (1, None), (1, 5), (1, 5)], "t int, e long")
+    g = spark.createDataFrame([(0, "g"), (1, "g"), (1, "h"), (2, None), (None, "i")], "t int, g string")
+    got = rank.design_space(p, e, g, "t")
+    assert got.columns == ["t", "p", "x", "e", "g"]
+    parts = got.rdd.glom().collect()
+    rows = [tuple(r) for part in parts for r in part]
+    want = [(*a, b[1], c[1]) for a in p.collect() for b in e.collect() for c in g.collect() if a[0] is not None and a[0] == b[0] == c[0]]
+    assert want and sorted(map(repr, rows)) == sorted(map(repr, want))
+    assert all(len({r[:1] for r in part}) <= 3 and len({r[1] for r in part}) <= 6 for part in parts)
+    # An other side's key comes back within a tile, not once all others have come.
+    steps = [y - x for part in ([r for r in part if r.t == 0] for part in parts) for n in {r.e for r in part} for at in [[i for i, r in enumerate(part) if r.e == n]] for x, y in zip(at, at[1:])]
+    assert steps and sorted(steps)[len(steps) // 2] <= 4
+    keys = spark.createDataFrame([(f"k{n % 23}",) for n in range(25)] + [(None,)], "k string")
+    names = [r.k for r in keys.collect()]
+    assert sorted(tuple(r) for r in rank.pairs(keys, "k").collect()) == sorted((a, b, x) for a in names for b in names if None not in (a, b) and a < b for x in ("AND", "OR"))
+    assert rank.pairs(keys.where("k is null"), "k").count() == 0 and rank.design_space(p.where("false"), e, g, "t").count() == 0
