@@ -264,3 +264,15 @@ def test_products_come_in_tiles(spark, monkeypatch):
     names = [r.k for r in keys.collect()]
     assert sorted(tuple(r) for r in rank.pairs(keys, "k").collect()) == sorted((a, b, x) for a in names for b in names if None not in (a, b) and a < b for x in ("AND", "OR"))
     assert rank.pairs(keys.where("k is null"), "k").count() == 0 and rank.design_space(p.where("false"), e, g, "t").count() == 0
+
+
+def test_points_of_dominance_are_not_copied(spark, monkeypatch):
+    monkeypatch.setattr(rank, "LISTS", 10)
+    rows = [(n % 60, float(n * 3 % 7), float(n * 5 % 11)) for n in range(70)]
+    got = rank.dominance(spark.createDataFrame(rows, "id long, a double, b double"), "id", ["a", "b"])
+    assert "Generate" not in plan(got) and "CartesianProduct" in plan(got)  # tasks read one copy
+    lists = {k: sorted({p[0] for q in rows if q[0] == k for p in rows if p[1] >= q[1] and p[2] >= q[2] and p[1:] != q[1:]}) for k, _, _ in rows}
+    assert sorted((r.id, r.dominated_by) for r in got.collect()) == sorted((r[0], lists[r[0]]) for r in rows)
+    none = spark.createDataFrame([(1, None, 1.0), (2, 1.0, float("nan"))], "id long, a double, b double")  # no points, two rows
+    assert sorted(map(tuple, rank.dominance(none, "id", ["a", "b"]).collect())) == [(1, []), (2, [])]
+    assert rank.dominance(none.where("false"), "id", ["a", "b"]).count() == 0
