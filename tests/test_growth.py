@@ -254,7 +254,8 @@ def test_products_come_in_tiles(spark, monkeypatch):
     assert got.columns == ["t", "p", "x", "e", "g"]
     parts = got.rdd.glom().collect()
     rows = [tuple(r) for part in parts for r in part]
-    want = [(*a, b[1], c[1]) for a in p.collect() for b in e.collect() for c in g.collect() if a[0] is not None and a[0] == b[0] == c[0]]
+    ps, es, gs = p.collect(), e.collect(), g.collect()
+    want = [(*a, b[1], c[1]) for a in ps for b in es for c in gs if a[0] is not None and a[0] == b[0] == c[0]]
     assert want and sorted(map(repr, rows)) == sorted(map(repr, want))
     assert all(len({r[:1] for r in part}) <= 3 and len({r[1] for r in part}) <= 6 for part in parts)
     # An other side's key comes back within a tile, not once all others have come.
